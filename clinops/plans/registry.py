@@ -77,3 +77,397 @@ def q_kpi_revenue(spark, sf_dir):
 @register("kpi_growth")
 def q_kpi_growth(spark, sf_dir):
     return metrics.kpi_growth(_v(spark, sf_dir, "treatments"), OPS_AS_OF)
+
+
+# ---- masking / labels / display -------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from clinops.functions import display, labels  # noqa: E402
+from clinops.functions.common import as_datetime  # noqa: E402
+from clinops.operators import ledger, patient, profile, sync, upsert, vitals  # noqa: E402
+from clinops.operators.mask import sanitize  # noqa: E402
+from clinops.sources.tables import (  # noqa: E402
+    OPS_TABLES, PG_TABLES, VIEWS, WEAR_AS_OF_TS, UnboundTable, load_view as _load, view_as_of,
+)
+
+
+@register("mask_customers")
+def q_mask_customers(spark, sf_dir):
+    p = _v(spark, sf_dir, "Patient")
+    return sanitize(p.select("patient_no", "patient_name", "patient_gender", "patient_foreign",
+                             "created_date", "intt_cd"))
+
+
+@register("mask_contact")
+def q_mask_contact(spark, sf_dir):
+    p = _v(spark, sf_dir, "Patient")
+    return sanitize(p.select("patient_no", "patient_rrn", "patient_email", "patient_tel",
+                             "patient_address", "patient_passport", "patient_birth",
+                             F.col("patient_birth").cast("string").alias("patient_birth_text")))
+
+
+@register("mask_ids")
+def q_mask_ids(spark, sf_dir):
+    t = _v(spark, sf_dir, "treatments")
+    return sanitize(t.select("treatment_id", "patient_no", "treatment_doc", "department_id"))
+
+
+@register("mask_text_columns")
+def q_mask_text_columns(spark, sf_dir):
+    t = _v(spark, sf_dir, "treatments")
+    return sanitize(t.select(
+        "treatment_id", "treatment_comment",
+        F.concat(F.lit("C-"), F.col("treatment_id").cast("string")).alias("certificate_number"),
+        F.col("treatment_dept").alias("prescription_memo"),
+        F.col("treatment_type").alias("clinical_findings")))
+
+
+@register("mask_events")
+def q_mask_events(spark, sf_dir):
+    return sanitize(_v(spark, sf_dir, "patient_clinical_event"), profile="wearable")
+
+
+@register("label_codes")
+def q_label_codes(spark, sf_dir):
+    e = _v(spark, sf_dir, "patient_clinical_event")
+    return e.select("clinical_event_id", "category", labels.category_label(F.col("category")).alias("category_kr"),
+                    "status", labels.status_label(F.col("status")).alias("status_kr"))
+
+
+@register("translate_values")
+def q_translate_values(spark, sf_dir):
+    t = _v(spark, sf_dir, "treatments").select("treatment_id", "treatment_status", "treatment_type", "intt_cd")
+    return labels.translate_values(t, ["treatment_status", "treatment_type", "intt_cd"])
+
+
+ISO_TEXT = ("CASE WHEN event_id % 5 = 0 THEN concat('Tx-', event_type) "
+            "ELSE concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), "
+            "CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Z' ELSE '+09:00' END) END")
+
+
+@register("format_datetimes")
+def q_format_datetimes(spark, sf_dir):
+    from clinops.sources.tables import raw
+    ev = raw(spark, sf_dir, "events").selectExpr("event_id", "ts", "CAST(ts AS DATE) AS d", f"{ISO_TEXT} AS iso_text")
+    return ev.select("event_id",
+                     display.format_datetime(F.col("ts"), ev.schema["ts"].dataType).alias("ts_kr"),
+                     display.format_datetime(F.col("d"), ev.schema["d"].dataType).alias("d_kr"),
+                     display.format_iso_text(F.col("iso_text")).alias("iso_kr"))
+
+
+@register("format_cells")
+def q_format_cells(spark, sf_dir):
+    e = _v(spark, sf_dir, "examination")
+    return display.format_cells(e.select("examination_id", "examination_name", "examination_price", "created_date"))
+
+
+# ---- table profiles ----------------------------------------------------------
+OPS_BOUND = [n for n, _ in OPS_TABLES if n in VIEWS]
+OPS_CAPTIONS = dict(OPS_TABLES)
+
+
+def _ops_tables(spark, sf_dir):
+    return {n: (_load(spark, sf_dir, n), view_as_of(n)) for n in OPS_BOUND}
+
+
+@register("table_stats")
+def q_table_stats(spark, sf_dir):
+    return profile.table_stats(_ops_tables(spark, sf_dir), OPS_CAPTIONS, [n for n, _ in OPS_TABLES])
+
+
+@register("table_daily_trend")
+def q_table_daily_trend(spark, sf_dir):
+    return profile.table_daily_trend(_ops_tables(spark, sf_dir))
+
+
+@register("table_counts")
+def q_table_counts(spark, sf_dir):
+    def loader(name):
+        return _load(spark, sf_dir, name)
+    return profile.table_counts(spark, list(PG_TABLES), loader)
+
+
+SEARCH_QUERY, SEARCH_PAGE = " A ", 2
+
+
+@register("table_search")
+def q_table_search(spark, sf_dir):
+    return profile.table_search(q_table_stats(spark, sf_dir), SEARCH_QUERY, SEARCH_PAGE)
+
+
+@register("table_recent_rows")
+def q_table_recent_rows(spark, sf_dir):
+    return profile.table_recent_rows(_v(spark, sf_dir, "treatments"), key="treatment_id", n=20)
+
+
+# ---- wearable side -----------------------------------------------------------
+@register("vitals_aggregate")
+def q_vitals_aggregate(spark, sf_dir):
+    v, d = _v(spark, sf_dir, "user_vital_measurement", "user_daily_wellness")
+    return vitals.vitals_aggregate(v, d, WEAR_AS_OF_TS)
+
+
+@register("pending_sync")
+def q_pending_sync(spark, sf_dir):
+    return vitals.pending_sync(_v(spark, sf_dir, "user_vital_measurement"))
+
+
+@register("recent_vitals")
+def q_recent_vitals(spark, sf_dir):
+    return vitals.recent_vitals(_v(spark, sf_dir, "user_vital_measurement"), 12)
+
+
+@register("recent_events")
+def q_recent_events(spark, sf_dir):
+    return vitals.recent_events(_v(spark, sf_dir, "patient_clinical_event"), 15)
+
+
+@register("recent_wellness")
+def q_recent_wellness(spark, sf_dir):
+    return vitals.recent_wellness(_v(spark, sf_dir, "user_daily_wellness"), 10)
+
+
+@register("clinical_by_category")
+def q_clinical_by_category(spark, sf_dir):
+    return vitals.clinical_by_category(_v(spark, sf_dir, "patient_clinical_event"))
+
+
+@register("etl_state")
+def q_etl_state(spark, sf_dir):
+    return vitals.etl_state(_v(spark, sf_dir, "etl_runtime_state"))
+
+
+@register("latest_vitals")
+def q_latest_vitals(spark, sf_dir):
+    return vitals.latest_vitals(_v(spark, sf_dir, "user_vital_measurement"))
+
+
+@register("hourly_hr_sliding")
+def q_hourly_hr_sliding(spark, sf_dir):
+    return vitals.hourly_hr_sliding(_v(spark, sf_dir, "user_vital_measurement"))
+
+
+@register("vitals_long")
+def q_vitals_long(spark, sf_dir):
+    return vitals.vitals_long(_v(spark, sf_dir, "user_vital_measurement"))
+
+
+# ---- patient -----------------------------------------------------------------
+def lookup_requests(spark, sf_dir):
+    """Identifier lookups derived from the customer table (one per patient):
+    valid ids, app ids, emails, padded phone numbers and unparsable ids."""
+    from clinops.sources.tables import raw
+    return raw(spark, sf_dir, "customer").selectExpr(
+        "CASE c_custkey % 5 WHEN 0 THEN 'patient_no' WHEN 1 THEN 'app_user_id' WHEN 2 THEN 'email' "
+        "WHEN 3 THEN 'tel' ELSE 'patient_no' END AS by",
+        "CASE c_custkey % 5 WHEN 0 THEN CAST(c_custkey AS STRING) "
+        "WHEN 1 THEN concat('U', CAST(c_custkey AS STRING)) "
+        "WHEN 2 THEN CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 45 = 0 THEN '@clinic.example' "
+        "ELSE concat(lower(c_mktsegment), CAST(c_custkey AS STRING), '@clinic.example') END "
+        "WHEN 3 THEN concat(' ', '010-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'), '-', "
+        "lpad(CAST((c_custkey * 31) % 10000 AS STRING), 4, '0'), ' ') "
+        "ELSE concat('x', CAST(c_custkey AS STRING)) END AS value")
+
+
+@register("resolve_patient")
+def q_resolve_patient(spark, sf_dir):
+    p, pr = _v(spark, sf_dir, "Patient", "user_app_profile")
+    return patient.resolve_patient(lookup_requests(spark, sf_dir), p, pr)
+
+
+@register("patient_card")
+def q_patient_card(spark, sf_dir):
+    p, pr = _v(spark, sf_dir, "Patient", "user_app_profile")
+    return patient.patient_card(p, pr)
+
+
+@register("patient_360")
+def q_patient_360(spark, sf_dir):
+    p, pr, dis, ev, vt, dw = _v(spark, sf_dir, "Patient", "user_app_profile", "disability",
+                                "patient_clinical_event", "user_vital_measurement", "user_daily_wellness")
+    return patient.patient_360(p, pr, dis, ev, vt, dw, WEAR_AS_OF_TS).drop("events_by_category")
+
+
+@register("patient_events")
+def q_patient_events(spark, sf_dir):
+    return patient.patient_events(_v(spark, sf_dir, "patient_clinical_event"))
+
+
+# ---- upsert family / sync ----------------------------------------------------
+def ops_patient_target(spark, sf_dir):
+    """Operations-side patient copy: an older, partial state of the master."""
+    p = _v(spark, sf_dir, "Patient")
+    return (p.where(F.col("patient_no") % 3 != 2)
+            .withColumn("patient_name", F.lower("patient_name"))
+            .withColumn("patient_address", F.lit("OLD"))
+            .withColumn("patient_tel", F.lit("000-0000-0000"))
+            .withColumn("last_modified_date", F.col("created_date")))
+
+
+@register("upsert_patients")
+def q_upsert_patients(spark, sf_dir):
+    src = _v(spark, sf_dir, "Patient").where(F.col("patient_no") % 5 != 4)
+    return sync.upsert_patients(ops_patient_target(spark, sf_dir), src).withColumnRenamed("__action", "action")
+
+
+@register("upsert_profiles")
+def q_upsert_profiles(spark, sf_dir):
+    pr = _v(spark, sf_dir, "user_app_profile")
+    tgt = (pr.where(F.col("patient_no") % 4 == 0).withColumn("blood_type", F.lit("UNKNOWN"))
+           .withColumn("app_user_id", F.lit("OLD")).withColumn("intt_cd", F.lit("MYSQL")))
+    return sync.upsert_profiles(tgt, pr).withColumnRenamed("__action", "action")
+
+
+@register("insert_if_absent")
+def q_insert_if_absent(spark, sf_dir):
+    t = _v(spark, sf_dir, "treatments").select("treatment_id", "patient_no", "treatment_type", "intt_cd")
+    return upsert.insert_if_absent(t.where(F.col("treatment_id") % 2 == 0),
+                                   t.where(F.col("treatment_id") % 3 == 0), ["treatment_id"])
+
+
+@register("delete_where")
+def q_delete_where(spark, sf_dir):
+    t = _v(spark, sf_dir, "treatments").select("treatment_id", "treatment_status", "intt_cd")
+    return upsert.delete_where(t, (F.col("treatment_status") == "CANCELLED") & (F.col("intt_cd") == "HQ"))
+
+
+@register("append_rows")
+def q_append_rows(spark, sf_dir):
+    t = _v(spark, sf_dir, "treatments")
+    old = t.where(F.col("treatment_date") < F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")).select(
+        "treatment_id", "patient_no", "treatment_date", "treatment_comment")
+    new = t.where(F.col("treatment_date") >= F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")).select(
+        "treatment_id", "patient_no", "treatment_date")
+    return upsert.append_rows(old, new)
+
+
+@register("evolve_schema")
+def q_evolve_schema(spark, sf_dir):
+    p = _v(spark, sf_dir, "Patient").select("patient_no", "patient_gender", "intt_cd")
+    old = p.where(F.col("patient_no") % 10 != 0)
+    new = upsert.add_columns_if_absent(p.where(F.col("patient_no") % 10 == 0), {"patient_hypass_YN": "string"})
+    new = new.withColumn("patient_hypass_YN", F.when(F.col("patient_no") % 20 == 0, "Y").otherwise("N"))
+    return upsert.evolve_schema(old, new)
+
+
+@register("assign_keys")
+def q_assign_keys(spark, sf_dir):
+    p, t = _v(spark, sf_dir, "Patient", "treatments")
+    batch = p.where(F.col("patient_no") % 7 == 0).select("patient_no", "patient_name")
+    return upsert.assign_keys(batch, ["patient_no"], "treatment_id",
+                              existing_max=t.agg(F.max("treatment_id")))
+
+
+def ops_vital_target(spark, sf_dir):
+    v = _v(spark, sf_dir, "user_vital_measurement")
+    part = v.where((F.col("vital_id") % 6 == 1) | (F.col("vital_id") % 9 == 0))
+    return sync.vital_copy_rows(part, WEAR_AS_OF_TS)
+
+
+def _vitals_run(spark, sf_dir):
+    return sync.sync_vitals(_v(spark, sf_dir, "user_vital_measurement"), ops_vital_target(spark, sf_dir),
+                            WEAR_AS_OF_TS)
+
+
+@register("sync_vitals")
+def q_sync_vitals(spark, sf_dir):
+    return _vitals_run(spark, sf_dir)["inserted"]
+
+
+@register("mark_synced")
+def q_mark_synced(spark, sf_dir):
+    return _vitals_run(spark, sf_dir)["marked"].select("vital_id", "synced_to_mysql_at")
+
+
+def ops_daily_target(spark, sf_dir):
+    d = _v(spark, sf_dir, "user_daily_wellness")
+    part = d.where(F.col("patient_no") % 3 == 0).withColumn("step_count", F.col("step_count") - 1)
+    return sync.daily_copy_rows(part, WEAR_AS_OF_TS)
+
+
+@register("sync_daily")
+def q_sync_daily(spark, sf_dir):
+    return sync.sync_daily(_v(spark, sf_dir, "user_daily_wellness"), ops_daily_target(spark, sf_dir),
+                           WEAR_AS_OF_TS).withColumnRenamed("__action", "action")
+
+
+def _treat_run(spark, sf_dir):
+    t, e = _v(spark, sf_dir, "treatments", "patient_clinical_event")
+    return sync.sync_treatments(t, e, WEAR_AS_OF_TS)
+
+
+@register("sync_treatments")
+def q_sync_treatments(spark, sf_dir):
+    return _treat_run(spark, sf_dir)["inserted"]
+
+
+@register("sync_stats")
+def q_sync_stats(spark, sf_dir):
+    vr, tr = _vitals_run(spark, sf_dir), _treat_run(spark, sf_dir)
+    daily = q_sync_daily(spark, sf_dir).withColumnRenamed("action", "__action")
+    pats = q_upsert_patients(spark, sf_dir).withColumnRenamed("action", "__action")
+    return sync.sync_stats(vr["outcomes"], tr["outcomes"], daily, pats)
+
+
+@register("sync_quarantine")
+def q_sync_quarantine(spark, sf_dir):
+    v = _v(spark, sf_dir, "user_vital_measurement")
+    batch = sync.vital_copy_rows(sync.pending(v, "synced_to_mysql_at", ["vital_id"]), WEAR_AS_OF_TS)
+    return sync.quarantine(batch)[1].select("vital_id", "patient_no", "reason")
+
+
+@register("daily_wellness_rollup")
+def q_daily_wellness_rollup(spark, sf_dir):
+    from clinops.sources.tables import daily_wellness_view
+    inc = _v(spark, sf_dir, "wellness_increment")
+    stored = daily_wellness_view(inc.where(F.col("event_id") % 2 == 0))
+    return sync.daily_wellness_rollup(stored, inc.where(F.col("event_id") % 2 == 1), WEAR_AS_OF_TS)
+
+
+def _encounters(spark, sf_dir):
+    p = _v(spark, sf_dir, "Patient")
+    return p.select("patient_no", F.when(F.col("patient_no") % 10 < 7, "COMPLETED")
+                    .otherwise("CANCELLED").alias("status"))
+
+
+@register("encounter_fanout")
+def q_encounter_fanout(spark, sf_dir):
+    t, d = _v(spark, sf_dir, "treatments", "department")
+    return sync.encounter_fanout(_encounters(spark, sf_dir), WEAR_AS_OF_TS,
+                                 key_base=t.agg(F.max("treatment_id")), department=d)
+
+
+@register("encounter_counts")
+def q_encounter_counts(spark, sf_dir):
+    return sync.encounter_counts(_encounters(spark, sf_dir))
+
+
+# ---- ledger ----------------------------------------------------------------
+@register("ledger_state")
+def q_ledger_state(spark, sf_dir):
+    return ledger.ledger_state(ledger.transitions(_v(spark, sf_dir, "batch_job_log")))
+
+
+@register("ledger_backoff")
+def q_ledger_backoff(spark, sf_dir):
+    return ledger.ledger_backoff(_v(spark, sf_dir, "batch_job_log"))
+
+
+@register("ledger_due_retries")
+def q_ledger_due_retries(spark, sf_dir):
+    return ledger.ledger_due_retries(_v(spark, sf_dir, "batch_job_log"), WEAR_AS_OF_TS, limit=10)
+
+
+@register("ledger_recent")
+def q_ledger_recent(spark, sf_dir):
+    return ledger.ledger_recent(_v(spark, sf_dir, "batch_job_log"), limit=50, status="failed")
+
+
+@register("ledger_retry_plan")
+def q_ledger_retry_plan(spark, sf_dir):
+    return ledger.ledger_retry_plan(_v(spark, sf_dir, "batch_job_log"), WEAR_AS_OF_TS, limit=10)
+
+
+@register("ledger_payload_json")
+def q_ledger_payload_json(spark, sf_dir):
+    return ledger.ledger_payload_fields(_v(spark, sf_dir, "batch_job_log")).drop("extra")
