@@ -134,3 +134,671 @@ _reg("kpi_growth", duck_with("treatments") + f"""
 SELECT r30, p30, growth_pct, CASE WHEN growth_pct >= 0 THEN 'up' ELSE 'down' END AS direction,
        abs(growth_pct) AS magnitude FROM g
 """)
+
+
+# ---------------------------------------------------------------------------
+# SQL mirrors of the column functions (DuckDB dialect)
+# ---------------------------------------------------------------------------
+from clinops.functions.labels import (  # noqa: E402
+    CATEGORY_LABELS, STATUS_LABELS, VALUE_LABELS,
+)
+from clinops.operators import ledger as _ledger  # noqa: E402
+from clinops.sources.tables import OPS_TABLES, PG_TABLES, VIEWS, duck_view_sql, view_as_of  # noqa: E402
+
+FMT_TS = "'%Y년 %-m월 %-d일 %H:%M'"
+FMT_D = "'%Y년 %-m월 %-d일'"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def s_strip(x):
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def s_name(x):
+    v = s_strip(x)
+    return (f"(CASE WHEN {v} = '' THEN {x} WHEN length({v}) = 1 THEN {v} || '*' "
+            f"ELSE substr({v}, 1, 1) || repeat('*', CAST(length({v}) - 1 AS INTEGER)) END)")
+
+
+def s_rrn(x):
+    v = s_strip(x)
+    return (f"(CASE WHEN {v} = '' THEN {x} WHEN length({v}) >= 8 THEN substr({v}, 1, 8) || '******' "
+            f"ELSE substr({v}, 1, 1) || '******' END)")
+
+
+def s_text(x):
+    v = s_strip(x)
+    return (f"(CASE WHEN {v} = '' THEN {x} WHEN length({v}) <= 2 THEN substr({v}, 1, 1) || '*' "
+            f"ELSE substr({v}, 1, 2) || repeat('*', CAST(length({v}) - 2 AS INTEGER)) END)")
+
+
+def s_email(x):
+    v = s_strip(x)
+    local, dom = f"split_part({v}, '@', 1)", f"substr({v}, instr({v}, '@') + 1)"
+    return (f"(CASE WHEN instr({v}, '@') = 0 THEN {s_name(v)} WHEN {local} = '' THEN '***@' || {dom} "
+            f"ELSE substr({local}, 1, 1) || '***@' || {dom} END)")
+
+
+def s_phone(x):
+    v = s_strip(x)
+    return (f"(CASE WHEN length({v}) <= 4 THEN repeat('*', CAST(length({v}) AS INTEGER)) "
+            f"ELSE substr({v}, 1, 3) || '****' || right({v}, 4) END)")
+
+
+def s_address(x):
+    return f"(CASE WHEN {x} = '' THEN {x} ELSE substr({x}, 1, 2) || '***' END)"
+
+
+def s_id(x):
+    s = f"CAST({x} AS VARCHAR)"
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN length({s}) >= 2 THEN '***' || right({s}, 2) ELSE '***' END)"
+
+
+def s_numid(x):
+    s = s_strip(f"CAST({x} AS VARCHAR)")
+    return f"(CASE WHEN {s} IS NULL OR {s} = '' THEN NULL WHEN length({s}) >= 2 THEN '***' || right({s}, 2) ELSE '***' END)"
+
+
+def s_wtext(x):
+    return f"(CASE WHEN {x} != '' THEN {s_text(x)} ELSE {x} END)"
+
+
+def s_sha(x):
+    return f"sha256(CAST({x} AS VARCHAR))"
+
+
+def s_case(expr, mapping: dict) -> str:
+    whens = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in mapping.items())
+    return f"(CASE {expr} {whens} END)"
+
+
+def s_status(x):
+    s = s_strip(f"CAST({x} AS VARCHAR)")
+    return f"(CASE WHEN {s} IS NULL OR {s} = '' THEN NULL ELSE coalesce({s_case(f'upper({s})', STATUS_LABELS)}, {s}) END)"
+
+
+def s_category(x):
+    s = s_strip(f"coalesce(CAST({x} AS VARCHAR), '')")
+    return f"(CASE WHEN {s} = '' THEN '기타' ELSE coalesce({s_case(f'upper({s})', CATEGORY_LABELS)}, {s}) END)"
+
+
+def s_translate(x, col):
+    s = f"CAST({x} AS VARCHAR)"
+    empty = "'본원'" if col == "intt_cd" else "'없음'"
+    return (f"(CASE WHEN {s} IS NULL OR {s} = '' THEN {empty} ELSE coalesce("
+            f"{s_case(f'upper({s})', VALUE_LABELS)}, {s_case(s, VALUE_LABELS)}, {s}) END)")
+
+
+def s_fmt_ts(x):
+    return f"strftime({x}, {FMT_TS})"
+
+
+def s_fmt_d(x):
+    return f"strftime({x}, {FMT_D})"
+
+
+def s_dec_display(x):
+    return (f"(CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS DECIMAL(38,0)) AS VARCHAR) "
+            f"ELSE CAST(CAST({x} AS DOUBLE) AS VARCHAR) END)")
+
+
+def s_or_default(x, d):
+    return f"coalesce(CASE WHEN CAST({x} AS VARCHAR) != '' THEN {x} END, {d})"
+
+
+# ---- masking / labels / display -------------------------------------------
+_reg("mask_customers", duck_with("Patient") + f"""
+SELECT {s_id('patient_no')} AS patient_no, {s_name('patient_name')} AS patient_name, patient_gender,
+       patient_foreign, created_date, intt_cd,
+       {s_sha('patient_no')} AS patient_no_sha256, {s_sha('patient_name')} AS patient_name_sha256
+FROM "Patient"
+""")
+
+_reg("mask_contact", duck_with("Patient") + f"""
+SELECT {s_id('patient_no')} AS patient_no, {s_rrn('patient_rrn')} AS patient_rrn,
+       {s_email('patient_email')} AS patient_email, {s_phone('patient_tel')} AS patient_tel,
+       {s_address('patient_address')} AS patient_address,
+       CASE WHEN patient_passport IS NOT NULL THEN '********' END AS patient_passport,
+       patient_birth, CASE WHEN patient_birth IS NOT NULL THEN '****-**-**' END AS patient_birth_text,
+       {s_sha('patient_no')} AS patient_no_sha256, {s_sha('patient_rrn')} AS patient_rrn_sha256,
+       {s_sha('patient_email')} AS patient_email_sha256, {s_sha('patient_tel')} AS patient_tel_sha256,
+       {s_sha('patient_address')} AS patient_address_sha256, {s_sha('patient_passport')} AS patient_passport_sha256
+FROM "Patient"
+""")
+
+_reg("mask_ids", duck_with("treatments") + f"""
+SELECT treatment_id, {s_id('patient_no')} AS patient_no, {s_id('treatment_doc')} AS treatment_doc, department_id,
+       {s_sha('patient_no')} AS patient_no_sha256, {s_sha('treatment_doc')} AS treatment_doc_sha256
+FROM treatments
+""")
+
+_reg("mask_text_columns", duck_with("treatments") + f"""
+, t AS (SELECT treatment_id, treatment_comment, 'C-' || CAST(treatment_id AS VARCHAR) AS certificate_number,
+               treatment_dept AS prescription_memo, treatment_type AS clinical_findings FROM treatments)
+SELECT treatment_id, {s_text('treatment_comment')} AS treatment_comment,
+       {s_text('certificate_number')} AS certificate_number, {s_text('prescription_memo')} AS prescription_memo,
+       {s_text('clinical_findings')} AS clinical_findings,
+       {s_sha('treatment_comment')} AS treatment_comment_sha256, {s_sha('certificate_number')} AS certificate_number_sha256,
+       {s_sha('prescription_memo')} AS prescription_memo_sha256, {s_sha('clinical_findings')} AS clinical_findings_sha256
+FROM t
+""")
+
+_reg("mask_events", duck_with("patient_clinical_event") + f"""
+SELECT {s_numid('clinical_event_id')} AS clinical_event_id, {s_id('patient_no')} AS patient_no, category, occurred_on,
+       {s_wtext('department')} AS department, {s_wtext('title')} AS title, summary, status, institution_name,
+       {s_numid('source_mysql_treatment_id')} AS source_mysql_treatment_id, created_date, intt_cd,
+       {s_sha('patient_no')} AS patient_no_sha256
+FROM patient_clinical_event
+""")
+
+_reg("label_codes", duck_with("patient_clinical_event") + f"""
+SELECT clinical_event_id, category, {s_category('category')} AS category_kr, status, {s_status('status')} AS status_kr
+FROM patient_clinical_event
+""")
+
+_reg("translate_values", duck_with("treatments") + f"""
+SELECT treatment_id, {s_translate('treatment_status', 'treatment_status')} AS treatment_status,
+       {s_translate('treatment_type', 'treatment_type')} AS treatment_type, {s_translate('intt_cd', 'intt_cd')} AS intt_cd
+FROM treatments
+""")
+
+_reg("format_datetimes", f"""
+SELECT event_id, {s_fmt_ts('ts')} AS ts_kr, {s_fmt_d('CAST(ts AS DATE)')} AS d_kr,
+       CASE WHEN event_id % 5 = 0 THEN 'Tx-' || event_type
+            ELSE {s_fmt_ts("CASE WHEN event_id % 3 = 1 THEN ts + INTERVAL 9 HOUR ELSE ts END")} END AS iso_kr
+FROM events
+""")
+
+_reg("format_cells", duck_with("examination") + f"""
+SELECT examination_id, examination_name, {s_dec_display('examination_price')} AS examination_price,
+       {s_fmt_ts('created_date')} AS created_date
+FROM examination
+""")
+
+# ---- table profiles ----------------------------------------------------------
+_OPS_BOUND = [n for n, _ in OPS_TABLES if n in VIEWS]
+_OPS_ORD = {n: i + 1 for i, (n, _) in enumerate(OPS_TABLES)}
+_OPS_CAP = dict(OPS_TABLES)
+
+
+def _stats_sql():
+    parts = []
+    for n in _OPS_BOUND:
+        day = view_as_of(n).date()
+        parts.append(
+            f"SELECT {_OPS_ORD[n]} AS ordinal, {_q(n)} AS table_name, {_q(_OPS_CAP[n])} AS table_name_kr, "
+            f"count(*) AS total_count, count(*) FILTER (WHERE created_date >= {_ts(day)}) AS today_count, "
+            f"{s_fmt_ts('max(created_date)')} AS last_created_at FROM ({duck_view_sql(n)})")
+    return "\nUNION ALL\n".join(parts)
+
+
+_reg("table_stats", _stats_sql())
+
+
+def _trend_sql():
+    parts = []
+    for n in _OPS_BOUND:
+        lo = view_as_of(n).date() - _dt.timedelta(days=13)
+        parts.append(
+            f"SELECT {_q(n)} AS table_name, strftime(created_date, '%Y-%m-%d') AS day, count(*) AS count "
+            f"FROM ({duck_view_sql(n)}) WHERE created_date >= {_ts(lo)} GROUP BY 2")
+    return "\nUNION ALL\n".join(parts)
+
+
+_reg("table_daily_trend", _trend_sql())
+
+
+def _counts_sql():
+    parts = []
+    for i, (n, cap) in enumerate(PG_TABLES):
+        if n in VIEWS or n == "user_daily_wellness":
+            cnt = f"(SELECT count(*) FROM ({duck_view_sql(n)}))"
+        else:
+            cnt = "CAST(-1 AS BIGINT)"
+        parts.append(f"SELECT {i + 1} AS ordinal, {_q(n)} AS table_key, {_q(cap)} AS label_kr, {_q(n)} AS sql_name, "
+                     f"{cnt} AS total_count, greatest(CAST(0 AS BIGINT), {cnt}) AS chart_count")
+    return "\nUNION ALL\n".join(parts)
+
+
+_reg("table_counts", _counts_sql())
+
+_reg("table_search", f"""
+WITH stats AS ({_stats_sql()})
+, hits AS (SELECT * FROM stats WHERE contains(lower(table_name), 'a') OR contains(lower(table_name_kr), 'a'))
+, num AS (SELECT *, CAST(row_number() OVER (ORDER BY ordinal) AS INTEGER) AS pos, count(*) OVER () AS n FROM hits)
+, pg AS (SELECT *, CAST(greatest(1, ceil(n / 5.0)) AS INTEGER) AS total_pages FROM num)
+, cur AS (SELECT *, CAST(least(greatest(2, 1), total_pages) AS INTEGER) AS page FROM pg)
+SELECT ordinal, table_name, table_name_kr, total_count, today_count, last_created_at, pos, total_pages, page
+FROM cur WHERE pos > (page - 1) * 5 AND pos <= page * 5
+""")
+
+_reg("table_recent_rows", duck_with("treatments") + f"""
+, top AS (SELECT * FROM treatments ORDER BY created_date DESC NULLS LAST, treatment_id DESC LIMIT 20)
+SELECT treatment_id, checkIn_id, {s_id('patient_no')} AS patient_no, {s_id('treatment_doc')} AS treatment_doc,
+       department_id, treatment_type, treatment_status, {s_fmt_ts('treatment_date')} AS treatment_date,
+       {s_text('treatment_comment')} AS treatment_comment, treatment_dept, {s_fmt_ts('created_date')} AS created_date,
+       {s_fmt_ts('last_modified_date')} AS last_modified_date, intt_cd,
+       {s_fmt_ts('synced_to_postgres_at')} AS synced_to_postgres_at,
+       {s_sha('patient_no')} AS patient_no_sha256, {s_sha('treatment_doc')} AS treatment_doc_sha256,
+       {s_sha('treatment_comment')} AS treatment_comment_sha256
+FROM top
+""")
+
+# ---- wearable side -----------------------------------------------------------
+_W24 = W - _dt.timedelta(hours=24)
+_reg("vitals_aggregate", duck_with("user_vital_measurement", "user_daily_wellness") + f"""
+SELECT count(*) AS total_vitals,
+       count(*) FILTER (WHERE CAST(measured_at AS DATE) = {_d(W)}) AS today_vitals,
+       count(*) FILTER (WHERE synced_to_mysql_at IS NULL) AS pending_mysql_sync,
+       round_even(avg(CASE WHEN measured_at >= {_ts(_W24)} AND heart_rate_bpm IS NOT NULL THEN heart_rate_bpm END), 1)
+         AS avg_heart_rate_24h,
+       (SELECT count(*) FROM user_daily_wellness WHERE synced_to_mysql_at IS NULL) AS pending_daily_mysql_sync
+FROM user_vital_measurement
+""")
+
+_reg("pending_sync", duck_with("user_vital_measurement") + """
+SELECT vital_id, patient_no, measured_at, created_date, intt_cd FROM user_vital_measurement
+WHERE synced_to_mysql_at IS NULL
+""")
+
+_reg("recent_vitals", duck_with("user_vital_measurement") + f"""
+, top AS (SELECT * FROM user_vital_measurement ORDER BY measured_at DESC, vital_id DESC LIMIT 12)
+SELECT {s_numid('vital_id')} AS vital_id, {s_id('patient_no')} AS patient_no, {s_fmt_ts('measured_at')} AS measured_at,
+       heart_rate_bpm, blood_pressure_systolic, blood_pressure_diastolic,
+       CAST(body_temp_c AS DOUBLE) AS body_temp_c, CAST(stress_score AS DOUBLE) AS stress_score, source_channel,
+       synced_to_mysql_at IS NOT NULL AS synced_mysql, {s_sha('patient_no')} AS patient_no_sha256
+FROM top
+""")
+
+_reg("recent_events", duck_with("patient_clinical_event") + f"""
+, top AS (SELECT * FROM patient_clinical_event ORDER BY occurred_on DESC, clinical_event_id DESC LIMIT 15)
+SELECT {s_numid('clinical_event_id')} AS clinical_event_id, {s_id('patient_no')} AS patient_no, category,
+       {s_fmt_d('occurred_on')} AS occurred_on, {s_wtext('department')} AS department, {s_wtext('title')} AS title,
+       status, {s_numid('source_mysql_treatment_id')} AS source_mysql_treatment_id,
+       {s_category('category')} AS category_kr, {s_status('status')} AS status_kr,
+       bool_or(source_mysql_treatment_id IS NOT NULL) OVER () AS include_mysql_treatment_id_column,
+       {s_sha('patient_no')} AS patient_no_sha256
+FROM top
+""")
+
+_reg("recent_wellness", duck_with("user_daily_wellness") + f"""
+, top AS (SELECT * FROM user_daily_wellness ORDER BY summary_date DESC, patient_no ASC LIMIT 10)
+SELECT {s_id('patient_no')} AS patient_no, {s_fmt_d('summary_date')} AS summary_date, step_count, step_goal,
+       CAST(sleep_hours AS DOUBLE) AS sleep_hours, CAST(stress_level AS DOUBLE) AS stress_level,
+       synced_to_mysql_at IS NOT NULL AS synced_mysql, {s_sha('patient_no')} AS patient_no_sha256
+FROM top
+""")
+
+_reg("clinical_by_category", duck_with("patient_clinical_event") + f"""
+SELECT coalesce(category, 'None') AS category, {s_category("coalesce(category, 'None')")} AS label_kr, count(*) AS count
+FROM patient_clinical_event GROUP BY category
+""")
+
+_reg("etl_state", duck_with("etl_runtime_state") + f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY job_code ORDER BY updated_at DESC, cursor_value DESC) AS rn
+        FROM etl_runtime_state)
+SELECT job_code, cursor_value, {s_fmt_ts('updated_at')} AS updated_at FROM r WHERE rn = 1
+""")
+
+_reg("latest_vitals", duck_with("user_vital_measurement") + f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY patient_no ORDER BY measured_at DESC, vital_id DESC) AS rn
+        FROM user_vital_measurement)
+SELECT patient_no, vital_id, {s_fmt_ts('measured_at')} AS measured_at, heart_rate_bpm, blood_pressure_systolic,
+       blood_pressure_diastolic, CAST(body_temp_c AS DOUBLE) AS body_temp_c, CAST(stress_score AS DOUBLE) AS stress_score,
+       source_channel
+FROM r WHERE rn = 1
+""")
+
+_reg("hourly_hr_sliding", duck_with("user_vital_measurement") + """
+, h AS (SELECT date_diff('day', DATE '2000-01-01', CAST(measured_at AS DATE)) * 24 + hour(measured_at) AS hour_idx,
+               sum(heart_rate_bpm) AS s, count(heart_rate_bpm) AS n
+        FROM user_vital_measurement WHERE heart_rate_bpm IS NOT NULL GROUP BY 1)
+SELECT hour_idx,
+       CAST(sum(n) OVER w AS BIGINT) AS n_readings,
+       round_even(CAST(sum(s) OVER w AS DOUBLE) / CAST(sum(n) OVER w AS DOUBLE), 1) AS avg_hr_24h
+FROM h WINDOW w AS (ORDER BY hour_idx RANGE BETWEEN 23 PRECEDING AND CURRENT ROW)
+""")
+
+_reg("vitals_long", duck_with("user_vital_measurement") + "\nSELECT * FROM (\n" + "\nUNION ALL\n".join(
+    f"SELECT vital_id, patient_no, measured_at, {_q(m)} AS metric_type, CAST({m} AS DOUBLE) AS value, {_q(u)} AS unit "
+    f"FROM user_vital_measurement WHERE {m} IS NOT NULL"
+    for m, u in {"heart_rate_bpm": "bpm", "blood_pressure_systolic": "mmHg", "blood_pressure_diastolic": "mmHg",
+                 "body_temp_c": "°C", "stress_score": "score"}.items()) + ")\n")
+
+# ---- patient -----------------------------------------------------------------
+_REQUESTS = """
+SELECT CASE c_custkey % 5 WHEN 0 THEN 'patient_no' WHEN 1 THEN 'app_user_id' WHEN 2 THEN 'email'
+            WHEN 3 THEN 'tel' ELSE 'patient_no' END AS "by",
+       CASE c_custkey % 5 WHEN 0 THEN CAST(c_custkey AS VARCHAR)
+            WHEN 1 THEN 'U' || CAST(c_custkey AS VARCHAR)
+            WHEN 2 THEN CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 45 = 0 THEN '@clinic.example'
+                             ELSE lower(c_mktsegment) || CAST(c_custkey AS VARCHAR) || '@clinic.example' END
+            WHEN 3 THEN ' ' || '010-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || '-' ||
+                        lpad(CAST((c_custkey * 31) % 10000 AS VARCHAR), 4, '0') || ' '
+            ELSE 'x' || CAST(c_custkey AS VARCHAR) END AS value
+FROM customer
+"""
+_reg("resolve_patient", duck_with("Patient", "user_app_profile") + f"""
+, req AS ({_REQUESTS})
+, lk AS (SELECT "by", key, min(patient_no) AS patient_no FROM (
+           SELECT 'patient_no' AS "by", CAST(patient_no AS VARCHAR) AS key, patient_no FROM "Patient"
+           UNION ALL SELECT 'app_user_id', app_user_id, patient_no FROM user_app_profile
+           UNION ALL SELECT 'email', patient_email, patient_no FROM "Patient"
+           UNION ALL SELECT 'tel', patient_tel, patient_no FROM "Patient") WHERE key IS NOT NULL GROUP BY 1, 2)
+, rk AS (SELECT "by", value, CASE WHEN {s_strip('value')} IS NULL OR {s_strip('value')} = '' THEN NULL
+                          WHEN "by" = 'patient_no' THEN CAST(TRY_CAST({s_strip('value')} AS BIGINT) AS VARCHAR)
+                          WHEN "by" IN ('app_user_id', 'email', 'tel') THEN {s_strip('value')} END AS key FROM req)
+SELECT rk."by", rk.value, lk.patient_no FROM rk LEFT JOIN lk ON lk."by" = rk."by" AND lk.key = rk.key
+""")
+
+_reg("patient_card", duck_with("Patient", "user_app_profile") + f"""
+SELECT {s_id('p.patient_no')} AS patient_no, {s_name('p.patient_name')} AS patient_name,
+       {s_rrn('p.patient_rrn')} AS patient_rrn, p.patient_gender, {s_fmt_d('p.patient_birth')} AS patient_birth,
+       {s_address('p.patient_address')} AS patient_address, {s_email('p.patient_email')} AS patient_email,
+       {s_phone('p.patient_tel')} AS patient_tel, p.patient_foreign,
+       CASE WHEN p.patient_passport IS NOT NULL THEN '********' END AS patient_passport,
+       {s_fmt_ts('p.created_date')} AS created_date, {s_fmt_ts('p.last_modified_date')} AS last_modified_date,
+       p.intt_cd,
+       {s_id('pr.patient_no')} AS profile_patient_no, pr.app_user_id AS profile_app_user_id,
+       pr.blood_type AS profile_blood_type, {s_dec_display('pr.height_cm')} AS profile_height_cm,
+       {s_dec_display('pr.weight_kg')} AS profile_weight_kg, {s_fmt_ts('pr.created_date')} AS profile_created_date,
+       {s_fmt_ts('pr.last_modified_date')} AS profile_last_modified_date, pr.intt_cd AS profile_intt_cd
+FROM "Patient" p LEFT JOIN user_app_profile pr ON pr.patient_no = p.patient_no
+""")
+
+_reg("patient_360", duck_with("Patient", "user_app_profile", "disability", "patient_clinical_event",
+                              "user_vital_measurement", "user_daily_wellness") + f"""
+, ev AS (SELECT patient_no, count(*) AS n_events, count(DISTINCT category) AS n_categories FROM patient_clinical_event
+         GROUP BY 1)
+, ne AS (SELECT patient_no, occurred_on, title,
+                row_number() OVER (PARTITION BY patient_no ORDER BY occurred_on DESC, clinical_event_id DESC) AS rn
+         FROM patient_clinical_event)
+, lv AS (SELECT patient_no, measured_at, heart_rate_bpm,
+                row_number() OVER (PARTITION BY patient_no ORDER BY measured_at DESC, vital_id DESC) AS rn
+         FROM user_vital_measurement)
+, td AS (SELECT patient_no, step_count, sleep_hours, stress_level FROM user_daily_wellness
+         WHERE summary_date = {_d(W)})
+SELECT p.patient_no, p.patient_name, pr.app_user_id, pr.blood_type, CAST(pr.height_cm AS DOUBLE) AS height_cm,
+       CAST(pr.weight_kg AS DOUBLE) AS weight_kg, d.disability_grade, d.disability_type,
+       CAST(coalesce(ev.n_events, 0) AS BIGINT) AS n_events, CAST(coalesce(ev.n_categories, 0) AS BIGINT) AS n_categories,
+       {s_fmt_d('ne.occurred_on')} AS latest_event_on, ne.title AS latest_event_title,
+       {s_fmt_ts('lv.measured_at')} AS latest_measured_at, lv.heart_rate_bpm AS latest_heart_rate_bpm,
+       td.step_count AS today_step_count, CAST(td.sleep_hours AS DOUBLE) AS today_sleep_hours,
+       CAST(td.stress_level AS DOUBLE) AS today_stress_level
+FROM "Patient" p
+LEFT JOIN user_app_profile pr ON pr.patient_no = p.patient_no
+LEFT JOIN disability d ON d.patient_no = p.patient_no
+LEFT JOIN ev ON ev.patient_no = p.patient_no
+LEFT JOIN ne ON ne.patient_no = p.patient_no AND ne.rn = 1
+LEFT JOIN lv ON lv.patient_no = p.patient_no AND lv.rn = 1
+LEFT JOIN td ON td.patient_no = p.patient_no
+""")
+
+_reg("patient_events", duck_with("patient_clinical_event") + f"""
+SELECT patient_no, category, clinical_event_id, occurred_on, {s_fmt_d('occurred_on')} AS occurred_on_kr, department,
+       title, summary, {s_status('status')} AS status, institution_name
+FROM patient_clinical_event
+""")
+
+# ---- upsert family / sync ----------------------------------------------------
+_PT_COLS = ["patient_no", "patient_name", "patient_rrn", "patient_gender", "patient_birth", "patient_address",
+            "patient_email", "patient_tel", "patient_foreign", "patient_passport", "created_date",
+            "last_modified_date", "intt_cd"]
+
+
+def _merge_cols(cols, keys, updates):
+    out = []
+    for c in cols:
+        if c in keys:
+            out.append(f"CASE WHEN t.__t THEN t.{c} ELSE s.{c} END AS {c}")
+        elif c in updates:
+            out.append(f"CASE WHEN s.__s THEN s.{c} ELSE t.{c} END AS {c}")
+        else:
+            out.append(f"CASE WHEN t.__t THEN t.{c} ELSE s.{c} END AS {c}")
+    out.append("CASE WHEN s.__s AND t.__t THEN 'update' WHEN s.__s THEN 'insert' ELSE 'keep' END AS action")
+    return ",\n       ".join(out)
+
+
+def _on(keys):
+    return " AND ".join(f"t.{k} IS NOT DISTINCT FROM s.{k}" for k in keys)
+
+
+_UPSERT_PATIENTS = duck_with("Patient") + f"""
+, tgt AS (SELECT * REPLACE (lower(patient_name) AS patient_name, 'OLD' AS patient_address,
+                            '000-0000-0000' AS patient_tel, created_date AS last_modified_date), TRUE AS __t
+          FROM "Patient" WHERE patient_no % 3 <> 2)
+, src AS (SELECT *, TRUE AS __s FROM "Patient" WHERE patient_no % 5 <> 4)
+, merged AS (
+SELECT {_merge_cols(_PT_COLS, ['patient_no'], ['patient_name', 'patient_gender', 'patient_birth', 'patient_address',
+                                                 'last_modified_date', 'intt_cd'])}
+FROM tgt t FULL OUTER JOIN src s ON {_on(['patient_no'])})
+"""
+_reg("upsert_patients", _UPSERT_PATIENTS + "SELECT * FROM merged")
+
+_PR_COLS = ["patient_no", "app_user_id", "blood_type", "height_cm", "weight_kg", "created_date",
+            "last_modified_date", "intt_cd"]
+_reg("upsert_profiles", duck_with("user_app_profile") + f"""
+, tgt AS (SELECT * REPLACE ('UNKNOWN' AS blood_type, 'OLD' AS app_user_id, 'MYSQL' AS intt_cd), TRUE AS __t
+          FROM user_app_profile WHERE patient_no % 4 = 0)
+, src AS (SELECT *, TRUE AS __s FROM user_app_profile)
+SELECT {_merge_cols(_PR_COLS, ['patient_no'], ['app_user_id', 'blood_type', 'height_cm', 'weight_kg',
+                                                'last_modified_date', 'intt_cd'])}
+FROM tgt t FULL OUTER JOIN src s ON {_on(['patient_no'])}
+""")
+
+_reg("insert_if_absent", duck_with("treatments") + """
+, t AS (SELECT treatment_id, patient_no, treatment_type, intt_cd FROM treatments)
+SELECT * FROM t WHERE treatment_id % 2 = 0
+UNION ALL
+SELECT * FROM t r WHERE treatment_id % 3 = 0
+  AND NOT EXISTS (SELECT 1 FROM t k WHERE k.treatment_id % 2 = 0 AND k.treatment_id IS NOT DISTINCT FROM r.treatment_id)
+""")
+
+_reg("delete_where", duck_with("treatments") + """
+SELECT treatment_id, treatment_status, intt_cd FROM treatments
+WHERE NOT coalesce(treatment_status = 'CANCELLED' AND intt_cd = 'HQ', FALSE)
+""")
+
+_reg("append_rows", duck_with("treatments") + """
+SELECT treatment_id, patient_no, treatment_date, treatment_comment FROM treatments
+WHERE treatment_date < TIMESTAMP '2001-01-01 00:00:00'
+UNION ALL
+SELECT treatment_id, patient_no, treatment_date, CAST(NULL AS VARCHAR) FROM treatments
+WHERE treatment_date >= TIMESTAMP '2001-01-01 00:00:00'
+""")
+
+_reg("evolve_schema", duck_with("Patient") + """
+SELECT patient_no, patient_gender, intt_cd, CAST(NULL AS VARCHAR) AS patient_hypass_YN FROM "Patient"
+WHERE patient_no % 10 <> 0
+UNION ALL
+SELECT patient_no, patient_gender, intt_cd, CASE WHEN patient_no % 20 = 0 THEN 'Y' ELSE 'N' END FROM "Patient"
+WHERE patient_no % 10 = 0
+""")
+
+_reg("assign_keys", duck_with("Patient", "treatments") + """
+SELECT patient_no, patient_name,
+       coalesce((SELECT max(treatment_id) FROM treatments), 10000000) + row_number() OVER (ORDER BY patient_no)
+         AS treatment_id
+FROM "Patient" WHERE patient_no % 7 = 0
+""")
+
+_VCOPY = f"""vital_id, patient_no, measured_at, heart_rate_bpm, blood_pressure_systolic, blood_pressure_diastolic,
+       CAST(body_temp_c AS DOUBLE) AS body_temp_c, CAST(stress_score AS DOUBLE) AS stress_score, source_channel,
+       coalesce(created_date, {_ts(W)}) AS created_date, {s_or_default('intt_cd', "'ETL_SYNC'")} AS intt_cd"""
+_VITALS_RUN = duck_with("user_vital_measurement") + f"""
+, tgt AS (SELECT {_VCOPY} FROM user_vital_measurement WHERE vital_id % 6 = 1 OR vital_id % 9 = 0)
+, batch AS (SELECT {_VCOPY} FROM user_vital_measurement WHERE synced_to_mysql_at IS NULL)
+, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_no, measured_at ORDER BY vital_id) AS rn
+                            FROM batch) WHERE rn = 1)
+, ins AS (SELECT * EXCLUDE (rn) FROM firsts b WHERE NOT EXISTS (
+            SELECT 1 FROM tgt k WHERE k.patient_no IS NOT DISTINCT FROM b.patient_no
+                                  AND k.measured_at IS NOT DISTINCT FROM b.measured_at))
+"""
+_reg("sync_vitals", _VITALS_RUN + "SELECT * FROM ins")
+
+_reg("mark_synced", duck_with("user_vital_measurement") + f"""
+SELECT vital_id, coalesce(synced_to_mysql_at, {_ts(W)}) AS synced_to_mysql_at FROM user_vital_measurement
+""")
+
+_DCOPY = f"""patient_no, summary_date, step_count, step_goal, CAST(sleep_hours AS DOUBLE) AS sleep_hours,
+       CAST(stress_level AS DOUBLE) AS stress_level, coalesce(created_date, {_ts(W)}) AS created_date,
+       coalesce(last_modified_date, {_ts(W)}) AS last_modified_date, {s_or_default('intt_cd', "'ETL_SYNC'")} AS intt_cd"""
+_DAILY_COLS = ["patient_no", "summary_date", "step_count", "step_goal", "sleep_hours", "stress_level",
+               "created_date", "last_modified_date", "intt_cd"]
+_SYNC_DAILY = duck_with("user_daily_wellness") + f"""
+, tgt AS (SELECT {_DCOPY.replace('step_count,', 'step_count - 1 AS step_count,', 1)}, TRUE AS __t
+          FROM user_daily_wellness WHERE patient_no % 3 = 0)
+, src AS (SELECT {_DCOPY}, TRUE AS __s FROM user_daily_wellness WHERE synced_to_mysql_at IS NULL)
+, merged AS (SELECT {_merge_cols(_DAILY_COLS, ['patient_no', 'summary_date'],
+                                 ['step_count', 'step_goal', 'sleep_hours', 'stress_level', 'last_modified_date',
+                                  'intt_cd'])}
+             FROM tgt t FULL OUTER JOIN src s ON {_on(['patient_no', 'summary_date'])})
+"""
+_reg("sync_daily", _SYNC_DAILY + "SELECT * FROM merged")
+
+_TREAT_RUN = duck_with("treatments", "patient_clinical_event") + f"""
+, batch AS (SELECT * FROM treatments WHERE synced_to_postgres_at IS NULL AND patient_no IS NOT NULL)
+, ex AS (SELECT DISTINCT source_mysql_treatment_id AS treatment_id FROM patient_clinical_event
+         WHERE source_mysql_treatment_id IS NOT NULL)
+, tagged AS (SELECT b.*, ex.treatment_id IS NOT NULL AS ex FROM batch b LEFT JOIN ex ON ex.treatment_id = b.treatment_id)
+, ins AS (
+  SELECT patient_no,
+         CASE WHEN treatment_type IN ('OUTPATIENT', 'INPATIENT', 'EMERGENCY') THEN treatment_type ELSE 'OUTPATIENT' END
+           AS category,
+         CAST(treatment_date AS DATE) AS occurred_on, treatment_dept AS department,
+         substr(coalesce(CASE WHEN treatment_dept != '' THEN treatment_dept END, treatment_type, 'None')
+                || ' 진료 #' || CAST(treatment_id AS VARCHAR), 1, 200) AS title,
+         treatment_comment AS summary, treatment_status AS status, CAST(NULL AS VARCHAR) AS institution_name,
+         treatment_id AS source_mysql_treatment_id, {_ts(W)} AS created_date, 'ETL_SYNC' AS intt_cd,
+         coalesce((SELECT max(clinical_event_id) FROM patient_clinical_event), 0)
+           + row_number() OVER (ORDER BY treatment_id) AS clinical_event_id
+  FROM tagged WHERE NOT ex)
+"""
+_reg("sync_treatments", _TREAT_RUN + "SELECT * FROM ins")
+
+_reg("sync_stats", f"""
+WITH v AS ({_VITALS_RUN} SELECT count(*) AS vitals_examined,
+                 (SELECT count(*) FROM ins) AS vitals_copied FROM batch)
+, t AS ({_TREAT_RUN} SELECT count(*) AS examined, count(*) FILTER (WHERE NOT ex) AS inserted,
+                 count(*) FILTER (WHERE ex) AS skipped_existing_pg, count(*) AS marked_mysql FROM tagged)
+, d AS ({_SYNC_DAILY} SELECT count(*) FILTER (WHERE action <> 'keep') AS daily_copied FROM merged)
+, p AS ({_UPSERT_PATIENTS} SELECT count(*) FILTER (WHERE action <> 'keep') AS patients_upserted FROM merged)
+SELECT v.vitals_examined, v.vitals_copied, v.vitals_examined - v.vitals_copied AS vitals_duplicate,
+       t.examined, t.inserted, t.skipped_existing_pg, t.marked_mysql, d.daily_copied, p.patients_upserted
+FROM v, t, d, p
+""")
+
+_reg("sync_quarantine", duck_with("user_vital_measurement") + f"""
+, batch AS (SELECT {_VCOPY} FROM user_vital_measurement WHERE synced_to_mysql_at IS NULL)
+, r AS (SELECT vital_id, patient_no,
+               CASE WHEN patient_no IS NULL THEN 'missing patient_no'
+                    WHEN measured_at IS NULL THEN 'missing measured_at'
+                    WHEN NOT (heart_rate_bpm BETWEEN 20 AND 250) THEN 'heart_rate_bpm out of range'
+                    WHEN NOT (body_temp_c BETWEEN 30 AND 45) THEN 'body_temp_c out of range'
+                    WHEN NOT (stress_score BETWEEN 0 AND 100) THEN 'stress_score out of range' END AS reason
+        FROM batch)
+SELECT * FROM r WHERE reason IS NOT NULL
+""")
+
+_INC = duck_view_sql("wellness_increment")
+_reg("daily_wellness_rollup", f"""
+WITH inc AS ({_INC})
+, stored AS (
+  SELECT patient_no, summary_date, CAST(step_count AS BIGINT) AS step_count, 1000 AS step_goal, sleep_hours,
+         stress_level, CASE WHEN (patient_no + day(summary_date)) % 2 = 0 THEN NULL ELSE last_modified_date END
+           AS synced_to_mysql_at, created_date, last_modified_date, 'APP' AS intt_cd
+  FROM (SELECT patient_no, summary_date, sum(step_delta) AS step_count,
+               arg_max_null(sleep_hours, (measured_at, event_id)) AS sleep_hours,
+               arg_max_null(stress_level, (measured_at, event_id)) AS stress_level,
+               min(measured_at) AS created_date, max(measured_at) AS last_modified_date
+        FROM inc WHERE event_id % 2 = 0 GROUP BY 1, 2))
+, delta AS (
+  SELECT patient_no, summary_date, CAST(sum(step_delta) AS BIGINT) AS step_delta,
+         arg_max_null(sleep_hours, (measured_at, event_id)) AS sleep_hours,
+         arg_max_null(stress_level, (measured_at, event_id)) AS stress_level, max(measured_at) AS last_reading_at
+  FROM inc WHERE event_id % 2 = 1 GROUP BY 1, 2)
+SELECT coalesce(s.patient_no, d.patient_no) AS patient_no, coalesce(s.summary_date, d.summary_date) AS summary_date,
+       CAST(coalesce(s.step_count, 0) + coalesce(d.step_delta, 0) AS BIGINT) AS step_count,
+       coalesce(s.step_goal, 1000) AS step_goal,
+       CASE WHEN d.last_reading_at IS NOT NULL THEN d.sleep_hours ELSE s.sleep_hours END AS sleep_hours,
+       CASE WHEN d.last_reading_at IS NOT NULL THEN d.stress_level ELSE s.stress_level END AS stress_level,
+       CASE WHEN d.last_reading_at IS NOT NULL THEN NULL ELSE s.synced_to_mysql_at END AS synced_to_mysql_at,
+       coalesce(s.created_date, {_ts(W)}) AS created_date,
+       CASE WHEN d.last_reading_at IS NOT NULL THEN {_ts(W)} ELSE s.last_modified_date END AS last_modified_date,
+       CASE WHEN d.last_reading_at IS NOT NULL THEN 'ETL_SYNC' ELSE s.intt_cd END AS intt_cd
+FROM stored s FULL OUTER JOIN delta d ON d.patient_no = s.patient_no AND d.summary_date = s.summary_date
+""")
+
+_SUFFIX = W.strftime("%Y%m%d%H%M%S")
+_ENC = duck_with("Patient", "treatments", "department") + f"""
+, enc AS (SELECT patient_no, CASE WHEN patient_no % 10 < 7 THEN 'COMPLETED' ELSE 'CANCELLED' END AS status
+          FROM "Patient")
+, keyed AS (SELECT *, coalesce((SELECT max(treatment_id) FROM treatments), 10000000)
+                      + row_number() OVER (ORDER BY patient_no) AS k,
+                   (SELECT max(id) FROM department) AS department_id FROM enc)
+"""
+_reg("encounter_fanout", _ENC + f"""
+SELECT patient_no, k AS treatment_id, k AS checkIn_id, department_id, 'check_in' AS record_type, status,
+       'pipeline-{_SUFFIX}' AS comment, {_ts(W)} AS created_date FROM keyed
+UNION ALL
+SELECT patient_no, k, k, department_id, 'treatment', status, 'completion-{_SUFFIX}', {_ts(W)} FROM keyed
+UNION ALL
+SELECT patient_no, k, k, department_id, 'out_treatment', status,
+       CASE WHEN status = 'COMPLETED' THEN NULL ELSE '종료-{_SUFFIX}' END, {_ts(W)} FROM keyed
+UNION ALL
+SELECT patient_no, k, k, department_id, 'prescription', CASE WHEN status = 'COMPLETED' THEN 'DISPENSED' ELSE 'CANCELLED' END,
+       CASE WHEN status = 'COMPLETED' THEN NULL ELSE '실패 취소-{_SUFFIX}' END, {_ts(W)} FROM keyed
+""")
+_reg("encounter_counts", duck_with("Patient") + """
+, enc AS (SELECT CASE WHEN patient_no % 10 < 7 THEN 'COMPLETED' ELSE 'CANCELLED' END AS status FROM "Patient")
+SELECT count(*) FILTER (WHERE status = 'COMPLETED') AS completed_count,
+       count(*) FILTER (WHERE status = 'CANCELLED') AS cancelled_count, count(*) AS completion_rows FROM enc
+""")
+
+# ---- ledger ----------------------------------------------------------------
+_reg("ledger_state", duck_with("batch_job_log") + """
+SELECT batch_log_id, status, CASE WHEN status = 'RUNNING' THEN NULL ELSE finished_at END AS finished_at,
+       CASE WHEN status = 'FAILED' THEN next_retry_at END AS next_retry_at,
+       CASE WHEN status IN ('FAILED', 'RETRIED') THEN error_message END AS error_message,
+       CASE WHEN status = 'RUNNING' THEN 1 WHEN status = 'RETRIED' THEN 3 ELSE 2 END AS transitions
+FROM batch_job_log
+""")
+
+_reg("ledger_backoff", duck_with("batch_job_log") + f"""
+SELECT batch_log_id, attempt_no, max_attempts, finished_at,
+       CASE WHEN attempt_no < greatest(1, max_attempts) THEN finished_at + INTERVAL {_ledger.RETRY_DELAY_MIN} MINUTE END
+         AS next_retry_at
+FROM batch_job_log WHERE status IN ('FAILED', 'RETRIED')
+""")
+
+_DUE = duck_with("batch_job_log") + f"""
+, due AS (SELECT batch_log_id, job_name, attempt_no, max_attempts, next_retry_at FROM batch_job_log
+          WHERE status = 'FAILED' AND next_retry_at IS NOT NULL AND next_retry_at <= {_ts(W)}
+            AND attempt_no < max_attempts ORDER BY next_retry_at, batch_log_id LIMIT 10)
+"""
+_reg("ledger_due_retries", _DUE + "SELECT * FROM due")
+
+_reg("ledger_recent", duck_with("batch_job_log") + """
+SELECT batch_log_id, job_name, trigger_type, status, attempt_no, max_attempts, retry_of_log_id, started_at,
+       finished_at, next_retry_at, error_message, created_date, last_modified_date
+FROM batch_job_log WHERE status = 'FAILED' ORDER BY batch_log_id DESC LIMIT 50
+""")
+
+_reg("ledger_retry_plan", _DUE + f"""
+SELECT batch_log_id AS retry_of_log_id, job_name, 'retry' AS trigger_type, 'RUNNING' AS status,
+       attempt_no + 1 AS attempt_no, max_attempts, {_ts(W)} AS started_at,
+       '{{"retry_of_log_id":' || CAST(batch_log_id AS VARCHAR) || ',"previous_attempt":' || CAST(attempt_no AS VARCHAR)
+         || '}}' AS request_payload
+FROM due
+""")
+
+_KNOWN = ", ".join(_q(k) for k in _ledger.KNOWN_PAYLOAD_FIELDS)
+_reg("ledger_payload_json", duck_with("batch_job_log") + f"""
+SELECT batch_log_id, json_extract_string(result_payload, '$.job') AS job,
+       array_to_string(list_sort(list_filter(json_keys(result_payload), lambda k: NOT list_contains([{_KNOWN}], k))), ',')
+         AS extra_keys
+FROM batch_job_log WHERE result_payload IS NOT NULL
+""")
