@@ -471,3 +471,19 @@ def q_ledger_retry_plan(spark, sf_dir):
 @register("ledger_payload_json")
 def q_ledger_payload_json(spark, sf_dir):
     return ledger.ledger_payload_fields(_v(spark, sf_dir, "batch_job_log")).drop("extra")
+
+
+# ---- composite snapshots ---------------------------------------------------
+from clinops.plans import snapshot  # noqa: E402
+
+
+@register("snapshot_json")
+def q_snapshot_json(spark, sf_dir):
+    dept, tr, sched, exam = _v(spark, sf_dir, "department", "treatments", "examination_schedule", "examination")
+    return snapshot.to_json_row(snapshot.operations_snapshot(dept, tr, sched, exam, OPS_AS_OF))
+
+
+@register("wearable_snapshot")
+def q_wearable_snapshot(spark, sf_dir):
+    snap = snapshot.wearable_snapshot(spark, lambda n: _load(spark, sf_dir, n), WEAR_AS_OF_TS)
+    return snapshot.to_json_row(snap)
