@@ -119,7 +119,7 @@ def daily_copy_rows(batch: DataFrame, as_of_ts) -> DataFrame:
 
 def sync_daily(source: DataFrame, target: DataFrame, as_of_ts, limit: int | None = None) -> DataFrame:
     """Upsert pending daily rows by (patient_no, summary_date); 6 columns
-    overwritten on match.  Result: the new target with ``__action``."""
+    overwritten on match.  Result: the new target with ``action``."""
     batch = daily_copy_rows(pending(source, "synced_to_mysql_at", ["patient_no", "summary_date"], limit),
                             as_of_ts)
     return upsert(target, batch, ["patient_no", "summary_date"], DAILY_UPDATE_COLS, with_action=True)
@@ -183,8 +183,8 @@ def sync_stats(vital_outcomes: DataFrame, treatment_outcomes: DataFrame,
                                F.count_if(F.col("outcome") == "inserted").alias("inserted"),
                                F.count_if(F.col("outcome") == "skipped_existing").alias("skipped_existing_pg"),
                                F.count(F.lit(1)).alias("marked_mysql"))
-    d = daily_merged.agg(F.count_if(F.col("__action") != "keep").alias("daily_copied"))
-    p = patients_merged.agg(F.count_if(F.col("__action") != "keep").alias("patients_upserted"))
+    d = daily_merged.agg(F.count_if(F.col("action") != "keep").alias("daily_copied"))
+    p = patients_merged.agg(F.count_if(F.col("action") != "keep").alias("patients_upserted"))
     out = v.withColumn("__k", F.lit(1))
     for other in (t, d, p):
         out = out.join(other.withColumn("__k", F.lit(1)), "__k")

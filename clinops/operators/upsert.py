@@ -33,7 +33,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: l
     ``update_cols`` and keep every other target value.
 
     One shuffle join on the key columns.  The result has the target's
-    columns (plus ``__action`` = insert/update/keep when asked).
+    columns (plus ``action`` = insert/update/keep when asked).
     """
     s = source.select(*[F.col(c) for c in source.columns if c in target.columns]).withColumn("__s", F.lit(True))
     t = target.withColumn("__t", F.lit(True))
@@ -51,7 +51,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: l
         cols.append(e.cast(target.schema[c].dataType).alias(c))
     if with_action:
         cols.append(F.when(in_s & in_t, F.lit("update")).when(in_s, F.lit("insert"))
-                    .otherwise(F.lit("keep")).alias("__action"))
+                    .otherwise(F.lit("keep")).alias("action"))
     return j.select(*cols)
 
 

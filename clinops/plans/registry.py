@@ -307,7 +307,7 @@ def ops_patient_target(spark, sf_dir):
 @register("upsert_patients")
 def q_upsert_patients(spark, sf_dir):
     src = _v(spark, sf_dir, "Patient").where(F.col("patient_no") % 5 != 4)
-    return sync.upsert_patients(ops_patient_target(spark, sf_dir), src).withColumnRenamed("__action", "action")
+    return sync.upsert_patients(ops_patient_target(spark, sf_dir), src)
 
 
 @register("upsert_profiles")
@@ -315,7 +315,7 @@ def q_upsert_profiles(spark, sf_dir):
     pr = _v(spark, sf_dir, "user_app_profile")
     tgt = (pr.where(F.col("patient_no") % 4 == 0).withColumn("blood_type", F.lit("UNKNOWN"))
            .withColumn("app_user_id", F.lit("OLD")).withColumn("intt_cd", F.lit("MYSQL")))
-    return sync.upsert_profiles(tgt, pr).withColumnRenamed("__action", "action")
+    return sync.upsert_profiles(tgt, pr)
 
 
 @register("insert_if_absent")
@@ -388,7 +388,7 @@ def ops_daily_target(spark, sf_dir):
 @register("sync_daily")
 def q_sync_daily(spark, sf_dir):
     return sync.sync_daily(_v(spark, sf_dir, "user_daily_wellness"), ops_daily_target(spark, sf_dir),
-                           WEAR_AS_OF_TS).withColumnRenamed("__action", "action")
+                           WEAR_AS_OF_TS)
 
 
 def _treat_run(spark, sf_dir):
@@ -404,8 +404,8 @@ def q_sync_treatments(spark, sf_dir):
 @register("sync_stats")
 def q_sync_stats(spark, sf_dir):
     vr, tr = _vitals_run(spark, sf_dir), _treat_run(spark, sf_dir)
-    daily = q_sync_daily(spark, sf_dir).withColumnRenamed("action", "__action")
-    pats = q_upsert_patients(spark, sf_dir).withColumnRenamed("action", "__action")
+    daily = q_sync_daily(spark, sf_dir)
+    pats = q_upsert_patients(spark, sf_dir)
     return sync.sync_stats(vr["outcomes"], tr["outcomes"], daily, pats)
 
 
