@@ -622,7 +622,7 @@ _reg("assign_keys", duck_with("Patient", "treatments") + """
 SELECT patient_no, patient_name,
        coalesce((SELECT max(treatment_id) FROM treatments), 10000000) + row_number() OVER (ORDER BY patient_no)
          AS treatment_id
-FROM "Patient" WHERE patient_no % 7 = 0
+FROM "Patient"
 """)
 
 _VCOPY = f"""vital_id, patient_no, measured_at, heart_rate_bpm, blood_pressure_systolic, blood_pressure_diastolic,

@@ -353,7 +353,7 @@ def q_evolve_schema(spark, sf_dir):
 @register("assign_keys")
 def q_assign_keys(spark, sf_dir):
     p, t = _v(spark, sf_dir, "Patient", "treatments")
-    batch = p.where(F.col("patient_no") % 7 == 0).select("patient_no", "patient_name")
+    batch = p.select("patient_no", "patient_name")
     return upsert.assign_keys(batch, ["patient_no"], "treatment_id",
                               existing_max=t.agg(F.max("treatment_id")))
 
