@@ -98,3 +98,14 @@ def drop_hashes(df: DataFrame, suffix: str = "_sha256") -> DataFrame:
 def krw(c: Column) -> Column:
     """Money caption: '₩' + thousands-separated whole amount."""
     return F.concat(F.lit("₩"), F.format_number(c, 0))
+
+
+def blood_pressure_text(systolic: Column, diastolic: Column) -> Column:
+    """'sys/dia' with a missing side shown empty."""
+    return F.concat(F.coalesce(systolic.cast("string"), F.lit("")), F.lit("/"),
+                    F.coalesce(diastolic.cast("string"), F.lit("")))
+
+
+def chart_order(values: Column) -> Column:
+    """Bar charts list the largest first from the bottom: reversed arrays."""
+    return F.reverse(values)

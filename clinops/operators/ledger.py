@@ -20,6 +20,12 @@ KNOWN_PAYLOAD_FIELDS = ("job", "batch_log_id", "suffix", "patients_inserted_from
                         "check_ins", "treatments", "prescription_ids")
 
 TRANSITION_COLS = ("batch_log_id", "seq", "status", "at", "error_message", "next_retry_at")
+ERROR_TEXT_MAX = 4000
+
+
+def error_text(c):
+    """Stored failure text: stripped, at most 4000 characters."""
+    return F.substring(F.trim(c), 1, ERROR_TEXT_MAX)
 
 
 def transitions(log: DataFrame) -> DataFrame:
@@ -33,7 +39,7 @@ def transitions(log: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("seq"),
                  F.when(st == "RETRIED", F.lit("FAILED")).otherwise(st).alias("status"),
                  F.col("finished_at").alias("at"),
-                 F.when(st.isin("FAILED", "RETRIED"), F.col("error_message")).alias("error_message"),
+                 F.when(st.isin("FAILED", "RETRIED"), error_text(F.col("error_message"))).alias("error_message"),
                  F.when(st == "FAILED", F.col("next_retry_at")).alias("next_retry_at")),
         F.struct(F.lit(3).alias("seq"), F.lit("RETRIED").alias("status"),
                  F.col("last_modified_date").alias("at"),

@@ -126,3 +126,50 @@ def table_recent_rows(df: DataFrame, key: str, n: int = 20, order_col: str = "cr
     TakeOrderedAndProject: n rows per task, never a full sort."""
     top = df.orderBy(F.col(order_col).desc_nulls_last(), F.col(key).desc()).limit(n)
     return format_cells(sanitize(top, profile=profile))
+
+
+def table_detail(tables: Mapping[str, tuple[DataFrame, object]], name: str, key: str,
+                 captions: Mapping[str, str] | None = None, n: int = 20) -> dict[str, DataFrame]:
+    """Table detail view: profile row, 14-day trend, column catalog and the
+    newest ``n`` masked rows.  Only allow-listed (bound) names are accepted."""
+    if name not in tables:
+        raise ValueError(f"unknown table: {name}")
+    df, as_of = tables[name]
+    one = {name: (df, as_of)}
+    return {
+        "stats": table_stats(one, captions or {}, [name]),
+        "trend": table_daily_trend(one),
+        "columns": table_columns(df.sparkSession, name, df),
+        "rows": table_recent_rows(df, key=key, n=n),
+    }
+
+
+# The wearable KPI strip — caption and source of each card,
+# and the placeholder shown when a value is missing.
+KPI_PLACEHOLDER = "—"
+KPI_CARDS = (
+    ("환자 마스터", "count", "Patient"),
+    ("앱 프로필", "count", "user_app_profile"),
+    ("생체 측정 행", "agg", "total_vitals"),
+    ("금일 생체 측정", "agg", "today_vitals"),
+    ("진료 이벤트", "count", "patient_clinical_event"),
+    ("MySQL 미동기화(생체)", "agg", "pending_mysql_sync"),
+    ("MySQL 미동기화(일별)", "agg", "pending_daily_mysql_sync"),
+    ("24h 평균 심박", "agg", "avg_heart_rate_24h"),
+)
+
+
+def kpi_cards(counts: DataFrame, vitals_agg: DataFrame) -> DataFrame:
+    """KPI strip: each card's value looked up by table key (first match) in
+    the counts or taken from the vitals aggregate; missing → placeholder.
+    Both inputs are one-row-per-table / one-row frames."""
+    wanted = [src for _, kind, src in KPI_CARDS if kind == "count"]
+    pivot = counts.agg(*[F.max(F.when(F.col("table_key") == k, F.col("total_count"))).alias(f"c_{k}")
+                         for k in wanted]).withColumn("__k", F.lit(1))
+    row = pivot.join(vitals_agg.withColumn("__k", F.lit(1)), "__k")
+    cards = F.array(*[
+        F.struct(F.lit(i + 1).alias("ordinal"), F.lit(label).alias("label"),
+                 F.coalesce(F.col(f"c_{src}" if kind == "count" else src).cast("string"),
+                            F.lit(KPI_PLACEHOLDER)).alias("value"))
+        for i, (label, kind, src) in enumerate(KPI_CARDS)])
+    return row.select(F.explode(cards).alias("c")).select("c.*")

@@ -86,6 +86,14 @@ def append_rows(target: DataFrame, rows: DataFrame) -> DataFrame:
     return target.unionByName(rows, allowMissingColumns=True)
 
 
+def append_to(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Append sink: new files next to the existing ones (no rewrite)."""
+    w = df.write.mode("append")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+
+
 def add_columns_if_absent(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``ADD COLUMN IF NOT EXISTS`` for each (name → SQL type)."""
     for name, dtype in columns.items():

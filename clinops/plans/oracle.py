@@ -762,7 +762,7 @@ SELECT count(*) FILTER (WHERE status = 'COMPLETED') AS completed_count,
 _reg("ledger_state", duck_with("batch_job_log") + """
 SELECT batch_log_id, status, CASE WHEN status = 'RUNNING' THEN NULL ELSE finished_at END AS finished_at,
        CASE WHEN status = 'FAILED' THEN next_retry_at END AS next_retry_at,
-       CASE WHEN status IN ('FAILED', 'RETRIED') THEN error_message END AS error_message,
+       CASE WHEN status IN ('FAILED', 'RETRIED') THEN substr(trim(error_message), 1, 4000) END AS error_message,
        CASE WHEN status = 'RUNNING' THEN 1 WHEN status = 'RETRIED' THEN 3 ELSE 2 END AS transitions
 FROM batch_job_log
 """)
@@ -802,3 +802,23 @@ SELECT batch_log_id, json_extract_string(result_payload, '$.job') AS job,
          AS extra_keys
 FROM batch_job_log WHERE result_payload IS NOT NULL
 """)
+
+from clinops.operators.profile import KPI_CARDS, KPI_PLACEHOLDER  # noqa: E402
+
+
+def _kpi_sql():
+    agg = ORACLE["vitals_aggregate"].split("\nSELECT ", 1)
+    cte = agg[0]
+    body = "SELECT " + agg[1]
+    parts = []
+    for i, (label, kind, src) in enumerate(KPI_CARDS):
+        if kind == "count":
+            val = f"(SELECT max(total_count) FROM counts WHERE table_key = {_q(src)})"
+        else:
+            val = f"(SELECT {src} FROM va)"
+        parts.append(f"SELECT {i + 1} AS ordinal, {_q(label)} AS label, "
+                     f"coalesce(CAST({val} AS VARCHAR), {_q(KPI_PLACEHOLDER)}) AS value")
+    return (cte + f", counts AS ({_counts_sql()})\n, va AS ({body})\n" + "\nUNION ALL\n".join(parts))
+
+
+_reg("wearable_kpi_cards", _kpi_sql())

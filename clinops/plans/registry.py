@@ -487,3 +487,10 @@ def q_snapshot_json(spark, sf_dir):
 def q_wearable_snapshot(spark, sf_dir):
     snap = snapshot.wearable_snapshot(spark, lambda n: _load(spark, sf_dir, n), WEAR_AS_OF_TS)
     return snapshot.to_json_row(snap)
+
+
+@register("wearable_kpi_cards")
+def q_wearable_kpi_cards(spark, sf_dir):
+    v, d = _v(spark, sf_dir, "user_vital_measurement", "user_daily_wellness")
+    counts = profile.table_counts(spark, list(PG_TABLES), lambda n: _load(spark, sf_dir, n))
+    return profile.kpi_cards(counts, vitals.vitals_aggregate(v, d, WEAR_AS_OF_TS))
