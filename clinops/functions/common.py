@@ -31,6 +31,16 @@ def date_lit(value: _dt.date | _dt.datetime | str) -> Column:
     return F.expr(f"DATE'{value}'")
 
 
+def month_key(c: Column) -> Column:
+    """'yyyy-MM' of a DATE / TIMESTAMP_NTZ without any time-zone conversion."""
+    return F.substring(F.to_date(c).cast("string"), 1, 7)
+
+
+def day_key(c: Column) -> Column:
+    """'yyyy-MM-dd' of a DATE / TIMESTAMP_NTZ without any time-zone conversion."""
+    return F.to_date(c).cast("string")
+
+
 def as_datetime(value: _dt.date | _dt.datetime) -> _dt.datetime:
     if isinstance(value, _dt.datetime):
         return value
@@ -41,15 +51,23 @@ def as_date(value: _dt.date | _dt.datetime) -> _dt.date:
     return value.date() if isinstance(value, _dt.datetime) else value
 
 
+_SIZE_CHECKS: dict[tuple[int, int], bool] = {}
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
     The probe reads at most ``max_rows + 1`` rows (``limit`` stops early), so
     it is cheap for real dimensions and bounded for anything else.  Beyond the
-    bound the frame is returned as is and the join shuffles.
+    bound the frame is returned as is and the join shuffles.  The verdict is
+    remembered per (plan, bound) for the life of the driver process.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (df.semanticHash(), max_rows)
+    small = _SIZE_CHECKS.get(key)
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        _SIZE_CHECKS[key] = small
+    return F.broadcast(df) if small else df
 
 
 def bounded_broadcast(df: DataFrame) -> DataFrame:

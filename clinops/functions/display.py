@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 
 KST = "Asia/Seoul"
 _KST_OFFSET_MIN = 9 * 60
-DATETIME_PATTERN = "y년 M월 d일 HH:mm"
-DATE_PATTERN = "y년 M월 d일"
 
 # ISO-8601 text accepted by the display path: date 'T' HH:MM[:SS[.ffffff]]
 # with an optional 'Z' or ±HH:MM offset.
@@ -21,17 +19,22 @@ _ISO_RE = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2})(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:
 
 
 def format_timestamp_ntz(c: Column) -> Column:
-    return F.date_format(c, DATETIME_PATTERN)
+    """'Y년 M월 D일 HH:MM' built from date parts: wall-clock values are never
+    routed through the session time zone."""
+    return F.concat(format_date(c), F.lit(" "), F.lpad(F.hour(c).cast("string"), 2, "0"), F.lit(":"),
+                    F.lpad(F.minute(c).cast("string"), 2, "0"))
 
 
 def format_timestamp_ltz(c: Column) -> Column:
     """Zoned instant → KST wall clock → caption."""
     wall = F.convert_timezone(F.current_timezone(), F.lit(KST), c.cast("timestamp_ntz"))
-    return F.date_format(wall, DATETIME_PATTERN)
+    return format_timestamp_ntz(wall)
 
 
 def format_date(c: Column) -> Column:
-    return F.date_format(c, DATE_PATTERN)
+    """'Y년 M월 D일' from date parts (zone-free for DATE and TIMESTAMP_NTZ)."""
+    return F.concat(F.year(c).cast("string"), F.lit("년 "), F.month(c).cast("string"), F.lit("월 "),
+                    F.dayofmonth(c).cast("string"), F.lit("일"))
 
 
 def format_iso_text(c: Column) -> Column:

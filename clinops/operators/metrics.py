@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinops.functions.common import (
-    as_date, bounded_broadcast, broadcast_if_small, date_lit, ts_lit, when_empty,
+    as_date, bounded_broadcast, broadcast_if_small, date_lit, month_key, ts_lit, when_empty,
 )
 from clinops.functions.labels import treatment_type_bucket, treatment_type_label
 
@@ -46,7 +46,7 @@ def month_spine(spark, as_of, months: int) -> DataFrame:
     m = F.add_months(date_lit(start), F.col("id").cast("int"))
     return spark.range(months).select(
         F.col("id").cast("int").alias("month_idx"),
-        F.date_format(m, "yyyy-MM").alias("month"),
+        month_key(m).alias("month"),
         F.concat((F.year(m) % 100).cast("string"), F.lit("년 "),
                  F.month(m).cast("string"), F.lit("월")).alias("label"),
     )
@@ -80,7 +80,7 @@ def timeline(treatments: DataFrame, as_of, months: int = 12) -> DataFrame:
     as_of = as_date(as_of)
     d = F.col("treatment_date")
     counts = (treatments.where(d >= ts_lit(_month_start(as_of, months - 1)))
-              .groupBy(F.date_format(d, "yyyy-MM").alias("month"))
+              .groupBy(month_key(d).alias("month"))
               .agg(F.count(F.lit(1)).alias("c")))
     spine = month_spine(treatments.sparkSession, as_of, months)
     # Both sides are bounded by the number of months after aggregation.
@@ -149,7 +149,7 @@ def league_table(department: DataFrame, treatments: DataFrame, as_of, n: int = 5
     d = F.col("treatment_date")
     recent = (treatments.where(d >= ts_lit(_month_start(as_of, months - 1)))
               .join(bounded_broadcast(top.select("department_id")), "department_id", "left_semi")
-              .groupBy("department_id", F.date_format(d, "yyyy-MM").alias("month"))
+              .groupBy("department_id", month_key(d).alias("month"))
               .agg(F.count(F.lit(1)).alias("mc")))
     month_keys = [_month_start(as_of, months - 1 - i).strftime("%Y-%m") for i in range(months)]
     spine = top.select("rank", "department_id", "department_name", "c",

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinops.functions.common import as_date, union_all
+from clinops.functions.common import as_date, day_key, union_all
 from clinops.functions.display import format_cells, format_timestamp_ntz
 from clinops.operators.mask import sanitize
 
@@ -58,7 +58,7 @@ def table_daily_trend(tables: Mapping[str, tuple[DataFrame, object]],
         c = F.col("created_date")
         parts.append(
             df.where(c >= F.lit(f"{lo} 00:00:00").cast("timestamp_ntz"))
-            .groupBy(F.date_format(c, "yyyy-MM-dd").alias("day"))
+            .groupBy(day_key(c).alias("day"))
             .agg(F.count(F.lit(1)).alias("count"))
             .select(F.lit(name).alias("table_name"), "day", "count"))
     return union_all(parts)

@@ -121,6 +121,9 @@ def assign_keys(df: DataFrame, order_cols: list[str], key_name: str,
     folder so partition contents are fixed even if an executor is lost.
     """
     spark = df.sparkSession
+    if checkpoint:
+        from clinops.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
     ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
     ordered = ordered.withColumn("__pid", F.spark_partition_id()).withColumn(
         "__mid", F.monotonically_increasing_id())

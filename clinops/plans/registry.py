@@ -141,7 +141,8 @@ def q_translate_values(spark, sf_dir):
 
 
 ISO_TEXT = ("CASE WHEN event_id % 5 = 0 THEN concat('Tx-', event_type) "
-            "ELSE concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), "
+            "ELSE concat(CAST(CAST(ts AS DATE) AS STRING), 'T', lpad(CAST(hour(ts) AS STRING), 2, '0'), ':', "
+            "lpad(CAST(minute(ts) AS STRING), 2, '0'), ':', lpad(CAST(second(ts) AS STRING), 2, '0'), "
             "CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Z' ELSE '+09:00' END) END")
 
 
@@ -391,9 +392,9 @@ def q_sync_daily(spark, sf_dir):
                            WEAR_AS_OF_TS)
 
 
-def _treat_run(spark, sf_dir):
+def _treat_run(spark, sf_dir, assign_ids=True):
     t, e = _v(spark, sf_dir, "treatments", "patient_clinical_event")
-    return sync.sync_treatments(t, e, WEAR_AS_OF_TS)
+    return sync.sync_treatments(t, e, WEAR_AS_OF_TS, assign_ids=assign_ids)
 
 
 @register("sync_treatments")
@@ -403,7 +404,7 @@ def q_sync_treatments(spark, sf_dir):
 
 @register("sync_stats")
 def q_sync_stats(spark, sf_dir):
-    vr, tr = _vitals_run(spark, sf_dir), _treat_run(spark, sf_dir)
+    vr, tr = _vitals_run(spark, sf_dir), _treat_run(spark, sf_dir, assign_ids=False)
     daily = q_sync_daily(spark, sf_dir)
     pats = q_upsert_patients(spark, sf_dir)
     return sync.sync_stats(vr["outcomes"], tr["outcomes"], daily, pats)

@@ -107,6 +107,8 @@ def apply_rollup_batch(batch: DataFrame, batch_id: int, store_path: str) -> None
         F.when(fresh, F.col("d.__b")).otherwise(F.col("s.applied_batch")).cast("bigint").alias("applied_batch"),
         "summary_date")
     # Materialise before overwriting the partitions it was read from.
+    from clinops.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     merged = merged.checkpoint(eager=True)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("summary_date").parquet(store_path))
