@@ -62,3 +62,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def cluster_conf(shuffle_bytes: float, executors: int, cores_per_executor: int = 4,
+                 target_partition_bytes: int = 256 * 1024 ** 2) -> dict[str, str]:
+    """Settings to apply at submit time for a job whose largest shuffle moves
+    about ``shuffle_bytes`` bytes (e.g. 100 TB input → tens of TB shuffled).
+
+    Initial shuffle partitions are sized so each holds ~256 MB (AQE then
+    coalesces small ones and splits skewed ones); never fewer than two waves
+    of tasks over all cores.  Scan splits stay at 256 MB so a task's input fits
+    executor memory without spilling on the read side.
+    """
+    cores = executors * cores_per_executor
+    parts = max(2 * cores, int(shuffle_bytes // target_partition_bytes) + 1)
+    return {
+        **_BASE_CONF,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 ** 2),
+        "spark.sql.parquet.aggregatePushdown": "true",
+        "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    }
