@@ -61,7 +61,12 @@ def gauge(treatments: DataFrame, as_of) -> DataFrame:
     as_of = as_date(as_of)
     lo, hi = _dt.date(as_of.year, 1, 1), _dt.date(as_of.year + 1, 1, 1)
     d = F.col("treatment_date")
-    n = treatments.where((d >= ts_lit(lo)) & (d < ts_lit(hi))).agg(F.count(F.lit(1)).alias("current"))
+    return gauge_from(treatments.where((d >= ts_lit(lo)) & (d < ts_lit(hi))).agg(F.count(F.lit(1)).alias("current")))
+
+
+def gauge_from(current: DataFrame) -> DataFrame:
+    """Capacity for a one-row ``current`` count."""
+    n = current
     return n.select(
         "current",
         F.greatest(F.lit(GAUGE_FLOOR).cast("bigint"),
@@ -82,7 +87,13 @@ def timeline(treatments: DataFrame, as_of, months: int = 12) -> DataFrame:
     counts = (treatments.where(d >= ts_lit(_month_start(as_of, months - 1)))
               .groupBy(month_key(d).alias("month"))
               .agg(F.count(F.lit(1)).alias("c")))
-    spine = month_spine(treatments.sparkSession, as_of, months)
+    return timeline_from(counts, as_of, months)
+
+
+def timeline_from(counts: DataFrame, as_of, months: int = 12) -> DataFrame:
+    """Zero-filled timeline from (month 'yyyy-MM', c) counts."""
+    as_of = as_date(as_of)
+    spine = month_spine(counts.sparkSession, as_of, months)
     # Both sides are bounded by the number of months after aggregation.
     return (spine.join(bounded_broadcast(counts), "month", "left")
             .select("month_idx", "month", "label",
@@ -93,6 +104,11 @@ def treatment_mix(treatments: DataFrame) -> DataFrame:
     """Count per treatment type (blank → 미분류), labelled, largest first."""
     agg = (treatments.groupBy(treatment_type_bucket(F.col("treatment_type")).alias("bucket"))
            .agg(F.count(F.lit(1)).alias("c")))
+    return mix_from(agg)
+
+
+def mix_from(agg: DataFrame) -> DataFrame:
+    """Labelled slices from (bucket, c)."""
     return agg.select(treatment_type_label(F.col("bucket")).alias("name"),
                       F.col("c").cast("double").alias("value"))
 
@@ -111,10 +127,19 @@ def department_counts(department: DataFrame, treatments: DataFrame) -> DataFrame
     inner join to the (size-checked, broadcast) department dimension."""
     per = (treatments.where(F.col("department_id").isNotNull())
            .groupBy("department_id").agg(F.count("treatment_id").alias("c")))
+    return department_counts_from(department, per)
+
+
+def department_counts_from(department: DataFrame, per: DataFrame) -> DataFrame:
+    """Attach names to (department_id, c) with an inner join on the dimension."""
     dim = department.select(F.col("id").alias("department_id"), "department_name")
     return per.join(broadcast_if_small(dim), "department_id")
 
 
+def top_departments(counts: DataFrame, n: int) -> DataFrame:
+    return _top(counts, n)
+
+
 def _top(counts: DataFrame, n: int) -> DataFrame:
     w = Window.orderBy(F.desc("c"), F.asc("department_id"))
     # TakeOrderedAndProject keeps n rows per task; the window then runs on n rows.
@@ -130,7 +155,7 @@ def production_top(department: DataFrame, treatments: DataFrame, n: int = 3,
         "rank", "department_id",
         F.substring("department_name", 1, 24).alias("category"),
         F.col("c").cast("double").alias("value"))
-    sentinel = treatments.sparkSession.range(1).select(
+    sentinel = counts.sparkSession.range(1).select(
         F.lit(1).alias("rank"), F.lit(None).cast("bigint").alias("department_id"),
         F.lit(NO_DATA).alias("category"), F.lit(0.0).alias("value"))
     return when_empty(top, sentinel)
@@ -151,6 +176,13 @@ def league_table(department: DataFrame, treatments: DataFrame, as_of, n: int = 5
               .join(bounded_broadcast(top.select("department_id")), "department_id", "left_semi")
               .groupBy("department_id", month_key(d).alias("month"))
               .agg(F.count(F.lit(1)).alias("mc")))
+    return league_from(top, recent, as_of, months)
+
+
+def league_from(top: DataFrame, recent: DataFrame, as_of, months: int = 6) -> DataFrame:
+    """League rows from the ranked top-n (rank, department_id,
+    department_name, c) and (department_id, month, mc) counts."""
+    as_of = as_date(as_of)
     month_keys = [_month_start(as_of, months - 1 - i).strftime("%Y-%m") for i in range(months)]
     spine = top.select("rank", "department_id", "department_name", "c",
                        F.posexplode(F.array(*[F.lit(k) for k in month_keys])).alias("month_idx", "month"))
@@ -210,6 +242,11 @@ def kpi_growth(treatments: DataFrame, as_of) -> DataFrame:
     cnt = (treatments.where(d >= ts_lit(d60))
            .agg(F.count_if(d >= ts_lit(d30)).alias("r30"),
                 F.count_if(d < ts_lit(d30)).alias("p30")))
+    return kpi_growth_from(cnt)
+
+
+def kpi_growth_from(cnt: DataFrame) -> DataFrame:
+    """Growth block from one row of (r30, p30)."""
     r30, p30 = F.col("r30"), F.col("p30")
     growth = (F.when(p30 <= 0, F.when(r30 > 0, F.lit(4.0)).otherwise(F.lit(0.0)))
               .otherwise(F.bround((r30 - p30).cast("double") / p30.cast("double") * 100.0, 1)))

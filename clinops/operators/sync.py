@@ -86,23 +86,29 @@ def sync_vitals(source: DataFrame, target: DataFrame, as_of_ts, limit: int | Non
     outcomes = (batch.select("vital_id")
                 .join(inserted.select("vital_id", F.lit("inserted").alias("outcome")), "vital_id", "left")
                 .select("vital_id", F.coalesce("outcome", F.lit("duplicate")).alias("outcome")))
-    marked = mark_synced(source, batch.select("vital_id"), "vital_id", "synced_to_mysql_at",
-                         as_of_ts, bounded=limit is not None)
+    marked = mark_synced(source, batch.select("vital_id") if limit else None, "vital_id",
+                         "synced_to_mysql_at", as_of_ts, bounded=limit is not None)
     return {"inserted": inserted, "outcomes": outcomes, "marked": marked}
 
 
-def mark_synced(source: DataFrame, batch_keys: DataFrame, key: str, marker: str, as_of_ts,
-                bounded: bool = False) -> DataFrame:
+def mark_synced(source: DataFrame, batch_keys: DataFrame | None, key: str, marker: str, as_of_ts,
+                bounded: bool = False, pending_filter: Column | None = None) -> DataFrame:
     """Set ``marker`` = as_of on rows in the batch whose marker is still NULL.
 
-    With a limited batch (``bounded``) the batch keys are broadcast; an
-    unbounded batch is joined with a shuffle."""
+    When the batch is every pending row (``batch_keys`` is None) this is a
+    projection — no join, no shuffle.  A limited batch (``bounded``) is
+    broadcast; any other batch is joined with a shuffle on ``key``."""
+    now = ts_lit(as_datetime(as_of_ts))
+    m = F.col(marker)
+    if batch_keys is None:
+        hit = m.isNull() if pending_filter is None else (m.isNull() & F.coalesce(pending_filter, F.lit(False)))
+        return source.select(*[F.when(hit, now).otherwise(m).alias(marker) if c == marker else F.col(c)
+                               for c in source.columns])
     keys = batch_keys.select(F.col(key), F.lit(True).alias("__in"))
     keys = bounded_broadcast(keys) if bounded else keys
     j = source.join(keys, key, "left")
-    now = ts_lit(as_datetime(as_of_ts))
     return j.select(*[
-        F.when(F.col("__in") & F.col(marker).isNull(), now).otherwise(F.col(marker)).alias(marker)
+        F.when(F.col("__in") & m.isNull(), now).otherwise(m).alias(marker)
         if c == marker else F.col(c) for c in source.columns])
 
 
@@ -166,8 +172,9 @@ def sync_treatments(treatments: DataFrame, events: DataFrame, as_of_ts, limit: i
         max_id = events.agg(F.max("clinical_event_id").alias("m"))
         to_insert = assign_keys(to_insert, ["source_mysql_treatment_id"], "clinical_event_id",
                                 existing_max=max_id, floor=0)
-    marked = mark_synced(treatments, batch.select("treatment_id"), "treatment_id",
-                         "synced_to_postgres_at", as_of_ts, bounded=limit is not None)
+    marked = mark_synced(treatments, batch.select("treatment_id") if limit else None, "treatment_id",
+                         "synced_to_postgres_at", as_of_ts, bounded=limit is not None,
+                         pending_filter=F.col("patient_no").isNotNull())
     return {"inserted": to_insert, "outcomes": outcomes, "marked": marked}
 
 

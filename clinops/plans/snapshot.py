@@ -8,18 +8,22 @@ one-row ⋈ one-row joins on a constant key.
 
 from __future__ import annotations
 
+import datetime as _dt
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinops.functions.common import as_datetime
+from clinops.functions.common import as_date, as_datetime, bounded_broadcast, month_key, ts_lit
 from clinops.functions.display import format_timestamp_ntz
-from clinops.functions.common import ts_lit
+from clinops.functions.labels import treatment_type_bucket
 from clinops.operators import metrics, profile, vitals
+from clinops.session import ensure_checkpoint_dir
 
 
 def _one_row(frames: list[DataFrame]) -> DataFrame:
+    """Side-by-side join of one-row frames on a constant key (AQE turns
+    each into a broadcast once the one-row stage has run)."""
     keyed = [f.withColumn("__k", F.lit(1)) for f in frames]
     return reduce(lambda a, b: a.join(b, "__k"), keyed).drop("__k")
 
@@ -29,26 +33,61 @@ def _ordered_array(df: DataFrame, order_col: str, fields: list[str], name: str,
     return df.agg(F.transform(arr, lambda x: x.dropFields("__o")).alias(name))
 
 
+def treatment_summary(treatments: DataFrame, as_of, kpi_days: tuple[int, int] = (30, 60)) -> DataFrame:
+    """ONE pass over the treatments fact: counts per (month, type bucket,
+    department, KPI window).  Its size is months × types × departments × 3,
+    independent of the number of treatments, and every dashboard block is
+    derived from it — the fact table is scanned and shuffled once."""
+    as_of = as_date(as_of)
+    d = F.col("treatment_date")
+    d30, d60 = (as_of - _dt.timedelta(days=kpi_days[0]), as_of - _dt.timedelta(days=kpi_days[1]))
+    kpi = F.when(d >= ts_lit(d30), F.lit("r30")).when(d >= ts_lit(d60), F.lit("p30"))
+    return treatments.groupBy(
+        month_key(d).alias("month"),
+        treatment_type_bucket(F.col("treatment_type")).alias("bucket"),
+        "department_id", kpi.alias("kpi"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.count("treatment_id").alias("n_ids"))
+
+
 def operations_snapshot(department: DataFrame, treatments: DataFrame, schedule: DataFrame,
                         examination: DataFrame, as_of) -> DataFrame:
     """Gauge, 12-month timeline, type mix, top-5 league, top-3 production and
-    KPI in one row; the department counts are computed once and reused."""
-    counts = metrics.department_counts(department, treatments)
-    gauge = metrics.gauge(treatments, as_of).select(F.struct("current", "max_value", "title").alias("gauge"))
-    tl = metrics.timeline(treatments, as_of, 12)
+    KPI in one row, all derived from one treatments summary."""
+    as_of = as_date(as_of)
+    # Materialised once (reliable checkpoint, bounded size) so the blocks below
+    # do not each push their filters into a fresh scan of the fact table.
+    ensure_checkpoint_dir(treatments.sparkSession)
+    summ = treatment_summary(treatments, as_of).checkpoint(eager=True)
+    year_lo, year_hi = f"{as_of.year:04d}-01", f"{as_of.year:04d}-12"
+    month = F.col("month")
+    current = summ.where((month >= year_lo) & (month <= year_hi)).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("current"))
+    gauge = metrics.gauge_from(current).select(F.struct("current", "max_value", "title").alias("gauge"))
+    start12 = metrics._month_start(as_of, 11).strftime("%Y-%m")
+    tl = metrics.timeline_from(summ.where(month >= start12).groupBy("month").agg(F.sum("n").alias("c")), as_of, 12)
     timeline = tl.agg(F.sort_array(F.collect_list(F.struct("month_idx", "label", "value"))).alias("t")).select(
         F.struct(F.transform("t", lambda x: x["label"]).alias("labels"),
                  F.transform("t", lambda x: x["value"]).alias("values")).alias("timeline"))
-    pie = _ordered_array(metrics.treatment_mix(treatments), "value", ["name", "value"], "pie_sales", desc=True)
-    league = _ordered_array(
-        metrics.league_table(department, treatments, as_of, 5, 6, counts=counts).withColumn("neg", -F.col("rank")),
-        "neg", ["name", "actual", "target", "spark"], "league_table", desc=True)
-    prod = metrics.production_top(department, treatments, 3, counts=counts)
+    mix = metrics.mix_from(summ.groupBy("bucket").agg(F.sum("n").alias("c")))
+    pie = _ordered_array(mix, "value", ["name", "value"], "pie_sales", desc=True)
+    per_dept = (summ.where(F.col("department_id").isNotNull())
+                .groupBy("department_id").agg(F.sum("n_ids").alias("c")))
+    counts = metrics.department_counts_from(department, per_dept)
+    top5 = metrics.top_departments(counts, 5)
+    start6 = metrics._month_start(as_of, 5).strftime("%Y-%m")
+    recent = (summ.where(month >= start6).join(bounded_broadcast(top5.select("department_id")),
+                                               "department_id", "left_semi")
+              .groupBy("department_id", "month").agg(F.sum("n").alias("mc")))
+    lg = metrics.league_from(top5, recent, as_of, 6).withColumn("neg", -F.col("rank"))
+    league = _ordered_array(lg, "neg", ["name", "actual", "target", "spark"], "league_table", desc=True)
+    prod = metrics.production_top(department, None, 3, counts=counts)
     production = prod.agg(F.sort_array(F.collect_list(F.struct("rank", "category", "value"))).alias("p")).select(
         F.struct(F.transform("p", lambda x: x["category"]).alias("categories"),
                  F.transform("p", lambda x: x["value"]).alias("values")).alias("production"))
     rev = metrics.kpi_revenue(schedule, examination)
-    growth = metrics.kpi_growth(treatments, as_of)
+    growth = metrics.kpi_growth_from(summ.agg(
+        F.coalesce(F.sum(F.when(F.col("kpi") == "r30", F.col("n"))), F.lit(0)).cast("bigint").alias("r30"),
+        F.coalesce(F.sum(F.when(F.col("kpi") == "p30", F.col("n"))), F.lit(0)).cast("bigint").alias("p30")))
     kpi = _one_row([rev, growth]).select(F.struct("actual", "target", "growth_pct", "label").alias("kpi"))
     return _one_row([gauge, timeline, pie, league, production, kpi])
 

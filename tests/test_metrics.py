@@ -85,3 +85,28 @@ def test_kpi_revenue_exact_decimal(spark):
     assert r.actual == 20.25 and r.target == 20.76          # 20.25 * 1.025 = 20.75625 → 20.76
     empty = metrics.kpi_revenue(spark.createDataFrame([], "examination_id long"), exam).collect()[0]
     assert (empty.actual, empty.target) == (0.0, 0.0)
+
+
+def test_snapshot_blocks_equal_single_metrics(spark):
+    """The one-pass summary path gives the same blocks as the single metrics."""
+    import json
+    from clinops.plans import snapshot
+    from clinops.sources.tables import OPS_AS_OF, load_view
+    sf = "/root/testdata/sf0.001"
+    dept, t, sched, exam = (load_view(spark, sf, n) for n in
+                            ("department", "treatments", "examination_schedule", "examination"))
+    snap = json.loads(snapshot.to_json_row(snapshot.operations_snapshot(dept, t, sched, exam, OPS_AS_OF))
+                      .collect()[0][0])
+    g = metrics.gauge(t, OPS_AS_OF).collect()[0]
+    assert snap["gauge"]["current"] == g.current and snap["gauge"]["max_value"] == g.max_value
+    tl = metrics.timeline(t, OPS_AS_OF).orderBy("month_idx").collect()
+    assert snap["timeline"]["values"] == [r.value for r in tl]
+    assert snap["timeline"]["labels"] == [r.label for r in tl]
+    assert sorted((p["name"], p["value"]) for p in snap["pie_sales"]) == sorted(
+        (r.name, r.value) for r in metrics.treatment_mix(t).collect())
+    lg = metrics.league_table(dept, t, OPS_AS_OF).orderBy("rank").collect()
+    assert [(x["name"], x["spark"]) for x in snap["league_table"]] == [(r.name, r.spark) for r in lg]
+    kg = metrics.kpi_growth(t, OPS_AS_OF).collect()[0]
+    assert snap["kpi"]["growth_pct"] == kg.growth_pct
+    pt = metrics.production_top(dept, t).orderBy("rank").collect()
+    assert snap["production"]["values"] == [r.value for r in pt]
