@@ -146,6 +146,31 @@ def assign_keys(df: DataFrame, order_cols: list[str], key_name: str,
             .drop("__pid", "__mid", "__off", "__base", "__k"))
 
 
+def merge_into_partitions(target_path: str, source: DataFrame, keys: list[str], update_cols: list[str],
+                          partition_col: str) -> None:
+    """Upsert ``source`` into a parquet table partitioned by ``partition_col``,
+    reading and rewriting ONLY the partitions the source touches.
+
+    The touched partitions are selected with a semi-join on the partition
+    column (dynamic partition pruning skips the other folders), merged with
+    ``upsert``, materialised to the reliable checkpoint folder (the write
+    replaces files the merge read from) and written back with dynamic
+    partition overwrite.  ``partition_col`` must be one of ``keys``.
+    """
+    from clinops.session import ensure_checkpoint_dir
+    spark = source.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = source.select(partition_col).distinct()
+    try:
+        current = spark.read.parquet(target_path)
+        touched = current.join(parts, partition_col, "left_semi").select(*source.columns)
+    except Exception:  # noqa: BLE001 - no table yet
+        touched = source.limit(0)
+    merged = upsert(touched, source, keys, update_cols).checkpoint(eager=True)
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(target_path))
+
+
 def dedupe_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last row per key by ``order`` (partial aggregation, no per-key sort)."""
     agg = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("__r"))

@@ -128,3 +128,23 @@ def test_encounter_fanout_cascade(spark):
     assert by[(1, "prescription")].status == "DISPENSED" and by[(1, "prescription")].comment is None
     assert by[(2, "prescription")].status == "CANCELLED" and by[(2, "out_treatment")].comment.startswith("종료-")
     assert {by[(1, "treatment")].treatment_id, by[(2, "treatment")].treatment_id} == {101, 102}
+
+
+def test_merge_into_partitions_rewrites_only_touched(spark):
+    import os
+    import tempfile
+    base = tempfile.mkdtemp(prefix="clinops-merge-")
+    path = os.path.join(base, "daily")
+    d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    schema = "patient_no long, step_count long, intt_cd string, summary_date date"
+    spark.createDataFrame([(1, 10, "A", d1), (2, 20, "A", d1), (1, 30, "A", d2)], schema) \
+        .write.partitionBy("summary_date").parquet(path)
+    untouched = os.path.join(path, "summary_date=2024-01-01")
+    before = sorted(os.listdir(untouched))
+    src = spark.createDataFrame([(1, 99, "B", d2), (3, 5, "B", d2)], schema)
+    upsert.merge_into_partitions(path, src, ["patient_no", "summary_date"], ["step_count"], "summary_date")
+    got = sorted((r.patient_no, str(r.summary_date), r.step_count, r.intt_cd)
+                 for r in spark.read.parquet(path).collect())
+    assert got == [(1, "2024-01-01", 10, "A"), (1, "2024-01-02", 99, "A"), (2, "2024-01-01", 20, "A"),
+                   (3, "2024-01-02", 5, "B")]
+    assert sorted(os.listdir(untouched)) == before      # day 1 files never rewritten
