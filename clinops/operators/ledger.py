@@ -134,3 +134,39 @@ def ledger_payload_fields(log: DataFrame) -> DataFrame:
 def ledger_json(payload_cols: list[str]) -> F.Column:
     """JSON text of a payload struct (NULLs omitted, UTF-8 as is)."""
     return F.to_json(F.struct(*payload_cols))
+
+
+def ledger_retry_cycle(log: DataFrame, as_of_ts, limit: int = 10, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """One retry scan applied to the ledger: the due failures (at most
+    ``limit``, broadcast — bounded by the limit) become RETRIED with no retry
+    time, and one RUNNING row per retry is appended with the next ids in due
+    order.  Returns the whole new ledger."""
+    from clinops.functions.common import bounded_broadcast
+    from clinops.operators.upsert import assign_keys
+
+    now = ts_lit(as_datetime(as_of_ts))
+    due = ledger_due_retries(log, as_of_ts, limit)
+    hit = bounded_broadcast(due.select("batch_log_id", F.lit(True).alias("__due")))
+    marked = log.join(hit, "batch_log_id", "left")
+    is_due = F.coalesce(F.col("__due"), F.lit(False))
+    updated = marked.select(*[
+        F.when(is_due, F.lit("RETRIED")).otherwise(F.col(c)).alias(c) if c == "status" else
+        F.when(is_due, F.lit(None).cast("timestamp_ntz")).otherwise(F.col(c)).alias(c) if c == "next_retry_at" else
+        F.when(is_due, now).otherwise(F.col(c)).alias(c) if c == "last_modified_date" else
+        F.col(c) for c in log.columns])
+    new = due.select(
+        "next_retry_at", F.col("batch_log_id").alias("retry_of_log_id"), "job_name",
+        F.lit("retry").alias("trigger_type"), F.lit("RUNNING").alias("status"),
+        (F.col("attempt_no") + 1).alias("attempt_no"),
+        F.lit(max(1, int(max_attempts))).alias("max_attempts"),
+        now.alias("started_at"),
+        F.to_json(F.struct(F.col("batch_log_id").alias("retry_of_log_id"),
+                           F.col("attempt_no").alias("previous_attempt"))).alias("request_payload"),
+        now.alias("created_date"), now.alias("last_modified_date"), F.lit("BATCH").alias("intt_cd"))
+    keyed = assign_keys(new, ["next_retry_at", "retry_of_log_id"], "batch_log_id",
+                        existing_max=log.agg(F.max("batch_log_id")), floor=0)
+    keyed = keyed.drop("next_retry_at")
+    appended = keyed.select(
+        *[F.col(c).cast(log.schema[c].dataType).alias(c) if c in keyed.columns
+          else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns])
+    return updated.unionByName(appended)

@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinops.functions.common import as_date, as_datetime, date_lit, ts_lit
+from clinops.functions.common import as_datetime, date_lit, ts_lit
 from clinops.functions.display import format_date, format_timestamp_ntz
 from clinops.functions.labels import category_label, status_label
 from clinops.operators.mask import sanitize

@@ -822,3 +822,35 @@ def _kpi_sql():
 
 
 _reg("wearable_kpi_cards", _kpi_sql())
+
+_LOG_COLS = [n for n, _ in VIEWS["batch_job_log"].columns]
+
+
+def _retry_cycle_sql():
+    upd = []
+    for c in _LOG_COLS:
+        if c == "status":
+            upd.append("CASE WHEN d.batch_log_id IS NOT NULL THEN 'RETRIED' ELSE l.status END AS status")
+        elif c == "next_retry_at":
+            upd.append("CASE WHEN d.batch_log_id IS NOT NULL THEN NULL ELSE l.next_retry_at END AS next_retry_at")
+        elif c == "last_modified_date":
+            upd.append(f"CASE WHEN d.batch_log_id IS NOT NULL THEN {_ts(W)} ELSE l.last_modified_date END "
+                       "AS last_modified_date")
+        else:
+            upd.append(f"l.{c}")
+    new = {
+        "batch_log_id": "(SELECT max(batch_log_id) FROM batch_job_log) + row_number() OVER "
+                        "(ORDER BY next_retry_at, batch_log_id)",
+        "job_name": "job_name", "trigger_type": "'retry'", "status": "'RUNNING'",
+        "attempt_no": "attempt_no + 1", "max_attempts": "3", "retry_of_log_id": "batch_log_id",
+        "started_at": _ts(W), "finished_at": "CAST(NULL AS TIMESTAMP)", "next_retry_at": "CAST(NULL AS TIMESTAMP)",
+        "request_payload": "'{\"retry_of_log_id\":' || CAST(batch_log_id AS VARCHAR) || ',\"previous_attempt\":' "
+                           "|| CAST(attempt_no AS VARCHAR) || '}'",
+        "result_payload": "CAST(NULL AS VARCHAR)", "error_message": "CAST(NULL AS VARCHAR)",
+        "created_date": _ts(W), "last_modified_date": _ts(W), "intt_cd": "'BATCH'",
+    }
+    return (_DUE + "SELECT " + ", ".join(upd) + " FROM batch_job_log l LEFT JOIN due d ON d.batch_log_id = l.batch_log_id"
+            + "\nUNION ALL\nSELECT " + ", ".join(f"{new[c]} AS {c}" for c in _LOG_COLS) + " FROM due")
+
+
+_reg("ledger_retry_cycle", _retry_cycle_sql())

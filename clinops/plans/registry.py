@@ -83,11 +83,10 @@ def q_kpi_growth(spark, sf_dir):
 from pyspark.sql import functions as F  # noqa: E402
 
 from clinops.functions import display, labels  # noqa: E402
-from clinops.functions.common import as_datetime  # noqa: E402
 from clinops.operators import ledger, patient, profile, sync, upsert, vitals  # noqa: E402
 from clinops.operators.mask import sanitize  # noqa: E402
 from clinops.sources.tables import (  # noqa: E402
-    OPS_TABLES, PG_TABLES, VIEWS, WEAR_AS_OF_TS, UnboundTable, load_view as _load, view_as_of,
+    OPS_TABLES, PG_TABLES, VIEWS, WEAR_AS_OF_TS, load_view as _load, view_as_of,
 )
 
 
@@ -495,3 +494,8 @@ def q_wearable_kpi_cards(spark, sf_dir):
     v, d = _v(spark, sf_dir, "user_vital_measurement", "user_daily_wellness")
     counts = profile.table_counts(spark, list(PG_TABLES), lambda n: _load(spark, sf_dir, n))
     return profile.kpi_cards(counts, vitals.vitals_aggregate(v, d, WEAR_AS_OF_TS))
+
+
+@register("ledger_retry_cycle")
+def q_ledger_retry_cycle(spark, sf_dir):
+    return ledger.ledger_retry_cycle(_v(spark, sf_dir, "batch_job_log"), WEAR_AS_OF_TS, limit=10)

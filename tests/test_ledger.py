@@ -52,3 +52,13 @@ def test_state_fold_and_backoff(spark):
 def test_payload_fields(spark):
     r = ledger.ledger_payload_fields(log(spark)).collect()[0]
     assert (r.job, r.extra_keys, r.extra) == ("x", "n,z", {"n": "1", "z": "2"})
+
+
+def test_retry_cycle_marks_origins_and_appends_runs(spark):
+    out = {r.batch_log_id: r for r in ledger.ledger_retry_cycle(log(spark), NOW, limit=10).collect()}
+    assert len(out) == 9
+    assert (out[1].status, out[1].next_retry_at, out[1].last_modified_date) == ("RETRIED", None, NOW)
+    assert (out[7].status, out[7].next_retry_at) == ("RETRIED", None)
+    assert out[3].status == "FAILED"                         # not yet due
+    assert (out[8].retry_of_log_id, out[8].attempt_no, out[8].status) == (7, 3, "RUNNING")   # due order: 7 then 1
+    assert (out[9].retry_of_log_id, out[9].attempt_no, out[9].trigger_type) == (1, 2, "retry")
