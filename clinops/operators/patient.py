@@ -95,32 +95,56 @@ def patient_360(patients: DataFrame, profiles: DataFrame, disability: DataFrame,
         F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("events_by_category"),
         F.max("newest").alias("newest"))
     vit = vitals.groupBy("patient_no").agg(
-        F.max_by(F.struct("measured_at", "heart_rate_bpm"), F.struct("measured_at", "vital_id")).alias("lv"))
+        F.max_by(F.struct("vital_id", "measured_at", "heart_rate_bpm", "blood_pressure_systolic",
+                          "blood_pressure_diastolic", "body_temp_c", "stress_score", "source_channel"),
+                 F.struct("measured_at", "vital_id")).alias("lv"))
     today = daily.where(F.col("summary_date") == date_lit(as_of)).select(
         "patient_no", F.col("step_count").alias("today_step_count"),
+        F.col("step_goal").alias("today_step_goal"),
         F.col("sleep_hours").cast("double").alias("today_sleep_hours"),
         F.col("stress_level").cast("double").alias("today_stress_level"))
     base = patients.select("patient_no", "patient_name")
     prof = profiles.select("patient_no", "app_user_id", "blood_type",
                            F.col("height_cm").cast("double").alias("height_cm"),
-                           F.col("weight_kg").cast("double").alias("weight_kg"))
+                           F.col("weight_kg").cast("double").alias("weight_kg"),
+                           F.col("intt_cd").alias("profile_intt_cd"))
+    # 1:0..1 in the reference (keyed by patient); min() makes it total if not
     dis = disability.groupBy("patient_no").agg(
-        F.min(F.struct("disability_grade", "disability_type", "assistive_device_YN")).alias("d"))
+        F.min(F.struct("disability_grade", "disability_type", "assistive_device_YN",
+                       "disability_device_type")).alias("d"))
     out = (base.join(prof, "patient_no", "left")
            .join(dis, "patient_no", "left")
            .join(ev, "patient_no", "left")
            .join(vit, "patient_no", "left")
            .join(today, "patient_no", "left"))
     return out.select(
-        "patient_no", "patient_name", "app_user_id", "blood_type", "height_cm", "weight_kg",
+        "patient_no", "patient_name", "app_user_id", "blood_type", "height_cm", "weight_kg", "profile_intt_cd",
         F.col("d.disability_grade").alias("disability_grade"),
         F.col("d.disability_type").alias("disability_type"),
+        F.col("d.assistive_device_YN").alias("assistive_device_YN"),
+        F.col("d.disability_device_type").alias("disability_device_type"),
         F.coalesce(F.col("n_events"), F.lit(0)).cast("bigint").alias("n_events"),
         F.coalesce(F.col("n_categories"), F.lit(0)).cast("bigint").alias("n_categories"),
         "events_by_category",
         format_date(F.col("newest.occurred_on")).alias("latest_event_on"),
         F.col("newest.title").alias("latest_event_title"),
+        F.col("lv.vital_id").alias("latest_vital_id"),
         format_timestamp_ntz(F.col("lv.measured_at")).alias("latest_measured_at"),
         F.col("lv.heart_rate_bpm").alias("latest_heart_rate_bpm"),
-        "today_step_count", "today_sleep_hours", "today_stress_level",
+        F.col("lv.blood_pressure_systolic").alias("latest_blood_pressure_systolic"),
+        F.col("lv.blood_pressure_diastolic").alias("latest_blood_pressure_diastolic"),
+        F.col("lv.body_temp_c").cast("double").alias("latest_body_temp_c"),
+        F.col("lv.stress_score").cast("double").alias("latest_stress_score"),
+        F.col("lv.source_channel").alias("latest_source_channel"),
+        "today_step_count", "today_step_goal", "today_sleep_hours", "today_stress_level",
     )
+
+
+def my_health(requests: DataFrame, patients: DataFrame, profiles: DataFrame, disability: DataFrame,
+              events: DataFrame, vitals: DataFrame, daily: DataFrame, as_of) -> DataFrame:
+    """Patient 360 for identifier requests (by, value): resolved requests are
+    joined to the 360 rows; unresolved ones are dropped (the reference
+    answers 404)."""
+    resolved = resolve_patient(requests, patients, profiles).where(F.col("patient_no").isNotNull())
+    full = patient_360(patients, profiles, disability, events, vitals, daily, as_of)
+    return resolved.withColumnRenamed("by", "resolved_by").join(full, "patient_no")

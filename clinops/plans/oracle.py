@@ -516,17 +516,22 @@ _reg("patient_360", duck_with("Patient", "user_app_profile", "disability", "pati
 , ne AS (SELECT patient_no, occurred_on, title,
                 row_number() OVER (PARTITION BY patient_no ORDER BY occurred_on DESC, clinical_event_id DESC) AS rn
          FROM patient_clinical_event)
-, lv AS (SELECT patient_no, measured_at, heart_rate_bpm,
+, lv AS (SELECT *,
                 row_number() OVER (PARTITION BY patient_no ORDER BY measured_at DESC, vital_id DESC) AS rn
          FROM user_vital_measurement)
-, td AS (SELECT patient_no, step_count, sleep_hours, stress_level FROM user_daily_wellness
+, td AS (SELECT patient_no, step_count, step_goal, sleep_hours, stress_level FROM user_daily_wellness
          WHERE summary_date = {_d(W)})
 SELECT p.patient_no, p.patient_name, pr.app_user_id, pr.blood_type, CAST(pr.height_cm AS DOUBLE) AS height_cm,
-       CAST(pr.weight_kg AS DOUBLE) AS weight_kg, d.disability_grade, d.disability_type,
+       CAST(pr.weight_kg AS DOUBLE) AS weight_kg, pr.intt_cd AS profile_intt_cd, d.disability_grade,
+       d.disability_type, d.assistive_device_YN, d.disability_device_type,
        CAST(coalesce(ev.n_events, 0) AS BIGINT) AS n_events, CAST(coalesce(ev.n_categories, 0) AS BIGINT) AS n_categories,
        {s_fmt_d('ne.occurred_on')} AS latest_event_on, ne.title AS latest_event_title,
-       {s_fmt_ts('lv.measured_at')} AS latest_measured_at, lv.heart_rate_bpm AS latest_heart_rate_bpm,
-       td.step_count AS today_step_count, CAST(td.sleep_hours AS DOUBLE) AS today_sleep_hours,
+       lv.vital_id AS latest_vital_id, {s_fmt_ts('lv.measured_at')} AS latest_measured_at,
+       lv.heart_rate_bpm AS latest_heart_rate_bpm, lv.blood_pressure_systolic AS latest_blood_pressure_systolic,
+       lv.blood_pressure_diastolic AS latest_blood_pressure_diastolic,
+       CAST(lv.body_temp_c AS DOUBLE) AS latest_body_temp_c, CAST(lv.stress_score AS DOUBLE) AS latest_stress_score,
+       lv.source_channel AS latest_source_channel,
+       td.step_count AS today_step_count, td.step_goal AS today_step_goal, CAST(td.sleep_hours AS DOUBLE) AS today_sleep_hours,
        CAST(td.stress_level AS DOUBLE) AS today_stress_level
 FROM "Patient" p
 LEFT JOIN user_app_profile pr ON pr.patient_no = p.patient_no
@@ -854,3 +859,10 @@ def _retry_cycle_sql():
 
 
 _reg("ledger_retry_cycle", _retry_cycle_sql())
+
+_reg("my_health", f"""
+SELECT r."by" AS resolved_by, r.value, f.*
+FROM ({ORACLE['resolve_patient']}) r
+JOIN ({ORACLE['patient_360']}) f ON f.patient_no = r.patient_no
+WHERE r.patient_no IS NOT NULL
+""")

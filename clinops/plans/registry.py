@@ -499,3 +499,11 @@ def q_wearable_kpi_cards(spark, sf_dir):
 @register("ledger_retry_cycle")
 def q_ledger_retry_cycle(spark, sf_dir):
     return ledger.ledger_retry_cycle(_v(spark, sf_dir, "batch_job_log"), WEAR_AS_OF_TS, limit=10)
+
+
+@register("my_health")
+def q_my_health(spark, sf_dir):
+    p, pr, dis, ev, vt, dw = _v(spark, sf_dir, "Patient", "user_app_profile", "disability",
+                                "patient_clinical_event", "user_vital_measurement", "user_daily_wellness")
+    return patient.my_health(lookup_requests(spark, sf_dir), p, pr, dis, ev, vt, dw,
+                             WEAR_AS_OF_TS).drop("events_by_category")

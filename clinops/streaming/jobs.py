@@ -44,6 +44,18 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType = EVENTS_SC
     return r.load(path)
 
 
+def start_ingest(readings: DataFrame, path: str, checkpoint_path: str, ts_col: str = "measured_at",
+                 available_now: bool = True) -> StreamingQuery:
+    """Trickle ingest: append readings to a parquet table partitioned by day.
+    The file sink commits each micro-batch through its own log, so a replay
+    after a failure writes nothing twice."""
+    out = readings.withColumn("day", F.to_date(F.col(ts_col)))
+    w = (out.writeStream.format("parquet").option("path", path)
+         .option("checkpointLocation", checkpoint_path).partitionBy("day").outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")
+    return w.start()
+
+
 def wellness_increments(events: DataFrame) -> DataFrame:
     """Readings → daily-wellness increments (same binding as the batch view)."""
     return events.selectExpr(

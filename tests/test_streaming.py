@@ -65,3 +65,17 @@ def test_sync_stream_exactly_once(spark):
     assert spark.read.parquet(target).count() == n
     jobs.apply_sync_batch(jobs.vital_readings(spark.read.parquet(src)), 99, target)   # replay everything
     assert spark.read.parquet(target).count() == n
+
+
+def test_trickle_ingest_partitions_by_day_and_is_complete(spark):
+    src, work = _source(spark), tempfile.mkdtemp(prefix="clinops-work-")
+    out, ckpt = os.path.join(work, "bronze"), os.path.join(work, "ckpt")
+    q = jobs.start_ingest(jobs.vital_readings(jobs.read_stream(spark, src, max_files_per_trigger=1)), out, ckpt)
+    q.awaitTermination(300)
+    got = spark.read.parquet(out)
+    assert got.count() == raw(spark, SF, "events").count()
+    assert got.where(F.col("day") != F.to_date("measured_at")).count() == 0
+    # restarting on the same checkpoint with no new files adds nothing
+    q2 = jobs.start_ingest(jobs.vital_readings(jobs.read_stream(spark, src)), out, ckpt)
+    q2.awaitTermination(300)
+    assert spark.read.parquet(out).count() == got.count()
