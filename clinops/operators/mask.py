@@ -35,60 +35,64 @@ WEARABLE_ID_COLUMNS = ("vital_id", "clinical_event_id", "source_mysql_treatment_
 WEARABLE_TEXT_COLUMNS = ("title", "department")
 
 
+# The masking rules in the order they are tried.  Each entry is
+# (test on the lower-cased column name, pattern, mask, adds a hash, strings only).
+MASK_RULES = (
+    ("in", ID_COLUMNS, "id", True, False),
+    ("in", RRN_COLUMNS, "rrn", True, True),
+    ("equals", CERTIFICATE_COLUMN, "text", True, True),
+    ("contains_unless", ("name", NAME_EXCEPTIONS), "name", True, True),
+    ("contains", "email", "email", True, True),
+    ("in_or_contains", (PHONE_COLUMNS, "phone"), "phone", True, True),
+    ("contains", "passport", "passport", True, True),
+    ("in", ADDRESS_COLUMNS, "address", True, True),
+    ("contains", "birth", "birth", False, True),
+    ("contains_any", TEXT_HINTS, "text", True, True),
+)
+# Extra rules of strict mode (quirk Q8), tried after the ones above.
+STRICT_RULES = (
+    ("equals", "app_user_id", "id", True, False),
+    ("contains", "birth", "birth", False, False),
+    ("equals", "guardian", "name", True, True),
+)
+
+_NAME_TESTS = {
+    "in": lambda k, p: k in p,
+    "equals": lambda k, p: k == p,
+    "contains": lambda k, p: p in k,
+    "contains_any": lambda k, p: any(x in k for x in p),
+    "contains_unless": lambda k, p: p[0] in k and k not in p[1],
+    "in_or_contains": lambda k, p: k in p[0] or p[1] in k,
+}
+
+
 def _rule(name: str, dtype: T.DataType, strict: bool) -> tuple[str, bool] | None:
-    """(rule, hashed) for one column, or None to keep it."""
+    """(mask, hashed) for one column, or None to keep it: the first rule
+    whose name test matches and whose type condition holds."""
     k = name.lower()
-    if k in ID_COLUMNS:
-        return "id", True
-    if strict and k == "app_user_id":
-        return "id", True
-    if not isinstance(dtype, T.StringType):
-        if strict and "birth" in k:
-            return "birth", False
-        return None
-    if k in RRN_COLUMNS:
-        return "rrn", True
-    if k == CERTIFICATE_COLUMN:
-        return "text", True
-    if "name" in k and k not in NAME_EXCEPTIONS:
-        return "name", True
-    if "email" in k:
-        return "email", True
-    if k in PHONE_COLUMNS or "phone" in k:
-        return "phone", True
-    if "passport" in k:
-        return "passport", True
-    if k in ADDRESS_COLUMNS:
-        return "address", True
-    if "birth" in k:
-        return "birth", False
-    if any(h in k for h in TEXT_HINTS):
-        return "text", True
-    if strict and k == "guardian":
-        return "name", True
+    is_string = isinstance(dtype, T.StringType)
+    rules = MASK_RULES + STRICT_RULES if strict else MASK_RULES
+    for test, pattern, mask, hashed, strings_only in rules:
+        if (is_string or not strings_only) and _NAME_TESTS[test](k, pattern):
+            return mask, hashed
     return None
 
 
+MASKS = {
+    "id": mask_id,
+    "rrn": mask_rrn,
+    "text": mask_text,
+    "name": mask_name,
+    "email": mask_email,
+    "phone": mask_phone,
+    "passport": lambda c: F.when(c.isNotNull(), F.lit(PASSPORT_MASK)),
+    "address": mask_address,
+    "birth": lambda c: F.when(c.isNotNull(), F.lit(BIRTH_MASK)),
+}
+
+
 def _apply(rule: str, c: Column) -> Column:
-    if rule == "id":
-        return mask_id(c)
-    if rule == "rrn":
-        return mask_rrn(c)
-    if rule == "text":
-        return mask_text(c)
-    if rule == "name":
-        return mask_name(c)
-    if rule == "email":
-        return mask_email(c)
-    if rule == "phone":
-        return mask_phone(c)
-    if rule == "passport":
-        return F.when(c.isNotNull(), F.lit(PASSPORT_MASK))
-    if rule == "address":
-        return mask_address(c)
-    if rule == "birth":
-        return F.when(c.isNotNull(), F.lit(BIRTH_MASK))
-    raise ValueError(rule)
+    return MASKS[rule](c)
 
 
 def sanitize(df: DataFrame, profile: str = "ops", hashes: bool = True,
