@@ -9,9 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from clinops.operators import metrics
-from clinops.sources.tables import OPS_AS_OF, load_view
+from pyspark.sql import functions as F
+
+from clinops.functions import display, labels
+from clinops.operators import ledger, metrics, patient, profile, sync, upsert, vitals
+from clinops.operators.mask import sanitize
+from clinops.plans import snapshot
+from clinops.sources.tables import (
+    OPS_AS_OF, OPS_TABLES, PG_TABLES, VIEWS, WEAR_AS_OF_TS, daily_wellness_view, load_view, raw, view_as_of,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -80,15 +86,6 @@ def q_kpi_growth(spark, sf_dir):
 
 
 # ---- masking / labels / display -------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
-
-from clinops.functions import display, labels  # noqa: E402
-from clinops.operators import ledger, patient, profile, sync, upsert, vitals  # noqa: E402
-from clinops.operators.mask import sanitize  # noqa: E402
-from clinops.sources.tables import (  # noqa: E402
-    OPS_TABLES, PG_TABLES, VIEWS, WEAR_AS_OF_TS, load_view as _load, view_as_of,
-)
-
 
 @register("mask_customers")
 def q_mask_customers(spark, sf_dir):
@@ -147,7 +144,6 @@ ISO_TEXT = ("CASE WHEN event_id % 5 = 0 THEN concat('Tx-', event_type) "
 
 @register("format_datetimes")
 def q_format_datetimes(spark, sf_dir):
-    from clinops.sources.tables import raw
     ev = raw(spark, sf_dir, "events").selectExpr("event_id", "ts", "CAST(ts AS DATE) AS d", f"{ISO_TEXT} AS iso_text")
     return ev.select("event_id",
                      display.format_datetime(F.col("ts"), ev.schema["ts"].dataType).alias("ts_kr"),
@@ -167,7 +163,7 @@ OPS_CAPTIONS = dict(OPS_TABLES)
 
 
 def _ops_tables(spark, sf_dir):
-    return {n: (_load(spark, sf_dir, n), view_as_of(n)) for n in OPS_BOUND}
+    return {n: (load_view(spark, sf_dir, n), view_as_of(n)) for n in OPS_BOUND}
 
 
 @register("table_stats")
@@ -183,7 +179,7 @@ def q_table_daily_trend(spark, sf_dir):
 @register("table_counts")
 def q_table_counts(spark, sf_dir):
     def loader(name):
-        return _load(spark, sf_dir, name)
+        return load_view(spark, sf_dir, name)
     return profile.table_counts(spark, list(PG_TABLES), loader)
 
 
@@ -256,7 +252,6 @@ def q_vitals_long(spark, sf_dir):
 def lookup_requests(spark, sf_dir):
     """Identifier lookups derived from the customer table (one per patient):
     valid ids, app ids, emails, padded phone numbers and unparsable ids."""
-    from clinops.sources.tables import raw
     return raw(spark, sf_dir, "customer").selectExpr(
         "CASE c_custkey % 5 WHEN 0 THEN 'patient_no' WHEN 1 THEN 'app_user_id' WHEN 2 THEN 'email' "
         "WHEN 3 THEN 'tel' ELSE 'patient_no' END AS by",
@@ -418,7 +413,6 @@ def q_sync_quarantine(spark, sf_dir):
 
 @register("daily_wellness_rollup")
 def q_daily_wellness_rollup(spark, sf_dir):
-    from clinops.sources.tables import daily_wellness_view
     inc = _v(spark, sf_dir, "wellness_increment")
     stored = daily_wellness_view(inc.where(F.col("event_id") % 2 == 0))
     return sync.daily_wellness_rollup(stored, inc.where(F.col("event_id") % 2 == 1), WEAR_AS_OF_TS)
@@ -474,7 +468,6 @@ def q_ledger_payload_json(spark, sf_dir):
 
 
 # ---- composite snapshots ---------------------------------------------------
-from clinops.plans import snapshot  # noqa: E402
 
 
 @register("snapshot_json")
@@ -485,14 +478,14 @@ def q_snapshot_json(spark, sf_dir):
 
 @register("wearable_snapshot")
 def q_wearable_snapshot(spark, sf_dir):
-    snap = snapshot.wearable_snapshot(spark, lambda n: _load(spark, sf_dir, n), WEAR_AS_OF_TS)
+    snap = snapshot.wearable_snapshot(spark, lambda n: load_view(spark, sf_dir, n), WEAR_AS_OF_TS)
     return snapshot.to_json_row(snap)
 
 
 @register("wearable_kpi_cards")
 def q_wearable_kpi_cards(spark, sf_dir):
     v, d = _v(spark, sf_dir, "user_vital_measurement", "user_daily_wellness")
-    counts = profile.table_counts(spark, list(PG_TABLES), lambda n: _load(spark, sf_dir, n))
+    counts = profile.table_counts(spark, list(PG_TABLES), lambda n: load_view(spark, sf_dir, n))
     return profile.kpi_cards(counts, vitals.vitals_aggregate(v, d, WEAR_AS_OF_TS))
 
 
