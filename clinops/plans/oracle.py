@@ -10,8 +10,13 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from clinops.functions.labels import CATEGORY_LABELS, STATUS_LABELS, VALUE_LABELS
+from clinops.operators import ledger as _ledger
 from clinops.operators.metrics import _month_start
-from clinops.sources.tables import OPS_AS_OF, WEAR_AS_OF_TS, duck_with
+from clinops.operators.profile import KPI_CARDS, KPI_PLACEHOLDER
+from clinops.sources.tables import (
+    OPS_AS_OF, OPS_TABLES, PG_TABLES, VIEWS, WEAR_AS_OF_TS, duck_view_sql, duck_with, view_as_of,
+)
 
 ORACLE: dict[str, str] = {}
 
@@ -139,11 +144,6 @@ SELECT r30, p30, growth_pct, CASE WHEN growth_pct >= 0 THEN 'up' ELSE 'down' END
 # ---------------------------------------------------------------------------
 # SQL mirrors of the column functions (DuckDB dialect)
 # ---------------------------------------------------------------------------
-from clinops.functions.labels import (  # noqa: E402
-    CATEGORY_LABELS, STATUS_LABELS, VALUE_LABELS,
-)
-from clinops.operators import ledger as _ledger  # noqa: E402
-from clinops.sources.tables import OPS_TABLES, PG_TABLES, VIEWS, duck_view_sql, view_as_of  # noqa: E402
 
 FMT_TS = "'%Y년 %-m월 %-d일 %H:%M'"
 FMT_D = "'%Y년 %-m월 %-d일'"
@@ -808,7 +808,6 @@ SELECT batch_log_id, json_extract_string(result_payload, '$.job') AS job,
 FROM batch_job_log WHERE result_payload IS NOT NULL
 """)
 
-from clinops.operators.profile import KPI_CARDS, KPI_PLACEHOLDER  # noqa: E402
 
 
 def _kpi_sql():
