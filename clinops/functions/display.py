@@ -14,8 +14,9 @@ KST = "Asia/Seoul"
 _KST_OFFSET_MIN = 9 * 60
 
 # ISO-8601 text accepted by the display path: date 'T' HH:MM[:SS[.ffffff]]
-# with an optional 'Z' or ±HH:MM offset.
-_ISO_RE = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2})(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$"
+# with an optional 'Z' or ±HH:MM offset.  One regex pass rewrites a match to
+# "yyyy-MM-dd HH:mm|zone"; any other text comes back unchanged (no '|').
+_ISO_RE = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2})(?::\d{2}(?:\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$"
 
 
 def format_timestamp_ntz(c: Column) -> Column:
@@ -38,21 +39,21 @@ def format_date(c: Column) -> Column:
 
 
 def format_iso_text(c: Column) -> Column:
-    """Text containing 'T': parse ISO-8601 and caption it; else unchanged."""
-    date_part = F.regexp_extract(c, _ISO_RE, 1)
-    hm = F.regexp_extract(c, _ISO_RE, 2)
-    zone = F.regexp_extract(c, _ISO_RE, 5)
-    naive = F.try_to_timestamp(F.concat(date_part, F.lit(" "), hm),
+    """Text holding an ISO-8601 date-time → KST caption; any other text
+    (including NULL) unchanged.  Written without branches around the parse so
+    the parsed value is a common subexpression evaluated once per row."""
+    norm = F.regexp_replace(c, _ISO_RE, "$1 $2|$3")
+    zone = F.substring_index(norm, "|", -1)
+    naive = F.try_to_timestamp(F.substring_index(norm, "|", 1),
                                F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
     sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    offset_min = F.when((zone == "") | (zone == "Z"), F.lit(0)).otherwise(
-        sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int")))
-    shift = F.when(zone == "", F.lit(0)).otherwise(F.lit(_KST_OFFSET_MIN) - offset_min)
+    offset_min = sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int"))
+    shift = (F.when(F.instr(norm, "|") == 0, F.lit(None))
+             .when(zone == "", F.lit(0))
+             .when(zone == "Z", F.lit(_KST_OFFSET_MIN))
+             .otherwise(F.lit(_KST_OFFSET_MIN) - offset_min))
     kst = naive + F.make_dt_interval(F.lit(0), F.lit(0), shift)
-    formatted = format_timestamp_ntz(kst)
-    return (F.when(c.isNull(), F.lit(None).cast("string"))
-            .when(~c.contains("T"), c)
-            .otherwise(F.coalesce(formatted, c)))
+    return F.coalesce(format_timestamp_ntz(kst), c)
 
 
 def format_datetime(c: Column, dtype: T.DataType) -> Column:
