@@ -34,3 +34,10 @@ def test_reader_memo_and_refresh(spark):
     a = raw(spark, SF, "nation")
     assert raw(spark, SF, "nation") is a
     assert raw(spark, SF, "nation", refresh=True) is not a
+
+
+def test_bindings_match_declared_schemas(spark):
+    from clinops.sources.schema import SCHEMAS
+    for name, declared in SCHEMAS.items():
+        got = load_view(spark, SF, name).schema
+        assert [(f.name, f.dataType) for f in got.fields] == [(f.name, f.dataType) for f in declared.fields], name
