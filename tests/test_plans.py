@@ -88,3 +88,27 @@ def test_hot_patient_results_match_brute_force(spark):
     for vid, pn, ts in sorted(pending):
         first.setdefault((pn, ts), vid)
     assert ins == {vid for key, vid in first.items() if key not in tkeys}
+
+
+def test_bucketed_layout_removes_the_join_shuffle(spark):
+    import tempfile
+
+    from clinops.operators import patient as P
+    from clinops.sources.layout import bucket_count, save_bucketed
+    from clinops.sources.tables import load_view
+
+    assert bucket_count(1) == 8 and bucket_count(10 * 1024 ** 4) == 65536
+    base = tempfile.mkdtemp(prefix="clinops-bucket-")
+    pts = save_bucketed(load_view(spark, SF, "Patient").select("patient_no", "patient_name"),
+                        "pt_bucketed", ["patient_no"], 8, f"{base}/pt")
+    vit = save_bucketed(load_view(spark, SF, "user_vital_measurement"), "vit_bucketed", ["patient_no"], 8,
+                        f"{base}/vit", sort_keys=["patient_no", "measured_at"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        latest = vitals.latest_vitals(vit)
+        joined = pts.join(latest, "patient_no", "left")
+        p = plan(joined)
+        assert "SortMergeJoin" in p and "Exchange hashpartitioning" not in p
+        assert joined.count() == pts.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
