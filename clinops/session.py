@@ -31,13 +31,14 @@ _BASE_CONF = {
 
 
 def get_spark(cpus: int | str = 8, shuffle_partitions: int | None = None,
-              app_name: str = "clinops") -> SparkSession:
+              app_name: str = "clinops", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Local session for tests / bench (``local[cpus]``)."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app_name)
     parts = shuffle_partitions or (int(cpus) if str(cpus).isdigit() else 8)
     conf = dict(_BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(parts)
     conf["spark.driver.memory"] = os.environ.get("CLINOPS_DRIVER_MEMORY", "16g")
+    conf.update(extra_conf or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_spark(8, shuffle_partitions=8, app_name="clinops-tests")
+    wh = tempfile.mkdtemp(prefix="clinops-wh-")
+    s = get_spark(8, shuffle_partitions=8, app_name="clinops-tests",
+                  extra_conf={"spark.sql.warehouse.dir": wh})
     yield s
 
 
