@@ -96,11 +96,13 @@ def _apply(rule: str, c: Column) -> Column:
 
 
 def sanitize(df: DataFrame, profile: str = "ops", hashes: bool = True,
-             strict: bool = False) -> DataFrame:
+             strict: bool = False, key_sidecars: tuple[str, ...] = ()) -> DataFrame:
     """Mask personal data in every row.
 
     ``profile="wearable"`` adds the app-side id/text masks; ``strict`` also
     masks typed birth dates, ``guardian`` and ``app_user_id`` (quirk Q8).
+    ``key_sidecars`` keeps the raw value of the named columns as
+    ``<col>_key`` for drill-down links (off by default: it re-exposes the id).
     """
     out, side = [], []
     for f in df.schema.fields:
@@ -115,4 +117,5 @@ def sanitize(df: DataFrame, profile: str = "ops", hashes: bool = True,
         out.append(expr.alias(f.name))
         if hashes and rule is not None and rule[1]:
             side.append(sha256_hex(c).alias(f"{f.name}_sha256"))
-    return df.select(*out, *side)
+    keys = [F.col(f"`{k}`").alias(f"{k}_key") for k in key_sidecars if k in df.columns]
+    return df.select(*out, *side, *keys)

@@ -47,7 +47,7 @@ def pending_sync(vitals: DataFrame) -> DataFrame:
             .select("vital_id", "patient_no", "measured_at", "created_date", "intt_cd"))
 
 
-def recent_vitals(vitals: DataFrame, n: int = 12) -> DataFrame:
+def recent_vitals(vitals: DataFrame, n: int = 12, with_keys: bool = False) -> DataFrame:
     """Newest ``n`` readings, captioned time, sync flag, wearable mask."""
     top = vitals.orderBy(F.col("measured_at").desc(), F.col("vital_id").desc()).limit(n)
     shaped = top.select(
@@ -58,10 +58,10 @@ def recent_vitals(vitals: DataFrame, n: int = 12) -> DataFrame:
         F.col("stress_score").cast("double").alias("stress_score"),
         "source_channel",
         F.col("synced_to_mysql_at").isNotNull().alias("synced_mysql"))
-    return sanitize(shaped, profile="wearable")
+    return sanitize(shaped, profile="wearable", key_sidecars=("patient_no",) if with_keys else ())
 
 
-def recent_events(events: DataFrame, n: int = 15) -> DataFrame:
+def recent_events(events: DataFrame, n: int = 15, with_keys: bool = False) -> DataFrame:
     """Newest ``n`` clinical events with labels, wearable mask and the
     'any row carries a source treatment id' flag over that short list."""
     top = events.orderBy(F.col("occurred_on").desc(), F.col("clinical_event_id").desc()).limit(n)
@@ -74,10 +74,10 @@ def recent_events(events: DataFrame, n: int = 15) -> DataFrame:
         # bounded: the window spans the n listed rows only
         F.max(F.col("source_mysql_treatment_id").isNotNull()).over(Window.partitionBy())
         .alias("include_mysql_treatment_id_column"))
-    return sanitize(shaped, profile="wearable")
+    return sanitize(shaped, profile="wearable", key_sidecars=("patient_no",) if with_keys else ())
 
 
-def recent_wellness(daily: DataFrame, n: int = 10) -> DataFrame:
+def recent_wellness(daily: DataFrame, n: int = 10, with_keys: bool = False) -> DataFrame:
     """Newest ``n`` daily rows (date desc, patient asc), masked."""
     top = daily.orderBy(F.col("summary_date").desc(), F.col("patient_no").asc()).limit(n)
     shaped = top.select(
@@ -86,7 +86,7 @@ def recent_wellness(daily: DataFrame, n: int = 10) -> DataFrame:
         F.col("sleep_hours").cast("double").alias("sleep_hours"),
         F.col("stress_level").cast("double").alias("stress_level"),
         F.col("synced_to_mysql_at").isNotNull().alias("synced_mysql"))
-    return sanitize(shaped, profile="wearable")
+    return sanitize(shaped, profile="wearable", key_sidecars=("patient_no",) if with_keys else ())
 
 
 def clinical_by_category(events: DataFrame) -> DataFrame:

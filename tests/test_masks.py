@@ -78,3 +78,12 @@ def test_sanitize_wearable_extras(spark):
     r = sanitize(df, profile="wearable").collect()[0]
     assert (r.vital_id, r.patient_no, r.title, r.department, r.source_mysql_treatment_id) == (
         "***23", "***", "긴 *****", "", None)
+
+
+def test_key_sidecar_is_opt_in(spark):
+    from clinops.operators import vitals as V
+    from clinops.sources.tables import load_view
+    v = load_view(spark, "/root/testdata/sf0.001", "user_vital_measurement")
+    assert "patient_no_key" not in V.recent_vitals(v).columns
+    r = V.recent_vitals(v, with_keys=True).collect()[0]
+    assert r.patient_no == "***" + str(r.patient_no_key)[-2:] or len(str(r.patient_no_key)) < 2
