@@ -28,13 +28,17 @@ def _key_cond(left: str, right: str, keys: Iterable[str]) -> Column:
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: list[str],
-           with_action: bool = False) -> DataFrame:
+           with_action: bool = False, source_order: list[str] | None = None) -> DataFrame:
     """Insert source rows with new keys; for existing keys overwrite only
     ``update_cols`` and keep every other target value.
 
     One shuffle join on the key columns.  The result has the target's
-    columns (plus ``action`` = insert/update/keep when asked).
+    columns (plus ``action`` = insert/update/keep when asked).  A source that
+    may repeat a key is first reduced to its last row per key by
+    ``source_order`` (sequential ``ON DUPLICATE KEY`` semantics).
     """
+    if source_order:
+        source = dedupe_latest(source, keys, source_order)
     s = source.select(*[F.col(c) for c in source.columns if c in target.columns]).withColumn("__s", F.lit(True))
     t = target.withColumn("__t", F.lit(True))
     j = t.alias("t").join(s.alias("s"), _key_cond("t", "s", keys), "full_outer")
@@ -64,13 +68,12 @@ def insert_if_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> Dat
 
 
 def new_rows(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Rows whose key is not in ``target``, one per key (smallest ``order``
-    value, or an arbitrary one) — a left-anti shuffle join."""
-    if order:
-        first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("__r"))
-        rows = first.select("__r.*")
-    else:
-        rows = rows.dropDuplicates(keys)
+    """Rows whose key is not in ``target``, one per key — the one with the
+    smallest ``order`` value (or the smallest row) so a recomputed task picks
+    the same row — then a left-anti shuffle join."""
+    whole = F.struct(*rows.columns)
+    pick = F.min_by(whole, F.col(order)) if order else F.min(whole)
+    rows = rows.groupBy(*keys).agg(pick.alias("__r")).select("__r.*")
     tk = target.select(*keys)
     return rows.alias("r").join(tk.alias("k"), _key_cond("r", "k", keys), "left_anti")
 

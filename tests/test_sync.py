@@ -148,3 +148,10 @@ def test_merge_into_partitions_rewrites_only_touched(spark):
     assert got == [(1, "2024-01-01", 10, "A"), (1, "2024-01-02", 99, "A"), (2, "2024-01-01", 20, "A"),
                    (3, "2024-01-02", 5, "B")]
     assert sorted(os.listdir(untouched)) == before      # day 1 files never rewritten
+
+
+def test_upsert_source_order_last_row_wins(spark):
+    tgt = spark.createDataFrame([(1, "old")], "k long, v string")
+    src = spark.createDataFrame([(1, "a", 1), (1, "c", 3), (1, "b", 2), (2, "x", 1)], "k long, v string, seq int")
+    out = {r.k: r.v for r in upsert.upsert(tgt, src, ["k"], ["v"], source_order=["seq"]).collect()}
+    assert out == {1: "c", 2: "x"}
