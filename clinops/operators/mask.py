@@ -96,13 +96,16 @@ def _apply(rule: str, c: Column) -> Column:
 
 
 def sanitize(df: DataFrame, profile: str = "ops", hashes: bool = True,
-             strict: bool = False, key_sidecars: tuple[str, ...] = ()) -> DataFrame:
+             strict: bool = False, key_sidecars: tuple[str, ...] = (),
+             hash_salt: str | None = None) -> DataFrame:
     """Mask personal data in every row.
 
     ``profile="wearable"`` adds the app-side id/text masks; ``strict`` also
     masks typed birth dates, ``guardian`` and ``app_user_id`` (quirk Q8).
     ``key_sidecars`` keeps the raw value of the named columns as
     ``<col>_key`` for drill-down links (off by default: it re-exposes the id).
+    ``hash_salt`` prefixes the value before hashing; the default (no salt)
+    keeps parity, but unsalted hashes of small id spaces can be reversed.
     """
     out, side = [], []
     for f in df.schema.fields:
@@ -116,6 +119,7 @@ def sanitize(df: DataFrame, profile: str = "ops", hashes: bool = True,
                 expr = F.when(expr != "", mask_text(expr)).otherwise(expr)
         out.append(expr.alias(f.name))
         if hashes and rule is not None and rule[1]:
-            side.append(sha256_hex(c).alias(f"{f.name}_sha256"))
+            hv = c if hash_salt is None else F.concat(F.lit(hash_salt), c.cast("string"))
+            side.append(sha256_hex(hv).alias(f"{f.name}_sha256"))
     keys = [F.col(f"`{k}`").alias(f"{k}_key") for k in key_sidecars if k in df.columns]
     return df.select(*out, *side, *keys)

@@ -87,3 +87,11 @@ def test_key_sidecar_is_opt_in(spark):
     assert "patient_no_key" not in V.recent_vitals(v).columns
     r = V.recent_vitals(v, with_keys=True).collect()[0]
     assert r.patient_no == "***" + str(r.patient_no_key)[-2:] or len(str(r.patient_no_key)) < 2
+
+
+def test_hash_salt_option(spark):
+    df = spark.createDataFrame([(15,)], "patient_no long")
+    plain = sanitize(df).collect()[0].patient_no_sha256
+    salted = sanitize(df, hash_salt="s3cr3t").collect()[0].patient_no_sha256
+    assert plain == hashlib.sha256(b"15").hexdigest()
+    assert salted == hashlib.sha256(b"s3cr3t15").hexdigest()
