@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 
 from clinops.functions.common import as_datetime, ts_lit
 
+# Ledger job names of the scheduled and manual runs.
+JOB_NAMES = {
+    "pipeline.initial": "pipeline.initial",
+    "pipeline.completion": "pipeline.completion",
+    "etl.wearable_slot": "etl.wearable_slot",
+    "etl.postgres_to_mysql": "etl.postgres_to_mysql",
+    "etl.mysql_to_postgres": "etl.mysql_to_postgres",
+}
+PIPELINE_JOBS = {"initial": "pipeline.initial", "completion": "pipeline.completion"}
+
+
+def pipeline_job_name(kind: str) -> str:
+    """Ledger name of a pipeline run ('initial' or anything else → completion)."""
+    return PIPELINE_JOBS["initial"] if kind == "initial" else PIPELINE_JOBS["completion"]
+
+
 RECENT_DEFAULT, RECENT_MAX = 50, 200
 RETRY_DELAY_MIN, MAX_ATTEMPTS = 5, 3
 # Payload fields the run API lifts out of the result payload.

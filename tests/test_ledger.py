@@ -62,3 +62,8 @@ def test_retry_cycle_marks_origins_and_appends_runs(spark):
     assert out[3].status == "FAILED"                         # not yet due
     assert (out[8].retry_of_log_id, out[8].attempt_no, out[8].status) == (7, 3, "RUNNING")   # due order: 7 then 1
     assert (out[9].retry_of_log_id, out[9].attempt_no, out[9].trigger_type) == (1, 2, "retry")
+
+
+def test_pipeline_job_names():
+    assert ledger.pipeline_job_name("initial") == "pipeline.initial"
+    assert ledger.pipeline_job_name("completion") == "pipeline.completion"
