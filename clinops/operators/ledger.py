@@ -14,13 +14,8 @@ from pyspark.sql import functions as F
 from clinops.functions.common import as_datetime, ts_lit
 
 # Ledger job names of the scheduled and manual runs.
-JOB_NAMES = {
-    "pipeline.initial": "pipeline.initial",
-    "pipeline.completion": "pipeline.completion",
-    "etl.wearable_slot": "etl.wearable_slot",
-    "etl.postgres_to_mysql": "etl.postgres_to_mysql",
-    "etl.mysql_to_postgres": "etl.mysql_to_postgres",
-}
+JOB_NAMES = ("pipeline.initial", "pipeline.completion", "etl.wearable_slot",
+             "etl.postgres_to_mysql", "etl.mysql_to_postgres")
 PIPELINE_JOBS = {"initial": "pipeline.initial", "completion": "pipeline.completion"}
 
 
