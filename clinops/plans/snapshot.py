@@ -113,16 +113,17 @@ def wearable_snapshot(spark, loader, as_of_ts) -> DataFrame:
     agg = agg.select(F.struct(*agg.columns).alias("vitals_aggregate"))
     rv = vitals.recent_vitals(v, 12)
     rv = rv.agg(F.collect_list(F.struct(*rv.columns)).alias("recent_vitals"))
-    re_ = vitals.recent_events(e, 15)
-    flag = re_.agg(F.coalesce(F.max("include_mysql_treatment_id_column"), F.lit(False))
-                   .alias("include_mysql_treatment_id_column"))
-    re_ = re_.drop("include_mysql_treatment_id_column")
-    re_ = re_.agg(F.collect_list(F.struct(*re_.columns)).alias("recent_clinical_events"))
+    re_ = vitals.recent_events(e, 15).drop("include_mysql_treatment_id_column")
+    # the flag is read off the listed rows (a masked id is NULL exactly when the raw one is)
+    re_ = re_.agg(F.collect_list(F.struct(*re_.columns)).alias("recent_clinical_events")).select(
+        "recent_clinical_events",
+        F.exists("recent_clinical_events", lambda x: x["source_mysql_treatment_id"].isNotNull())
+        .alias("include_mysql_treatment_id_column"))
     rw = vitals.recent_wellness(d, 10)
     rw = rw.agg(F.collect_list(F.struct(*rw.columns)).alias("daily_wellness_sample_rows"))
     gen = spark.range(1).select(F.lit(True).alias("connected"),
                                 format_timestamp_ntz(ts_lit(as_datetime(as_of_ts))).alias("generated_at"))
-    return _one_row([gen, flag, counts, etl, cats, agg, rv, re_, rw])
+    return _one_row([gen, counts, etl, cats, agg, rv, re_, rw])
 
 
 def to_json_row(df: DataFrame, name: str = "snapshot") -> DataFrame:
