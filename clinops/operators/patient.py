@@ -40,15 +40,27 @@ def resolve_patient(requests: DataFrame, patients: DataFrame, profiles: DataFram
     """requests(by, value) → (by, value, patient_no or NULL).
 
     Value is stripped; blank never matches; a patient_no value must parse as
-    an integer.  All request kinds resolve through ONE equi-join on (by, key).
+    an integer.  The distinct request keys of each kind are joined to that
+    kind's identifier column — when requests are few (the usual case) AQE
+    broadcasts them and the patient tables are scanned but never shuffled;
+    when they are many it is one sort-merge join per kind.  Ambiguous keys
+    resolve to the smallest patient_no (quirk Q14).
     """
     v = ustrip(F.col("value"))
     key = (F.when(v.isNull() | (v == ""), F.lit(None).cast("string"))
            .when(F.col("by") == "patient_no", F.expr("try_cast(value_s AS BIGINT)").cast("string"))
            .when(F.col("by").isin(*LOOKUP_KINDS[1:]), v))
     req = requests.withColumn("value_s", v).withColumn("key", key)
-    return (req.join(identifier_lookup(patients, profiles), ["by", "key"], "left")
-            .select("by", "value", "patient_no"))
+    wanted = req.where(F.col("key").isNotNull()).select("by", "key").distinct()
+    sources = {
+        "patient_no": patients.select(F.col("patient_no").cast("string").alias("key"), "patient_no"),
+        "app_user_id": profiles.select(F.col("app_user_id").alias("key"), "patient_no"),
+        "email": patients.select(F.col("patient_email").alias("key"), "patient_no"),
+        "tel": patients.select(F.col("patient_tel").alias("key"), "patient_no"),
+    }
+    hits = union_all([wanted.where(F.col("by") == kind).join(src, "key") for kind, src in sources.items()])
+    best = hits.groupBy("by", "key").agg(F.min("patient_no").alias("patient_no"))
+    return req.join(best, ["by", "key"], "left").select("by", "value", "patient_no")
 
 
 def _masked_side(df: DataFrame, key_alias: str) -> DataFrame:

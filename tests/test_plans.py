@@ -112,3 +112,15 @@ def test_bucketed_layout_removes_the_join_shuffle(spark):
         assert joined.count() == pts.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+
+
+def test_few_requests_do_not_shuffle_the_patient_tables(spark):
+    from clinops.operators import patient as P
+    from clinops.sources.tables import load_view
+    req = spark.createDataFrame([("patient_no", "3"), ("email", "nobody@x"), ("tel", " 010-0000-0000 ")],
+                                "by string, value string")
+    out = P.resolve_patient(req, load_view(spark, SF, "Patient"), load_view(spark, SF, "user_app_profile"))
+    rows = {r.value: r.patient_no for r in out.collect()}
+    assert rows["3"] == 3 and rows["nobody@x"] is None
+    final = out._jdf.queryExecution().executedPlan().toString()   # adaptive plan after execution
+    assert "BroadcastHashJoin" in final
