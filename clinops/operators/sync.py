@@ -161,8 +161,11 @@ def sync_treatments(treatments: DataFrame, events: DataFrame, as_of_ts, limit: i
     """
     batch = pending(treatments, "synced_to_postgres_at", ["treatment_id"], limit,
                     extra=F.col("patient_no").isNotNull())
+    # only the event rows whose source id is in the batch (semi-join with the
+    # batch as build side: a small batch is broadcast, the events are not shuffled)
     existing = (events.where(F.col("source_mysql_treatment_id").isNotNull())
-                .select(F.col("source_mysql_treatment_id").alias("treatment_id")).distinct()
+                .select(F.col("source_mysql_treatment_id").alias("treatment_id"))
+                .join(batch.select("treatment_id"), "treatment_id", "left_semi").distinct()
                 .withColumn("__exists", F.lit(True)))
     tagged = batch.join(existing, "treatment_id", "left")
     outcomes = tagged.select("treatment_id", F.when(F.col("__exists"), F.lit("skipped_existing"))

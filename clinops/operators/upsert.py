@@ -74,8 +74,13 @@ def new_rows(target: DataFrame, rows: DataFrame, keys: list[str], order: str | N
     whole = F.struct(*rows.columns)
     pick = F.min_by(whole, F.col(order)) if order else F.min(whole)
     rows = rows.groupBy(*keys).agg(pick.alias("__r")).select("__r.*")
-    tk = target.select(*keys)
-    return rows.alias("r").join(tk.alias("k"), _key_cond("r", "k", keys), "left_anti")
+    # Reduce the (large) target to the keys the batch actually has: a semi-join
+    # whose build side is the batch, so a small batch is broadcast (AQE) and
+    # the target is scanned but never shuffled; the anti-join then meets a
+    # key set no larger than the batch.
+    present = (target.select(*keys).alias("k")
+               .join(rows.select(*keys).alias("b"), _key_cond("k", "b", keys), "left_semi"))
+    return rows.alias("r").join(present.alias("k"), _key_cond("r", "k", keys), "left_anti")
 
 
 def delete_where(df: DataFrame, predicate: Column) -> DataFrame:

@@ -124,3 +124,14 @@ def test_few_requests_do_not_shuffle_the_patient_tables(spark):
     assert rows["3"] == 3 and rows["nobody@x"] is None
     final = out._jdf.queryExecution().executedPlan().toString()   # adaptive plan after execution
     assert "BroadcastHashJoin" in final
+
+
+def test_small_batch_prefilters_the_target_by_broadcast(spark):
+    from clinops.operators import upsert as U
+    from clinops.sources.tables import load_view
+    target = load_view(spark, SF, "treatments").select("treatment_id", "patient_no")
+    batch = spark.createDataFrame([(1, 5), (10_000_001, 7)], "treatment_id long, patient_no long")
+    out = U.new_rows(target, batch, ["treatment_id"])
+    assert [r.treatment_id for r in out.collect()] == [10_000_001]
+    final = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in final and "LeftSemi" in final
