@@ -179,6 +179,14 @@ def merge_into_partitions(target_path: str, source: DataFrame, keys: list[str],
      .partitionBy(partition_col).parquet(target_path))
 
 
+def with_key_bucket(df: DataFrame, keys: list[str], buckets: int, name: str = "key_bucket") -> DataFrame:
+    """Partition column for keyed tables with no natural date (patients,
+    profiles): a stable hash bucket of the key.  With the table partitioned by
+    it, ``merge_into_partitions`` rewrites only the buckets a batch's keys fall
+    into instead of the whole table."""
+    return df.withColumn(name, F.pmod(F.xxhash64(*keys), F.lit(int(buckets))))
+
+
 def dedupe_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last row per key by ``order`` (partial aggregation, no per-key sort)."""
     agg = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("__r"))

@@ -155,3 +155,22 @@ def test_upsert_source_order_last_row_wins(spark):
     src = spark.createDataFrame([(1, "a", 1), (1, "c", 3), (1, "b", 2), (2, "x", 1)], "k long, v string, seq int")
     out = {r.k: r.v for r in upsert.upsert(tgt, src, ["k"], ["v"], source_order=["seq"]).collect()}
     assert out == {1: "c", 2: "x"}
+
+
+def test_key_bucket_merge_touches_only_its_buckets(spark):
+    import os
+    import tempfile
+    base = tempfile.mkdtemp(prefix="clinops-kb-")
+    path = os.path.join(base, "patients")
+    pts = upsert.with_key_bucket(spark.range(1000).selectExpr("id AS patient_no", "'old' AS name"),
+                                 ["patient_no"], 16)
+    pts.write.partitionBy("key_bucket").parquet(path)
+    stamp = {d: sorted(os.listdir(os.path.join(path, d))) for d in os.listdir(path) if d.startswith("key_bucket=")}
+    src = upsert.with_key_bucket(spark.createDataFrame([(3, "new"), (5000, "ins")], "patient_no long, name string"),
+                                 ["patient_no"], 16)
+    touched = {f"key_bucket={r.key_bucket}" for r in src.collect()}
+    upsert.merge_into_partitions(path, src, ["patient_no", "key_bucket"], ["name"], "key_bucket")
+    after = {d: sorted(os.listdir(os.path.join(path, d))) for d in os.listdir(path) if d.startswith("key_bucket=")}
+    assert all(after[d] == stamp[d] for d in stamp if d not in touched)
+    rows = {r.patient_no: r.name for r in spark.read.parquet(path).collect()}
+    assert len(rows) == 1001 and rows[3] == "new" and rows[5000] == "ins" and rows[4] == "old"
