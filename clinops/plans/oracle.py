@@ -575,7 +575,7 @@ _UPSERT_PATIENTS = duck_with("Patient") + f"""
 , tgt AS (SELECT * REPLACE (lower(patient_name) AS patient_name, 'OLD' AS patient_address,
                             '000-0000-0000' AS patient_tel, created_date AS last_modified_date), TRUE AS __t
           FROM "Patient" WHERE patient_no % 3 <> 2)
-, src AS (SELECT *, TRUE AS __s FROM "Patient" WHERE patient_no % 5 <> 4)
+, src AS (SELECT *, TRUE AS __s FROM "Patient")
 , merged AS (
 SELECT {_merge_cols(_PT_COLS, ['patient_no'], ['patient_name', 'patient_gender', 'patient_birth', 'patient_address',
                                                  'last_modified_date', 'intt_cd'])}
@@ -598,8 +598,7 @@ _reg("insert_if_absent", duck_with("treatments") + """
 , t AS (SELECT treatment_id, patient_no, treatment_type, intt_cd FROM treatments)
 SELECT * FROM t WHERE treatment_id % 2 = 0
 UNION ALL
-SELECT * FROM t r WHERE treatment_id % 3 = 0
-  AND NOT EXISTS (SELECT 1 FROM t k WHERE k.treatment_id % 2 = 0 AND k.treatment_id IS NOT DISTINCT FROM r.treatment_id)
+SELECT * FROM t r WHERE NOT EXISTS (SELECT 1 FROM t k WHERE k.treatment_id % 2 = 0 AND k.treatment_id IS NOT DISTINCT FROM r.treatment_id)
 """)
 
 _reg("delete_where", duck_with("treatments") + """

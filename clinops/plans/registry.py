@@ -301,8 +301,7 @@ def ops_patient_target(spark, sf_dir):
 
 @register("upsert_patients")
 def q_upsert_patients(spark, sf_dir):
-    src = _v(spark, sf_dir, "Patient").where(F.col("patient_no") % 5 != 4)
-    return sync.upsert_patients(ops_patient_target(spark, sf_dir), src)
+    return sync.upsert_patients(ops_patient_target(spark, sf_dir), _v(spark, sf_dir, "Patient"))
 
 
 @register("upsert_profiles")
@@ -316,8 +315,8 @@ def q_upsert_profiles(spark, sf_dir):
 @register("insert_if_absent")
 def q_insert_if_absent(spark, sf_dir):
     t = _v(spark, sf_dir, "treatments").select("treatment_id", "patient_no", "treatment_type", "intt_cd")
-    return upsert.insert_if_absent(t.where(F.col("treatment_id") % 2 == 0),
-                                   t.where(F.col("treatment_id") % 3 == 0), ["treatment_id"])
+    # target: the earlier state of the table (even ids); incoming rows: the whole table
+    return upsert.insert_if_absent(t.where(F.col("treatment_id") % 2 == 0), t, ["treatment_id"])
 
 
 @register("delete_where")
