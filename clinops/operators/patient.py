@@ -20,22 +20,6 @@ from clinops.operators.mask import sanitize
 LOOKUP_KINDS = ("patient_no", "app_user_id", "email", "tel")
 
 
-def identifier_lookup(patients: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(by, key, patient_no): every identifier a patient can be found by.
-
-    Ambiguous keys (two patients, one email) resolve to the smallest
-    patient_no — the reference takes an arbitrary first row (quirk Q14).
-    """
-    parts = [
-        patients.select(F.lit("patient_no").alias("by"), F.col("patient_no").cast("string").alias("key"), "patient_no"),
-        profiles.select(F.lit("app_user_id").alias("by"), F.col("app_user_id").alias("key"), "patient_no"),
-        patients.select(F.lit("email").alias("by"), F.col("patient_email").alias("key"), "patient_no"),
-        patients.select(F.lit("tel").alias("by"), F.col("patient_tel").alias("key"), "patient_no"),
-    ]
-    return (union_all(parts).where(F.col("key").isNotNull())
-            .groupBy("by", "key").agg(F.min("patient_no").alias("patient_no")))
-
-
 def resolve_patient(requests: DataFrame, patients: DataFrame, profiles: DataFrame) -> DataFrame:
     """requests(by, value) → (by, value, patient_no or NULL).
 
