@@ -53,7 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; we use it
-    as is.  Only when it is unset (local tests) do we create a scratch one.
+    as is.  Only a local-mode session without one (tests, the local bench)
+    gets a scratch folder; on a cluster a missing setting is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -64,6 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local"):
+        # a machine-local folder is useless to executors on other hosts
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) for this job")
     local = tempfile.mkdtemp(prefix="clinops-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
