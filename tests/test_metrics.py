@@ -110,3 +110,9 @@ def test_snapshot_blocks_equal_single_metrics(spark):
     assert snap["kpi"]["growth_pct"] == kg.growth_pct
     pt = metrics.production_top(dept, t).orderBy("rank").collect()
     assert snap["production"]["values"] == [r.value for r in pt]
+
+
+def test_kpi_growth_counts_future_rows_quirk_q2(spark):
+    rows = [(1, 1, "X", dt.datetime(2024, 2, 20)), (2, 1, "X", dt.datetime(2024, 5, 1))]   # second is after as_of
+    r = metrics.kpi_growth(tr(spark, rows), dt.date(2024, 3, 1)).collect()[0]
+    assert r.r30 == 2      # lower bound only, as the reference's window

@@ -174,3 +174,15 @@ def test_key_bucket_merge_touches_only_its_buckets(spark):
     assert all(after[d] == stamp[d] for d in stamp if d not in touched)
     rows = {r.patient_no: r.name for r in spark.read.parquet(path).collect()}
     assert len(rows) == 1001 and rows[3] == "new" and rows[5000] == "ins" and rows[4] == "old"
+
+
+def test_resolve_ambiguous_email_takes_smallest_patient_q14(spark):
+    from clinops.operators import patient as P
+    pts = spark.createDataFrame([(7, "a@x", "1"), (3, "a@x", "2"), (9, "b@x", "3")],
+                                "patient_no long, patient_email string, patient_tel string")
+    prof = spark.createDataFrame([(9, "U9")], "patient_no long, app_user_id string")
+    req = spark.createDataFrame([("email", " a@x "), ("app_user_id", "U9"), ("patient_no", "+7"),
+                                 ("patient_no", "x7"), ("tel", ""), ("email", None)], "by string, value string")
+    got = [(r.by, r.value, r.patient_no) for r in P.resolve_patient(req, pts, prof).collect()]
+    assert sorted(got, key=str) == sorted([("email", " a@x ", 3), ("app_user_id", "U9", 9), ("patient_no", "+7", 7),
+                                           ("patient_no", "x7", None), ("tel", "", None), ("email", None, None)], key=str)
