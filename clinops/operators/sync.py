@@ -261,12 +261,15 @@ def daily_wellness_rollup(stored: DataFrame, increments: DataFrame, as_of_ts) ->
 
 # ---- encounter fan-out ---------------------------------------------------
 def encounter_fanout(encounters: DataFrame, as_of_ts, key_base: DataFrame | None = None,
-                     department: DataFrame | None = None) -> DataFrame:
+                     department: DataFrame | None = None, min_encounters: int = 2) -> DataFrame:
     """One finished encounter (patient_no, status COMPLETED|CANCELLED) →
     check-in, treatment, out-treatment and prescription rows, as one long
     frame (``record_type``).  Status cascades COMPLETED → DISPENSED, else
     CANCELLED; comments are NULL for completed ones.  Ids are dense after
-    the current maximum (``key_base``); the department is the newest one."""
+    the current maximum (``key_base``); the department is the newest one.
+    A batch with fewer than ``min_encounters`` rows is refused (bounded probe)."""
+    if min_encounters and encounters.limit(min_encounters).count() < min_encounters:
+        raise ValueError(f"completion batch needs at least {min_encounters} encounters")
     now = as_datetime(as_of_ts)
     suffix = now.strftime("%Y%m%d%H%M%S")
     keyed = assign_keys(encounters, ["patient_no"], "enc_key", existing_max=key_base)

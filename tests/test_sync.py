@@ -186,3 +186,10 @@ def test_resolve_ambiguous_email_takes_smallest_patient_q14(spark):
     got = [(r.by, r.value, r.patient_no) for r in P.resolve_patient(req, pts, prof).collect()]
     assert sorted(got, key=str) == sorted([("email", " a@x ", 3), ("app_user_id", "U9", 9), ("patient_no", "+7", 7),
                                            ("patient_no", "x7", None), ("tel", "", None), ("email", None, None)], key=str)
+
+
+def test_encounter_fanout_needs_two_encounters(spark):
+    import pytest
+    one = spark.createDataFrame([(1, "COMPLETED")], "patient_no long, status string")
+    with pytest.raises(ValueError):
+        sync.encounter_fanout(one, NOW)
