@@ -42,7 +42,8 @@ def format_iso_text(c: Column) -> Column:
     """Text holding an ISO-8601 date-time → KST caption; any other text
     (including NULL) unchanged.  Written without branches around the parse so
     the parsed value is a common subexpression evaluated once per row."""
-    norm = F.regexp_replace(c, _ISO_RE, "$1 $2|$3")
+    # the regex only runs on text that has a 'T' at all
+    norm = F.when(F.instr(c, "T") > 0, F.regexp_replace(c, _ISO_RE, "$1 $2|$3"))
     zone = F.substring_index(norm, "|", -1)
     naive = F.try_to_timestamp(F.substring_index(norm, "|", 1),
                                F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")

@@ -49,7 +49,7 @@ def resolve_patient(requests: DataFrame, patients: DataFrame, profiles: DataFram
 
 def _masked_side(df: DataFrame, key_alias: str) -> DataFrame:
     keyed = df.withColumn(key_alias, F.col("patient_no"))
-    return drop_hashes(format_cells(sanitize(keyed)))
+    return drop_hashes(format_cells(sanitize(keyed, hashes=False)))
 
 
 def patient_card(patients: DataFrame, profiles: DataFrame) -> DataFrame:
