@@ -41,3 +41,20 @@ def test_bindings_match_declared_schemas(spark):
     for name, declared in SCHEMAS.items():
         got = load_view(spark, SF, name).schema
         assert [(f.name, f.dataType) for f in got.fields] == [(f.name, f.dataType) for f in declared.fields], name
+
+
+def test_submit_writes_a_registered_query(spark):
+    import json
+    import os
+    import tempfile
+
+    from clinops.plans import submit
+    out = os.path.join(tempfile.mkdtemp(prefix="clinops-submit-"), "league")
+    submit.main(["--key", "league_table", "--input", SF, "--output", out])
+    assert spark.read.parquet(out).count() == 30
+    snap = os.path.join(os.path.dirname(out), "snap")
+    submit.run(spark, "snapshot_json", SF, snap)
+    row = spark.read.json(snap).collect()[0]
+    assert "gauge" in json.loads(row.snapshot)
+    with pytest.raises(ValueError):
+        submit.run(spark, "nope", SF, snap)
