@@ -864,3 +864,10 @@ FROM ({ORACLE['resolve_patient']}) r
 JOIN ({ORACLE['patient_360']}) f ON f.patient_no = r.patient_no
 WHERE r.patient_no IS NOT NULL
 """)
+
+_reg("mask_institutions", duck_with("health_checkup_institution") + f"""
+SELECT institution_id, region_code, institution_name, institution_type, {s_address('address')} AS address,
+       {s_phone('phone_number')} AS phone_number, is_active, created_date, intt_cd,
+       {s_sha('address')} AS address_sha256, {s_sha('phone_number')} AS phone_number_sha256
+FROM health_checkup_institution
+""")

@@ -499,3 +499,8 @@ def q_my_health(spark, sf_dir):
                                 "patient_clinical_event", "user_vital_measurement", "user_daily_wellness")
     return patient.my_health(lookup_requests(spark, sf_dir), p, pr, dis, ev, vt, dw,
                              WEAR_AS_OF_TS).drop("events_by_category")
+
+
+@register("mask_institutions")
+def q_mask_institutions(spark, sf_dir):
+    return sanitize(_v(spark, sf_dir, "health_checkup_institution"))

@@ -69,6 +69,65 @@ SCHEMAS: dict[str, T.StructType] = {
         T.StructField("created_date", _TS),
         T.StructField("intt_cd", _S),
     ]),
+    "check_in": T.StructType([
+        T.StructField("checkIn_id", _L),
+        T.StructField("patient_no", _L),
+        T.StructField("user_id", _L),
+        T.StructField("checkIn_date", _TS),
+        T.StructField("checkIn_status", _S),
+        T.StructField("checkIn_comment", _S),
+        T.StructField("created_date", _TS),
+        T.StructField("last_modified_date", _TS),
+        T.StructField("intt_cd", _S),
+    ]),
+    "Prescription": T.StructType([
+        T.StructField("prescription_id", _L),
+        T.StructField("treatment_id", _L),
+        T.StructField("patient_no", _L),
+        T.StructField("prescription_doc", _L),
+        T.StructField("prescription_date", _TS),
+        T.StructField("prescription_status", _S),
+        T.StructField("prescription_type", _S),
+        T.StructField("prescription_memo", _S),
+        T.StructField("created_date", _TS),
+        T.StructField("last_modified_date", _TS),
+        T.StructField("intt_cd", _S),
+    ]),
+    "Prescription_Item": T.StructType([
+        T.StructField("prescription_item_id", _L),
+        T.StructField("prescription_id", _L),
+        T.StructField("drug_code", _S),
+        T.StructField("drug_name", _S),
+        T.StructField("frequency", _I),
+        T.StructField("days", _I),
+        T.StructField("total_quantity", _I),
+        T.StructField("unit", _S),
+        T.StructField("special_note", _S),
+        T.StructField("created_date", _TS),
+        T.StructField("intt_cd", _S),
+    ]),
+    "examination_result": T.StructType([
+        T.StructField("examination_result_id", _L),
+        T.StructField("examination_id", _L),
+        T.StructField("treatment_id", _L),
+        T.StructField("examination_date", _D),
+        T.StructField("examination_result", _S),
+        T.StructField("examination_normal", _I),
+        T.StructField("examination_notes", _S),
+        T.StructField("created_date", _TS),
+        T.StructField("intt_cd", _S),
+    ]),
+    "health_checkup_institution": T.StructType([
+        T.StructField("institution_id", _L),
+        T.StructField("region_code", _S),
+        T.StructField("institution_name", _S),
+        T.StructField("institution_type", _S),
+        T.StructField("address", _S),
+        T.StructField("phone_number", _S),
+        T.StructField("is_active", _I),
+        T.StructField("created_date", _TS),
+        T.StructField("intt_cd", _S),
+    ]),
     "batch_job_log": T.StructType([
         T.StructField("batch_log_id", _L),
         T.StructField("job_name", _S),
