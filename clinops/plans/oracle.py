@@ -871,3 +871,14 @@ SELECT institution_id, region_code, institution_name, institution_type, {s_addre
        {s_sha('address')} AS address_sha256, {s_sha('phone_number')} AS phone_number_sha256
 FROM health_checkup_institution
 """)
+
+_reg("mask_certificates", duck_with("diagnosis_certificate") + f"""
+SELECT certificate_id, {s_text('certificate_number')} AS certificate_number, {s_id('patient_id')} AS patient_id,
+       {s_id('doctor_id')} AS doctor_id, {s_name('diagnosis_name')} AS diagnosis_name, diagnosis_date,
+       {s_text('clinical_findings')} AS clinical_findings, {s_text('purpose')} AS purpose, status,
+       created_date, last_modified_date, intt_cd,
+       {s_sha('certificate_number')} AS certificate_number_sha256, {s_sha('patient_id')} AS patient_id_sha256,
+       {s_sha('doctor_id')} AS doctor_id_sha256, {s_sha('diagnosis_name')} AS diagnosis_name_sha256,
+       {s_sha('clinical_findings')} AS clinical_findings_sha256, {s_sha('purpose')} AS purpose_sha256
+FROM diagnosis_certificate
+""")

@@ -504,3 +504,8 @@ def q_my_health(spark, sf_dir):
 @register("mask_institutions")
 def q_mask_institutions(spark, sf_dir):
     return sanitize(_v(spark, sf_dir, "health_checkup_institution"))
+
+
+@register("mask_certificates")
+def q_mask_certificates(spark, sf_dir):
+    return sanitize(_v(spark, sf_dir, "diagnosis_certificate"))
