@@ -187,6 +187,38 @@ SCHEMAS: dict[str, T.StructType] = {
         T.StructField("last_modified_date", _TS),
         T.StructField("intt_cd", _S),
     ]),
+    "examination_journal": T.StructType([
+        T.StructField("examination_journal_id", _L),
+        T.StructField("examination_id", _L),
+        T.StructField("treatment_id", _L),
+        T.StructField("user_id", _L),
+        T.StructField("equipment_id", _L),
+        T.StructField("examination_time", _TS),
+        T.StructField("examination_equipment_usage", _I),
+        T.StructField("examination_notes", _S),
+        T.StructField("created_date", _TS),
+        T.StructField("intt_cd", _S),
+    ]),
+    "blood_bank": T.StructType([
+        T.StructField("blood_bank_id", _L),
+        T.StructField("examination_id", _L),
+        T.StructField("treatment_id", _L),
+        T.StructField("user_id", _L),
+        T.StructField("examination_time", _TS),
+        T.StructField("blood_type", _S),
+        T.StructField("created_date", _TS),
+        T.StructField("intt_cd", _S),
+    ]),
+    "disability_care_institution": T.StructType([
+        T.StructField("institution_id", _L),
+        T.StructField("institution_type", _S),
+        T.StructField("institution_name", _S),
+        T.StructField("service_type", _S),
+        T.StructField("address", _S),
+        T.StructField("is_active", _I),
+        T.StructField("created_date", _TS),
+        T.StructField("intt_cd", _S),
+    ]),
     "batch_job_log": T.StructType([
         T.StructField("batch_log_id", _L),
         T.StructField("job_name", _S),
