@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from clinops.functions import display, labels
 from clinops.operators import ledger, metrics, patient, profile, sync, upsert, vitals
 from clinops.operators.mask import sanitize
-from clinops.plans import snapshot
+from clinops.plans import profiles, snapshot
 from clinops.sources.tables import (
     OPS_AS_OF, OPS_TABLES, PG_TABLES, VIEWS, WEAR_AS_OF_TS, daily_wellness_view, load_view, raw, view_as_of,
 )
@@ -168,19 +168,17 @@ def _ops_tables(spark, sf_dir):
 
 @register("table_stats")
 def q_table_stats(spark, sf_dir):
-    return profile.table_stats(_ops_tables(spark, sf_dir), OPS_CAPTIONS, [n for n, _ in OPS_TABLES])
+    return profiles.bound_table_stats(spark, sf_dir, OPS_BOUND, OPS_CAPTIONS, [n for n, _ in OPS_TABLES])
 
 
 @register("table_daily_trend")
 def q_table_daily_trend(spark, sf_dir):
-    return profile.table_daily_trend(_ops_tables(spark, sf_dir))
+    return profiles.bound_daily_trend(spark, sf_dir, OPS_BOUND)
 
 
 @register("table_counts")
 def q_table_counts(spark, sf_dir):
-    def loader(name):
-        return load_view(spark, sf_dir, name)
-    return profile.table_counts(spark, list(PG_TABLES), loader)
+    return profiles.bound_table_counts(spark, sf_dir, list(PG_TABLES))
 
 
 SEARCH_QUERY, SEARCH_PAGE = " A ", 2
@@ -477,14 +475,15 @@ def q_snapshot_json(spark, sf_dir):
 
 @register("wearable_snapshot")
 def q_wearable_snapshot(spark, sf_dir):
-    snap = snapshot.wearable_snapshot(spark, lambda n: load_view(spark, sf_dir, n), WEAR_AS_OF_TS)
+    snap = snapshot.wearable_snapshot(spark, lambda n: load_view(spark, sf_dir, n), WEAR_AS_OF_TS,
+                                      table_counts=profiles.bound_table_counts(spark, sf_dir, list(PG_TABLES)))
     return snapshot.to_json_row(snap)
 
 
 @register("wearable_kpi_cards")
 def q_wearable_kpi_cards(spark, sf_dir):
     v, d = _v(spark, sf_dir, "user_vital_measurement", "user_daily_wellness")
-    counts = profile.table_counts(spark, list(PG_TABLES), lambda n: load_view(spark, sf_dir, n))
+    counts = profiles.bound_table_counts(spark, sf_dir, list(PG_TABLES))
     return profile.kpi_cards(counts, vitals.vitals_aggregate(v, d, WEAR_AS_OF_TS))
 
 

@@ -92,16 +92,18 @@ def operations_snapshot(department: DataFrame, treatments: DataFrame, schedule:
     return _one_row([gauge, timeline, pie, league, production, kpi])
 
 
-def wearable_snapshot(spark, loader, as_of_ts) -> DataFrame:
+def wearable_snapshot(spark, loader, as_of_ts, table_counts: DataFrame | None = None) -> DataFrame:
     """Wearable-side snapshot: table counts, ETL cursor, category counts,
-    vitals aggregate and the three newest-row lists."""
+    vitals aggregate and the three newest-row lists.  ``table_counts`` may be
+    given precomputed (e.g. one scan per base table)."""
     from clinops.sources.tables import PG_TABLES
 
     v = loader("user_vital_measurement")
     d = loader("user_daily_wellness")
     e = loader("patient_clinical_event")
     st = loader("etl_runtime_state")
-    counts = _ordered_array(profile.table_counts(spark, list(PG_TABLES), loader), "ordinal",
+    tc = table_counts if table_counts is not None else profile.table_counts(spark, list(PG_TABLES), loader)
+    counts = _ordered_array(tc, "ordinal",
                             ["table_key", "label_kr", "sql_name", "total_count"], "table_counts")
     etl = (vitals.etl_state(st).where(F.col("job_code") == "wearable_round_robin")
            .select(F.struct(F.col("cursor_value").alias("wearable_round_robin_cursor"),

@@ -75,3 +75,26 @@ def test_append_to_and_snapshot_versions(spark):
     upsert.write_snapshot(df, snap, 1)
     upsert.write_snapshot(df.union(df), snap, 2)
     assert upsert.latest_version(spark, snap) == "2" and upsert.read_snapshot(spark, snap).count() == 2
+
+
+def test_one_scan_profiles_equal_per_view_profiles(spark):
+    from clinops.plans import profiles as PP
+    from clinops.sources.tables import OPS_TABLES, VIEWS, view_as_of
+    names = [n for n, _ in OPS_TABLES if n in VIEWS]
+    caps, order = dict(OPS_TABLES), [n for n, _ in OPS_TABLES]
+    per_view = {n: (load_view(spark, SF, n), view_as_of(n)) for n in names}
+    a = profile.table_stats(per_view, caps, order)
+    b = PP.bound_table_stats(spark, SF, names, caps, order)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    ta, tb = profile.table_daily_trend(per_view), PP.bound_daily_trend(spark, SF, names)
+    assert ta.exceptAll(tb).count() == 0 and tb.exceptAll(ta).count() == 0
+    scans = PP.bound_table_stats(spark, SF, names, caps, order)._jdf.queryExecution().executedPlan().toString()
+    assert scans.count("orders.parquet") == 1          # nine views of orders, one scan
+
+
+def test_one_scan_counts_equal_loader_counts(spark):
+    from clinops.plans import profiles as PP
+    from clinops.sources.tables import PG_TABLES
+    a = profile.table_counts(spark, list(PG_TABLES), lambda n: load_view(spark, SF, n))
+    b = PP.bound_table_counts(spark, SF, list(PG_TABLES))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
