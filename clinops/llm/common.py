@@ -50,6 +50,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in a new folder of the shared checkpoint folder, read back.
+
+    For large intermediate results: smaller than a checkpoint and just as safe from lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def packed(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
+    """``keep`` and the text as a compressed binary ``z``, for joins that must move whole texts."""
+    from clinops.llm import textops as T
+
+    rows = docs.select(*keep, F.col(text_col).alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), T.pack_texts(batch.column("text"))],
+                                             [*keep, "z"])
+
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", z binary")
+
+
 def keyed(df: DataFrame, id_col: str, key: str = "__row") -> DataFrame:
     """``df`` with a unique, non-null long ``key`` per row (names that begin with two underscores are ours).
 

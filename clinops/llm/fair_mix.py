@@ -57,9 +57,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int =
 def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights=WEIGHTS, share: float = 1.5, epochs: int = 2, rows_per_bin: int = 4096) -> DataFrame:
     """Per row of ``docs``: __row, id, source, size, source_size, target, copies (0..epochs) and taken."""
-    rows = keyed(docs, id_col)
-    rows = checkpoint(rows.select("__row", F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                                  word_count(text_col).alias("size"), shuffle_key(id_col, SALT).alias("h")))
+    rows = docs.select(*(["__row"] if "__row" in docs.columns else []), F.col(id_col).alias("id"),
+                       F.col(source_col).alias("source"), word_count(text_col).alias("size"),
+                       shuffle_key(id_col, SALT).alias("h"))
+    rows = checkpoint(keyed(rows, "id").select("__row", "id", "source", "size", "h"))
     per = checkpoint(targets(rows, weights, share, epochs))
     rows = rows.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
     per = per.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
@@ -74,7 +75,7 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = checkpoint(rows.withColumn("run", F.col("ahead") + F.col("inside")))
 
     total = per.agg(F.sum("source_size"), F.sum("target"), F.sum("n_rows")).first()
-    budget, n_bins = float(total[1] or 0), max(1, int((total[2] or 0) // rows_per_bin))
+    budget, n_bins = round(float(total[1] or 0), 6), max(1, int((total[2] or 0) // rows_per_bin))
     order = ["finish", "rank", "epoch", "h", "id", "size", "__row"]
     turns = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
     served = rows.where("size > 0").withColumn("epoch", turns).withColumn(

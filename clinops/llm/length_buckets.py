@@ -83,9 +83,9 @@ def best_bounds(lengths: list[int], counts: list[int], n_buckets: int) -> list[i
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 16,
          token_budget: int = 65536, rows_per_bin: int = 4096) -> DataFrame:
     """Per row: __row, id, n_tokens, bucket, bucket_len, batch_id, slot, padding."""
-    rows = keyed(docs, id_col)
-    rows = checkpoint(rows.select("__row", F.col(id_col).alias("id"), word_count(text_col).alias("n_tokens"),
-                                  shuffle_key(id_col, SALT).alias("h")))
+    rows = docs.select(*(["__row"] if "__row" in docs.columns else []), F.col(id_col).alias("id"),
+                       word_count(text_col).alias("n_tokens"), shuffle_key(id_col, SALT).alias("h"))
+    rows = checkpoint(keyed(rows, "id").select("__row", "id", "n_tokens", "h"))
     hist = sorted((r[0], r[1]) for r in rows.where("n_tokens > 0").groupBy("n_tokens").count().collect())
     bounds = best_bounds([x for x, _ in hist], [c for _, c in hist], n_buckets)
     if not bounds:

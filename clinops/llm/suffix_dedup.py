@@ -30,11 +30,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinops.llm import textops as T
-from clinops.llm.common import checkpoint, keyed, prepare
+from clinops.llm.common import keyed, packed, prepare, written
 
 WIDTH = 200
 GRAM = 32  # shorter grams give longer runs, so fewer rows
@@ -191,34 +192,38 @@ def repeated_strings(buf: np.ndarray, first: np.ndarray, count: np.ndarray, widt
     return np.bincount(kind, minlength=len(at))[kind] > 1
 
 
-def fine_runs(kinds: DataFrame, width: int) -> DataFrame:
-    """Runs cut again by a longer gram, with their bytes; ``begin`` is the distance from the run's start."""
+def fine_runs(fetched: DataFrame, width: int) -> DataFrame:
+    """From (__row, z, need): the needed runs of each text, cut again by a longer gram, with their bytes."""
     def run(batches):
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy() for c in ("bucket", "content", "start", "__row", "copies")}
-            for a, _, buf, offs in T.text_chunks(batch.column("body")):
+            pieces, asked = T.needed_pieces(batch.column("z"), batch.column("need"), "start", "n", width - 1)
+            owner = np.repeat(batch.column("__row").to_numpy(), pc.list_value_length(batch.column("need")).to_numpy())
+            begins, buckets = asked.field("start").to_numpy(), asked.field("bucket").to_numpy()
+            for a, _, buf, offs in T.text_chunks(pieces):
                 fine, _, row, begin, n = runs(buf, offs, width, min(FINE_GRAM, width), salt=0x5851F42D4C957F2D)
-                lo = offs[row] + begin
                 size = n + width - 1
                 body = pa.Array.from_buffers(
                     pa.binary(), len(row),
                     [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)),
-                     pa.py_buffer(np.ascontiguousarray(buf[T.ranges(lo, size)]))])
-                at = a + row
-                key = T.mix(fine + cols["bucket"][at].view(np.uint64))
+                     pa.py_buffer(np.ascontiguousarray(buf[T.ranges(offs[row] + begin, size)]))])
+                key = T.mix(fine + buckets[a + row].view(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(cols["__row"][at]),
-                     pa.array((cols["start"][at] + begin).astype(np.int32)), pa.array(n.astype(np.int32)),
-                     pa.array(cols["copies"][at]), body],
-                    ["key", "__row", "start", "n", "copies", "body"])
+                    [pa.array(key.view(np.int64)), pa.array(owner[a + row]),
+                     pa.array((begins[a + row] + begin).astype(np.int32)), pa.array(n.astype(np.int32)), body],
+                    ["key", "__row", "start", "n", "body"])
 
-    return kinds.mapInArrow(run, "key long, __row long, start int, n int, copies long, body binary")
+    return fetched.mapInArrow(run, "key long, __row long, start int, n int, body binary")
 
 
 def sorted_spans(fine: DataFrame, width: int) -> DataFrame:
     """Byte spans of repeated strings of the fetched runs; one bucket after the other in every task."""
-    lone = fine.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    fine = fine.join(lone, "key").drop("m").repartition("key").sortWithinPartitions("key")
+    fine = fine.repartition("key").sortWithinPartitions("key")
+
+    def shared_keys(table, cuts):
+        """Only buckets of several runs: a run holds no string twice."""
+        size = np.diff(cuts)
+        rows = np.repeat(size > 1, size)
+        return table.filter(pa.array(rows)), np.concatenate(([0], np.cumsum(size[size > 1])))
 
     def blocks(table, cuts):
         """Whole buckets, about BLOCK_BYTES at once."""
@@ -232,6 +237,7 @@ def sorted_spans(fine: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for table, cuts in T.whole_groups(batches, ["key"]):
+            table, cuts = shared_keys(table, cuts)
             for block in blocks(table, cuts):
                 body = block.column("body").combine_chunks()
                 offs = np.frombuffer(body.buffers()[1], dtype=np.int32)[body.offset : body.offset + len(body) + 1]
@@ -254,7 +260,7 @@ def sorted_spans(fine: DataFrame, width: int) -> DataFrame:
                      pa.array((start + place[begin]).astype(np.int32)),
                      pa.array((start + place[end] + width).astype(np.int32))], ["__row", "start", "end"])
 
-    return fine.select("key", "__row", "start", "n", "body").mapInArrow(run, "__row long, start int, end int")
+    return fine.mapInArrow(run, "__row long, start int, end int")
 
 
 def repeated_spans(texts: DataFrame, width: int) -> DataFrame:
@@ -262,39 +268,42 @@ def repeated_spans(texts: DataFrame, width: int) -> DataFrame:
     found = text_runs(texts, width)
     per = found.groupBy("bucket").agg(F.count("*").alias("c"), F.min("content").alias("c0"),
                                       F.max("content").alias("c1")).where("c > 1")
-    live = checkpoint(found.join(per.select("bucket", (F.col("c0") == F.col("c1")).alias("one")), "bucket"))
+    live = found.join(per.select("bucket", (F.col("c0") == F.col("c1")).alias("one")), "bucket")
+    live = written(live, "suffix-runs")
     end = (F.col("start") + F.col("n") + F.lit(width - 1)).alias("end")
     same = live.where("one").select("__row", "start", end)
 
     mixed = live.where("not one").drop("one")
     kinds = mixed.groupBy("bucket", "content").agg(
         F.count("*").alias("copies"), F.min(F.struct("__row", "start", "n")).alias("r"))
-    kinds = checkpoint(kinds.select("bucket", "content", "copies", "r.*"))
+    kinds = written(kinds.select("bucket", "content", "copies", "r.*"), "suffix-kinds")
     copied = mixed.join(kinds.where("copies > 1").select("bucket", "content"), ["bucket", "content"])
     copied = copied.select("__row", "start", end)
 
-    body = texts.select("__row", F.encode("text", "UTF-8").alias("body"))
-    fetched = kinds.join(body, "__row").select("bucket", "content", "copies", "__row", "start", F.expr(
-        f"substring(body, start + 1, n + {width - 1})").alias("body"))
-    fine = checkpoint(fine_runs(fetched, width))
     # a run with copies is a repeat already (`copied`); it takes part as a partner of the others
-    return same.unionByName(copied).unionByName(sorted_spans(fine, width))
+    need = kinds.groupBy("__row").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("need"))  # of one text
+    fetched = packed(texts, "__row").join(need, "__row")
+    return same.unionByName(copied).unionByName(sorted_spans(fine_runs(fetched, width), width))
+
 
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+                 as_text: bool = False) -> DataFrame:
+    """Per row: __row, id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256.
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Per row: __row, id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256."""
+    With ``as_text``, kept is a string (null for a null text); characters that lost some of their bytes go."""
     prepare(docs.sparkSession)
     texts = docs.select(*(["__row"] if "__row" in docs.columns else []), id_col, text_col)
     texts = keyed(texts, id_col).select("__row", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = repeated_spans(texts.select("__row", "text"), width)
     spans = found.groupBy("__row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = texts.join(spans, "__row", "left")
+    joined = packed(texts, "__row", "id").join(spans, "__row", "left")
 
     def run(batches):
         for batch in batches:
             size, gone, count, kept = [], [], [], []
-            for text, held in zip(batch.column("text"), batch.column("spans")):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            texts = T.unpack_texts(batch.column("z"))
+            for raw, held in zip(texts, batch.column("spans")):
+                raw = raw or b""
                 size.append(len(raw))
                 pieces, at, lost, n = [], 0, 0, 0
                 if held.is_valid:
@@ -309,11 +318,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 count.append(n)
                 kept.append(b"".join(pieces))
             sha = [hashlib.sha256(x).hexdigest() for x in kept]
+            if as_text:
+                kept = [x.decode("utf-8", "ignore") if t is not None else None for x, t in zip(kept, texts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("__row"), batch.column("id"), *(pa.array(x, pa.int64()) for x in (size, gone, count)),
-                 pa.array(kept, pa.binary()), pa.array(sha, pa.string())],
+                 pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sha, pa.string())],
                 ["__row", "id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     kind = dict(texts.dtypes)["id"]
-    return joined.mapInArrow(run, f"__row long, id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, "
-                                  "kept_sha256 string")
+    return joined.mapInArrow(run, f"__row long, id {kind}, n_bytes long, n_removed long, n_spans long, "
+                                  f"kept {'string' if as_text else 'binary'}, kept_sha256 string")
