@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinops.llm import textops as T
-from clinops.llm.common import checkpoint, keyed, prepare
+from clinops.llm.common import keyed, packed, prepare, written
 
 LAST = (1 << 63) - 1
 
@@ -94,28 +94,29 @@ def occurrences(texts: DataFrame, width: int, bits: int, shared) -> DataFrame:
     return texts.mapInArrow(run, "block long, context long, __row long, doc long, at int, byte int, size int, left int, span int")
 
 
-def context_windows(contexts: DataFrame, width: int) -> DataFrame:
-    """(block, context, shift, window): every ``width``-word window of a context that holds the block whole.
-    ``shift`` is the distance from the window's first word to the block's."""
+def context_windows(fetched: DataFrame, width: int) -> DataFrame:
+    """From (__row, z, need): every ``width``-word window of a needed context that holds its block whole, as
+    (block, context, doc, d1, shift, window); ``shift`` is the distance from the window's start to the block's."""
     block = width // 2
 
     def run(batches):
         for batch in batches:
-            keys, ctx, left = (batch.column(c).to_numpy() for c in ("block", "context", "left"))
-            docs, last = batch.column("doc").to_numpy(), batch.column("d1").to_numpy()
-            for a, _, buf, offs in T.text_chunks(batch.column("words")):
+            pieces, asked = T.needed_pieces(batch.column("z"), batch.column("need"), "byte", "size")
+            left = asked.field("left").to_numpy()
+            for a, _, buf, offs in T.text_chunks(pieces):
                 starts, ends, first = T.word_bounds(buf, offs)
                 h = T.window_hashes(T.word_hashes(buf, starts, ends), width)
                 at, row = T.window_rows(first, width)
                 shift = left[a + row] - (at - first[row])
                 ok = (shift >= 0) & (shift <= width - block)
-                at, row, shift = at[ok], row[ok], shift[ok]
+                at, row, shift = at[ok], pa.array(a + row[ok]), shift[ok]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a + row]), pa.array(ctx[a + row]), pa.array(docs[a + row]),
-                     pa.array(last[a + row]), pa.array(shift.astype(np.int32)), pa.array(h[at].view(np.int64))],
+                    [*(asked.field(c).take(row) for c in ("block", "context", "doc", "d1")),
+                     pa.array(shift.astype(np.int32)), pa.array(h[at].view(np.int64))],
                     ["block", "context", "doc", "d1", "shift", "window"])
 
-    return contexts.mapInArrow(run, "block long, context long, doc long, d1 long, shift int, window long")
+    return fetched.select("z", "need").mapInArrow(
+        run, "block long, context long, doc long, d1 long, shift int, window long")
 
 
 def repeated_runs(texts: DataFrame, width: int, bits: int) -> DataFrame:
@@ -125,7 +126,7 @@ def repeated_runs(texts: DataFrame, width: int, bits: int) -> DataFrame:
     per = found.groupBy("block").agg(F.count("*").alias("n"), F.min("doc").alias("d0"), F.max("doc").alias("d1"),
                                      F.min("context").alias("c0"), F.max("context").alias("c1"))
     per = per.where("n > 1 and d0 < d1").select("block", "d0", (F.col("c0") == F.col("c1")).alias("one"))
-    live = checkpoint(found.join(per, "block"))
+    live = written(found.join(per, "block"), "block-hits")
 
     # one context: every window of the occurrence is in the smallest document that holds the block
     lo = F.col("at") - F.col("left")
@@ -137,10 +138,9 @@ def repeated_runs(texts: DataFrame, width: int, bits: int) -> DataFrame:
     kinds = mixed.groupBy("block", "context").agg(
         F.min(F.struct("doc", "__row", "byte", "size", "left")).alias("r"), F.max("doc").alias("d1"))
     kinds = kinds.select("block", "context", "d1", "r.*")
-    body = texts.select("__row", F.encode("text", "UTF-8").alias("body"))
-    kinds = kinds.join(body, "__row").select(
-        "block", "context", "doc", "d1", "left", F.expr("substring(body, byte + 1, size)").alias("words"))
-    wins = checkpoint(context_windows(kinds, width))
+    need = kinds.groupBy("__row").agg(F.collect_list(  # of one text
+        F.struct("block", "context", "doc", "d1", "byte", "size", "left")).alias("need"))
+    wins = written(context_windows(packed(texts, "__row").join(need, "__row"), width), "block-windows")
     least = wins.groupBy("window").agg(F.min("doc").alias("d0"), F.max("d1").alias("d1")).where("d0 < d1")
     wins = wins.join(least, "window").groupBy("block", "context").agg(
         F.collect_list(F.struct("shift", "d0")).alias("wins"))  # at most width - block + 1 windows a context
@@ -161,14 +161,14 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc"), F.col(text_col).alias("text"))
     runs = repeated_runs(texts.select("__row", "doc", "text"), width, bitmap_bits)
     spans = runs.groupBy("__row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = texts.select("__row", "id", "text").join(spans, "__row", "left")
+    joined = packed(texts, "__row", "id").join(spans, "__row", "left")
 
     def run(batches):
         for batch in batches:
             n_words, n_gone, kept = [], [], []
             spans = batch.column("spans")
-            for text, held in zip(batch.column("text"), spans):
-                words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
+            for text, held in zip(T.unpack_texts(batch.column("z")), spans):
+                words = (text or b"").split()
                 n_words.append(len(words))
                 gone = 0
                 if held.is_valid:
