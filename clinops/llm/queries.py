@@ -4,14 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clinops.llm import block_dedup, fair_mix, length_buckets, quality_cascade, suffix_dedup
+from clinops.llm import (
+    block_dedup,
+    embedding_dedup,
+    fair_mix,
+    html_extract,
+    length_buckets,
+    ngram_join,
+    oracle,
+    quality_cascade,
+    suffix_dedup,
+    token_orc,
+    toxicity_crf,
+)
 from clinops.llm.common import read
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.join(read(spark, sf_dir, "documents")).drop("__row").withColumnRenamed("id", "doc_id")
+
+
+def op2_html_extraction(spark, sf_dir):
+    return html_extract.extract(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op3_token_orc(spark, sf_dir):
+    import public_tokenizers
+
+    return token_orc.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_quality_cascade(spark, sf_dir):
     return quality_cascade.judge(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings")).drop("__row").withColumnRenamed("id", "vec_id")
+
+
 def op6_length_buckets(spark, sf_dir):
     out = length_buckets.pack(read(spark, sf_dir, "documents")).drop("__row")
     return out.withColumnRenamed("id", "doc_id")
@@ -22,6 +52,13 @@ def op7_suffix_dedup(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_toxicity_crf(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    field = toxicity_crf.train_on(docs, read(spark, sf_dir, "labels"))
+    out = toxicity_crf.score(docs, field)
+    return out.select(F.col("id").alias("doc_id"), toxicity_crf.held_out("id").alias("held_out"), "score", "predicted")
+
+
 def op9_fair_mix(spark, sf_dir):
     out = fair_mix.fair_mix(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -33,6 +70,10 @@ def op10_block_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_quality_cascade, op6_length_buckets, op7_suffix_dedup, op9_fair_mix, op10_block_dedup)}
+    op1_ngram_jaccard_join, op2_html_extraction, op3_token_orc, op4_quality_cascade, op5_embedding_dedup,
+    op6_length_buckets, op7_suffix_dedup, op8_toxicity_crf, op9_fair_mix, op10_block_dedup)}
 
-ORACLE: dict[str, str] = {}
+#: Queries 2, 3, 6 and 8 are beyond SQL; tests/llm holds them against plain versions or held-out rows.
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracle.OP1, "op4_quality_cascade": oracle.OP4, "op5_embedding_dedup": oracle.OP5,
+    "op7_suffix_dedup": oracle.OP7, "op9_fair_mix": oracle.OP9, "op10_block_dedup": oracle.OP10}
