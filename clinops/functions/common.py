@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Dimension sides above this many rows are never broadcast by us; the plan
@@ -76,6 +76,14 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does ``path`` exist in its file system?  Anything but "no" as an answer
+    (no permission, store down) raises, so a read error is never taken for an
+    empty table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

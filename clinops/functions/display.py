@@ -14,9 +14,9 @@ KST = "Asia/Seoul"
 _KST_OFFSET_MIN = 9 * 60
 
 # ISO-8601 text accepted by the display path: date 'T' HH:MM[:SS[.ffffff]]
-# with an optional 'Z' or ±HH:MM offset.  One regex pass rewrites a match to
-# "yyyy-MM-dd HH:mm|zone"; any other text comes back unchanged (no '|').
-_ISO_RE = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2})(?::\d{2}(?:\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$"
+# with an optional 'Z' or ±HH:MM offset, every part in its range.
+_ISO_RE = (r"^(\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))T((?:[01]\d|2[0-3]):[0-5]\d)"
+           r"(?::[0-5]\d(?:\.\d{1,6})?)?(Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)?$")
 
 
 def format_timestamp_ntz(c: Column) -> Column:
@@ -40,21 +40,16 @@ def format_date(c: Column) -> Column:
 
 def format_iso_text(c: Column) -> Column:
     """Text holding an ISO-8601 date-time → KST caption; any other text
-    (including NULL) unchanged.  Written without branches around the parse so
-    the parsed value is a common subexpression evaluated once per row."""
-    # the regex only runs on text that has a 'T' at all
-    norm = F.when(F.instr(c, "T") > 0, F.regexp_replace(c, _ISO_RE, "$1 $2|$3"))
-    zone = F.substring_index(norm, "|", -1)
-    naive = F.try_to_timestamp(F.substring_index(norm, "|", 1),
-                               F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
-    sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    offset_min = sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int"))
-    shift = (F.when(F.instr(norm, "|") == 0, F.lit(None))
-             .when(zone == "", F.lit(0))
-             .when(zone == "Z", F.lit(_KST_OFFSET_MIN))
-             .otherwise(F.lit(_KST_OFFSET_MIN) - offset_min))
+    (including NULL, and days a month does not have) unchanged."""
+    part = lambda i: F.regexp_extract(c, _ISO_RE, i)  # noqa: E731 - '' where the text does not match
+    naive = F.try_to_timestamp(F.concat(part(1), F.lit(" "), part(2)), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
+    zone = part(3)
+    number = lambda at: F.substring(zone, at, 2).try_cast("int")
+    offset = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1) * (number(2) * 60 + number(5))
+    shift = F.when(zone == "", 0).when(zone == "Z", _KST_OFFSET_MIN).otherwise(F.lit(_KST_OFFSET_MIN) - offset)
     kst = naive + F.make_dt_interval(F.lit(0), F.lit(0), shift)
-    return F.coalesce(format_timestamp_ntz(kst), c)
+    # the regex only runs on text that has a 'T' at all
+    return F.when(F.instr(c, "T") > 0, F.coalesce(format_timestamp_ntz(kst), c)).otherwise(c)
 
 
 def format_datetime(c: Column, dtype: T.DataType) -> Column:
@@ -71,9 +66,9 @@ def format_datetime(c: Column, dtype: T.DataType) -> Column:
 
 
 def decimal_display(c: Column) -> Column:
-    """Integral decimal → integer text, other decimal → float text."""
-    return (F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string"))
-            .otherwise(c.cast("double").cast("string")))
+    """Plain decimal text without trailing zeros; integral → integer text."""
+    plain = F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1")
+    return F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).otherwise(plain)
 
 
 def cell_display(c: Column, dtype: T.DataType) -> Column:

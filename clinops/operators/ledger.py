@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinops.functions.common import as_datetime, ts_lit
+from clinops.functions.text import ustrip
 
 # Ledger job names of the scheduled and manual runs.
 JOB_NAMES = ("pipeline.initial", "pipeline.completion", "etl.wearable_slot",
@@ -36,7 +37,7 @@ ERROR_TEXT_MAX = 4000
 
 def error_text(c):
     """Stored failure text: stripped, at most 4000 characters."""
-    return F.substring(F.trim(c), 1, ERROR_TEXT_MAX)
+    return F.substring(ustrip(c), 1, ERROR_TEXT_MAX)
 
 
 def transitions(log: DataFrame) -> DataFrame:
@@ -131,20 +132,24 @@ def ledger_retry_plan(log: DataFrame, as_of_ts, limit: int = 10) -> DataFrame:
 
 
 def ledger_payload_fields(log: DataFrame) -> DataFrame:
-    """Split each result payload into the known fields and the sorted list of
-    extra keys (``extra``)."""
+    """Split each result payload: every known field as a column (a payload
+    without a job takes the run's own job name), the sorted names of the other
+    keys, and those keys with their values as sorted ``key=value`` text."""
     m = F.from_json(F.col("result_payload"), "map<string,string>")
     known = F.array(*[F.lit(k) for k in KNOWN_PAYLOAD_FIELDS])
-    extra = F.array_sort(F.filter(F.map_keys(m), lambda k: ~F.array_contains(known, k)))
+    rest = F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: ~F.array_contains(known, k))))
+    lifted = [F.coalesce(m["job"], F.col("job_name")).alias("job") if k == "job"
+              else m[k].alias(f"payload_{k}" if k == "batch_log_id" else k) for k in KNOWN_PAYLOAD_FIELDS]
+    text = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))
     return (log.where(F.col("result_payload").isNotNull())
-            .select("batch_log_id", m["job"].alias("job"),
-                    F.array_join(extra, ",").alias("extra_keys"),
-                    F.map_filter(m, lambda k, v: ~F.array_contains(known, k)).alias("extra")))
+            .select("batch_log_id", *lifted,
+                    F.array_join(F.transform(rest, lambda e: e["key"]), ",").alias("extra_keys"),
+                    F.array_join(F.transform(rest, text), ",").alias("extra")))
 
 
 def ledger_json(payload_cols: list[str]) -> F.Column:
-    """JSON text of a payload struct (NULLs omitted, UTF-8 as is)."""
-    return F.to_json(F.struct(*payload_cols))
+    """JSON text of a payload struct (missing values as null, UTF-8 as is)."""
+    return F.to_json(F.struct(*payload_cols), {"ignoreNullFields": "false"})
 
 
 def ledger_retry_cycle(log: DataFrame, as_of_ts, limit: int = 10, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:

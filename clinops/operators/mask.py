@@ -1,8 +1,8 @@
 """Schema-driven masking of every row of any table.
 
-Rules are picked per column from its lower-cased name (first match wins) and
-its type, at plan time; the result is a single ``select`` of native
-expressions.  Each hashed rule adds ``<col>_sha256`` of the raw value after
+Each column is classified from its lower-cased name and its type at plan
+time; the result is a single ``select`` of native expressions.  Each hashed
+class adds ``<col>_sha256`` of the raw value after
 the original columns.
 """
 
@@ -18,8 +18,7 @@ from clinops.functions.text import (
 )
 
 # ---------------------------------------------------------------------------
-# Column-name sets and substrings that select each rule, in
-# the reference's order.
+# Column-name sets, substrings and constant masks.
 # ---------------------------------------------------------------------------
 ID_COLUMNS = {"patient_no", "patient_id", "doctor_id", "user_id", "treatment_doc"}
 RRN_COLUMNS = {"patient_rrn", "rrn", "resident_no"}
@@ -35,48 +34,20 @@ WEARABLE_ID_COLUMNS = ("vital_id", "clinical_event_id", "source_mysql_treatment_
 WEARABLE_TEXT_COLUMNS = ("title", "department")
 
 
-# The masking rules in the order they are tried.  Each entry is
-# (test on the lower-cased column name, pattern, mask, adds a hash, strings only).
-MASK_RULES = (
-    ("in", ID_COLUMNS, "id", True, False),
-    ("in", RRN_COLUMNS, "rrn", True, True),
-    ("equals", CERTIFICATE_COLUMN, "text", True, True),
-    ("contains_unless", ("name", NAME_EXCEPTIONS), "name", True, True),
-    ("contains", "email", "email", True, True),
-    ("in_or_contains", (PHONE_COLUMNS, "phone"), "phone", True, True),
-    ("contains", "passport", "passport", True, True),
-    ("in", ADDRESS_COLUMNS, "address", True, True),
-    ("contains", "birth", "birth", False, True),
-    ("contains_any", TEXT_HINTS, "text", True, True),
-)
-# Extra rules of strict mode (quirk Q8), tried after the ones above.
-STRICT_RULES = (
-    ("equals", "app_user_id", "id", True, False),
-    ("contains", "birth", "birth", False, False),
-    ("equals", "guardian", "name", True, True),
-)
-
-_NAME_TESTS = {
-    "in": lambda k, p: k in p,
-    "equals": lambda k, p: k == p,
-    "contains": lambda k, p: p in k,
-    "contains_any": lambda k, p: any(x in k for x in p),
-    "contains_unless": lambda k, p: p[0] in k and k not in p[1],
-    "in_or_contains": lambda k, p: k in p[0] or p[1] in k,
+# Policy.  A column holds one class of personal data.  Its whole name decides
+# when it is a known one; otherwise the fragments in the name do, the more
+# identifying class before the less identifying.
+KNOWN_NAMES = {
+    **dict.fromkeys(ID_COLUMNS, "id"),
+    **dict.fromkeys(RRN_COLUMNS, "rrn"),
+    **dict.fromkeys(PHONE_COLUMNS, "phone"),
+    **dict.fromkeys(ADDRESS_COLUMNS, "address"),
+    CERTIFICATE_COLUMN: "text",
 }
-
-
-def _rule(name: str, dtype: T.DataType, strict: bool) -> tuple[str, bool] | None:
-    """(mask, hashed) for one column, or None to keep it: the first rule
-    whose name test matches and whose type condition holds."""
-    k = name.lower()
-    is_string = isinstance(dtype, T.StringType)
-    rules = MASK_RULES + STRICT_RULES if strict else MASK_RULES
-    for test, pattern, mask, hashed, strings_only in rules:
-        if (is_string or not strings_only) and _NAME_TESTS[test](k, pattern):
-            return mask, hashed
-    return None
-
+FRAGMENTS = {c: c for c in ("name", "email", "phone", "passport", "birth")} | dict.fromkeys(TEXT_HINTS, "text")
+IDENTIFYING = ("name", "email", "phone", "passport", "birth", "text")  # most first
+STRICT_NAMES = {"app_user_id": "id", "guardian": "name"}  # quirk Q8
+UNHASHED = {"birth"}  # too few values for a hash to hide them
 
 MASKS = {
     "id": mask_id,
@@ -91,8 +62,18 @@ MASKS = {
 }
 
 
-def _apply(rule: str, c: Column) -> Column:
-    return MASKS[rule](c)
+def data_class(name: str, dtype: T.DataType, strict: bool = False) -> str | None:
+    """Class of personal data a column holds, or None.  Only ids (and, in
+    strict mode, birth dates) are looked for in columns that are not text."""
+    name = name.lower()
+    found = {KNOWN_NAMES[name]} if name in KNOWN_NAMES else {c for f, c in FRAGMENTS.items() if f in name}
+    if name in NAME_EXCEPTIONS:
+        found.discard("name")
+    if strict and not found and name in STRICT_NAMES:
+        found = {STRICT_NAMES[name]}
+    if not isinstance(dtype, T.StringType):
+        found &= {"id", "birth"} if strict else {"id"}
+    return min(found, key=lambda c: IDENTIFYING.index(c) if c in IDENTIFYING else -1, default=None)
 
 
 def sanitize(df: DataFrame, profile: str = "ops", hashes: bool = True,
@@ -110,15 +91,15 @@ def sanitize(df: DataFrame, profile: str = "ops", hashes: bool = True,
     out, side = [], []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        rule = _rule(f.name, f.dataType, strict)
-        expr = c if rule is None else _apply(rule[0], c)
+        held = data_class(f.name, f.dataType, strict)
+        expr = c if held is None else MASKS[held](c)
         if profile == "wearable":
             if f.name in WEARABLE_ID_COLUMNS:
                 expr = mask_numeric_id(expr)
             elif f.name in WEARABLE_TEXT_COLUMNS and isinstance(f.dataType, T.StringType):
                 expr = F.when(expr != "", mask_text(expr)).otherwise(expr)
         out.append(expr.alias(f.name))
-        if hashes and rule is not None and rule[1]:
+        if hashes and held is not None and held not in UNHASHED:
             hv = c if hash_salt is None else F.concat(F.lit(hash_salt), c.cast("string"))
             side.append(sha256_hex(hv).alias(f"{f.name}_sha256"))
     keys = [F.col(f"`{k}`").alias(f"{k}_key") for k in key_sidecars if k in df.columns]

@@ -80,15 +80,17 @@ def patient_events(events: DataFrame) -> DataFrame:
 def patient_360(patients: DataFrame, profiles: DataFrame, disability: DataFrame,
                 events: DataFrame, vitals: DataFrame, daily: DataFrame, as_of) -> DataFrame:
     """One row per patient: profile, disability, event summary (counts per
-    category as a bounded map, newest event), newest vital, today's wellness."""
+    category as sorted ``category:count`` text, newest event), newest vital, today's wellness."""
     as_of = as_date(as_of)
-    per_cat = events.groupBy("patient_no", "category").agg(
+    category = F.coalesce("category", F.lit("None")).alias("category")  # a NULL one is shown as None
+    per_cat = events.groupBy("patient_no", category).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.struct("occurred_on", "clinical_event_id", "title")).alias("newest"))
     ev = per_cat.groupBy("patient_no").agg(
         F.sum("n").alias("n_events"),
         F.count(F.lit(1)).alias("n_categories"),
-        F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("events_by_category"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "n"))), lambda e: F.concat(
+            e["category"], F.lit(":"), e["n"].cast("string"))), ",").alias("events_by_category"),
         F.max("newest").alias("newest"))
     vit = vitals.groupBy("patient_no").agg(
         F.max_by(F.struct("vital_id", "measured_at", "heart_rate_bpm", "blood_pressure_systolic",
@@ -142,5 +144,21 @@ def my_health(requests: DataFrame, patients: DataFrame, profiles: DataFrame, dis
     joined to the 360 rows; unresolved ones are dropped (the reference
     answers 404)."""
     resolved = resolve_patient(requests, patients, profiles).where(F.col("patient_no").isNotNull())
-    full = patient_360(patients, profiles, disability, events, vitals, daily, as_of)
+    # only the asked patients' rows are aggregated
+    ids = resolved.select("patient_no").distinct()
+    asked = [t.join(ids, "patient_no", "left_semi") for t in (patients, profiles, disability, events, vitals, daily)]
+    full = patient_360(*asked, as_of)
     return resolved.withColumnRenamed("by", "resolved_by").join(full, "patient_no")
+
+
+def my_health_events(requests: DataFrame, patients: DataFrame, profiles: DataFrame, events: DataFrame) -> DataFrame:
+    """The event lists of identifier requests, flat: one row per request and
+    event of its patient.  A long history stays many rows, never one array."""
+    resolved = resolve_patient(requests, patients, profiles).where(F.col("patient_no").isNotNull())
+    ids = resolved.select("patient_no").distinct()
+    listed = (events.join(ids, "patient_no", "left_semi")
+              .withColumn("category", F.coalesce("category", F.lit("None"))))
+    rows = listed.select(
+        "patient_no", "category", "clinical_event_id", format_date(F.col("occurred_on")).alias("occurred_on_kr"),
+        "department", "title", "summary", status_label(F.col("status")).alias("status"), "institution_name")
+    return resolved.withColumnRenamed("by", "resolved_by").join(rows, "patient_no")

@@ -42,16 +42,16 @@ def _or_default(c: Column, default: Column) -> Column:
 
 def pending(df: DataFrame, marker: str, order: list[str], limit: int | None = None,
             extra: Column | None = None) -> DataFrame:
-    """Rows whose sync marker is NULL; optionally the first ``limit`` by key."""
+    """Rows whose sync marker is NULL; optionally the first ``limit`` by key
+    (None: all of them, 0: none)."""
     p = df.where(F.col(marker).isNull() if extra is None else (F.col(marker).isNull() & extra))
-    return p.orderBy(*order).limit(limit) if limit else p
+    return p if limit is None else p.orderBy(*order).limit(limit)
 
 
 def upsert_patients(target: DataFrame, source: DataFrame) -> DataFrame:
     """Patient master copy: match on patient_no, overwrite the 7 synced
     columns, keep the rest of the target row; new patients inserted whole."""
-    cols = [c for c in PATIENT_UPDATE_COLS if c in target.columns]
-    return upsert(target, source, ["patient_no"], cols, with_action=True)
+    return upsert(target, source, ["patient_no"], PATIENT_UPDATE_COLS, with_action=True)
 
 
 def upsert_profiles(target: DataFrame, source: DataFrame) -> DataFrame:
@@ -73,43 +73,57 @@ def vital_copy_rows(batch: DataFrame, as_of_ts) -> DataFrame:
         _or_default(F.col("intt_cd"), F.lit(ETL_TAG)).alias("intt_cd"))
 
 
-def sync_vitals(source: DataFrame, target: DataFrame, as_of_ts, limit: int | None = None) -> dict:
+def sync_vitals(source: DataFrame, target: DataFrame, as_of_ts, limit: int | None = None,
+                rules: list[tuple[str, Column]] | None = None) -> dict:
     """Insert-ignore copy of pending readings keyed by (patient_no, measured_at).
 
     Returns ``inserted`` (rows to append), ``outcomes`` (vital_id, outcome:
-    inserted | duplicate) and ``marked`` (the source with markers set for
-    every examined row).
+    inserted | duplicate | rejected), ``rejected`` (rows that break a rule in
+    ``rules``, with the ``reason``) and ``marked`` (the source with markers set
+    for every examined row that was not rejected).  Without rules nothing is
+    rejected, as in the reference, where only the target can refuse a row.
     """
     batch = vital_copy_rows(pending(source, "synced_to_mysql_at", ["vital_id"], limit), as_of_ts)
     keys = ["patient_no", "measured_at"]
+    batch, rejected = quarantine(batch, rules or [])
     inserted = new_rows(target, batch, keys, order="vital_id")
     outcomes = (batch.select("vital_id")
                 .join(inserted.select("vital_id", F.lit("inserted").alias("outcome")), "vital_id", "left")
-                .select("vital_id", F.coalesce("outcome", F.lit("duplicate")).alias("outcome")))
-    marked = mark_synced(source, batch.select("vital_id") if limit else None, "vital_id",
-                         "synced_to_mysql_at", as_of_ts, bounded=limit is not None)
-    return {"inserted": inserted, "outcomes": outcomes, "marked": marked}
+                .select("vital_id", F.coalesce("outcome", F.lit("duplicate")).alias("outcome"))
+                .unionByName(rejected.select("vital_id", F.lit("rejected").alias("outcome"))))
+    everything = limit is None and not rules
+    marked = mark_synced(source, None if everything else batch.select("vital_id"), "vital_id",
+                         "synced_to_mysql_at", as_of_ts)
+    return {"inserted": inserted, "outcomes": outcomes, "marked": marked, "rejected": rejected}
 
 
-def mark_synced(source: DataFrame, batch_keys: DataFrame | None, key: str, marker: str, as_of_ts,
-                bounded: bool = False, pending_filter: Column | None = None) -> DataFrame:
-    """Set ``marker`` = as_of on rows in the batch whose marker is still NULL.
+def mark_synced(source: DataFrame, batch_keys: DataFrame | None, key: str | list[str], marker: str, as_of_ts,
+                pending_filter: Column | None = None, touch: list[str] | None = None) -> DataFrame:
+    """Set ``marker`` (and the ``touch`` columns) = as_of on rows in the batch
+    whose marker is still NULL.
 
     When the batch is every pending row (``batch_keys`` is None) this is a
-    projection — no join, no shuffle.  A limited batch (``bounded``) is
-    broadcast; any other batch is joined with a shuffle on ``key``."""
+    projection — no join, no shuffle.  Any other batch is joined on ``key``
+    (one or several columns); Spark broadcasts it when its size allows."""
     now = ts_lit(as_datetime(as_of_ts))
     m = F.col(marker)
     if batch_keys is None:
         hit = m.isNull() if pending_filter is None else (m.isNull() & F.coalesce(pending_filter, F.lit(False)))
-        return source.select(*[F.when(hit, now).otherwise(m).alias(marker) if c == marker else F.col(c)
-                               for c in source.columns])
-    keys = batch_keys.select(F.col(key), F.lit(True).alias("__in"))
-    keys = bounded_broadcast(keys) if bounded else keys
-    j = source.join(keys, key, "left")
-    return j.select(*[
-        F.when(F.col("__in") & m.isNull(), now).otherwise(m).alias(marker)
-        if c == marker else F.col(c) for c in source.columns])
+        rows = source
+    else:
+        names = [key] if isinstance(key, str) else list(key)
+        rows = source.join(batch_keys.select(*names).distinct().withColumn("__in", F.lit(True)), names, "left")
+        hit = F.coalesce(F.col("__in"), F.lit(False)) & m.isNull()
+    set_ = {marker, *(touch or [])}
+    return rows.select(*[F.when(hit, now).otherwise(F.col(c)).alias(c) if c in set_ else F.col(c)
+                         for c in source.columns])
+
+
+def mark_daily(source: DataFrame, as_of_ts, limit: int | None = None) -> DataFrame:
+    """Markers of copied daily rows, keyed by (patient_no, summary_date)."""
+    keys = ["patient_no", "summary_date"]
+    batch = None if limit is None else pending(source, "synced_to_mysql_at", keys, limit).select(*keys)
+    return mark_synced(source, batch, keys, "synced_to_mysql_at", as_of_ts)
 
 
 def daily_copy_rows(batch: DataFrame, as_of_ts) -> DataFrame:
@@ -175,28 +189,31 @@ def sync_treatments(treatments: DataFrame, events: DataFrame, as_of_ts, limit: i
         max_id = events.agg(F.max("clinical_event_id").alias("m"))
         to_insert = assign_keys(to_insert, ["source_mysql_treatment_id"], "clinical_event_id",
                                 existing_max=max_id, floor=0)
-    marked = mark_synced(treatments, batch.select("treatment_id") if limit else None, "treatment_id",
-                         "synced_to_postgres_at", as_of_ts, bounded=limit is not None,
-                         pending_filter=F.col("patient_no").isNotNull())
+    marked = mark_synced(treatments, None if limit is None else batch.select("treatment_id"), "treatment_id",
+                         "synced_to_postgres_at", as_of_ts, pending_filter=F.col("patient_no").isNotNull(),
+                         touch=["last_modified_date"])
     return {"inserted": to_insert, "outcomes": outcomes, "marked": marked}
 
 
-def sync_stats(vital_outcomes: DataFrame, treatment_outcomes: DataFrame,
-               daily_merged: DataFrame, patients_merged: DataFrame) -> DataFrame:
-    """One row of run counters (examined / inserted / skipped / marked …).
-
-    Duplicates are reported apart from copies (quirk Q7)."""
+def sync_stats(vital_outcomes: DataFrame, treatment_outcomes: DataFrame, daily_merged: DataFrame,
+               patients_merged: DataFrame, profiles_merged: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row of run counters (examined / inserted / skipped / marked /
+    errors).  Duplicates are reported apart from copies (quirk Q7)."""
+    written = F.count_if(F.col("action") != "keep")
     v = vital_outcomes.agg(F.count(F.lit(1)).alias("vitals_examined"),
                            F.count_if(F.col("outcome") == "inserted").alias("vitals_copied"),
-                           F.count_if(F.col("outcome") == "duplicate").alias("vitals_duplicate"))
+                           F.count_if(F.col("outcome") == "duplicate").alias("vitals_duplicate"),
+                           F.count_if(F.col("outcome") != "rejected").alias("vital_ids_marked"))
     t = treatment_outcomes.agg(F.count(F.lit(1)).alias("examined"),
                                F.count_if(F.col("outcome") == "inserted").alias("inserted"),
                                F.count_if(F.col("outcome") == "skipped_existing").alias("skipped_existing_pg"),
                                F.count(F.lit(1)).alias("marked_mysql"))
-    d = daily_merged.agg(F.count_if(F.col("action") != "keep").alias("daily_copied"))
-    p = patients_merged.agg(F.count_if(F.col("action") != "keep").alias("patients_upserted"))
+    d = daily_merged.agg(written.alias("daily_copied"), written.alias("daily_marked"))
+    p = patients_merged.agg(written.alias("patients_upserted"))
+    pr = profiles_merged.agg(written.alias("profiles_upserted"))
+    e = rejected.agg(F.count(F.lit(1)).alias("errors"))
     out = v.withColumn("__k", F.lit(1))
-    for other in (t, d, p):
+    for other in (t, d, p, pr, e):
         out = out.join(other.withColumn("__k", F.lit(1)), "__k")
     return out.drop("__k")
 
@@ -217,10 +234,9 @@ def quarantine(df: DataFrame, rules=None) -> tuple[DataFrame, DataFrame]:
     """Split rows into (good, bad); ``bad`` carries the first failing rule's
     ``reason``.  Replaces the reference's per-row try/except."""
     rules = rules if rules is not None else vital_rules()
-    reason = None
+    reason = F.lit(None).cast("string")
     for text, cond in reversed(rules):
-        reason = F.when(F.coalesce(cond, F.lit(False)), F.lit(text)).otherwise(
-            reason if reason is not None else F.lit(None).cast("string"))
+        reason = F.when(F.coalesce(cond, F.lit(False)), F.lit(text)).otherwise(reason)
     tagged = df.withColumn("reason", reason)
     return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
 

@@ -8,47 +8,44 @@ executor or a crash before the commit leaves the previous version intact.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinops.functions.common import bounded_broadcast
+from clinops.functions.common import bounded_broadcast, path_exists
 
 KEY_FLOOR = 10_000_000
 
 
-def _key_cond(left: str, right: str, keys: Iterable[str]) -> Column:
-    cond = None
-    for k in keys:
-        c = F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: list[str],
            with_action: bool = False, source_order: list[str] | None = None) -> DataFrame:
     """Insert source rows with new keys; for existing keys overwrite only
     ``update_cols`` and keep every other target value.
 
     One shuffle join on the key columns.  The result has the target's
-    columns (plus ``action`` = insert/update/keep when asked).  A source that
-    may repeat a key is first reduced to its last row per key by
-    ``source_order`` (sequential ``ON DUPLICATE KEY`` semantics).
+    columns (plus ``action`` = insert/update/keep when asked).  The source is
+    reduced to one row per key: the last by ``source_order`` (sequential
+    ``ON DUPLICATE KEY`` semantics), else the largest row.  Keys match by
+    plain equality, as a unique key does: a NULL key part matches nothing, so
+    such source rows are inserted and such target rows are kept.  An update
+    column that the source lacks, or that the target lacks, is an error.
     """
-    if source_order:
-        source = dedupe_latest(source, keys, source_order)
-    s = source.select(*[F.col(c) for c in source.columns if c in target.columns]).withColumn("__s", F.lit(True))
+    absent = [c for c in [*keys, *update_cols] if c not in source.columns or c not in target.columns]
+    if absent:
+        raise ValueError(f"columns missing from the source or the target: {absent}")
+    s = source.select(*[c for c in source.columns if c in target.columns or c in (source_order or [])])
+    s = _one_per_key(s, keys, F.max_by(F.struct(*s.columns), F.struct(*source_order)) if source_order
+                     else F.max(F.struct(*s.columns))).withColumn("__s", F.lit(True))
     t = target.withColumn("__t", F.lit(True))
-    j = t.alias("t").join(s.alias("s"), _key_cond("t", "s", keys), "full_outer")
+    same = reduce(lambda a, b: a & b, [F.col(f"t.`{k}`") == F.col(f"s.`{k}`") for k in keys])
+    j = t.alias("t").join(s.alias("s"), same, "full_outer")
     in_s, in_t = F.col("s.__s").isNotNull(), F.col("t.__t").isNotNull()
     cols = []
     for c in target.columns:
         tc, sc = F.col(f"t.`{c}`"), F.col(f"s.`{c}`") if c in source.columns else F.lit(None)
-        if c in keys:
-            e = F.when(in_t, tc).otherwise(sc)
-        elif c in update_cols:
+        if c in update_cols:
             e = F.when(in_s, sc).otherwise(tc)
         else:
             e = F.when(in_t, tc).otherwise(sc)
@@ -61,26 +58,49 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: l
 
 def insert_if_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``INSERT IGNORE``: rows whose key is absent from ``target`` (first
-    occurrence per key within ``rows``), appended to ``target``.  Keys match
-    null-safely."""
+    occurrence per key within ``rows``), appended to ``target``."""
     new = new_rows(target, rows, keys)
     return target.unionByName(new, allowMissingColumns=True)
 
 
-def new_rows(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Rows whose key is not in ``target``, one per key — the one with the
-    smallest ``order`` value (or the smallest row) so a recomputed task picks
-    the same row — then a left-anti shuffle join."""
+def _whole_key(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
+
+
+def _one_per_key(rows: DataFrame, keys: list[str], pick: Column) -> DataFrame:
+    """One row per key by the aggregate ``pick``; rows with a NULL key part are
+    all kept (a unique key does not compare them)."""
+    whole = _whole_key(keys)
+    one = rows.where(whole).groupBy(*keys).agg(pick.alias("__r")).select("__r.*")
+    return one.unionByName(rows.where(~whole))
+
+
+def first_per_key(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The row of each key with the smallest ``order`` value (or the smallest
+    row), so that a recomputed task picks the same row."""
     whole = F.struct(*rows.columns)
-    pick = F.min_by(whole, F.col(order)) if order else F.min(whole)
-    rows = rows.groupBy(*keys).agg(pick.alias("__r")).select("__r.*")
+    return _one_per_key(rows, keys, F.min_by(whole, F.col(order)) if order else F.min(whole))
+
+
+def new_rows(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows whose key is not in ``target``, one per key, by a left-anti join.
+
+    Rows with a NULL key part are apart: nothing equals them, so all are new,
+    unless ``order`` names an id that both sides have; then those ids already
+    in the target are left out, which keeps a replay a no-op."""
+    rows = first_per_key(rows, keys, order)
+    whole = _whole_key(keys)
+    some = rows.where(whole)
     # Reduce the (large) target to the keys the batch actually has: a semi-join
     # whose build side is the batch, so a small batch is broadcast (AQE) and
     # the target is scanned but never shuffled; the anti-join then meets a
     # key set no larger than the batch.
-    present = (target.select(*keys).alias("k")
-               .join(rows.select(*keys).alias("b"), _key_cond("k", "b", keys), "left_semi"))
-    return rows.alias("r").join(present.alias("k"), _key_cond("r", "k", keys), "left_anti")
+    present = target.select(*keys).join(some.select(*keys), keys, "left_semi")
+    new = some.join(present, keys, "left_anti")
+    loose = rows.where(~whole)
+    if order and order in target.columns and order not in keys:
+        loose = loose.join(target.where(~whole).select(order), order, "left_anti")
+    return new.unionByName(loose)
 
 
 def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
@@ -159,20 +179,28 @@ def merge_into_partitions(target_path: str, source: DataFrame, keys: list[str],
     """Upsert ``source`` into a parquet table partitioned by ``partition_col``,
     reading and rewriting ONLY the partitions the source touches.
 
-    The touched partitions are selected with a semi-join on the partition
-    column (dynamic partition pruning skips the other folders), merged with
-    ``upsert``, materialised to the reliable checkpoint folder (the write
-    replaces files the merge read from) and written back with dynamic
-    partition overwrite.  ``partition_col`` must be one of ``keys``.
+    The touched partitions are selected with a null-safe semi-join on the
+    partition column (dynamic partition pruning skips the other folders),
+    merged with ``upsert``, materialised to the reliable checkpoint folder
+    (the write replaces files the merge read from) and written back with
+    dynamic partition overwrite.  A key must not change its partition.
+
+    The result has the target's columns: those the source lacks keep their
+    stored values, a source column the target lacks is an error, and so is
+    any failure to read an existing table; stored rows are then untouched.
     """
     from clinops.session import ensure_checkpoint_dir
     spark = source.sparkSession
     ensure_checkpoint_dir(spark)
-    parts = source.select(partition_col).distinct()
-    try:
+    if path_exists(spark, target_path):
         current = spark.read.parquet(target_path)
-        touched = current.join(parts, partition_col, "left_semi").select(*source.columns)
-    except Exception:  # noqa: BLE001 - no table yet
+        extra = [c for c in source.columns if c not in current.columns]
+        if extra:
+            raise ValueError(f"the table at {target_path} has no columns {extra}")
+        parts = source.select(partition_col).distinct()
+        same = F.col(f"c.`{partition_col}`").eqNullSafe(F.col(f"p.`{partition_col}`"))
+        touched = current.alias("c").join(parts.alias("p"), same, "left_semi").select(*current.columns)
+    else:
         touched = source.limit(0)
     merged = upsert(touched, source, keys, update_cols).checkpoint(eager=True)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -209,20 +237,16 @@ def write_snapshot(df: DataFrame, base_path: str, version: int | str,
     return path
 
 
-def read_snapshot(spark, base_path: str) -> DataFrame | None:
-    """Latest committed version under ``base_path`` (None when absent)."""
-    try:
-        v = spark.read.json(f"{base_path.rstrip('/')}/_LATEST").first()
-    except Exception:  # noqa: BLE001 - missing pointer means no version yet
-        return None
-    if v is None:
-        return None
-    return spark.read.parquet(f"{base_path.rstrip('/')}/v={v['version']}")
-
-
 def latest_version(spark, base_path: str) -> str | None:
-    try:
-        v = spark.read.json(f"{base_path.rstrip('/')}/_LATEST").first()
-    except Exception:  # noqa: BLE001
+    """Latest committed version under ``base_path`` (None when there is none)."""
+    pointer = f"{base_path.rstrip('/')}/_LATEST"
+    if not path_exists(spark, pointer):
         return None
+    v = spark.read.json(pointer).first()
     return None if v is None else v["version"]
+
+
+def read_snapshot(spark, base_path: str) -> DataFrame | None:
+    """Rows of the latest committed version (None when there is none)."""
+    version = latest_version(spark, base_path)
+    return None if version is None else spark.read.parquet(f"{base_path.rstrip('/')}/v={version}")

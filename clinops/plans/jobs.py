@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinops.functions.common import as_datetime, ts_lit
+from clinops.functions.common import as_datetime, path_exists, ts_lit
 from clinops.operators import sync
 from clinops.operators.upsert import append_to, merge_into_partitions
 from clinops.session import ensure_checkpoint_dir
@@ -34,10 +34,7 @@ DAY = "day"
 
 
 def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first run: no target yet
-        return spark.createDataFrame([], like.schema)
+    return spark.read.parquet(path) if path_exists(spark, path) else spark.createDataFrame([], like.schema)
 
 
 def run_vitals_sync(spark: SparkSession, source_path: str, target_path: str, as_of_ts,
@@ -57,9 +54,10 @@ def run_vitals_sync(spark: SparkSession, source_path: str, target_path: str, as_
     if stop_after_target:
         return {"examined": n_examined, "inserted": n_inserted, "marked": 0}
     now = ts_lit(as_datetime(as_of_ts))
-    marks = (pending.select("vital_id", "measured_at")
-             .join(source, ["vital_id", "measured_at"])
-             .withColumn("synced_to_mysql_at", F.coalesce(F.col("synced_to_mysql_at"), now))
-             .select(*source.columns))
-    merge_into_partitions(source_path, marks, ["vital_id", DAY], ["synced_to_mysql_at"], DAY)
-    return {"examined": n_examined, "inserted": n_inserted, "marked": n_examined}
+    # the id alone names a reading; measured_at may be NULL
+    marks = (pending.select("vital_id").join(source, "vital_id")
+             .where(F.col("synced_to_mysql_at").isNull())
+             .withColumn("synced_to_mysql_at", now).select(*source.columns)).checkpoint(eager=True)
+    n_marked = marks.count()
+    merge_into_partitions(source_path, marks, ["vital_id"], ["synced_to_mysql_at"], DAY)
+    return {"examined": n_examined, "inserted": n_inserted, "marked": n_marked}

@@ -500,6 +500,7 @@ SELECT {s_id('p.patient_no')} AS patient_no, {s_name('p.patient_name')} AS patie
        {s_address('p.patient_address')} AS patient_address, {s_email('p.patient_email')} AS patient_email,
        {s_phone('p.patient_tel')} AS patient_tel, p.patient_foreign,
        CASE WHEN p.patient_passport IS NOT NULL THEN '********' END AS patient_passport,
+       p.patient_hypass_YN, {s_fmt_ts('p.patient_last_visit')} AS patient_last_visit, p.guardian,
        {s_fmt_ts('p.created_date')} AS created_date, {s_fmt_ts('p.last_modified_date')} AS last_modified_date,
        p.intt_cd,
        {s_id('pr.patient_no')} AS profile_patient_no, pr.app_user_id AS profile_app_user_id,
@@ -513,6 +514,9 @@ _reg("patient_360", duck_with("Patient", "user_app_profile", "disability", "pati
                               "user_vital_measurement", "user_daily_wellness") + f"""
 , ev AS (SELECT patient_no, count(*) AS n_events, count(DISTINCT category) AS n_categories FROM patient_clinical_event
          GROUP BY 1)
+, ec AS (SELECT patient_no, string_agg(category || ':' || CAST(n AS VARCHAR), ',' ORDER BY category) AS events_by_category
+         FROM (SELECT patient_no, coalesce(category, 'None') AS category, count(*) AS n FROM patient_clinical_event
+               GROUP BY 1, 2) GROUP BY 1)
 , ne AS (SELECT patient_no, occurred_on, title,
                 row_number() OVER (PARTITION BY patient_no ORDER BY occurred_on DESC, clinical_event_id DESC) AS rn
          FROM patient_clinical_event)
@@ -525,7 +529,7 @@ SELECT p.patient_no, p.patient_name, pr.app_user_id, pr.blood_type, CAST(pr.heig
        CAST(pr.weight_kg AS DOUBLE) AS weight_kg, pr.intt_cd AS profile_intt_cd, d.disability_grade,
        d.disability_type, d.assistive_device_YN, d.disability_device_type,
        CAST(coalesce(ev.n_events, 0) AS BIGINT) AS n_events, CAST(coalesce(ev.n_categories, 0) AS BIGINT) AS n_categories,
-       {s_fmt_d('ne.occurred_on')} AS latest_event_on, ne.title AS latest_event_title,
+       ec.events_by_category, {s_fmt_d('ne.occurred_on')} AS latest_event_on, ne.title AS latest_event_title,
        lv.vital_id AS latest_vital_id, {s_fmt_ts('lv.measured_at')} AS latest_measured_at,
        lv.heart_rate_bpm AS latest_heart_rate_bpm, lv.blood_pressure_systolic AS latest_blood_pressure_systolic,
        lv.blood_pressure_diastolic AS latest_blood_pressure_diastolic,
@@ -537,6 +541,7 @@ FROM "Patient" p
 LEFT JOIN user_app_profile pr ON pr.patient_no = p.patient_no
 LEFT JOIN disability d ON d.patient_no = p.patient_no
 LEFT JOIN ev ON ev.patient_no = p.patient_no
+LEFT JOIN ec ON ec.patient_no = p.patient_no
 LEFT JOIN ne ON ne.patient_no = p.patient_no AND ne.rn = 1
 LEFT JOIN lv ON lv.patient_no = p.patient_no AND lv.rn = 1
 LEFT JOIN td ON td.patient_no = p.patient_no
@@ -550,8 +555,8 @@ FROM patient_clinical_event
 
 # ---- upsert family / sync ----------------------------------------------------
 _PT_COLS = ["patient_no", "patient_name", "patient_rrn", "patient_gender", "patient_birth", "patient_address",
-            "patient_email", "patient_tel", "patient_foreign", "patient_passport", "created_date",
-            "last_modified_date", "intt_cd"]
+            "patient_email", "patient_tel", "patient_foreign", "patient_passport", "patient_hypass_YN",
+            "patient_last_visit", "guardian", "created_date", "last_modified_date", "intt_cd"]
 
 
 def _merge_cols(cols, keys, updates):
@@ -573,12 +578,13 @@ def _on(keys):
 
 _UPSERT_PATIENTS = duck_with("Patient") + f"""
 , tgt AS (SELECT * REPLACE (lower(patient_name) AS patient_name, 'OLD' AS patient_address,
-                            '000-0000-0000' AS patient_tel, created_date AS last_modified_date), TRUE AS __t
+                            '000-0000-0000' AS patient_tel, created_date AS last_modified_date,
+                            CAST(NULL AS TIMESTAMP) AS patient_last_visit, 'OLD' AS guardian), TRUE AS __t
           FROM "Patient" WHERE patient_no % 3 <> 2)
 , src AS (SELECT *, TRUE AS __s FROM "Patient")
 , merged AS (
 SELECT {_merge_cols(_PT_COLS, ['patient_no'], ['patient_name', 'patient_gender', 'patient_birth', 'patient_address',
-                                                 'last_modified_date', 'intt_cd'])}
+                                                 'patient_last_visit', 'last_modified_date', 'intt_cd'])}
 FROM tgt t FULL OUTER JOIN src s ON {_on(['patient_no'])})
 """
 _reg("upsert_patients", _UPSERT_PATIENTS + "SELECT * FROM merged")
@@ -683,6 +689,19 @@ _TREAT_RUN = duck_with("treatments", "patient_clinical_event") + f"""
 """
 _reg("sync_treatments", _TREAT_RUN + "SELECT * FROM ins")
 
+_reg("mark_treatments", duck_with("treatments") + f"""
+SELECT treatment_id,
+       CASE WHEN synced_to_postgres_at IS NULL AND patient_no IS NOT NULL THEN {_ts(W)} ELSE synced_to_postgres_at END
+         AS synced_to_postgres_at,
+       CASE WHEN synced_to_postgres_at IS NULL AND patient_no IS NOT NULL THEN {_ts(W)} ELSE last_modified_date END
+         AS last_modified_date
+FROM treatments
+""")
+
+_reg("mark_daily", duck_with("user_daily_wellness") + f"""
+SELECT patient_no, summary_date, coalesce(synced_to_mysql_at, {_ts(W)}) AS synced_to_mysql_at FROM user_daily_wellness
+""")
+
 _reg("sync_stats", f"""
 WITH v AS ({_VITALS_RUN} SELECT count(*) AS vitals_examined,
                  (SELECT count(*) FROM ins) AS vitals_copied FROM batch)
@@ -690,8 +709,11 @@ WITH v AS ({_VITALS_RUN} SELECT count(*) AS vitals_examined,
                  count(*) FILTER (WHERE ex) AS skipped_existing_pg, count(*) AS marked_mysql FROM tagged)
 , d AS ({_SYNC_DAILY} SELECT count(*) FILTER (WHERE action <> 'keep') AS daily_copied FROM merged)
 , p AS ({_UPSERT_PATIENTS} SELECT count(*) FILTER (WHERE action <> 'keep') AS patients_upserted FROM merged)
+, q AS ({ORACLE["upsert_profiles"]})
 SELECT v.vitals_examined, v.vitals_copied, v.vitals_examined - v.vitals_copied AS vitals_duplicate,
-       t.examined, t.inserted, t.skipped_existing_pg, t.marked_mysql, d.daily_copied, p.patients_upserted
+       v.vitals_examined AS vital_ids_marked, t.examined, t.inserted, t.skipped_existing_pg, t.marked_mysql,
+       d.daily_copied, d.daily_copied AS daily_marked, p.patients_upserted,
+       (SELECT count(*) FROM q WHERE action <> 'keep') AS profiles_upserted, CAST(0 AS BIGINT) AS errors
 FROM v, t, d, p
 """)
 
@@ -801,10 +823,18 @@ FROM due
 
 _KNOWN = ", ".join(_q(k) for k in _ledger.KNOWN_PAYLOAD_FIELDS)
 _reg("ledger_payload_json", duck_with("batch_job_log") + f"""
-SELECT batch_log_id, json_extract_string(result_payload, '$.job') AS job,
-       array_to_string(list_sort(list_filter(json_keys(result_payload), lambda k: NOT list_contains([{_KNOWN}], k))), ',')
-         AS extra_keys
-FROM batch_job_log WHERE result_payload IS NOT NULL
+SELECT batch_log_id, coalesce(json_extract_string(result_payload, '$.job'), job_name) AS job,
+       json_extract_string(result_payload, '$.batch_log_id') AS payload_batch_log_id,
+       json_extract_string(result_payload, '$.suffix') AS suffix,
+       json_extract_string(result_payload, '$.patients_inserted_from') AS patients_inserted_from,
+       json_extract_string(result_payload, '$.check_ins') AS check_ins,
+       json_extract_string(result_payload, '$.treatments') AS treatments,
+       json_extract_string(result_payload, '$.prescription_ids') AS prescription_ids,
+       array_to_string(x, ',') AS extra_keys,
+       array_to_string(list_transform(x, lambda k: k || '=' || coalesce(json_extract_string(result_payload, '$.' || k), 'null')),
+                       ',') AS extra
+FROM (SELECT *, list_sort(list_filter(json_keys(result_payload), lambda k: NOT list_contains([{_KNOWN}], k))) AS x
+      FROM batch_job_log WHERE result_payload IS NOT NULL)
 """)
 
 
@@ -865,6 +895,30 @@ JOIN ({ORACLE['patient_360']}) f ON f.patient_no = r.patient_no
 WHERE r.patient_no IS NOT NULL
 """)
 
+_reg("my_health_events", f"""
+SELECT r."by" AS resolved_by, r.value, e.*
+FROM ({ORACLE['resolve_patient']}) r
+JOIN ({duck_with("patient_clinical_event")} SELECT patient_no, coalesce(category, 'None') AS category, clinical_event_id,
+      {s_fmt_d('occurred_on')} AS occurred_on_kr, department, title, summary, {s_status('status')} AS status,
+      institution_name FROM patient_clinical_event) e ON e.patient_no = r.patient_no
+WHERE r.patient_no IS NOT NULL
+""")
+
+_reg("format_odd_values", """
+WITH o AS (SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS d, CAST(ts AS DATE) AS dd, event_type,
+  CAST(12345678 + event_id AS DECIMAL(16,2)) + CAST(event_id % 100 AS DECIMAL(16,2)) / 100 AS big,
+  event_id % 1000 AS m FROM events)
+SELECT event_id,
+  CASE event_id % 9 WHEN 0 THEN d || 'T10:00:99' WHEN 1 THEN d || 'T10:00+99:99' WHEN 2 THEN d || ' 10:00|Tab'
+    WHEN 3 THEN CAST(year(dd + INTERVAL 1 DAY) AS VARCHAR) || '년 ' || CAST(month(dd + INTERVAL 1 DAY) AS VARCHAR)
+      || '월 ' || CAST(day(dd + INTERVAL 1 DAY) AS VARCHAR) || '일 14:00' WHEN 4 THEN d || 'T24:00'
+    WHEN 5 THEN '2024-02-30T10:00' WHEN 6 THEN event_type || 'T|' WHEN 7 THEN '' END AS iso_kr,
+  CAST(12345678 + event_id AS VARCHAR) || CASE WHEN event_id % 100 = 0 THEN ''
+    ELSE '.' || rtrim(lpad(CAST(event_id % 100 AS VARCHAR), 2, '0'), '0') END AS big,
+  CASE WHEN m = 0 THEN '0' ELSE '0.' || rtrim(lpad(CAST(m AS VARCHAR), 6, '0'), '0') END AS small
+FROM o
+""")
+
 _reg("mask_institutions", duck_with("health_checkup_institution") + f"""
 SELECT institution_id, region_code, institution_name, institution_type, {s_address('address')} AS address,
        {s_phone('phone_number')} AS phone_number, is_active, created_date, intt_cd,

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,13 +69,15 @@ def bound_table_stats(spark: SparkSession, sf_dir: str, names: list[str],
 def bound_daily_trend(spark: SparkSession, sf_dir: str, names: list[str], days: int = 14) -> DataFrame:
     parts = []
     for base, views in _by_base(names).items():
-        pairs = []
+        pairs, recent = [], []
         for n in views:
             lo = as_date(view_as_of(n)) - _dt.timedelta(days=days - 1)
             c = _created(n)
-            keep = _member(n) & (c >= F.lit(f"{lo} 00:00:00").cast("timestamp_ntz"))
+            late = c >= F.lit(f"{lo} 00:00:00").cast("timestamp_ntz")
+            keep = _member(n) & late
+            recent.append(late)
             pairs.append(F.when(keep, F.struct(F.lit(n).alias("table_name"), day_key(c).alias("day"))))
-        exploded = (raw(spark, sf_dir, base)
+        exploded = (raw(spark, sf_dir, base).where(reduce(lambda a, b: a | b, recent))  # reaches the scan
                     .select(F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("p"))
                     .select("p.table_name", "p.day"))
         parts.append(exploded.groupBy("table_name", "day").agg(F.count(F.lit(1)).alias("count")))

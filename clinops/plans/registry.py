@@ -151,6 +151,24 @@ def q_format_datetimes(spark, sf_dir):
                      display.format_iso_text(F.col("iso_text")).alias("iso_kr"))
 
 
+@register("format_odd_values")
+def q_format_odd_values(spark, sf_dir):
+    """Text that only looks like a date, and decimals far from 1, made of the events' own values."""
+    odd = raw(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        "CASE event_id % 9 WHEN 0 THEN concat(CAST(CAST(ts AS DATE) AS STRING), 'T10:00:99') "
+        "WHEN 1 THEN concat(CAST(CAST(ts AS DATE) AS STRING), 'T10:00+99:99') "
+        "WHEN 2 THEN concat(CAST(CAST(ts AS DATE) AS STRING), ' 10:00|Tab') "
+        "WHEN 3 THEN concat(CAST(CAST(ts AS DATE) AS STRING), 'T23:30:00.123456-05:30') "
+        "WHEN 4 THEN concat(CAST(CAST(ts AS DATE) AS STRING), 'T24:00') "
+        "WHEN 5 THEN '2024-02-30T10:00' WHEN 6 THEN concat(event_type, 'T|') WHEN 7 THEN '' END AS t",
+        "CAST(CAST(12345678 + event_id AS DECIMAL(12,0)) + CAST(event_id % 100 AS DECIMAL(12,0)) / 100 AS DECIMAL(16,2)) AS big",
+        "CAST(CAST(event_id % 1000 AS DECIMAL(12,0)) / 1000000 AS DECIMAL(10,7)) AS small")
+    return odd.select("event_id", display.format_iso_text(F.col("t")).alias("iso_kr"),
+                      display.decimal_display(F.col("big")).alias("big"),
+                      display.decimal_display(F.col("small")).alias("small"))
+
+
 @register("format_cells")
 def q_format_cells(spark, sf_dir):
     e = _v(spark, sf_dir, "examination")
@@ -278,7 +296,7 @@ def q_patient_card(spark, sf_dir):
 def q_patient_360(spark, sf_dir):
     p, pr, dis, ev, vt, dw = _v(spark, sf_dir, "Patient", "user_app_profile", "disability",
                                 "patient_clinical_event", "user_vital_measurement", "user_daily_wellness")
-    return patient.patient_360(p, pr, dis, ev, vt, dw, WEAR_AS_OF_TS).drop("events_by_category")
+    return patient.patient_360(p, pr, dis, ev, vt, dw, WEAR_AS_OF_TS)
 
 
 @register("patient_events")
@@ -294,6 +312,8 @@ def ops_patient_target(spark, sf_dir):
             .withColumn("patient_name", F.lower("patient_name"))
             .withColumn("patient_address", F.lit("OLD"))
             .withColumn("patient_tel", F.lit("000-0000-0000"))
+            .withColumn("patient_last_visit", F.lit(None).cast("timestamp_ntz"))
+            .withColumn("guardian", F.lit("OLD"))
             .withColumn("last_modified_date", F.col("created_date")))
 
 
@@ -393,12 +413,23 @@ def q_sync_treatments(spark, sf_dir):
     return _treat_run(spark, sf_dir)["inserted"]
 
 
+@register("mark_treatments")
+def q_mark_treatments(spark, sf_dir):
+    return _treat_run(spark, sf_dir, assign_ids=False)["marked"].select(
+        "treatment_id", "synced_to_postgres_at", "last_modified_date")
+
+
+@register("mark_daily")
+def q_mark_daily(spark, sf_dir):
+    return sync.mark_daily(_v(spark, sf_dir, "user_daily_wellness"), WEAR_AS_OF_TS).select(
+        "patient_no", "summary_date", "synced_to_mysql_at")
+
+
 @register("sync_stats")
 def q_sync_stats(spark, sf_dir):
     vr, tr = _vitals_run(spark, sf_dir), _treat_run(spark, sf_dir, assign_ids=False)
-    daily = q_sync_daily(spark, sf_dir)
-    pats = q_upsert_patients(spark, sf_dir)
-    return sync.sync_stats(vr["outcomes"], tr["outcomes"], daily, pats)
+    return sync.sync_stats(vr["outcomes"], tr["outcomes"], q_sync_daily(spark, sf_dir), q_upsert_patients(spark, sf_dir),
+                           q_upsert_profiles(spark, sf_dir), vr["rejected"])
 
 
 @register("sync_quarantine")
@@ -461,7 +492,7 @@ def q_ledger_retry_plan(spark, sf_dir):
 
 @register("ledger_payload_json")
 def q_ledger_payload_json(spark, sf_dir):
-    return ledger.ledger_payload_fields(_v(spark, sf_dir, "batch_job_log")).drop("extra")
+    return ledger.ledger_payload_fields(_v(spark, sf_dir, "batch_job_log"))
 
 
 # ---- composite snapshots ---------------------------------------------------
@@ -496,8 +527,13 @@ def q_ledger_retry_cycle(spark, sf_dir):
 def q_my_health(spark, sf_dir):
     p, pr, dis, ev, vt, dw = _v(spark, sf_dir, "Patient", "user_app_profile", "disability",
                                 "patient_clinical_event", "user_vital_measurement", "user_daily_wellness")
-    return patient.my_health(lookup_requests(spark, sf_dir), p, pr, dis, ev, vt, dw,
-                             WEAR_AS_OF_TS).drop("events_by_category")
+    return patient.my_health(lookup_requests(spark, sf_dir), p, pr, dis, ev, vt, dw, WEAR_AS_OF_TS)
+
+
+@register("my_health_events")
+def q_my_health_events(spark, sf_dir):
+    p, pr, ev = _v(spark, sf_dir, "Patient", "user_app_profile", "patient_clinical_event")
+    return patient.my_health_events(lookup_requests(spark, sf_dir), p, pr, ev)
 
 
 @register("mask_institutions")

@@ -129,5 +129,6 @@ def wearable_snapshot(spark, loader, as_of_ts, table_counts: DataFrame | None =
 
 
 def to_json_row(df: DataFrame, name: str = "snapshot") -> DataFrame:
-    """The whole one-row snapshot as JSON text (the API sink)."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+    """The whole one-row snapshot as JSON text (the API sink); missing values
+    are written as null, so every row of a list has the same keys."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))

@@ -33,6 +33,9 @@ SCHEMAS: dict[str, T.StructType] = {
         T.StructField("patient_tel", _S),
         T.StructField("patient_foreign", _S),
         T.StructField("patient_passport", _S),
+        T.StructField("patient_hypass_YN", _S),
+        T.StructField("patient_last_visit", _TS),
+        T.StructField("guardian", _S),
         T.StructField("created_date", _TS),
         T.StructField("last_modified_date", _TS),
         T.StructField("intt_cd", _S),

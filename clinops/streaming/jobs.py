@@ -6,8 +6,8 @@ replaces the marker, and every sink write is idempotent so a replayed
 micro-batch (after a lost executor or a restart) changes nothing:
 
 * daily rollup — each stored (patient, day) row remembers the last batch
-  that touched it (``applied_batch``); a replay skips rows already updated
-  by that batch.  Only the days present in a batch are read and rewritten
+  of each stream that touched it (``applied``); a replay skips rows already
+  updated by that batch.  Only the days present in a batch are read and rewritten
   (dynamic partition overwrite on ``summary_date``).
 * insert-ignore copy — new rows are anti-joined against the target's
   partitions for the batch's days before the append, so a replay appends
@@ -18,12 +18,16 @@ micro-batch (after a lost executor or a restart) changes nothing:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from clinops.functions.common import path_exists
 from clinops.operators.sync import daily_rollup_delta
+from clinops.operators.upsert import first_per_key, new_rows
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -80,24 +84,36 @@ ROLLUP_SCHEMA = T.StructType([
     T.StructField("sleep_hours", T.DecimalType(4, 1)),
     T.StructField("stress_level", T.DecimalType(7, 2)),
     T.StructField("last_reading_at", T.TimestampNTZType()),
-    T.StructField("applied_batch", T.LongType()),
+    T.StructField("applied", T.MapType(T.StringType(), T.LongType())),
     T.StructField("summary_date", T.DateType()),
 ])
 
 
 def _read_store(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(ROLLUP_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - no store yet
+    if not path_exists(spark, path):
         return spark.createDataFrame([], ROLLUP_SCHEMA)
+    return spark.read.schema(ROLLUP_SCHEMA).parquet(path)
+
+
+def stream_identity(spark: SparkSession, checkpoint_path: str) -> str:
+    """A name that lives as long as a stream's checkpoint: made on the first
+    start, read back on restarts.  A new checkpoint is a new stream, whose
+    batch numbers begin at 0 again."""
+    path = f"{checkpoint_path.rstrip('/')}/rollup-stream"
+    if path_exists(spark, f"{path}/_SUCCESS"):
+        return spark.read.text(path).first()[0]
+    name = uuid.uuid4().hex
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return name
 
 
-def apply_rollup_batch(batch: DataFrame, batch_id: int, store_path: str) -> None:
+def apply_rollup_batch(batch: DataFrame, batch_id: int, store_path: str, stream: str = "") -> None:
     """Merge one micro-batch of increments into the stored daily rollup.
 
-    Steps add; sleep/stress follow the newest reading (stored or new);
-    rows already carrying ``applied_batch >= batch_id`` are left alone, which
-    makes a replay of the same batch a no-op.
+    Steps add (a missing step counts 0); sleep/stress follow the newest
+    reading (stored or new).  Each row keeps the last batch applied per
+    stream (``applied``), so a replay of a batch is a no-op while batches of
+    another stream, or of the same job under a new checkpoint, still add up.
     """
     spark = batch.sparkSession
     delta = daily_rollup_delta(batch).withColumn("__b", F.lit(int(batch_id)))
@@ -105,18 +121,21 @@ def apply_rollup_batch(batch: DataFrame, batch_id: int, store_path: str) -> None
     stored = _read_store(spark, store_path).join(days, "summary_date", "left_semi")
     s, d = stored.alias("s"), delta.alias("d")
     j = s.join(d, ["patient_no", "summary_date"], "full_outer")
-    fresh = F.col("d.__b").isNotNull() & (F.col("s.applied_batch").isNull()
-                                          | (F.col("s.applied_batch") < F.col("d.__b")))
+    seen = F.try_element_at(F.col("s.applied"), F.lit(stream))
+    fresh = F.col("d.__b").isNotNull() & (seen.isNull() | (seen < F.col("d.__b")))
     newer = fresh & (F.col("s.last_reading_at").isNull()
                      | (F.col("d.last_reading_at") >= F.col("s.last_reading_at")))
+    others = F.map_filter(F.coalesce(F.col("s.applied"), F.create_map().cast("map<string,bigint>")),
+                          lambda k, _: k != F.lit(stream))
+    mine = F.create_map(F.lit(stream), F.col("d.__b").cast("bigint"))
     merged = j.select(
         "patient_no",
-        F.when(fresh, F.coalesce(F.col("s.step_count"), F.lit(0)) + F.col("d.step_delta"))
+        F.when(fresh, F.coalesce(F.col("s.step_count"), F.lit(0)) + F.coalesce(F.col("d.step_delta"), F.lit(0)))
          .otherwise(F.col("s.step_count")).cast("bigint").alias("step_count"),
         F.when(newer, F.col("d.sleep_hours")).otherwise(F.col("s.sleep_hours")).alias("sleep_hours"),
         F.when(newer, F.col("d.stress_level")).otherwise(F.col("s.stress_level")).alias("stress_level"),
         F.when(newer, F.col("d.last_reading_at")).otherwise(F.col("s.last_reading_at")).alias("last_reading_at"),
-        F.when(fresh, F.col("d.__b")).otherwise(F.col("s.applied_batch")).cast("bigint").alias("applied_batch"),
+        F.when(fresh, F.map_concat(others, mine)).otherwise(F.col("s.applied")).alias("applied"),
         "summary_date")
     # Materialise before overwriting the partitions it was read from.
     from clinops.session import ensure_checkpoint_dir
@@ -128,7 +147,8 @@ def apply_rollup_batch(batch: DataFrame, batch_id: int, store_path: str) -> None
 
 def start_daily_rollup(increments: DataFrame, store_path: str, checkpoint_path: str,
                        available_now: bool = True) -> StreamingQuery:
-    w = (increments.writeStream.foreachBatch(lambda df, bid: apply_rollup_batch(df, bid, store_path))
+    stream = stream_identity(increments.sparkSession, checkpoint_path)
+    w = (increments.writeStream.foreachBatch(lambda df, bid: apply_rollup_batch(df, bid, store_path, stream))
          .option("checkpointLocation", checkpoint_path))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")
     return w.start()
@@ -160,13 +180,14 @@ def apply_sync_batch(batch: DataFrame, batch_id: int, target_path: str) -> None:
     reading time); only the target partitions of the batch's days are read."""
     spark = batch.sparkSession
     rows = batch.withColumn("measured_day", F.to_date("measured_at"))
-    rows = rows.groupBy(*SYNC_KEYS).agg(F.min_by(F.struct(*rows.columns), F.col("vital_id")).alias("r")).select("r.*")
-    days = rows.select("measured_day").distinct()
-    try:
-        existing = spark.read.parquet(target_path).join(days, "measured_day", "left_semi").select(*SYNC_KEYS)
-        new = rows.join(existing, SYNC_KEYS, "left_anti")
-    except Exception:  # noqa: BLE001 - empty target
-        new = rows
+    if path_exists(spark, target_path):
+        days = rows.select("measured_day").distinct()
+        target = spark.read.parquet(target_path)
+        same_day = F.col("t.measured_day").eqNullSafe(F.col("d.measured_day"))
+        existing = target.alias("t").join(days.alias("d"), same_day, "left_semi")
+        new = new_rows(existing, rows, SYNC_KEYS, order="vital_id")
+    else:
+        new = first_per_key(rows, SYNC_KEYS, order="vital_id")
     new.write.mode("append").partitionBy("measured_day").parquet(target_path)
 
 

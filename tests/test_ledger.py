@@ -51,7 +51,8 @@ def test_state_fold_and_backoff(spark):
 
 def test_payload_fields(spark):
     r = ledger.ledger_payload_fields(log(spark)).collect()[0]
-    assert (r.job, r.extra_keys, r.extra) == ("x", "n,z", {"n": "1", "z": "2"})
+    assert (r.job, r.extra_keys, r.extra) == ("x", "n,z", "n=1,z=2")
+    assert (r.suffix, r.payload_batch_log_id, r.check_ins, r.prescription_ids) == (None, None, None, None)
 
 
 def test_retry_cycle_marks_origins_and_appends_runs(spark):

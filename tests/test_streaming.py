@@ -34,7 +34,7 @@ def test_daily_rollup_stream_matches_batch_and_replay_is_noop(spark):
     # replaying batch 0 (same rows, same id) must not add steps again
     before = spark.read.parquet(store).checkpoint(eager=True)
     first = jobs.wellness_increments(spark.read.parquet(src).where(F.col("event_id") % 3 == 0))
-    jobs.apply_rollup_batch(first, 0, store)
+    jobs.apply_rollup_batch(first, 0, store, jobs.stream_identity(spark, ckpt))
     after = spark.read.parquet(store)
     assert before.select("patient_no", "summary_date", "step_count").exceptAll(
         after.select("patient_no", "summary_date", "step_count")).count() == 0
