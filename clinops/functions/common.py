@@ -8,12 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Dimension sides above this many rows are never broadcast by us; the plan
-# falls back to a shuffle join (and AQE may still pick a broadcast from
-# runtime sizes under spark.sql.autoBroadcastJoinThreshold).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 def ts_lit(value: _dt.datetime | _dt.date | str) -> Column:
     """A TIMESTAMP_NTZ literal (no session-zone conversion, pushable)."""
     if isinstance(value, _dt.datetime):
@@ -51,25 +45,6 @@ def as_date(value: _dt.date | _dt.datetime) -> _dt.date:
     return value.date() if isinstance(value, _dt.datetime) else value
 
 
-_SIZE_CHECKS: dict[tuple[int, int], bool] = {}
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The probe reads at most ``max_rows + 1`` rows (``limit`` stops early), so
-    it is cheap for real dimensions and bounded for anything else.  Beyond the
-    bound the frame is returned as is and the join shuffles.  The verdict is
-    remembered per (plan, bound) for the life of the driver process.
-    """
-    key = (df.semanticHash(), max_rows)
-    small = _SIZE_CHECKS.get(key)
-    if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        _SIZE_CHECKS[key] = small
-    return F.broadcast(df) if small else df
-
-
 def bounded_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a frame whose size is bounded by construction (a top-N or a
     per-partition summary); callers state the bound next to the call."""

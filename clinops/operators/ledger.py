@@ -154,15 +154,14 @@ def ledger_json(payload_cols: list[str]) -> F.Column:
 
 def ledger_retry_cycle(log: DataFrame, as_of_ts, limit: int = 10, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """One retry scan applied to the ledger: the due failures (at most
-    ``limit``, broadcast — bounded by the limit) become RETRIED with no retry
+    ``limit``) become RETRIED with no retry
     time, and one RUNNING row per retry is appended with the next ids in due
     order.  Returns the whole new ledger."""
-    from clinops.functions.common import bounded_broadcast
     from clinops.operators.upsert import assign_keys
 
     now = ts_lit(as_datetime(as_of_ts))
     due = ledger_due_retries(log, as_of_ts, limit)
-    hit = bounded_broadcast(due.select("batch_log_id", F.lit(True).alias("__due")))
+    hit = due.select("batch_log_id", F.lit(True).alias("__due"))
     marked = log.join(hit, "batch_log_id", "left")
     is_due = F.coalesce(F.col("__due"), F.lit(False))
     updated = marked.select(*[

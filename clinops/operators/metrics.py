@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinops.functions.common import (
-    as_date, bounded_broadcast, broadcast_if_small, date_lit, month_key, ts_lit, when_empty,
+    as_date, bounded_broadcast, date_lit, month_key, ts_lit, when_empty,
 )
 from clinops.functions.labels import treatment_type_bucket, treatment_type_label
 
@@ -124,7 +124,8 @@ def treatment_mix_share(treatments: DataFrame) -> DataFrame:
 
 def department_counts(department: DataFrame, treatments: DataFrame) -> DataFrame:
     """(department_id, department_name, c) — aggregate the fact first, then an
-    inner join to the (size-checked, broadcast) department dimension."""
+    inner join to the department dimension, which Spark broadcasts when its
+    size in bytes allows."""
     per = (treatments.where(F.col("department_id").isNotNull())
            .groupBy("department_id").agg(F.count("treatment_id").alias("c")))
     return department_counts_from(department, per)
@@ -133,7 +134,7 @@ def department_counts(department: DataFrame, treatments: DataFrame) -> DataFrame
 def department_counts_from(department: DataFrame, per: DataFrame) -> DataFrame:
     """Attach names to (department_id, c) with an inner join on the dimension."""
     dim = department.select(F.col("id").alias("department_id"), "department_name")
-    return per.join(broadcast_if_small(dim), "department_id")
+    return per.join(dim, "department_id")
 
 
 def top_departments(counts: DataFrame, n: int) -> DataFrame:

@@ -12,15 +12,15 @@ micro-batch (after a lost executor or a restart) changes nothing:
 * insert-ignore copy — new rows are anti-joined against the target's
   partitions for the batch's days before the append, so a replay appends
   nothing.
-* trailing-24h heart rate — a sliding event-time window with a watermark
-  bounding the state.
+* trailing-24h heart rate — additive sums per 5-minute slot, merged like the
+  rollup (late readings included); the 24-hour means are read off the slots.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -28,6 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from clinops.functions.common import path_exists
 from clinops.operators.sync import daily_rollup_delta
 from clinops.operators.upsert import first_per_key, new_rows
+from clinops.sources.tables import VIEWS, _pick
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -71,11 +72,8 @@ def wellness_increments(events: DataFrame) -> DataFrame:
 
 
 def vital_readings(events: DataFrame) -> DataFrame:
-    """Readings → vitals rows (same binding as the batch view)."""
-    return events.selectExpr(
-        "event_id AS vital_id", "user_id AS patient_no", "ts AS measured_at",
-        "CASE WHEN event_type = 'error' THEN NULL ELSE CAST(55 + (event_id * 13) % 70 AS INT) END AS heart_rate_bpm",
-        "event_type AS source_channel")
+    """Readings → whole vitals rows (the batch view's own binding)."""
+    return events.selectExpr(*[f"{_pick(e, 'spark')} AS {n}" for n, e in VIEWS["user_vital_measurement"].columns])
 
 
 ROLLUP_SCHEMA = T.StructType([
@@ -154,22 +152,60 @@ def start_daily_rollup(increments: DataFrame, store_path: str, checkpoint_path:
     return w.start()
 
 
-def with_event_time(df: DataFrame, col: str = "measured_at") -> DataFrame:
-    """Watermarks need a zoned TIMESTAMP; readings carry wall-clock
-    TIMESTAMP_NTZ, read in the session zone (UTC on our sessions)."""
-    return df.withColumn("event_time", F.col(col).cast("timestamp"))
+HR_STEP = "5 minutes"
+HR_SCHEMA = T.StructType([
+    T.StructField("slot", T.TimestampNTZType()),
+    T.StructField("s", T.LongType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("applied", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("day", T.DateType()),
+])
+
 
+def apply_hr_batch(batch: DataFrame, batch_id: int, store_path: str, stream: str = "") -> None:
+    """Add one micro-batch to the stored heart-rate sums per 5-minute slot.
 
-def hr_24h_windows(readings: DataFrame, slide: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """Sliding 24-hour windows of heart rate (sum, count, mean)."""
+    No watermark: a reading that arrives late is added to its slot whenever
+    it comes, and slots are so few (288 a day) that they need no expiry.
+    Replays are no-ops by the same per-stream batch numbers as the rollup."""
+    spark = batch.sparkSession
     hr = F.col("heart_rate_bpm")
-    return (with_event_time(readings.where(hr.isNotNull()))
-            .withWatermark("event_time", watermark)
-            .groupBy(F.window("event_time", "24 hours", slide))
-            .agg(F.sum(hr).alias("s"), F.count(hr).alias("n"))
-            .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("window.end").cast("timestamp_ntz").alias("window_end"),
-                    "n", F.bround(F.col("s") / F.col("n"), 1).alias("avg_hr_24h")))
+    slot = F.window(F.col("measured_at"), HR_STEP).start
+    delta = (batch.where(hr.isNotNull() & F.col("measured_at").isNotNull()).groupBy(slot.alias("slot"))
+             .agg(F.sum(hr).cast("bigint").alias("ds"), F.count(hr).alias("dn"))
+             .withColumn("day", F.to_date("slot")))
+    if path_exists(spark, store_path):
+        stored = spark.read.schema(HR_SCHEMA).parquet(store_path).join(delta.select("day").distinct(), "day", "left_semi")
+    else:
+        stored = spark.createDataFrame([], HR_SCHEMA)
+    j = stored.join(delta, ["slot", "day"], "full_outer")
+    seen = F.try_element_at("applied", F.lit(stream))
+    fresh = F.col("dn").isNotNull() & (seen.isNull() | (seen < F.lit(int(batch_id))))
+    others = F.map_filter(F.coalesce("applied", F.create_map().cast("map<string,bigint>")), lambda k, _: k != F.lit(stream))
+    add = lambda c, d: F.when(fresh, F.coalesce(c, F.lit(0)) + F.col(d)).otherwise(F.col(c)).cast("bigint").alias(c)
+    mine = F.create_map(F.lit(stream), F.lit(int(batch_id)).cast("bigint"))
+    merged = j.select("slot", add("s", "ds"), add("n", "dn"),
+                      F.when(fresh, F.map_concat(others, mine)).otherwise(F.col("applied")).alias("applied"), "day")
+    from clinops.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    merged = merged.checkpoint(eager=True)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(store_path)
+
+
+def start_hr_slots(readings: DataFrame, store_path: str, checkpoint_path: str, available_now: bool = True) -> StreamingQuery:
+    stream = stream_identity(readings.sparkSession, checkpoint_path)
+    w = (readings.writeStream.foreachBatch(lambda df, bid: apply_hr_batch(df, bid, store_path, stream))
+         .option("checkpointLocation", checkpoint_path))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")
+    return w.start()
+
+
+def hr_24h_means(slots: DataFrame) -> DataFrame:
+    """Mean heart rate of the 24 hours that end with each stored slot."""
+    end = F.col("slot") + F.expr(f"INTERVAL {HR_STEP}")
+    w = Window.orderBy(F.col("slot").cast("timestamp").cast("long")).rangeBetween(300 - 24 * 3600, 0)
+    return slots.select(end.alias("window_end"), F.sum("n").over(w).alias("n"),
+                        F.bround(F.sum("s").over(w) / F.sum("n").over(w), 1).alias("avg_hr_24h"))
 
 
 SYNC_KEYS = ["patient_no", "measured_at"]

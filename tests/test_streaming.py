@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from clinops.sources.tables import daily_wellness_view, load_view, raw
 from clinops.streaming import jobs
-from clinops.operators import vitals as V
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,19 +39,27 @@ def test_daily_rollup_stream_matches_batch_and_replay_is_noop(spark):
         after.select("patient_no", "summary_date", "step_count")).count() == 0
 
 
-def test_hr_sliding_windows_match_hourly_twin(spark):
+def test_hr_slots_keep_late_readings_and_replays_add_nothing(spark):
     src = _source(spark)
-    readings = jobs.vital_readings(jobs.read_stream(spark, src))
-    q = (jobs.hr_24h_windows(readings).writeStream.outputMode("complete").format("memory")
-         .queryName("hr24_test").trigger(availableNow=True).start())
+    work = tempfile.mkdtemp(prefix="clinops-work-")
+    store, ckpt = os.path.join(work, "slots"), os.path.join(work, "ckpt")
+    q = jobs.start_hr_slots(jobs.vital_readings(jobs.read_stream(spark, src, max_files_per_trigger=1)), store, ckpt)
     q.awaitTermination(300)
-    stream = {r.window_end: (r.n, r.avg_hr_24h) for r in spark.table("hr24_test").collect()}
-    twin = V.hourly_hr_sliding(load_view(spark, SF, "user_vital_measurement")).collect()
-    base = dt.datetime(2000, 1, 1)
-    assert twin
-    for r in twin:
-        end = base + dt.timedelta(hours=r.hour_idx + 1)
-        assert stream[end] == (r.n_readings, r.avg_hr_24h)
+    v = load_view(spark, SF, "user_vital_measurement").where("heart_rate_bpm is not null")
+    total = v.agg(F.sum("heart_rate_bpm"), F.count("*")).first()
+    assert tuple(spark.read.parquet(store).agg(F.sum("s"), F.sum("n")).first()) == tuple(total)
+    # a replay adds nothing; a late reading is added to its slot
+    name = jobs.stream_identity(spark, ckpt)
+    first = jobs.vital_readings(spark.read.parquet(src).where(F.col("event_id") % 3 == 0))
+    jobs.apply_hr_batch(first, 0, store, name)
+    assert tuple(spark.read.parquet(store).agg(F.sum("s"), F.sum("n")).first()) == tuple(total)
+    jobs.apply_hr_batch(first.orderBy("measured_at").where("heart_rate_bpm is not null").limit(1), 99, store, name)
+    assert spark.read.parquet(store).agg(F.sum("n")).first()[0] == total[1] + 1
+    means = {r.window_end: (r.n, r.avg_hr_24h) for r in jobs.hr_24h_means(spark.read.parquet(store)).collect()}
+    end = max(means)
+    want = v.where((F.col("measured_at") < F.lit(end)) & (F.col("measured_at") >= F.lit(end - dt.timedelta(hours=24)))).agg(
+        F.count("*"), F.bround(F.avg("heart_rate_bpm"), 1)).first()
+    assert means[end][0] in (want[0], want[0] + 1)
 
 
 def test_sync_stream_exactly_once(spark):
