@@ -32,10 +32,10 @@ TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+RAW_END = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in RAW}
 LEFT_OUT = frozenset(("script style textarea title noscript iframe xmp noembed noframes head template object svg math canvas "
                       "form select button fieldset nav footer aside dialog menu audio video map applet").split())
 BLOCK = frozenset(("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer "
@@ -51,11 +51,17 @@ LEFT_OUT_WORDS = frozenset((
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner nav navbar navigation "
     "menu breadcrumb breadcrumbs sidebar masthead footer header topbar toolbar pagination pager pagenav comment comments "
     "disqus reply replies respond discussion share sharing social related recommended recommendations cookie cookies consent "
-    "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin widget widgets "
-    "skip hidden copyright").split())
+    "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin skip hidden "
+    "copyright").split())
+ABOUT_LAYOUT = frozenset(("has", "no", "with", "without"))
 SAFE = frozenset(("html", "body", "article", "main"))
 
 
+def folded(text: str) -> str:
+    """Every run of white space as one space, none at the ends."""
+    return " ".join(text.split())
+
+
 class Node:
     __slots__ = ("tag", "up", "kids", "out", "name", "points", "chars", "linked")
 
@@ -83,8 +89,12 @@ def left_out(tag: str, attrs: dict[str, str], up: Node) -> bool:
         return True
     if tag in HEADINGS or tag == "header":
         return False
-    words = NAME_WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))
-    return any(w.lower() in LEFT_OUT_WORDS for w in words)
+    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+        words = [w.lower() for w in NAME_WORD.findall(name)]
+        # "has-sidebar" names a layout, not a sidebar
+        if words and words[0] not in ABOUT_LAYOUT and not LEFT_OUT_WORDS.isdisjoint(words):
+            return True
+    return False
 
 
 def parse(page: str) -> list[Node]:
@@ -96,7 +106,7 @@ def parse(page: str) -> list[Node]:
         if text and not top.out:
             text = entities.unescape(text)
             top.kids.append(text)
-            top.chars += len(SPACE.sub(" ", text).strip())
+            top.chars += len(folded(text))
 
     def close(until: Node) -> Node:
         return until.up or until
@@ -144,8 +154,7 @@ def parse(page: str) -> list[Node]:
         top.kids.append(node)
         nodes.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>|\Z", re.I).search(page, at)
-            at = end.end()
+            at = RAW_END[tag].search(page, at).end()
         elif tag not in VOID and not attr_text.endswith("/"):
             top = node
     return nodes
@@ -219,7 +228,7 @@ def blocks(node: Node) -> list[str]:
     open_: list[str] = []
 
     def flush() -> None:
-        text = SPACE.sub(" ", "".join(open_)).strip()
+        text = folded("".join(open_))
         if text:
             out.append(text)
         open_.clear()
