@@ -204,7 +204,7 @@ def chosen(nodes: list[Node]) -> list[Node]:
     while up is not None and up.tag != "article":
         up = up.up
     best = up or best
-    if best.up is None or best.tag == "body":
+    if best.up is None or best.tag in ("article", "body"):
         return [best]
     least, kept = worth(best) / 5, []
     for k in best.up.kids:
