@@ -6,8 +6,8 @@ tag, role, visibility or by a word of their class or id are left out.  Every par
 its ancestors: one, plus its commas, plus its length in hundreds up to three; all to the parent, half to the
 grandparent, a ninth to the one above.  An ancestor's points are discounted by the share of its text inside
 links.  The best container is kept together with its siblings that score a fifth as much, share its class,
-or are headings or real paragraphs; an enclosing ``article`` element is kept whole.  Their blocks are
-written in page order.
+or are headings or real paragraphs; an enclosing ``article`` element, or one worth half the best, is kept
+whole instead.  Their blocks are written in page order.
 
 One page is handled at a time; time and memory are linear in its size and nesting is not recursive.
 
@@ -200,10 +200,14 @@ def chosen(nodes: list[Node]) -> list[Node]:
     best = max((x for x in nodes if not x.out and x.points > 0), key=worth, default=None)
     if best is None:
         return [nodes[0]]
+    article = max((x for x in nodes if x.tag == "article" and not x.out), key=worth, default=None)
     up = best
     while up is not None and up.tag != "article":
         up = up.up
-    best = up or best
+    if up is not None:
+        best = up
+    elif article is not None and worth(article) >= worth(best) / 2:
+        best = article
     if best.up is None or best.tag in ("article", "body"):
         return [best]
     least, kept = worth(best) / 5, []
