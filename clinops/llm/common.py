@@ -94,7 +94,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): smallest node reachable from each node of the undirected ``edges`` (a, b).
 
     Alternating large-star and small-star rounds; every round is two keyed joins on pre-aggregated
-    minima, is checkpointed reliably, and ends when a round changes nothing.  Nothing is collected but
+    minima and is checkpointed reliably; they end when a round changes nothing.  Nothing is collected but
     two numbers a round.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -102,13 +102,15 @@ def components(edges: DataFrame) -> DataFrame:
     size = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     was = size(pairs)
     while was[0]:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # large star: each edge's upper end moves to the smallest neighbour of its lower end.  The minima are
+        # a table of their own, so that a hub's edges meet them in a plain join, which can be split
+        low = checkpoint(pairs.groupBy("u").agg(F.min("v").alias("m")))
+        large = pairs.join(low.select(F.col("u").alias("v"), "m"), "v", "left")
+        large = checkpoint(large.select("u", F.coalesce("m", "v").alias("v")))
+        # small star: all lower neighbours of a node, and itself, move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(
-            F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")
-        )
+            F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         pairs = checkpoint(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct())
         now = size(pairs)
         if now == was:
