@@ -268,8 +268,9 @@ def repeated_spans(texts: DataFrame, width: int) -> DataFrame:
     found = text_runs(texts, width)
     per = found.groupBy("bucket").agg(F.count("*").alias("c"), F.min("content").alias("c0"),
                                       F.max("content").alias("c1")).where("c > 1")
-    live = found.join(per.select("bucket", (F.col("c0") == F.col("c1")).alias("one")), "bucket")
-    live = written(live, "suffix-runs")
+    # a table of its own: a bucket of many runs then meets it in a plain join, whose partitions can be split
+    per = written(per.select("bucket", (F.col("c0") == F.col("c1")).alias("one")), "suffix-buckets")
+    live = written(found.join(per, "bucket"), "suffix-runs")
     end = (F.col("start") + F.col("n") + F.lit(width - 1)).alias("end")
     same = live.where("one").select("__row", "start", end)
 
