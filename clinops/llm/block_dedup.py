@@ -126,7 +126,8 @@ def repeated_runs(texts: DataFrame, width: int, bits: int) -> DataFrame:
     per = found.groupBy("block").agg(F.count("*").alias("n"), F.min("doc").alias("d0"), F.max("doc").alias("d1"),
                                      F.min("context").alias("c0"), F.max("context").alias("c1"))
     per = per.where("n > 1 and d0 < d1").select("block", "d0", (F.col("c0") == F.col("c1")).alias("one"))
-    live = written(found.join(per, "block"), "block-hits")
+    # a table of its own: a block of many hits then meets it in a plain join, whose partitions can be split
+    live = written(found.join(written(per, "block-counts"), "block"), "block-hits")
 
     # one context: every window of the occurrence is in the smallest document that holds the block
     lo = F.col("at") - F.col("left")
