@@ -71,9 +71,9 @@ def tokens(buf: np.ndarray, offs: np.ndarray):
     return starts, ends, np.searchsorted(starts, offs), form, heads
 
 
-def feature_keys(form: np.ndarray, heads: list[np.ndarray]) -> list[np.ndarray]:
-    """Hash of the form and of each leading part of every token."""
-    return [T.mix(form + np.uint64(11)), *(T.mix(h + np.uint64(13)) for h in heads)]
+def feature_key(form: np.ndarray, heads: list[np.ndarray], column: int) -> np.ndarray:
+    """Hash of the form (column 0) or of one leading part of every token."""
+    return T.mix(heads[column - 1] + np.uint64(13)) if column else T.mix(form + np.uint64(11))
 
 
 def feature_flags(keys: np.ndarray) -> np.ndarray:
@@ -87,7 +87,8 @@ def feature_ids(form: np.ndarray, heads: list[np.ndarray], first: np.ndarray, ke
     form as the token before, 2K+1..3K as the token after, 0 is none."""
     n, k = len(form), len(keys)
     own = []
-    for h in feature_keys(form, heads):
+    for column in range(len(heads) + 1):
+        h = feature_key(form, heads, column)
         at = np.flatnonzero(flags[h >> np.uint64(64 - FLAG_BITS)])
         slot = np.minimum(np.searchsorted(keys, h[at]), max(k - 1, 0))
         ok = keys[slot] == h[at] if k else np.zeros(0, dtype=bool)
@@ -290,7 +291,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
     size = np.array([toxic.sum(), (1 - toxic).sum()])
     tag, keys = np.zeros(len(row), dtype=bool), []
     for column in range(len(PREFIXES) + 1):
-        h = np.concatenate([feature_keys(form, heads)[column] for form, heads, _ in parts])
+        h = np.concatenate([feature_key(form, heads, column) for form, heads, _ in parts])
         forms, bad, good = count_forms(h, row, toxic)
         odds = np.log((bad + 0.5) / (size[0] - bad + 0.5)) - np.log((good + 0.5) / (size[1] - good + 0.5))
         strong = forms[(bad >= LEAST_COUNT) & (odds >= LEAST_ODDS)]
@@ -299,7 +300,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
     tag = (tag & (toxic[row] == 1)).astype(np.int64)
     keys = np.unique(np.concatenate(keys))
     flags = feature_flags(keys)
-    ids, done = np.zeros((len(row), len(PREFIXES) + 3), dtype=np.int64), 0
+    ids, done = np.zeros((len(row), len(PREFIXES) + 3), dtype=np.int32), 0
     for form, heads, at in parts:
         some, found = feature_ids(form, heads, at, keys, flags)
         ids[done + some] = found
@@ -311,8 +312,8 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
     return field
 
 
-def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1500,
-             max_clean: int = 3000) -> Field:
+def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1000,
+             max_clean: int = 2000) -> Field:
     """Fit on a bounded sample of labelled rows outside the held-out fold."""
     marked = labels.where("toxic is not null").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where(F.col("id").isNotNull() & ~held_out("id"))
