@@ -9,7 +9,7 @@ Reading back, the start of each document is its running token count: sums per ra
 range), then running counts inside each range, never one global window over documents.
 
 Encoding splits a text at ASCII white space, which this kind of vocabulary drops and never merges across, and
-keeps the ids of recent words in a bounded cache (``CACHE`` words, emptied when full).
+keeps the ids of recent words in a bounded table, looked up by 64-bit word hashes for whole pieces at once.
 
 Defined cases: null and empty texts hold the end id only; repeated rows are all written; rows with a null id
 come first; an empty table gives an empty result (ORC files without rows).
@@ -17,6 +17,8 @@ come first; an empty table gives an empty result (ORC files without rows).
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -25,81 +27,125 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clinops.llm import textops as T
 from clinops.llm.common import checkpoint, prepare, shared_folder
 
 END_ID = 1
-CACHE = 400_000
+SLOT_BITS = 21
+MOST_IDS = 8_000_000
+MOST_PIECES = 400_000
 INDEX_ROWS = 10_000
 STRIPE_BYTES = 32 << 20
 
-_LOADED: dict[str, WordIds] = {}
+SIGNS = ".,;:!?%*$&#|"
+#: Letters that lower-casing and normalisation treat one by one; other words go through the whole tokenizer.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
+_LOADED: dict[tuple[str, int], WordIds] = {}
 
-class WordIds(dict):
-    """Ids of a white-space separated word as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+class WordIds:
+    """Ids of white-space separated words, looked up for whole pieces of text at once.
+
+    A direct-mapped table of ``2**SLOT_BITS`` recent words by their 64-bit hash points into a store of ids; a
+    word it does not hold is encoded and takes the place of the one before.  The store starts anew when full."""
+
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.end_id = end_id
+        self.empty()
+
+    def empty(self) -> None:
+        self.keys = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
+        self.at = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        self.count = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        self.store = np.zeros(1 << 16, dtype=np.uint32)
+        self.store[0], self.used = self.end_id, 1
         self.pieces: dict[str, bytes] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-            self.pieces.clear()
-        text = word.decode("utf-8", "replace")
-        stem = text.rstrip(".,;:!?%*$&#|")
-        if stem.isascii() and stem.isalpha():
-            # the vocabulary's own split: a run of letters, then a run of other signs
-            out = self.piece(stem.lower()) + (self.piece(text[len(stem):]) if len(stem) < len(text) else b"")
-        else:
-            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[word] = out
-        return out
+    def word(self, text: str) -> bytes:
+        """Ids of a word as little-endian unsigned 32-bit integers."""
+        stem = text.rstrip(SIGNS)
+        if not PLAIN.fullmatch(stem):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        # the vocabulary's own split: a run of letters, then a run of other signs
+        return self.piece(stem.lower()) + (self.piece(text[len(stem):]) if len(stem) < len(text) else b"")
 
     def piece(self, text: str) -> bytes:
-        ids = self.pieces.get(text)
-        if ids is None:
-            ids = self.pieces[text] = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
-        return ids
-
-
-def encoder(path: str) -> WordIds:
-    """One per Python worker and tokenizer file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
-
-
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    end = np.array([end_id], dtype="<u4").tobytes()
+        out = self.pieces.get(text)
+        if out is None:
+            if len(self.pieces) >= MOST_PIECES:
+                self.pieces.clear()
+            ids = [t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else self.spell(text)[0][0])]
+            out = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, offsets of each row in them), with the end id after each row."""
+        if self.used > MOST_IDS:
+            self.empty()
+        starts, ends, first = T.word_bounds(buf, offs)
+        h = T.word_hashes(buf, starts, ends)
+        slot = h >> np.uint64(64 - SLOT_BITS)
+        at, count = self.at[slot], self.count[slot]
+        miss = np.flatnonzero((self.keys[slot] != h) | (h == 0))
+        if len(miss):
+            new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            raw = buf.tobytes()
+            found = [self.word(raw[a:b].decode("utf-8", "replace"))
+                     for a, b in zip(starts[miss[where]].tolist(), ends[miss[where]].tolist())]
+            n = np.array([len(x) for x in found], dtype=np.int64) // 4
+            begin = self.used + np.concatenate(([0], np.cumsum(n)[:-1]))
+            total = self.used + int(n.sum())
+            if total > len(self.store):
+                self.store = np.concatenate((self.store, np.zeros(max(len(self.store), total), dtype=np.uint32)))
+            self.store[self.used : total] = np.frombuffer(b"".join(found), dtype="<u4")
+            self.used = total
+            at[miss], count[miss] = begin[back], n[back]
+            place = new >> np.uint64(64 - SLOT_BITS)
+            last = np.unique(place[::-1], return_index=True)[1]  # one winner where new words share a slot
+            keep = len(place) - 1 - last
+            self.keys[place[keep]], self.at[place[keep]], self.count[place[keep]] = new[keep], begin[keep], n[keep]
+        at, count = np.insert(at, first[1:], 0), np.insert(count, first[1:], 1)
+        cut = first + np.arange(len(first))
+        return self.store[T.ranges(at, count)], np.concatenate(([0], np.cumsum(count)))[cut]
+
+
+def encoder(path: str, end_id: int) -> WordIds:
+    """One per Python worker, tokenizer file and end id."""
+    if (path, end_id) not in _LOADED:
+        _LOADED[path, end_id] = WordIds(path, end_id)
+    return _LOADED[path, end_id]
+
+
+def encode(rows: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, ids) of every (doc_id, text) row, in the same order."""
     def run(batches):
-        words = encoder(tokenizer)
-        look = words.__getitem__
+        words = encoder(tokenizer, end_id)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                raw = [b"".join(map(look, t.as_buffer().to_pybytes().split())) + end if t.is_valid else end
-                       for t in part.column("text")]
-                offs = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
-                ids = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offs, ids)],
-                                                 ["doc_id", "ids"])
+            for a, b, buf, offs in T.text_chunks(batch.column("text")):
+                ids, cut = words.encode(buf, offs)
+                lists = pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], ["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, files: int | None = None, **columns) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, files: int | None = None, id_col: str = "doc_id",
+          text_col: str = "text", end_id: int = END_ID) -> None:
     """Write the ORC files in ascending doc_id order."""
     prepare(docs.sparkSession)
-    ids = encode(docs, tokenizer, **columns)
-    ids = ids.repartitionByRange(files, "doc_id") if files else ids.repartitionByRange("doc_id")
-    (ids.sortWithinPartitions("doc_id").write.option("orc.bloom.filter.columns", "doc_id")
+    # texts are dealt out before they are encoded: they are smaller than their ids, and finding the range
+    # bounds reads the rows once more
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.repartitionByRange(files, "doc_id") if files else rows.repartitionByRange("doc_id")
+    ids = encode(rows.sortWithinPartitions("doc_id"), tokenizer, end_id=end_id)
+    (ids.write.option("orc.bloom.filter.columns", "doc_id")
      .option("orc.row.index.stride", INDEX_ROWS).option("orc.stripe.size", STRIPE_BYTES)
      .option("compression", "zstd").orc(path))
 
