@@ -146,8 +146,8 @@ def my_health(requests: DataFrame, patients: DataFrame, profiles: DataFrame, dis
     resolved = resolve_patient(requests, patients, profiles).where(F.col("patient_no").isNotNull())
     # only the asked patients' rows are aggregated
     ids = resolved.select("patient_no").distinct()
-    asked = [t.join(ids, "patient_no", "left_semi") for t in (patients, profiles, disability, events, vitals, daily)]
-    full = patient_360(*asked, as_of)
+    who, ev, vt, dw = (t.join(ids, "patient_no", "left_semi") for t in (patients, events, vitals, daily))
+    full = patient_360(who, profiles, disability, ev, vt, dw, as_of)
     return resolved.withColumnRenamed("by", "resolved_by").join(full, "patient_no")
 
 

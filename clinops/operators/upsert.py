@@ -75,11 +75,15 @@ def _one_per_key(rows: DataFrame, keys: list[str], pick: Column) -> DataFrame:
     return one.unionByName(rows.where(~whole))
 
 
+def _first(rows: DataFrame, order: str | None) -> Column:
+    whole = F.struct(*rows.columns)
+    return F.min_by(whole, F.col(order)) if order else F.min(whole)
+
+
 def first_per_key(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """The row of each key with the smallest ``order`` value (or the smallest
     row), so that a recomputed task picks the same row."""
-    whole = F.struct(*rows.columns)
-    return _one_per_key(rows, keys, F.min_by(whole, F.col(order)) if order else F.min(whole))
+    return _one_per_key(rows, keys, _first(rows, order))
 
 
 def new_rows(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -88,9 +92,8 @@ def new_rows(target: DataFrame, rows: DataFrame, keys: list[str], order: str | N
     Rows with a NULL key part are apart: nothing equals them, so all are new,
     unless ``order`` names an id that both sides have; then those ids already
     in the target are left out, which keeps a replay a no-op."""
-    rows = first_per_key(rows, keys, order)
     whole = _whole_key(keys)
-    some = rows.where(whole)
+    some = rows.where(whole).groupBy(*keys).agg(_first(rows, order).alias("__r")).select("__r.*")
     # Reduce the (large) target to the keys the batch actually has: a semi-join
     # whose build side is the batch, so a small batch is broadcast (AQE) and
     # the target is scanned but never shuffled; the anti-join then meets a

@@ -17,6 +17,7 @@ the individual views.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 from collections import defaultdict
 from functools import reduce
 
@@ -40,6 +41,17 @@ def _created(name: str) -> F.Column:
     return F.expr(_pick(expr, "spark"))
 
 
+def _created_since(name: str, day: _dt.date) -> F.Column:
+    """created_date on or after ``day``, stated on the base column where the
+    binding only shifts one, so that the filter reaches the scan."""
+    low = F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
+    moved = re.fullmatch(r"(\w+) ([-+]) (INTERVAL \d+ \w+)", _pick(dict(VIEWS[name].columns)["created_date"], "spark"))
+    if not moved:
+        return _created(name) >= low
+    column, sign, step = moved.groups()
+    return F.col(column) >= (low + F.expr(step) if sign == "-" else low - F.expr(step))
+
+
 def _member(name: str) -> F.Column:
     w = VIEWS[name].where
     return F.coalesce(F.expr(w), F.lit(False)) if w else F.lit(True)
@@ -73,7 +85,7 @@ def bound_daily_trend(spark: SparkSession, sf_dir: str, names: list[str], days:
         for n in views:
             lo = as_date(view_as_of(n)) - _dt.timedelta(days=days - 1)
             c = _created(n)
-            late = c >= F.lit(f"{lo} 00:00:00").cast("timestamp_ntz")
+            late = _created_since(n, lo)
             keep = _member(n) & late
             recent.append(late)
             pairs.append(F.when(keep, F.struct(F.lit(n).alias("table_name"), day_key(c).alias("day"))))

@@ -159,3 +159,10 @@ def test_patient_360_tolerates_a_null_category(spark):
     views[3] = views[3].withColumn("category", F.when(F.col("clinical_event_id") % 2 == 0, F.col("category")))
     out = patient.patient_360(*views, dt.date(2024, 1, 30)).where("n_events > 1").select("events_by_category").collect()
     assert any("None:" in r[0] for r in out) and E.queries()
+
+
+def test_trend_filters_reach_the_scans(spark):
+    import __spark_entry__ as E
+
+    plan = E.queries()["table_daily_trend"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "GreaterThanOrEqual(l_shipdate" in plan
