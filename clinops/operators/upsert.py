@@ -125,6 +125,15 @@ def append_to(df: DataFrame, path: str, partition_by: list[str] | None = None) -
     w.parquet(path)
 
 
+def create_if_absent(spark, path: str, schema: T.StructType, partition_by: list[str] | None = None) -> bool:
+    """``CREATE TABLE IF NOT EXISTS``: an empty parquet table where there is
+    none; says whether it was made.  An existing table is left as it is."""
+    if path_exists(spark, path):
+        return False
+    append_to(spark.createDataFrame([], schema), path, partition_by)
+    return True
+
+
 def add_columns_if_absent(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``ADD COLUMN IF NOT EXISTS`` for each (name → SQL type)."""
     for name, dtype in columns.items():

@@ -64,6 +64,36 @@ SCHEMAS: dict[str, T.StructType] = {
         T.StructField("created_date", _TS),
         T.StructField("intt_cd", _S),
     ]),
+    "kcd_code": T.StructType([
+        T.StructField("id", _L),
+        T.StructField("code", _S),
+        T.StructField("name_korean", _S),
+        T.StructField("name_english", _S),
+        T.StructField("category", _S),
+        T.StructField("active", _I),
+        T.StructField("created_date", _TS),
+        T.StructField("last_modified_date", _TS),
+        T.StructField("intt_cd", _S),
+    ]),
+    "inpatient_statistics": T.StructType([
+        T.StructField("statistics_id", _L),
+        T.StructField("statistics_year", _S),
+        T.StructField("region_code", _S),
+        T.StructField("visit_days", _L),
+        T.StructField("benefit_days", _L),
+        T.StructField("created_date", _TS),
+        T.StructField("intt_cd", _S),
+    ]),
+    "treatment_department_statistics": T.StructType([
+        T.StructField("statistics_id", _L),
+        T.StructField("statistics_year", _S),
+        T.StructField("region_code", _S),
+        T.StructField("department_name", _S),
+        T.StructField("patient_count", _L),
+        T.StructField("treatment_count", _L),
+        T.StructField("created_date", _TS),
+        T.StructField("intt_cd", _S),
+    ]),
     "examination_schedule": T.StructType([
         T.StructField("examination_schedule_id", _L),
         T.StructField("examination_id", _L),

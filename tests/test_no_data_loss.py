@@ -166,3 +166,10 @@ def test_trend_filters_reach_the_scans(spark):
 
     plan = E.queries()["table_daily_trend"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "GreaterThanOrEqual(l_shipdate" in plan
+
+
+def test_create_if_absent(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), spark.range(0).schema
+    assert upsert.create_if_absent(spark, path, schema)
+    upsert.append_to(spark.range(3), path)
+    assert not upsert.create_if_absent(spark, path, schema) and spark.read.parquet(path).count() == 3
