@@ -90,14 +90,14 @@ def key_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     return collected(keys.select("block").mapInArrow(run, "word long, bit long"), bits)
 
 
-def occurrences(texts: DataFrame, width: int, bits: int, *shared) -> DataFrame:
-    """(block, context, row, doc, at, left, span): rolling windows of every text that all bitmaps hold.  ``left``
+def occurrences(texts: DataFrame, width: int, bits: int, shared) -> DataFrame:
+    """(block, context, row, doc, at, left, span): rolling windows of every text that the bitmap holds.  ``left``
     is the words of the context before the block, ``span`` all its words."""
     block = width // 2
     side = width - block
 
     def run(batches):
-        bitmaps = [x.value for x in shared]
+        bitmap = shared.value
         for batch in batches:
             rows, docs = (batch.column(c).to_numpy() for c in ("__row", "doc"))
             for a, _, buf, offs in T.text_chunks(batch.column("text")):
@@ -108,9 +108,7 @@ def occurrences(texts: DataFrame, width: int, bits: int, *shared) -> DataFrame:
                 at, row = T.window_rows(first, block)
                 long = n_words[row] >= width
                 at, row = at[long], row[long]
-                hit = np.ones(len(at), dtype=bool)
-                for bitmap in bitmaps:
-                    hit[hit] = in_bitmap(bitmap, h[at[hit]], bits)
+                hit = in_bitmap(bitmap, h[at], bits)
                 at, row = at[hit], row[hit]
                 lo = np.maximum(at - side, first[row])
                 hi = np.minimum(at + block + side, first[row + 1])
@@ -188,14 +186,13 @@ def context_runs(answered: DataFrame, width: int) -> DataFrame:
 def repeated_runs(texts: DataFrame, width: int, bits: int) -> DataFrame:
     """(row, start word, end word): runs that an earlier document also holds (they may overlap)."""
     share = texts.sparkSession.sparkContext.broadcast
-    blocks = share(block_bitmap(texts, width, bits))
-    per = occurrences(texts, width, bits, blocks).groupBy("block").agg(
+    per = occurrences(texts, width, bits, share(block_bitmap(texts, width, bits))).groupBy("block").agg(
         F.count("*").alias("n"), F.min("doc").alias("d0"), F.max("doc").alias("d1"),
         F.min("context").alias("c0"), F.max("context").alias("c1"))
     per = per.where("n > 1 and d0 < d1").select("block", "d0", (F.col("c0") == F.col("c1")).alias("one"))
     # a table of its own: a block of many hits then meets it in a plain join, whose partitions can be split
     per = written(per, "block-counts")
-    live = occurrences(texts, width, bits, blocks, share(key_bitmap(per, bits))).where(F.col("span") >= width)
+    live = occurrences(texts, width, bits, share(key_bitmap(per, bits))).where(F.col("span") >= width)
     live = written(live.join(per, "block"), "block-hits")
 
     # one context: every window of the occurrence is in the smallest document that holds the block
