@@ -25,7 +25,7 @@ def test_views_bind_and_unbound_names_raise(spark):
         assert "SELECT" in duck_view_sql(name)
     assert load_view(spark, SF, "user_daily_wellness").count() > 0
     with pytest.raises(UnboundTable):
-        load_view(spark, SF, "kcd_code")
+        load_view(spark, SF, "no_such_view")
     with pytest.raises(ValueError):
         raw(spark, SF, "no_such_table")
 
