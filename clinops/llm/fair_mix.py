@@ -77,9 +77,10 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     total = per.agg(F.sum("source_size"), F.sum("target"), F.sum("n_rows")).first()
     budget, n_bins = round(float(total[1] or 0), 6), max(1, int((total[2] or 0) // rows_per_bin))
     order = ["finish", "rank", "epoch", "h", "id", "size", "__row"]
+    goal = F.nullif(F.col("target"), F.lit(0.0))  # a source without words has target 0; no guard keeps a quotient from being hoisted
     turns = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
     served = rows.where("size > 0").withColumn("epoch", turns).withColumn(
-        "finish", (F.col("source_size") * F.col("epoch") + F.col("run")) / F.col("target"))
+        "finish", (F.col("source_size") * F.col("epoch") + F.col("run")) / goal)
     served = served.withColumn("slot", F.floor(F.col("finish") / (F.col("finish") + 1) * n_bins))
     slots = served.groupBy("slot").agg(F.sum("size").alias("s"))
     upto = W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
@@ -91,7 +92,7 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         last = (served.where(F.col("slot") == cut["slot"])
                 .withColumn("upto", F.sum("size").over(inside) + (cut["upto"] - cut["s"]))
                 .where(F.col("upto") <= budget).agg(F.max(F.struct(*order)).alias("last")).first()["last"])
-        finish = lambda e: (F.col("source_size") * e + F.col("run")) / F.col("target")
+        finish = lambda e: (F.col("source_size") * e + F.col("run")) / goal
         slot = lambda e: F.floor(finish(e) / (finish(e) + 1) * n_bins)
         copies = F.lit(0)
         for e in range(epochs):

@@ -221,6 +221,15 @@ def test_fair_mix_targets_share_the_excess(spark):
     assert got == {"a": 20.0, "b": 200.0, "c": 1445.0}
 
 
+def test_fair_mix_with_a_source_without_words(spark):
+    df = frame(spark, ["", None, "  ", "w " * 10, "w " * 30, "w " * 20], sources=["a", "a", "a", "b", "b", "c"])
+    out = {r["id"]: (r["source_size"], r["target"], r["taken"]) for r in fair_mix.fair_mix(df).collect()}
+    assert [out[i] for i in range(3)] == [(0, 0.0, 0)] * 3
+    assert sum(out[i][2] for i in range(3, 6)) > 0
+    rest = fair_mix.fair_mix(df.where("source <> 'a'"), weights=(2, 1, 5)).collect()
+    assert {r["id"]: (r["source_size"], r["target"], r["taken"]) for r in rest} == {i: out[i] for i in range(3, 6)}
+
+
 def best_padding(lengths, counts, k):
     """Least padding by trying all cuts."""
     from functools import lru_cache
