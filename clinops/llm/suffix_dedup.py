@@ -14,11 +14,15 @@ bucket at a time, and only those that can have a partner:
    each suffix is compared by its first ``PERIOD`` bytes, longer ties by the precomputed rank of the cover
    sample that lies at the same small distance from both suffixes, and the last ``PERIOD`` bytes directly.
    A comparison is O(1) however long the tie, and memory is that of one block: the block's bytes, its
-   sample ranks and its sorted positions.
+   sample ranks and its sorted positions.  Buckets of one run, or of equal runs only, are told apart by counts
+   and never sorted.  A bucket over ``BLOCK_BYTES`` (a passage that many texts hold between different
+   neighbours) is not brought together: the 64-bit hashes of its strings are counted and meet their counts in
+   a plain join, so that it is spread over many tasks.
 4. Equal neighbours in suffix order are repeats; their strings become byte spans of their texts.
 
 Lossless: the buckets are a function of the string alone, so two equal strings always meet.  Bytes are
-compared as bytes inside buckets; whole runs (step 2) by 64-bit hashes.
+compared as bytes inside buckets; whole runs (steps 2 and 3) and the strings of buckets over ``BLOCK_BYTES`` by
+64-bit hashes inside their bucket.
 
 Defined cases: null and short texts (under ``width`` bytes) lose nothing; repeated rows are repeats of each
 other; a string that overlaps its own copy counts; one text must fit in a task's memory.
@@ -193,14 +197,15 @@ def repeated_strings(buf: np.ndarray, first: np.ndarray, count: np.ndarray, widt
 
 
 def fine_runs(fetched: DataFrame, width: int) -> DataFrame:
-    """From (__row, z, need): the needed runs of each text, cut again by a longer gram, with their bytes."""
+    """From (__row, z, need): the needed runs of each text, cut again by a longer gram, with the hash of their
+    bytes and the bytes."""
     def run(batches):
         for batch in batches:
             pieces, asked = T.needed_pieces(batch.column("z"), batch.column("need"), "start", "n", width - 1)
             owner = np.repeat(batch.column("__row").to_numpy(), pc.list_value_length(batch.column("need")).to_numpy())
             begins, buckets = asked.field("start").to_numpy(), asked.field("bucket").to_numpy()
             for a, _, buf, offs in T.text_chunks(pieces):
-                fine, _, row, begin, n = runs(buf, offs, width, min(FINE_GRAM, width), salt=0x5851F42D4C957F2D)
+                fine, content, row, begin, n = runs(buf, offs, width, min(FINE_GRAM, width), salt=0x5851F42D4C957F2D)
                 size = n + width - 1
                 body = pa.Array.from_buffers(
                     pa.binary(), len(row),
@@ -208,15 +213,17 @@ def fine_runs(fetched: DataFrame, width: int) -> DataFrame:
                      pa.py_buffer(np.ascontiguousarray(buf[T.ranges(offs[row] + begin, size)]))])
                 key = T.mix(fine + buckets[a + row].view(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(owner[a + row]),
+                    [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(owner[a + row]),
                      pa.array((begins[a + row] + begin).astype(np.int32)), pa.array(n.astype(np.int32)), body],
-                    ["key", "__row", "start", "n", "body"])
+                    ["key", "content", "__row", "start", "n", "body"])
 
-    return fetched.mapInArrow(run, "key long, __row long, start int, n int, body binary")
+    return fetched.mapInArrow(run, "key long, content long, __row long, start int, n int, body binary")
 
 
 def sorted_spans(fine: DataFrame, width: int) -> DataFrame:
-    """Byte spans of repeated strings of the fetched runs; one bucket after the other in every task."""
+    """Byte spans of repeated strings of the fetched runs; one bucket after the other in every task.
+
+    No bucket may be over BLOCK_BYTES: it is sorted in one piece."""
     fine = fine.repartition("key").sortWithinPartitions("key")
 
     def shared_keys(table, cuts):
@@ -263,6 +270,49 @@ def sorted_spans(fine: DataFrame, width: int) -> DataFrame:
     return fine.mapInArrow(run, "__row long, start int, end int")
 
 
+def string_hashes(fine: DataFrame, width: int) -> DataFrame:
+    """(key, string, __row, start): the hash of every string of the fetched runs."""
+    def run(batches):
+        for batch in batches:
+            key, owner = batch.column("key").to_numpy(), batch.column("__row").to_numpy()
+            begins = batch.column("start").to_numpy()
+            for a, _, buf, offs in T.text_chunks(batch.column("body")):
+                at, row = T.window_rows(offs, width)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[a + row]), pa.array(T.rolling_hash(T.prefix_hash(buf), width)[at].view(np.int64)),
+                     pa.array(owner[a + row]), pa.array((begins[a + row] + at - offs[row]).astype(np.int32))],
+                    ["key", "string", "__row", "start"])
+
+    return fine.select("key", "__row", "start", "body").mapInArrow(run, "key long, string long, __row long, start int")
+
+
+def counted_spans(fine: DataFrame, width: int) -> DataFrame:
+    """Byte spans of repeated strings of buckets of any size, by counts of string hashes."""
+    strings = written(string_hashes(fine, width), "suffix-strings")
+    again = strings.groupBy("key", "string").agg(F.count("*").alias("c")).where("c > 1").select("key", "string")
+    # as above: a string that many texts hold meets its count in a join that can be split
+    found = strings.join(written(again, "suffix-repeated"), ["key", "string"])
+    return found.select("__row", "start", (F.col("start") + F.lit(width)).alias("end"))
+
+
+def fine_spans(fine: DataFrame, width: int) -> DataFrame:
+    """Byte spans of repeated strings of the fetched runs."""
+    fine = written(fine, "suffix-fine")
+    per = fine.groupBy("key").agg(
+        F.count("*").alias("c"), F.min("content").alias("c0"), F.max("content").alias("c1"),
+        F.sum(F.col("n").cast("long") + F.lit(width)).alias("size")).where("c > 1")
+    per = written(per.select("key", (F.col("c0") == F.col("c1")).alias("one"),
+                             (F.col("size") > F.lit(BLOCK_BYTES)).alias("large")), "suffix-keys")
+    end = (F.col("start") + F.col("n") + F.lit(width - 1)).alias("end")
+    same = fine.select("key", "__row", "start", "n").join(per.where("one").select("key"), "key")
+    found = same.select("__row", "start", end).unionByName(
+        sorted_spans(fine.join(per.where("not one and not large").select("key"), "key"), width))
+    large = per.where("not one and large").select("key")
+    if large.isEmpty():
+        return found
+    return found.unionByName(counted_spans(fine.join(large, "key"), width))
+
+
 def repeated_spans(texts: DataFrame, width: int) -> DataFrame:
     """(row, start byte, end byte) of repeated strings; spans may overlap."""
     found = text_runs(texts, width)
@@ -284,7 +334,7 @@ def repeated_spans(texts: DataFrame, width: int) -> DataFrame:
     # a run with copies is a repeat already (`copied`); it takes part as a partner of the others
     need = kinds.groupBy("__row").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("need"))  # of one text
     fetched = packed(texts, "__row").join(need, "__row")
-    return same.unionByName(copied).unionByName(sorted_spans(fine_runs(fetched, width), width))
+    return same.unionByName(copied).unionByName(fine_spans(fine_runs(fetched, width), width))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,

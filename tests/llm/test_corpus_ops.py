@@ -81,6 +81,27 @@ def test_suffix_dedup(spark, texts):
     assert any(v[1] for v in want.values())
 
 
+def test_suffix_dedup_never_sorts_a_large_bucket(spark, monkeypatch):
+    """A passage that many texts hold between different neighbours: its edges share a bucket in every text."""
+    rng = random.Random(5)
+    make = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    passage = make(400)
+    texts = [make(150) + passage + make(150) for _ in range(40)] + [make(500), None]
+    sizes, sort = [], suffix_dedup.sorted_spans
+
+    def watched(fine, width):
+        sizes.append(fine.groupBy("key").agg(F.sum(F.col("n") + width).alias("b")).agg(F.max("b")).first()[0] or 0)
+        return sort(fine, width)
+
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "sorted_spans", watched)
+    out = suffix_dedup.drop_repeats(frame(spark, texts)).collect()
+    want = brute.suffix(list(enumerate(texts)), suffix_dedup.WIDTH)
+    assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == want
+    assert all(want[i][1] >= 400 for i in range(40))
+    assert sizes and max(sizes) <= 4000
+
+
 def test_suffix_sort_orders_like_bytes():
     rng = np.random.default_rng(0)
     base = rng.integers(97, 99, 400).astype(np.uint8)
