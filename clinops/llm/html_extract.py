@@ -2,7 +2,9 @@
 
 A page becomes a tree of elements (unclosed and misnested tags are repaired, scripts and comments skipped).
 Subtrees that are menus, headers, footers, sidebars, notices, adverts, forms, media or reader comments by
-tag, role, visibility or by a word of their class or id are left out.  Every paragraph then passes points to
+tag, role or visibility are left out.  A word of a class or id is weaker evidence (``settle``): the subtree stays
+if it holds most of the page's paragraph points, or a real part of them with the page's h1, main or article, and
+common words such as "discussion" count for short or link-dense subtrees only.  Every paragraph then passes points to
 its ancestors: one, plus its commas, plus its length in hundreds up to three; all to the parent, half to the
 grandparent, a ninth to the one above.  An ancestor's points are discounted by the share of its text inside
 links.  The best container is kept together with its siblings that score a fifth as much, share its class,
@@ -50,9 +52,13 @@ LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search d
 LEFT_OUT_WORDS = frozenset((
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner nav navbar navigation "
     "menu breadcrumb breadcrumbs sidebar masthead footer header topbar toolbar pagination pager pagenav comment comments "
-    "disqus reply replies respond discussion share sharing social related recommended recommendations cookie cookies consent "
-    "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin skip hidden "
-    "copyright").split())
+    "disqus reply replies respond cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
+    "login signin skip hidden copyright").split())
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+#: Words that name real sections as well.
+COMMON_WORDS = frozenset("discussion share sharing social related recommended recommendations notice notices alert".split())
+COMMON, LEFT, COMMENTS = 1, 2, 3  # what the class and id words say of an element
+SHORT = 200  # characters
 ABOUT_LAYOUT = frozenset(("has", "no", "with", "without"))
 SAFE = frozenset(("html", "body", "article", "main"))
 
@@ -63,13 +69,13 @@ def folded(text: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "out", "name", "points", "chars", "linked")
+    __slots__ = ("tag", "up", "kids", "out", "name", "kind", "points", "own", "chars", "linked")
 
-    def __init__(self, tag: str, up: Node | None, out: bool, name: str = ""):
-        self.tag, self.up, self.out, self.name = tag, up, out, name
+    def __init__(self, tag: str, up: Node | None, out: bool, name: str = "", kind: int = 0):
+        self.tag, self.up, self.out, self.name, self.kind = tag, up, out, name, kind
         self.kids: list = []
         self.points = 0.0
-        self.chars = self.linked = 0
+        self.own = self.chars = self.linked = 0
 
 
 def left_out(tag: str, attrs: dict[str, str], up: Node) -> bool:
@@ -85,16 +91,26 @@ def left_out(tag: str, attrs: dict[str, str], up: Node) -> bool:
     if attrs.get("role", "").lower() in LEFT_OUT_ROLES:
         return True
     style = attrs.get("style", "").replace(" ", "").lower()
-    if "display:none" in style or "visibility:hidden" in style:
-        return True
-    if tag in HEADINGS or tag == "header":
-        return False
+    return "display:none" in style or "visibility:hidden" in style
+
+
+def named(tag: str, attrs: dict[str, str]) -> int:
+    """COMMON, LEFT or COMMENTS by the words of class and id, else 0."""
+    if tag in SAFE or tag in HEADINGS or tag == "header":
+        return 0
+    kind = 0
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
         words = [w.lower() for w in NAME_WORD.findall(name)]
         # "has-sidebar" names a layout, not a sidebar
-        if words and words[0] not in ABOUT_LAYOUT and not LEFT_OUT_WORDS.isdisjoint(words):
-            return True
-    return False
+        if not words or words[0] in ABOUT_LAYOUT:
+            continue
+        if not COMMENT_WORDS.isdisjoint(words):
+            kind = COMMENTS
+        elif not LEFT_OUT_WORDS.isdisjoint(words):
+            kind = max(kind, LEFT)
+        elif not COMMON_WORDS.isdisjoint(words):
+            kind = max(kind, COMMON)
+    return kind
 
 
 def parse(page: str) -> list[Node]:
@@ -106,7 +122,7 @@ def parse(page: str) -> list[Node]:
         if text and not top.out:
             text = entities.unescape(text)
             top.kids.append(text)
-            top.chars += len(folded(text))
+            top.own += len(folded(text))
 
     def close(until: Node) -> Node:
         return until.up or until
@@ -150,7 +166,8 @@ def parse(page: str) -> list[Node]:
             if open_ is not None and open_.tag == tag:
                 top = close(open_)
         attrs = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attr_text)} if attr_text.strip() else {}
-        node = Node(tag, top, top.out or left_out(tag, attrs, top), attrs.get("class", ""))
+        node = Node(tag, top, top.out or left_out(tag, attrs, top), attrs.get("class", ""),
+                    named(tag, attrs) if attrs else 0)
         top.kids.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -165,25 +182,75 @@ def inline_text(node: Node) -> str:
     return " ".join(k for k in node.kids if isinstance(k, str))
 
 
-def score(nodes: list[Node]) -> None:
+def measure(nodes: list[Node]) -> None:
+    """Characters, and those inside links, of every subtree without what is left out."""
+    for node in nodes:
+        node.chars, node.linked = 0 if node.out else node.own, 0
     for node in reversed(nodes[1:]):  # children before parents
         node.up.chars += node.chars
         node.up.linked += node.chars if node.tag == "a" else node.linked
+
+
+def paragraph_points(node: Node) -> float:
+    """Points that a paragraph, or a block with text of its own, passes on; 0 for other nodes."""
+    if node.out or not node.chars or node.tag == "a":
+        return 0.0
+    if node.tag not in PARAGRAPHS and not (
+            node.tag in BLOCK and node.tag not in HEADINGS and inline_text(node).strip()):
+        return 0.0
+    stack, commas = [node], 0
+    while stack:
+        for k in stack.pop().kids:
+            if isinstance(k, str):
+                commas += k.count(",") + k.count("，") + k.count("、")
+            elif not k.out and k.tag not in BLOCK:
+                stack.append(k)
+    return (1 + commas + min(node.chars / 100, 3)) * (1 - node.linked / node.chars)
+
+
+def settle(nodes: list[Node]) -> None:
+    """Leave out subtrees by their class and id words unless they hold the page's text."""
+    if not any(x.kind and not x.out for x in nodes):
+        return
+    measure(nodes)
+    place = {id(x): i for i, x in enumerate(nodes)}
+    up = [-1] + [place[id(x.up)] for x in nodes[1:]]
+    held = [paragraph_points(x) for x in nodes]
+    if not any(held):
+        held = [0.0 if x.out else float(x.own) for x in nodes]
+    body = [not x.out and x.kind != COMMENTS and x.own + x.chars > 0 and (
+        x.tag in ("h1", "main") or x.tag == "article" and COMMENT_WORDS.isdisjoint(
+            w.lower() for w in NAME_WORD.findall(x.name))) for x in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        held[up[i]] += held[i]
+        body[up[i]] |= body[i]
+
+    def drop(i: int) -> None:
+        nodes[i].out, gone, j = True, held[i], i
+        while j >= 0:
+            held[j] -= gone
+            j = up[j]
+
+    for comments in (True, False):  # reader comments first: they are no part of what the others are a share of
+        for i, node in enumerate(nodes[1:], 1):
+            if node.out or node.up.out:
+                node.out = True
+            elif node.kind and (node.kind == COMMENTS) == comments:
+                whole = held[0]
+                if whole > 0 and (held[i] >= 0.8 * whole and not (comments and held[i] < whole and not body[i])
+                                  or body[i] and held[i] >= whole / 4):
+                    continue
+                if node.kind != COMMON or node.chars < SHORT or 2 * node.linked > node.chars:
+                    drop(i)
+
+
+def score(nodes: list[Node]) -> None:
+    measure(nodes)
     for node in nodes:
-        if node.out or not node.chars or node.tag == "a":
-            continue
-        paragraph = node.tag in PARAGRAPHS
-        if not paragraph and not (node.tag in BLOCK and node.tag not in HEADINGS and inline_text(node).strip()):
+        points = paragraph_points(node)
+        if not points:
             continue
-        stack, commas = [node], 0
-        while stack:
-            for k in stack.pop().kids:
-                if isinstance(k, str):
-                    commas += k.count(",") + k.count("，") + k.count("、")
-                elif not k.out and k.tag not in BLOCK:
-                    stack.append(k)
-        points = (1 + commas + min(node.chars / 100, 3)) * (1 - node.linked / node.chars)
-        above = node.up if paragraph else node
+        above = node.up if node.tag in PARAGRAPHS else node
         for share in (1, 1 / 2, 1 / 9):
             if above is None:
                 break
@@ -259,6 +326,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes = parse(page)
+    settle(nodes)
     score(nodes)
     return "\n\n".join(b for node in chosen(nodes) for b in blocks(node))
 

@@ -359,6 +359,25 @@ def test_html_extraction():
                                   "<p>b<!-- c --></p></article><p>outside, of it</p>") == "H\n\na\n\nb"
 
 
+LONG = "A long sentence, with some commas, that goes on, and on, for the length of a real paragraph of text. " * 3
+
+
+@pytest.mark.parametrize("wrapper", ["class='sidebar-layout'", "id='page' class='header-fixed'", "class='nav-open'",
+                                     "class='comments-open'"])
+def test_html_wrapper_named_by_layout_keeps_the_article(wrapper):
+    comments = "<div id='comments'>" + f"<p>{LONG}said a reader</p>" * 9 + "</div>"
+    page = (f"<body><div {wrapper}><article><h1>Head</h1><p>{LONG}one</p><p>{LONG}two</p></article>"
+            f"<div class='sidebar'><p>Buy, now.</p></div>{comments}</div></body>")
+    assert html_extract.main_text(page).split("\n\n") == ["Head", LONG + "one", LONG + "two"]
+
+
+@pytest.mark.parametrize("name", ["discussion", "related-work", "social-science", "notice"])
+def test_html_sections_with_common_names_stay(name):
+    page = (f"<article><h1>Head</h1><p>{LONG}one</p><p>{LONG}two</p><section id='{name}'><p>{LONG}three</p></section>"
+            f"<div class='{name}'><a href='x'>{LONG}</a></div><div class='{name}'>Tell a friend</div></article>")
+    assert html_extract.main_text(page).split("\n\n") == ["Head", LONG + "one", LONG + "two", LONG + "three"]
+
+
 def test_html_extraction_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, "v", "")], "page_id long, url string, html string")
     out = html_extract.extract(df).collect()
