@@ -8,8 +8,10 @@ common words such as "discussion" count for short or link-dense subtrees only.
 its ancestors: one, plus its commas, plus its length in hundreds up to three; all to the parent, half to the
 grandparent, a ninth to the one above.  An ancestor's points are discounted by the share of its text inside
 links.  The best container is kept together with its siblings that score a fifth as much, share its class,
-or are headings or real paragraphs; an enclosing ``article`` element, or one worth half the best, is kept
-whole instead.  Their blocks are written in page order.
+or are headings or real paragraphs; an enclosing ``article`` element, or one worth half the best, takes its
+place, and of headings and paragraphs beside it only those directly before an article or other kept sibling
+stay.  Lists of links only are left out of siblings and of a whole page, not of the container or an article.  Blocks are
+written in page order.
 
 One page is handled at a time; time and memory are linear in its size and nesting is not recursive.
 
@@ -262,11 +264,12 @@ def worth(node: Node) -> float:
     return node.points * (1 - node.linked / node.chars) if node.chars else 0.0
 
 
-def chosen(nodes: list[Node]) -> list[Node]:
-    """The best container and the siblings kept with it, in page order."""
+def chosen(nodes: list[Node]) -> tuple[Node | None, list[Node]]:
+    """The best container, and it and the siblings kept with it in page order."""
     best = max((x for x in nodes if not x.out and x.points > 0), key=worth, default=None)
     if best is None:
-        return [nodes[0]]
+        return nodes[0], [nodes[0]]
+    # the article around the best container, or one of comparable worth, takes its place
     article = max((x for x in nodes if x.tag == "article" and not x.out), key=worth, default=None)
     up = best
     while up is not None and up.tag != "article":
@@ -275,17 +278,23 @@ def chosen(nodes: list[Node]) -> list[Node]:
         best = up
     elif article is not None and worth(article) >= worth(best) / 2:
         best = article
-    if best.up is None or best.tag in ("article", "body"):
-        return [best]
+    if best.up is None or best.tag == "body":  # all of the page, with its menus
+        return None, [best]
     least, kept = worth(best) / 5, []
+    beside: list[Node] = []  # headings and paragraphs since the last other element
     for k in best.up.kids:
         if isinstance(k, str) or k.out:
             continue
         density = k.linked / k.chars if k.chars else 1.0
-        if (k is best or worth(k) >= least or (best.name and k.name == best.name and k.tag == best.tag)
-                or k.tag in ("h1", "h2", "h3") or (k.tag == "p" and density < 0.25)):
-            kept.append(k)
-    return kept
+        if k is best or worth(k) >= least or (best.name and k.name == best.name and k.tag == best.tag):
+            kept += [*beside, k]
+            beside = []
+        elif k.tag in ("h1", "h2", "h3") or (k.tag == "p" and density < 0.25):
+            # an article has its own paragraphs: beside it only those directly before a kept sibling count
+            (beside if best.tag == "article" else kept).append(k)
+        elif k.chars:
+            beside = []
+    return best, kept
 
 
 def menu_like(node: Node) -> bool:
@@ -293,8 +302,8 @@ def menu_like(node: Node) -> bool:
     return node.tag in ("ul", "ol") and node.chars > 0 and node.linked > 0.9 * node.chars
 
 
-def blocks(node: Node) -> list[str]:
-    """Texts of the blocks below a node, white space folded."""
+def blocks(node: Node, whole: bool = False) -> list[str]:
+    """Texts of the blocks below a node, white space folded; without menus unless it is taken whole."""
     out: list[str] = []
     open_: list[str] = []
 
@@ -313,7 +322,7 @@ def blocks(node: Node) -> list[str]:
             flush()
         elif x.tag == "br":
             open_.append(" ")
-        elif not x.out and not menu_like(x):
+        elif not x.out and (whole or not menu_like(x)):
             if x.tag in BLOCK:
                 flush()
                 stack.append(None)
@@ -328,7 +337,8 @@ def main_text(page: str | None) -> str:
     nodes = parse(page)
     settle(nodes)
     score(nodes)
-    return "\n\n".join(b for node in chosen(nodes) for b in blocks(node))
+    best, kept = chosen(nodes)
+    return "\n\n".join(b for node in kept for b in blocks(node, node is best or node.tag == "article"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

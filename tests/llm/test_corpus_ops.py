@@ -378,6 +378,14 @@ def test_html_sections_with_common_names_stay(name):
     assert html_extract.main_text(page).split("\n\n") == ["Head", LONG + "one", LONG + "two", LONG + "three"]
 
 
+def test_html_article_keeps_its_siblings_and_link_lists():
+    page = (f"<body><main><ul><li><a href='/'>Home page</a></li></ul><h1>Head</h1><p>{LONG}lead</p>"
+            f"<article><p>{LONG}one</p><p>{LONG}two</p><ul><li><a href='s'>Source, a book</a></li></ul></article>"
+            f"<article><p>{LONG}three</p><p>{LONG}four</p></article><p>{LONG}after</p></main></body>")
+    assert html_extract.main_text(page).split("\n\n") == [
+        "Head", LONG + "lead", LONG + "one", LONG + "two", "Source, a book", LONG + "three", LONG + "four"]
+
+
 def test_html_extraction_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, "v", "")], "page_id long, url string, html string")
     out = html_extract.extract(df).collect()
