@@ -4,7 +4,9 @@ Documents are sets of ``n``-word shingles; two documents are linked when their J
 least ``threshold``.  Exact copies are one node with a weight, so they never meet each other.
 
 1. Signature: ``BANDS * ROWS`` MinHash values per document.  A band is ``ROWS`` of them; documents that share
-   a band are candidates.  A pair at 0.8 shares no band with probability (1 - 0.8**5)**30 = 7e-6.
+   a band are candidates.  A pair at 0.8 shares no band with probability (1 - 0.8**5)**30 = 7e-6.  Lower
+   thresholds cut the same values into shorter bands, so that a pair at the threshold is missed with probability
+   ``MOST_MISSED`` at most; a threshold too low for that with bands of one value is refused.
 2. Pruning inside band buckets: MinHash values are compared ``STEP`` at a time, and a pair is dropped as soon
    as the posterior probability of reaching the threshold (uniform prior, binomial matches) is below
    ``tolerance``.  Buckets are cut into blocks of ``BLOCK`` members and block pairs are spread over tasks;
@@ -35,6 +37,7 @@ from clinops.llm.common import checkpoint, components, keyed, prepare
 N = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
+MOST_MISSED = 1e-5
 STEP = 30
 TOLERANCE = 1e-6
 BLOCK = 512
@@ -87,19 +90,30 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
+def rows_per_band(threshold: float) -> int:
+    """Values of a band (ROWS at most) that keep the chance of missing a pair at ``threshold`` within MOST_MISSED."""
+    for rows in range(ROWS, 0, -1):
+        if (1 - threshold**rows) ** (BANDS * ROWS // rows) <= MOST_MISSED:
+            return rows
+    raise ValueError(f"threshold {threshold} is too low for {BANDS * ROWS} values")
+
+
+def signatures(docs: DataFrame, n: int, per_band: int = ROWS) -> DataFrame:
     """(__row, copy, sig, bands) of every text with a word; ``copy`` tells texts apart."""
+    n_bands = BANDS * ROWS // per_band
+
     def run(batches):
         for batch in batches:
             held = [batch.column(c) for c in ("__row", "id", "copy")]
             for a, b, buf, offs in T.text_chunks(batch.column("text")):
                 have, sig = minhash(*shingles(buf, offs, n), b - a)
-                bands = np.zeros((len(have), BANDS), dtype=np.uint64)
-                for r in range(ROWS):
-                    bands = T.mix(bands * np.uint64(31) + sig[:, r::ROWS].astype(np.uint64) + np.uint64(1))
-                bands = T.mix(bands + np.arange(BANDS, dtype=np.uint64))
+                bands = np.zeros((len(have), n_bands), dtype=np.uint64)
+                for r in range(per_band):
+                    part = sig[:, r : n_bands * per_band : per_band].astype(np.uint64)
+                    bands = T.mix(bands * np.uint64(31) + part + np.uint64(1))
+                bands = T.mix(bands + np.arange(n_bands, dtype=np.uint64))
                 at = pa.array(a + have)
-                lists = pa.ListArray.from_arrays(np.arange(len(have) + 1, dtype=np.int32) * BANDS,
+                lists = pa.ListArray.from_arrays(np.arange(len(have) + 1, dtype=np.int32) * n_bands,
                                                  pa.array(bands.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [*(c.take(at) for c in held), T.binary_column(sig.astype(np.uint16)), lists],
@@ -223,7 +237,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     base = docs.select(*(["__row"] if "__row" in docs.columns else []), id_col, text_col)
     base = keyed(base, id_col).select("__row", F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                                       F.md5(F.col(text_col)).alias("copy"))
-    sigs = signatures(base, n)
+    sigs = signatures(base, n, rows_per_band(threshold))
     nodes = checkpoint(sigs.groupBy("copy").agg(
         F.min("__row").alias("node"), F.count("*").alias("copies"), F.min("id").alias("least_id"),
         F.min_by(F.struct("sig", "bands"), "__row").alias("s")).select("node", "copy", "copies", "least_id", "s.*"))

@@ -171,6 +171,20 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert list(need) == [30, 60, 90, 120, 150] and need[150] < 0.8 * 150 and need[30] >= 5
 
 
+def test_ngram_join_finds_pairs_at_a_low_threshold(spark):
+    rng = random.Random(11)
+    make = lambda k: ["v%d" % rng.randrange(10**6) for _ in range(k)]
+    texts = []
+    for _ in range(40):  # 100 of 196 shingles in common
+        both = make(104)
+        texts += [" ".join(both + make(48)), " ".join(both + make(48))]
+    out = {r["id"]: r["n_links"] for r in ngram_join.join(frame(spark, texts), threshold=0.5).collect()}
+    assert out == {i: 1 for i in range(80)}
+    assert ngram_join.rows_per_band(ngram_join.THRESHOLD) == ngram_join.ROWS
+    with pytest.raises(ValueError):
+        ngram_join.rows_per_band(0.05)
+
+
 def vectors(seed=2):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(40, 8))
