@@ -9,8 +9,8 @@ Training (driver, numpy) uses a bounded sample of labelled documents outside the
 ``max_toxic`` toxic and ``max_clean`` clean ones, those with the smallest id hashes.  Token labels come from
 the document labels: a token of a toxic document is T when its form, or its leading bytes, are much more
 frequent in toxic than in clean documents (log odds with a minimum count); every token of a clean document
-is O.  The field is then fitted to these labelled tokens on segments of ``SEGMENT`` tokens by Adam, so a form
-that is as common in clean text ends up with no weight.
+is O.  The field is then fitted to these labelled tokens on segments of ``SEGMENT`` tokens by Adam: at most
+``max_segments`` with a feature and as many without, drawn by lot from the sample's documents.  So a form that is as common in clean text ends up with no weight.
 
 Scoring runs over all documents: exact forward-backward marginals per token.  Most tokens carry no feature
 weight, so their chain step is one constant matrix, and a gap of such tokens is a power of it; only tokens
@@ -40,7 +40,7 @@ SEGMENT = 64
 PREFIXES = (4, 5, 6)
 LEAST_COUNT = 5  # toxic training documents that must hold a form
 LEAST_ODDS = 3.0  # log odds of a form, toxic against clean documents
-MOST_SEGMENTS = 2500  # training segments with, and without, any feature
+MOST_SEGMENTS = 2500  # training segments with, and without, any feature, unless train_on is told otherwise
 
 _FOLD = np.zeros(256, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -158,14 +158,14 @@ def segment_marginals(e: np.ndarray, length: np.ndarray, field: Field):
 
 
 def fit_field(keys: np.ndarray, ids: np.ndarray, tag: np.ndarray, first: np.ndarray, rounds: int = 50, rate: float = 0.3,
-              ridge: float = 1e-3, seed: int = 7) -> Field:
+              ridge: float = 1e-3, seed: int = 7, max_segments: int = MOST_SEGMENTS) -> Field:
     """Adam on the conditional likelihood of the tagged segments with a T or a feature, and others by lot."""
     seg = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(first[:-1], first[1:])])
     stop = np.minimum(seg + SEGMENT, np.repeat(first[1:], -(-np.diff(first) // SEGMENT)))
     has = np.add.reduceat((ids > 0).any(1).astype(np.int64), seg) > 0
     rng = np.random.default_rng(seed)
-    pick = np.concatenate((rng.permutation(np.flatnonzero(has))[:MOST_SEGMENTS],
-                           rng.permutation(np.flatnonzero(~has))[:MOST_SEGMENTS]))
+    pick = np.concatenate((rng.permutation(np.flatnonzero(has))[:max_segments],
+                           rng.permutation(np.flatnonzero(~has))[:max_segments]))
     pick.sort()
     seg, length = seg[pick], (stop - seg)[pick]
     place = seg[:, None] + np.arange(SEGMENT)
@@ -276,7 +276,7 @@ def count_forms(hashes: np.ndarray, row: np.ndarray, toxic: np.ndarray):
     return forms, bad, np.bincount(at, minlength=len(forms)) - bad
 
 
-def train(texts: pa.Array, toxic: np.ndarray) -> Field:
+def train(texts: pa.Array, toxic: np.ndarray, max_segments: int = MOST_SEGMENTS) -> Field:
     """Field and score blend from whole labelled texts."""
     parts, rows = [], []
     for a, b, buf, offs in T.text_chunks(texts):
@@ -306,23 +306,25 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Field:
         ids[done + some] = found
         done += len(form)
     first = np.unique(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(toxic))))))
-    field = fit_field(keys, ids, tag, first)
+    field = fit_field(keys, ids, tag, first, max_segments=max_segments)
     x = np.array([summary(p) for _, _, buf, offs in T.text_chunks(texts) for p, _, _ in tag_rows(buf, offs, field)])
     field.blend = fit_blend(x, toxic.astype(np.float64))
     return field
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1000,
-             max_clean: int = 2000) -> Field:
-    """Fit on a bounded sample of labelled rows outside the held-out fold."""
+             max_clean: int = 2000, max_segments: int = MOST_SEGMENTS) -> Field:
+    """Fit on a bounded sample of labelled rows outside the held-out fold; of rows with one id the smallest text."""
     marked = labels.where("toxic is not null").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where(F.col("id").isNotNull() & ~held_out("id"))
     order = [F.xxhash64("id"), "id"]
     chosen = marked.where("toxic = 1").dropDuplicates(["id"]).orderBy(*order).limit(max_toxic).unionByName(
         marked.where("toxic = 0").dropDuplicates(["id"]).orderBy(*order).limit(max_clean))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = rows.toArrow().sort_by([("id", "ascending")])  # at most max_toxic + max_clean texts
-    return train(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy().astype(np.int64))
+    rows = rows.groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    rows = rows.toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])  # at most max_toxic + max_clean texts
+    return train(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy().astype(np.int64),
+                 max_segments)
 
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -438,6 +438,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in flags)
 
 
+def test_toxicity_sample_is_bounded_in_rows_and_segments(spark, monkeypatch):
+    rows = toxic_corpus(40)
+    texts = [r[1] for r in rows] + ["z copy %d" % i for i in range(200)]
+    ids = list(range(40)) + [7] * 200
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity_crf, "train", lambda *a: seen.append(a))
+    toxicity_crf.train_on(frame(spark, texts, ids=ids), labels, max_toxic=5, max_clean=40, max_segments=9)
+    got, toxic, segments = seen[0]
+    assert len(got) <= 45 and toxic.sum() == 5 and segments == 9
+
+
 def test_gap_marginals_equal_full_forward_backward():
     rng = np.random.default_rng(1)
     field = toxicity_crf.Field(np.zeros(0, np.uint64), np.zeros(1), -2.0, rng.normal(size=(2, 2)), -1.0,
