@@ -114,3 +114,73 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n.gone, 0)::BIGINT AS n_r
        sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+OP11 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) || '0' AS h FROM pages),
+f AS (SELECT t, min(page_id) AS lead FROM p GROUP BY t)
+SELECT page_id, octet_length(encode(p.t))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(h, ((5 * i) // 4 + 1)::INT, 2))::INT >> (3 - (5 * i) % 4)::INT) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM p JOIN f ON p.t = f.t
+"""
+
+OP12 = r"""
+WITH p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+             SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+size AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, (len(w) + 2 - m)::BIGINT),
+            lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+          FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cuts AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS lead, array_to_string(w[k + 1:m], ' ') AS rest
+         FROM (SELECT *, unnest(range(1, m::BIGINT)) AS k FROM c)),
+s AS (SELECT cuts.*, x.a AS l, y.a AS r, (2000000::HUGEINT * cuts.a) // (x.a + y.a) AS score
+      FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lead JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sub AS (SELECT lang, phrase, max(a) AS longer FROM (
+          SELECT lang, a, array_to_string(w[i:i + j - 1], ' ') AS phrase
+          FROM (SELECT *, unnest(range(1, (m + 2 - j)::BIGINT)) AS i
+                FROM (SELECT *, unnest(range(2, m::BIGINT)) AS j FROM c WHERE m > 2))) GROUP BY lang, phrase),
+k AS (SELECT b.* FROM b LEFT JOIN sub ON sub.lang = b.lang AND sub.phrase = b.phrase
+      WHERE longer IS NULL OR 100 * longer < 80 * b.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT r.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM r JOIN size ON size.lang = r.lang WHERE rank <= 2000
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+e AS (SELECT t, min(doc_id) AS lead FROM d GROUP BY t),
+m AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+        + 4 * (100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 2 * length(d.t))::INT
+        + 8 * regexp_matches(d.t, '[#$%&*|]')::INT + 16 * (d.doc_id > lead)::INT AS bad
+      FROM d JOIN e ON d.t = e.t LEFT JOIN m ON m.doc_id = d.doc_id),
+g AS (SELECT part, bad, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY part, bad),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step::INT, 1) AS f,
+        list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i::INT, 1)) - 65)))::INT AS before
+      FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+q AS (SELECT part, filter_order, step, f, 1 << (ascii(f) - 65) AS bit, coalesce(before, 0) AS before, bad, n, good, toxic
+      FROM g, s),
+r AS (SELECT part, filter_order, step, f,
+        sum(CASE WHEN bad & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN bad & bit > 0 AND bad & before = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN bad & bit > 0 AND bad & before > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN bad = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN bad & bit > 0 AND bad & before = 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN bad & bit > 0 AND bad & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM q GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+"""

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from clinops.llm import (
     block_dedup,
+    collocations,
     embedding_dedup,
     fair_mix,
+    filter_audit,
     html_extract,
     length_buckets,
     ngram_join,
@@ -16,6 +18,7 @@ from clinops.llm import (
     suffix_dedup,
     token_orc,
     toxicity_crf,
+    warc,
 )
 from clinops.llm.common import read
 
@@ -69,11 +72,27 @@ def op10_block_dedup(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op11_warc_index(spark, sf_dir):
+    out = warc.index(read(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    out = filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.drop("filter")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_html_extraction, op3_token_orc, op4_quality_cascade, op5_embedding_dedup,
-    op6_length_buckets, op7_suffix_dedup, op8_toxicity_crf, op9_fair_mix, op10_block_dedup)}
+    op6_length_buckets, op7_suffix_dedup, op8_toxicity_crf, op9_fair_mix, op10_block_dedup,
+    op11_warc_index, op12_collocations, op13_filter_audit)}
 
 #: Queries 2, 3, 6 and 8 are beyond SQL; tests/llm holds them against plain versions or held-out rows.
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": oracle.OP1, "op4_quality_cascade": oracle.OP4, "op5_embedding_dedup": oracle.OP5,
-    "op7_suffix_dedup": oracle.OP7, "op9_fair_mix": oracle.OP9, "op10_block_dedup": oracle.OP10}
+    "op7_suffix_dedup": oracle.OP7, "op9_fair_mix": oracle.OP9, "op10_block_dedup": oracle.OP10,
+    "op11_warc_index": oracle.OP11, "op12_collocations": oracle.OP12, "op13_filter_audit": oracle.OP13}

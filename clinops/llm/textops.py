@@ -101,9 +101,10 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         a = b
 
 
-def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for each row the index of its first word (one extra at the end)."""
-    word = ~_SEP[buf]
+def word_bounds(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and for each row the index of its first word (one extra at the end);
+    ``gap`` marks the byte values between words."""
+    word = ~gap[buf]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     cut = offs[1:-1]
