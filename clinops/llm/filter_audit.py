@@ -89,14 +89,16 @@ def prefixes(rows: DataFrame, fails: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, steps): survivors per (part, gone), and per (part, gone, filter) the counts removed, good_lost,
     toxic_lost and redundant of the filter coming after the set ``gone``."""
     sets = range(1 << len(FILTERS))
-    clean = rows.join(fails, "__row", "left_anti").groupBy("part").agg(F.count("*").alias("clean"))
-    marked = rows.join(fails, "__row", "left_semi").select(
+    some = fails.select("__row").hint("merge")
+    clean = rows.join(some, "__row", "left_anti").groupBy("part").agg(F.count("*").alias("clean"))
+    marked = rows.join(some, "__row", "left_semi").select(
         "__row", "part", F.explode(F.array(*[F.lit(s) for s in sets])).alias("gone"))
     own = F.col("gone").bitwiseAND(bit()) != 0
     each = fails.withColumn("gone", F.explode(F.array(*[F.lit(s) for s in sets])))
-    survivors = marked.join(each.where(own).select("__row", "gone"), ["__row", "gone"], "left_anti")
+    # both sides of these joins grow with the documents: always dealt out by key, never broadcast
+    survivors = marked.join(each.where(own).select("__row", "gone").hint("merge"), ["__row", "gone"], "left_anti")
     after = each.where(~own)
-    alive = survivors.select("__row", "gone")
+    alive = survivors.select("__row", "gone").hint("merge")
     removed = after.join(alive, ["__row", "gone"], "left_semi").groupBy("part", "gone", "filter").agg(
         F.count("*").alias("removed"), F.count_if("good").alias("good_lost"), F.count_if("toxic").alias("toxic_lost"))
     redundant = after.join(alive, ["__row", "gone"], "left_anti").groupBy("part", "gone", "filter").agg(
