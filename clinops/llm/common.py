@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -79,14 +80,15 @@ def packed(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
 def keyed(df: DataFrame, id_col: str, key: str = "__row") -> DataFrame:
     """``df`` with a unique, non-null long ``key`` per row (names that begin with two underscores are ours).
 
-    The id itself serves when it is unique and never null (one job over the id column).  Otherwise rows
-    are numbered once and the numbered table is checkpointed, so that retried tasks see the same numbers.
+    The id itself serves when it is an integer, unique and never null (one job over the id column).  Otherwise
+    rows are numbered once and the numbered table is checkpointed, so that retried tasks see the same numbers.
     """
     if key in df.columns:
         return df
-    n, ids, distinct = df.agg(F.count("*"), F.count(id_col), F.count_distinct(id_col)).first()
-    if n == ids == distinct:
-        return df.withColumn(key, F.col(id_col).cast("long"))
+    if isinstance(df.schema[id_col].dataType, IntegralType):
+        n, ids, distinct = df.agg(F.count("*"), F.count(id_col), F.count_distinct(id_col)).first()
+        if n == ids == distinct:
+            return df.withColumn(key, F.col(id_col).cast("long"))
     return checkpoint(df.withColumn(key, F.monotonically_increasing_id()))
 
 
