@@ -9,11 +9,14 @@ micro-batch (after a lost executor or a restart) changes nothing:
   of each stream that touched it (``applied``); a replay skips rows already
   updated by that batch.  Only the days present in a batch are read and rewritten
   (dynamic partition overwrite on ``summary_date``).
-* insert-ignore copy — new rows are anti-joined against the target's
-  partitions for the batch's days before the append, so a replay appends
-  nothing.
-* trailing-24h heart rate — additive sums per 5-minute slot, merged like the
-  rollup (late readings included); the 24-hour means are read off the slots.
+* insert-ignore copy — repeated deliveries are dropped in the state store; new
+  rows are anti-joined against the target's partitions for the batch's days
+  before the append, so a replay appends nothing.
+* trailing-24h heart rate — sums per 5-minute slot in the state store; each
+  batch upserts the slots it changed (whole sums, so a replay changes nothing)
+  and rewrites the 24-hour means of the days they reach.
+* ledger — run transitions in any order, folded per run in the state store;
+  each batch upserts the runs it changed.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from clinops.functions.common import path_exists
+from clinops.operators.ledger import ledger_state
 from clinops.operators.sync import daily_rollup_delta
-from clinops.operators.upsert import first_per_key, new_rows
+from clinops.operators.upsert import first_per_key, merge_into_partitions, new_rows, with_key_bucket
 from clinops.sources.tables import VIEWS, _pick
 
 EVENTS_SCHEMA = T.StructType([
@@ -153,59 +157,93 @@ def start_daily_rollup(increments: DataFrame, store_path: str, checkpoint_path:
 
 
 HR_STEP = "5 minutes"
+HR_DAY_SECONDS = 24 * 3600
 HR_SCHEMA = T.StructType([
     T.StructField("slot", T.TimestampNTZType()),
+    T.StructField("stream", T.StringType()),
     T.StructField("s", T.LongType()),
     T.StructField("n", T.LongType()),
-    T.StructField("applied", T.MapType(T.StringType(), T.LongType())),
     T.StructField("day", T.DateType()),
 ])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def apply_hr_batch(batch: DataFrame, batch_id: int, store_path: str, stream: str = "") -> None:
-    """Add one micro-batch to the stored heart-rate sums per 5-minute slot.
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State of the streams started from here lives in RocksDB (off the heap, changes uploaded per batch),
+    unless the session names a provider of its own."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ROCKSDB)
 
-    No watermark: a reading that arrives late is added to its slot whenever
-    it comes, and slots are so few (288 a day) that they need no expiry.
-    Replays are no-ops by the same per-stream batch numbers as the rollup."""
-    spark = batch.sparkSession
+
+def hr_slot_sums(readings: DataFrame) -> DataFrame:
+    """Heart-rate sums per 5-minute slot: a stateful aggregate on a stream, the same frame in a batch.
+
+    No watermark, so the state never drops a late reading; it holds one row per slot (288 a day), however many
+    readings there are, and readings are combined in their tasks before they reach the state."""
     hr = F.col("heart_rate_bpm")
-    slot = F.window(F.col("measured_at"), HR_STEP).start
-    delta = (batch.where(hr.isNotNull() & F.col("measured_at").isNotNull()).groupBy(slot.alias("slot"))
-             .agg(F.sum(hr).cast("bigint").alias("ds"), F.count(hr).alias("dn"))
-             .withColumn("day", F.to_date("slot")))
-    if path_exists(spark, store_path):
-        stored = spark.read.schema(HR_SCHEMA).parquet(store_path).join(delta.select("day").distinct(), "day", "left_semi")
-    else:
-        stored = spark.createDataFrame([], HR_SCHEMA)
-    j = stored.join(delta, ["slot", "day"], "full_outer")
-    seen = F.try_element_at("applied", F.lit(stream))
-    fresh = F.col("dn").isNotNull() & (seen.isNull() | (seen < F.lit(int(batch_id))))
-    others = F.map_filter(F.coalesce("applied", F.create_map().cast("map<string,bigint>")), lambda k, _: k != F.lit(stream))
-    add = lambda c, d: F.when(fresh, F.coalesce(c, F.lit(0)) + F.col(d)).otherwise(F.col(c)).cast("bigint").alias(c)
-    mine = F.create_map(F.lit(stream), F.lit(int(batch_id)).cast("bigint"))
-    merged = j.select("slot", add("s", "ds"), add("n", "dn"),
-                      F.when(fresh, F.map_concat(others, mine)).otherwise(F.col("applied")).alias("applied"), "day")
+    some = readings.where(hr.isNotNull() & F.col("measured_at").isNotNull())
+    return some.groupBy(F.window("measured_at", HR_STEP).start.alias("slot")).agg(
+        F.sum(hr).cast("bigint").alias("s"), F.count(hr).alias("n"))
+
+
+def _overwrite_days(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def apply_hr_slots(changed: DataFrame, store_path: str, means_path: str | None = None, stream: str = "") -> None:
+    """Store the changed slots of one micro-batch and bring the 24-hour means up to date.
+
+    The rows are whole slot sums, so storing them again (a replayed batch) changes nothing.  A slot has one row
+    per stream.  Only the days of the changed slots are rewritten; their means reach one day further."""
     from clinops.session import ensure_checkpoint_dir
+    spark = changed.sparkSession
     ensure_checkpoint_dir(spark)
-    merged = merged.checkpoint(eager=True)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(store_path)
+    changed = changed.select("slot", F.lit(stream).alias("stream"), "s", "n", F.to_date("slot").alias("day")).checkpoint(eager=True)
+    days = changed.select("day").distinct()
+    if path_exists(spark, store_path):
+        stored = spark.read.schema(HR_SCHEMA).parquet(store_path).join(days, "day", "left_semi")
+        kept = stored.join(changed, ["slot", "stream"], "left_anti").select(*changed.columns)
+        _overwrite_days(kept.unionByName(changed).checkpoint(eager=True), store_path)
+    else:
+        _overwrite_days(changed, store_path)
+    if means_path:
+        near = lambda lo, hi: days.select(  # noqa: E731 - the days from lo to hi around the changed ones
+            F.explode(F.expr(f"transform(sequence({lo}, {hi}), k -> date_add(day, k))")).alias("day")).distinct()
+        slots = spark.read.schema(HR_SCHEMA).parquet(store_path).join(near(-1, 1), "day", "left_semi")
+        _overwrite_days(hr_24h_means(slots).join(near(0, 1), "day", "left_semi"), means_path)
 
 
-def start_hr_slots(readings: DataFrame, store_path: str, checkpoint_path: str, available_now: bool = True) -> StreamingQuery:
-    stream = stream_identity(readings.sparkSession, checkpoint_path)
-    w = (readings.writeStream.foreachBatch(lambda df, bid: apply_hr_batch(df, bid, store_path, stream))
-         .option("checkpointLocation", checkpoint_path))
+def start_hr_slots(readings: DataFrame, store_path: str, checkpoint_path: str, available_now: bool = True,
+                   means_path: str | None = None) -> StreamingQuery:
+    """Slot sums kept in the state store; every batch upserts the slots it changed (update mode)."""
+    spark = readings.sparkSession
+    keep_state_on_disk(spark)
+    stream = stream_identity(spark, checkpoint_path)
+
+    def sink(df: DataFrame, _: int) -> None:
+        apply_hr_slots(df, store_path, means_path, stream)
+
+    w = hr_slot_sums(readings).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")
     return w.start()
 
 
 def hr_24h_means(slots: DataFrame) -> DataFrame:
-    """Mean heart rate of the 24 hours that end with each stored slot."""
-    end = F.col("slot") + F.expr(f"INTERVAL {HR_STEP}")
-    w = Window.orderBy(F.col("slot").cast("timestamp").cast("long")).rangeBetween(300 - 24 * 3600, 0)
-    return slots.select(end.alias("window_end"), F.sum("n").over(w).alias("n"),
-                        F.bround(F.sum("s").over(w) / F.sum("n").over(w), 1).alias("avg_hr_24h"))
+    """(day, window_end, n, avg_hr_24h): mean heart rate of the 24 hours that end with each stored slot.
+
+    Windows are cut by day: 24 hours back from a slot lie in its own day and the day before, so every day is
+    a group of at most two days' slots (576 rows), however long the history."""
+    slots = slots.groupBy("slot").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    day = F.to_date("slot")
+    two = slots.withColumn("day", F.explode(F.array(day, F.date_add(day, 1))))
+    at = (F.datediff(day, F.lit("2000-01-01").cast("date")).cast("bigint") * HR_DAY_SECONDS
+          + F.hour("slot") * 3600 + F.minute("slot") * 60)
+    w = Window.partitionBy("day").orderBy(at).rangeBetween(300 - HR_DAY_SECONDS, 0)
+    means = two.select("day", "slot", F.sum("n").over(w).alias("n"), F.sum("s").over(w).alias("s"))
+    return means.where(F.col("day") == day).select(
+        "day", (F.col("slot") + F.expr(f"INTERVAL {HR_STEP}")).alias("window_end"), "n",
+        F.bround(F.col("s") / F.col("n"), 1).alias("avg_hr_24h"))
 
 
 SYNC_KEYS = ["patient_no", "measured_at"]
@@ -227,13 +265,47 @@ def apply_sync_batch(batch: DataFrame, batch_id: int, target_path: str) -> None:
     new.write.mode("append").partitionBy("measured_day").parquet(target_path)
 
 
+def first_deliveries(readings: DataFrame, remember: str = "1 hour") -> DataFrame:
+    """Readings without those delivered again within ``remember``.
+
+    The watermark runs on the time of arrival, not on the reading's own time: no row is ever late, so the state
+    drops repeats only, and a key leaves the state ``remember`` after it came.  The id is part of the key: two
+    readings of one patient and time are told apart here, and the keyed copy keeps the smaller id; readings
+    with a NULL key part stay apart too."""
+    arrived = readings.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", remember)
+    return arrived.dropDuplicatesWithinWatermark([*SYNC_KEYS, "vital_id"]).drop("__arrived")
+
+
 def start_sync(readings: DataFrame, target_path: str, checkpoint_path: str,
-               available_now: bool = True) -> StreamingQuery:
-    """Exactly-once copy.  No watermark: a watermark would drop late rows,
-    while here a late reading is simply one not copied yet.  Duplicates are
-    removed inside each batch and against the target by the keyed anti-join,
-    so the stream keeps no state at all."""
-    w = (readings.writeStream.foreachBatch(lambda df, bid: apply_sync_batch(df, bid, target_path))
+               available_now: bool = True, remember: str = "1 hour") -> StreamingQuery:
+    """Exactly-once copy.  Repeated deliveries end in the state store; what is
+    repeated after that, or under another id, meets the keyed anti-join
+    against the target.  A late reading is simply one not copied yet."""
+    keep_state_on_disk(readings.sparkSession)
+    w = (first_deliveries(readings, remember).writeStream
+         .foreachBatch(lambda df, bid: apply_sync_batch(df, bid, target_path))
+         .option("checkpointLocation", checkpoint_path))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")
+    return w.start()
+
+
+LEDGER_BUCKETS = 64
+
+
+def apply_ledger_batch(changed: DataFrame, store_path: str, buckets: int = LEDGER_BUCKETS) -> None:
+    """Upsert the runs one micro-batch changed; only their key buckets are read and rewritten."""
+    keyed = with_key_bucket(changed, ["batch_log_id"], buckets)
+    columns = [c for c in changed.columns if c != "batch_log_id"]
+    merge_into_partitions(store_path, keyed, ["batch_log_id"], columns, "key_bucket")
+
+
+def start_ledger(transitions: DataFrame, store_path: str, checkpoint_path: str, available_now: bool = True) -> StreamingQuery:
+    """Current state of every run from a stream of its transitions (batch_log_id, seq, status, at, error_message,
+    next_retry_at).  The fold depends on ``seq`` alone, so transitions may come late, out of order or twice; no
+    watermark, so none is lost; the state holds one row per run."""
+    keep_state_on_disk(transitions.sparkSession)
+    w = (ledger_state(transitions).writeStream.outputMode("update")
+         .foreachBatch(lambda df, _: apply_ledger_batch(df, store_path))
          .option("checkpointLocation", checkpoint_path))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")
     return w.start()
