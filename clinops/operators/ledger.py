@@ -152,6 +152,46 @@ def ledger_json(payload_cols: list[str]) -> F.Column:
     return F.to_json(F.struct(*payload_cols), {"ignoreNullFields": "false"})
 
 
+def running_rows(runs: DataFrame, log: DataFrame, as_of_ts, order: list[str]) -> DataFrame:
+    """New RUNNING ledger rows, with the next ids in ``order`` (unique columns of ``runs``).
+
+    ``runs``: job_name, trigger_type, attempt_no, max_attempts and, where they have any, retry_of_log_id and a
+    ``request`` struct, stored as JSON text."""
+    from clinops.operators.upsert import assign_keys
+
+    now = ts_lit(as_datetime(as_of_ts))
+    payload = F.when(F.col("request").isNotNull(), ledger_json(["request.*"])) if "request" in runs.columns else F.lit(None)
+    rows = runs.withColumns({"request_payload": payload.cast("string"), "status": F.lit("RUNNING"), "started_at": now,
+                             "created_date": now, "last_modified_date": now, "intt_cd": F.lit("BATCH")})
+    rows = assign_keys(rows, order, "batch_log_id", existing_max=log.agg(F.max("batch_log_id")), floor=0)
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns
+                         else F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema.fields])
+
+
+def finished_rows(log: DataFrame, outcomes: DataFrame, as_of_ts, delay_minutes: int = RETRY_DELAY_MIN) -> DataFrame:
+    """The ledger after its runs ended.  ``outcomes``: batch_log_id and a ``result`` struct (success) or an
+    ``error`` text (failure).
+
+    SUCCESS stores the result as JSON text and clears retry time and error; FAILED stores the error text and the
+    next retry time while attempts remain.  Runs without an outcome stay as they are."""
+    now = ts_lit(as_datetime(as_of_ts))
+    ended = outcomes.select("batch_log_id", F.col("error").alias("__error"),
+                            F.when(F.col("result").isNotNull(), ledger_json(["result.*"])).alias("__result"),
+                            F.lit(True).alias("__ended"))
+    j = log.join(ended, "batch_log_id", "left")
+    failed, hit = F.col("__error").isNotNull(), F.coalesce(F.col("__ended"), F.lit(False))
+    retry = backoff(F.col("attempt_no"), F.col("max_attempts"), now, delay_minutes)
+    new = {
+        "status": F.when(failed, "FAILED").otherwise("SUCCESS"),
+        "finished_at": now,
+        "next_retry_at": F.when(failed, retry),
+        "result_payload": F.when(failed, F.col("result_payload")).otherwise(F.col("__result")),
+        "error_message": F.when(failed, error_text(F.col("__error"))),
+        "last_modified_date": now,
+    }
+    return j.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in log.columns])
+
+
 def ledger_retry_cycle(log: DataFrame, as_of_ts, limit: int = 10, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """One retry scan applied to the ledger: the due failures (at most
     ``limit``) become RETRIED with no retry

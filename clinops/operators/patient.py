@@ -8,7 +8,7 @@ patients), so the joins are 1:0..1 on ``patient_no``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinops.functions.common import as_date, date_lit, union_all
@@ -162,3 +162,39 @@ def my_health_events(requests: DataFrame, patients: DataFrame, profiles: DataFra
         "patient_no", "category", "clinical_event_id", format_date(F.col("occurred_on")).alias("occurred_on_kr"),
         "department", "title", "summary", status_label(F.col("status")).alias("status"), "institution_name")
     return resolved.withColumnRenamed("by", "resolved_by").join(rows, "patient_no")
+
+
+EVENT_ITEM = ("clinical_event_id", "category", "occurred_on", "department", "title", "summary", "status", "institution_name")
+
+
+def newest_events(events: DataFrame, k: int) -> DataFrame:
+    """The ``k`` newest events of every patient and category, with ``rank`` (date desc, id desc).
+
+    The rank limit is applied in every task before the shuffle, so a patient
+    with a third of all events sends at most k rows per category and task."""
+    w = Window.partitionBy("patient_no", "category").orderBy(F.col("occurred_on").desc(), F.col("clinical_event_id").desc())
+    rows = events.withColumn("category", F.coalesce("category", F.lit("None")))
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(k))
+
+
+def events_by_category(events: DataFrame, k: int) -> DataFrame:
+    """(patient_no, clinical_events_by_category): category → its ``k`` newest events as displayed, newest first.
+    The lists hold at most k events; categories are in order of their name."""
+    shown = newest_events(events, k).withColumn("status", status_label(F.col("status"))).withColumn(
+        "occurred_on", F.coalesce(format_date(F.col("occurred_on")), F.lit("")))
+    per = shown.groupBy("patient_no", "category").agg(
+        F.sort_array(F.collect_list(F.struct("rank", F.struct(*EVENT_ITEM).alias("event")))).alias("ranked"))
+    per = per.select("patient_no", F.struct("category", F.transform("ranked", lambda e: e["event"]).alias("events")).alias("c"))
+    return per.groupBy("patient_no").agg(
+        F.map_from_entries(F.sort_array(F.collect_list("c"))).alias("clinical_events_by_category"))
+
+
+def my_health_categories(requests: DataFrame, patients: DataFrame, profiles: DataFrame, events: DataFrame,
+                         k: int = 20) -> DataFrame:
+    """Per resolved identifier request its patient's newest events by category, nested as the request answers
+    them (an empty map for a patient without events)."""
+    resolved = resolve_patient(requests, patients, profiles).where(F.col("patient_no").isNotNull())
+    asked = events.join(resolved.select("patient_no").distinct(), "patient_no", "left_semi")
+    rows = resolved.withColumnRenamed("by", "resolved_by").join(events_by_category(asked, k), "patient_no", "left")
+    empty = F.create_map().cast(rows.schema["clinical_events_by_category"].dataType)
+    return rows.withColumn("clinical_events_by_category", F.coalesce("clinical_events_by_category", empty))

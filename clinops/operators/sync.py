@@ -137,12 +137,21 @@ def daily_copy_rows(batch: DataFrame, as_of_ts) -> DataFrame:
         _or_default(F.col("intt_cd"), F.lit(ETL_TAG)).alias("intt_cd"))
 
 
-def sync_daily(source: DataFrame, target: DataFrame, as_of_ts, limit: int | None = None) -> DataFrame:
+def sync_daily(source: DataFrame, target: DataFrame, as_of_ts, limit: int | None = None,
+               rules: list[tuple[str, Column]] | None = None) -> DataFrame:
     """Upsert pending daily rows by (patient_no, summary_date); 6 columns
-    overwritten on match.  Result: the new target with ``action``."""
+    overwritten on match.  Result: the new target with ``action``.  Rows that
+    break a rule are left out (``rejected_daily`` lists them)."""
     batch = daily_copy_rows(pending(source, "synced_to_mysql_at", ["patient_no", "summary_date"], limit),
                             as_of_ts)
-    return upsert(target, batch, ["patient_no", "summary_date"], DAILY_UPDATE_COLS, with_action=True)
+    return upsert(target, quarantine(batch, rules or [])[0], ["patient_no", "summary_date"], DAILY_UPDATE_COLS,
+                  with_action=True)
+
+
+def rejected_daily(source: DataFrame, as_of_ts, rules: list[tuple[str, Column]], limit: int | None = None) -> DataFrame:
+    """The pending daily rows that break a rule, with the ``reason``."""
+    keys = ["patient_no", "summary_date"]
+    return quarantine(daily_copy_rows(pending(source, "synced_to_mysql_at", keys, limit), as_of_ts), rules)[1]
 
 
 def treatment_event_rows(batch: DataFrame, as_of_ts) -> DataFrame:
@@ -164,35 +173,54 @@ def treatment_event_rows(batch: DataFrame, as_of_ts) -> DataFrame:
         F.lit(ETL_TAG).alias("intt_cd"))
 
 
+def with_copied(batch: DataFrame, events: DataFrame) -> DataFrame:
+    """The treatments of a batch with ``__exists``: an event with their source id is there already.
+
+    Only the event rows whose source id is in the batch are met (semi-join
+    with the batch as build side: a small batch is broadcast, the events are
+    not shuffled)."""
+    existing = (events.where(F.col("source_mysql_treatment_id").isNotNull())
+                .select(F.col("source_mysql_treatment_id").alias("treatment_id"))
+                .join(batch.select("treatment_id"), "treatment_id", "left_semi").distinct()
+                .withColumn("__exists", F.lit(True)))
+    return batch.join(existing, "treatment_id", "left")
+
+
+def numbered_events(tagged: DataFrame, events: DataFrame, as_of_ts) -> DataFrame:
+    """Event rows of the treatments not yet copied, with dense ids after the current maximum."""
+    return assign_keys(treatment_event_rows(tagged.where(F.col("__exists").isNull()), as_of_ts),
+                       ["source_mysql_treatment_id"], "clinical_event_id",
+                       existing_max=events.agg(F.max("clinical_event_id").alias("m")), floor=0)
+
+
+def pending_treatments(treatments: DataFrame, limit: int | None = None) -> DataFrame:
+    """Treatments of a patient that are not yet copied."""
+    return pending(treatments, "synced_to_postgres_at", ["treatment_id"], limit, extra=F.col("patient_no").isNotNull())
+
+
 def sync_treatments(treatments: DataFrame, events: DataFrame, as_of_ts, limit: int | None = None,
-                    assign_ids: bool = True) -> dict:
+                    assign_ids: bool = True, rules: list[tuple[str, Column]] | None = None) -> dict:
     """Copy pending treatments (non-NULL patient) into clinical events.
 
     Treatments already present by source id are skipped; both kinds are
     marked.  Returns ``inserted`` (new event rows, with dense new event ids
-    after the current maximum), ``outcomes`` (treatment_id, outcome) and
-    ``marked`` (treatments with the new markers).
+    after the current maximum), ``outcomes`` (treatment_id, outcome),
+    ``rejected`` (treatments that break a rule, with the ``reason``) and
+    ``marked`` (treatments with the new markers; rejected ones stay pending).
     """
-    batch = pending(treatments, "synced_to_postgres_at", ["treatment_id"], limit,
-                    extra=F.col("patient_no").isNotNull())
-    # only the event rows whose source id is in the batch (semi-join with the
-    # batch as build side: a small batch is broadcast, the events are not shuffled)
-    existing = (events.where(F.col("source_mysql_treatment_id").isNotNull())
-                .select(F.col("source_mysql_treatment_id").alias("treatment_id"))
-                .join(batch.select("treatment_id"), "treatment_id", "left_semi").distinct()
-                .withColumn("__exists", F.lit(True)))
-    tagged = batch.join(existing, "treatment_id", "left")
+    batch, rejected = quarantine(pending_treatments(treatments, limit), rules or [])
+    tagged = with_copied(batch, events)
     outcomes = tagged.select("treatment_id", F.when(F.col("__exists"), F.lit("skipped_existing"))
                              .otherwise(F.lit("inserted")).alias("outcome"))
-    to_insert = treatment_event_rows(tagged.where(F.col("__exists").isNull()), as_of_ts)
     if assign_ids:
-        max_id = events.agg(F.max("clinical_event_id").alias("m"))
-        to_insert = assign_keys(to_insert, ["source_mysql_treatment_id"], "clinical_event_id",
-                                existing_max=max_id, floor=0)
-    marked = mark_synced(treatments, None if limit is None else batch.select("treatment_id"), "treatment_id",
+        to_insert = numbered_events(tagged, events, as_of_ts)
+    else:
+        to_insert = treatment_event_rows(tagged.where(F.col("__exists").isNull()), as_of_ts)
+    everything = limit is None and not rules
+    marked = mark_synced(treatments, None if everything else batch.select("treatment_id"), "treatment_id",
                          "synced_to_postgres_at", as_of_ts, pending_filter=F.col("patient_no").isNotNull(),
                          touch=["last_modified_date"])
-    return {"inserted": to_insert, "outcomes": outcomes, "marked": marked}
+    return {"inserted": to_insert, "outcomes": outcomes, "marked": marked, "rejected": rejected}
 
 
 def sync_stats(vital_outcomes: DataFrame, treatment_outcomes: DataFrame, daily_merged: DataFrame,
@@ -230,14 +258,38 @@ def vital_rules() -> list[tuple[str, Column]]:
     ]
 
 
-def quarantine(df: DataFrame, rules=None) -> tuple[DataFrame, DataFrame]:
-    """Split rows into (good, bad); ``bad`` carries the first failing rule's
-    ``reason``.  Replaces the reference's per-row try/except."""
+def daily_rules() -> list[tuple[str, Column]]:
+    """Checks a daily row must pass before it is copied."""
+    return [
+        ("missing patient_no", F.col("patient_no").isNull()),
+        ("missing summary_date", F.col("summary_date").isNull()),
+        ("step_count out of range", F.col("step_count") < 0),
+        ("sleep_hours out of range", ~F.col("sleep_hours").between(0, 24)),
+        ("stress_level out of range", ~F.col("stress_level").between(0, 100)),
+    ]
+
+
+def treatment_rules() -> list[tuple[str, Column]]:
+    """Checks a treatment must pass before it becomes a clinical event."""
+    return [
+        ("missing treatment_id", F.col("treatment_id").isNull()),
+        ("missing treatment_date", F.col("treatment_date").isNull()),
+    ]
+
+
+def with_reason(df: DataFrame, rules=None) -> DataFrame:
+    """``df`` with the first failing rule's ``reason`` (NULL: passes all)."""
     rules = rules if rules is not None else vital_rules()
     reason = F.lit(None).cast("string")
     for text, cond in reversed(rules):
         reason = F.when(F.coalesce(cond, F.lit(False)), F.lit(text)).otherwise(reason)
-    tagged = df.withColumn("reason", reason)
+    return df.withColumn("reason", reason)
+
+
+def quarantine(df: DataFrame, rules=None) -> tuple[DataFrame, DataFrame]:
+    """Split rows into (good, bad); ``bad`` carries the first failing rule's
+    ``reason``.  Replaces the reference's per-row try/except."""
+    tagged = with_reason(df, rules)
     return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
 
 
@@ -316,6 +368,63 @@ def encounter_fanout(encounters: DataFrame, as_of_ts, key_base: DataFrame | None
              "r.record_type", "r.status", "r.comment", "created_date")
 
 
+DOCTOR_ID = 900001  # Fixed values of the completion batch: its doctor, type and system code.
+PIPELINE_TAG = "PIPELINE"
+COMPLETED_PERCENT = 70
+
+
+def newest_encounters(patients: DataFrame, n: int, status: Column | None = None) -> DataFrame:
+    """(patient_no, status) of the ``n`` newest patients.  Top-n: every task keeps n rows, none are shuffled but
+    those.  Without a ``status`` about 70 of 100 are COMPLETED, by a hash of the patient number."""
+    share = F.pmod(F.xxhash64("patient_no"), F.lit(100)) < COMPLETED_PERCENT
+    status = F.when(share, "COMPLETED").otherwise("CANCELLED") if status is None else status
+    return patients.orderBy(F.col("patient_no").desc_nulls_last()).limit(max(0, int(n))).select(
+        "patient_no", status.alias("status"))
+
+
+def completion_batch(encounters: DataFrame, as_of_ts, check_ins: DataFrame, treatments: DataFrame,
+                     prescriptions: DataFrame, department: DataFrame, intt_cd: str = PIPELINE_TAG) -> dict[str, DataFrame]:
+    """The rows one completion run writes, per table, with all their columns.
+
+    Check-in, treatment and prescription ids go on from each table's own maximum, newest patient first.  The
+    department is the newest one; completed encounters have no comments, cancelled ones say so, and their
+    prescriptions are CANCELLED instead of DISPENSED."""
+    now = as_datetime(as_of_ts)
+    suffix = now.strftime("%Y%m%d%H%M%S")
+    at, none = ts_lit(now), F.lit(None)
+    keyed = assign_keys(encounters.withColumn("__newest", -F.col("patient_no")), ["__newest"], "__i", floor=0)
+    # one row of the current maxima, joined on a constant key
+    tops = [t.agg(F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(name)).withColumn("__k", F.lit(1)) for t, c, name in (
+        (check_ins, "checkIn_id", "__c"), (treatments, "treatment_id", "__t"), (prescriptions, "prescription_id", "__p"))]
+    tops.append(department.agg(F.max("id").alias("department_id")).withColumn("__k", F.lit(1)))
+    keyed = keyed.withColumn("__k", F.lit(1))
+    for top in tops:
+        keyed = keyed.join(bounded_broadcast(top), "__k")
+    done = F.col("status") == "COMPLETED"
+    said = lambda text: F.when(~done, F.lit(f"{text}-{suffix}"))  # noqa: E731 - completed: no comment
+    rows = keyed.select("patient_no", "status", "department_id", (F.col("__c") + F.col("__i")).alias("checkIn_id"),
+                        (F.col("__t") + F.col("__i")).alias("treatment_id"),
+                        (F.col("__p") + F.col("__i")).alias("prescription_id"))
+    stamps = [at.alias("created_date"), at.alias("last_modified_date"), F.lit(intt_cd).alias("intt_cd")]
+    return {
+        "check_in": rows.select("checkIn_id", "patient_no", none.cast("bigint").alias("user_id"), at.alias("checkIn_date"),
+                                F.col("status").alias("checkIn_status"), F.lit(f"pipeline-{suffix}").alias("checkIn_comment"),
+                                *stamps),
+        "treatments": rows.select(
+            "treatment_id", "checkIn_id", "patient_no", F.lit(DOCTOR_ID).cast("bigint").alias("treatment_doc"), "department_id",
+            F.lit(DEFAULT_CATEGORY).alias("treatment_type"), F.col("status").alias("treatment_status"),
+            at.alias("treatment_date"), at.alias("treatment_start_time"), at.alias("treatment_end_time"),
+            F.lit(f"completion-{suffix}").alias("treatment_comment"), none.cast("string").alias("treatment_dept"), *stamps),
+        "Out_Treatments": rows.select(
+            "treatment_id", "checkIn_id", F.col("status").alias("treatment_status"),
+            none.cast("bigint").alias("pre_treatment_id"), said("종료").alias("treatment_comment"), *stamps),
+        "Prescription": rows.select(
+            "prescription_id", "treatment_id", "patient_no", F.lit(DOCTOR_ID).cast("bigint").alias("prescription_doc"),
+            at.alias("prescription_date"), F.when(done, "DISPENSED").otherwise("CANCELLED").alias("prescription_status"),
+            F.lit(DEFAULT_CATEGORY).alias("prescription_type"), said("실패 취소").alias("prescription_memo"), *stamps),
+    }
+
+
 def encounter_counts(encounters: DataFrame) -> DataFrame:
     """Completed / cancelled counts of one fan-out batch."""
     return encounters.agg(F.count_if(F.col("status") == "COMPLETED").alias("completed_count"),

@@ -936,3 +936,80 @@ SELECT certificate_id, {s_text('certificate_number')} AS certificate_number, {s_
        {s_sha('clinical_findings')} AS clinical_findings_sha256, {s_sha('purpose')} AS purpose_sha256
 FROM diagnosis_certificate
 """)
+
+# ---- completion batch, checked sync, newest events, ledger writes --------------------
+_DONE = duck_with("Patient", "treatments", "department", "check_in", "Prescription") + f"""
+, top AS (SELECT patient_no, CASE WHEN patient_no % 10 < 7 THEN 'COMPLETED' ELSE 'CANCELLED' END AS status
+          FROM "Patient" ORDER BY patient_no DESC LIMIT 100)
+, k AS (SELECT *, row_number() OVER (ORDER BY patient_no DESC) AS i, (SELECT max(id) FROM department) AS department_id,
+               (SELECT coalesce(max("checkIn_id"), 0) FROM check_in) AS c, (SELECT coalesce(max(treatment_id), 0) FROM treatments) AS t,
+               (SELECT coalesce(max(prescription_id), 0) FROM "Prescription") AS p FROM top)
+"""
+_STAMPS = f"{_ts(W)} AS created_date, {_ts(W)} AS last_modified_date, 'PIPELINE' AS intt_cd"
+_reg("completion_check_ins", _DONE + f"""
+SELECT c + i AS "checkIn_id", patient_no, CAST(NULL AS BIGINT) AS user_id, {_ts(W)} AS "checkIn_date",
+       status AS "checkIn_status", 'pipeline-{_SUFFIX}' AS "checkIn_comment", {_STAMPS} FROM k
+""")
+_reg("completion_treatments", _DONE + f"""
+SELECT t + i AS treatment_id, c + i AS "checkIn_id", patient_no, CAST(900001 AS BIGINT) AS treatment_doc, department_id,
+       'OUTPATIENT' AS treatment_type, status AS treatment_status, {_ts(W)} AS treatment_date,
+       {_ts(W)} AS treatment_start_time, {_ts(W)} AS treatment_end_time, 'completion-{_SUFFIX}' AS treatment_comment,
+       CAST(NULL AS VARCHAR) AS treatment_dept, {_STAMPS} FROM k
+""")
+_reg("completion_out_treatments", _DONE + f"""
+SELECT t + i AS treatment_id, c + i AS "checkIn_id", status AS treatment_status, CAST(NULL AS BIGINT) AS pre_treatment_id,
+       CASE WHEN status <> 'COMPLETED' THEN '종료-{_SUFFIX}' END AS treatment_comment, {_STAMPS} FROM k
+""")
+_reg("completion_prescriptions", _DONE + f"""
+SELECT p + i AS prescription_id, t + i AS treatment_id, patient_no, CAST(900001 AS BIGINT) AS prescription_doc,
+       {_ts(W)} AS prescription_date, CASE WHEN status = 'COMPLETED' THEN 'DISPENSED' ELSE 'CANCELLED' END AS prescription_status,
+       'OUTPATIENT' AS prescription_type, CASE WHEN status <> 'COMPLETED' THEN '실패 취소-{_SUFFIX}' END AS prescription_memo,
+       {_STAMPS} FROM k
+""")
+
+_reg("sync_stats_checked", duck_with("user_vital_measurement") + f"""
+, tgt AS (SELECT {_VCOPY} FROM user_vital_measurement WHERE vital_id % 6 = 1 OR vital_id % 9 = 0)
+, batch AS (SELECT {_VCOPY} FROM user_vital_measurement WHERE synced_to_mysql_at IS NULL)
+, r AS (SELECT *, patient_no IS NULL OR measured_at IS NULL OR coalesce(heart_rate_bpm NOT BETWEEN 20 AND 250, FALSE)
+               OR coalesce(body_temp_c NOT BETWEEN 30 AND 45, FALSE) OR coalesce(stress_score NOT BETWEEN 0 AND 100, FALSE) AS bad
+        FROM batch)
+, good AS (SELECT *, row_number() OVER (PARTITION BY patient_no, measured_at ORDER BY vital_id) AS rn FROM r WHERE NOT bad)
+, ins AS (SELECT * FROM good g WHERE rn = 1 AND NOT EXISTS (
+            SELECT 1 FROM tgt k WHERE k.patient_no = g.patient_no AND k.measured_at = g.measured_at))
+SELECT count(*) AS vitals_examined, (SELECT count(*) FROM ins) AS vitals_copied,
+       (SELECT count(*) FROM good) - (SELECT count(*) FROM ins) AS vitals_duplicate,
+       count(*) FILTER (WHERE bad) AS errors, count(*) FILTER (WHERE bad) AS still_pending FROM r
+""")
+
+_NEWEST = duck_with("patient_clinical_event") + """
+, newest AS (SELECT * FROM (SELECT * REPLACE (coalesce(category, 'None') AS category), row_number() OVER (
+               PARTITION BY patient_no, coalesce(category, 'None')
+               ORDER BY occurred_on DESC NULLS LAST, clinical_event_id DESC)::INT AS rank FROM patient_clinical_event)
+             WHERE rank <= 5)
+"""
+_reg("newest_events", _NEWEST + """
+SELECT patient_no, category, rank, clinical_event_id, occurred_on, title FROM newest
+""")
+_reg("my_health_categories", f"""
+SELECT r."by" AS resolved_by, r.value, r.patient_no, coalesce(m.j, '{{}}') AS clinical_events_by_category
+FROM ({ORACLE['resolve_patient']}) r LEFT JOIN (
+  SELECT patient_no, '{{' || string_agg(to_json(category) || ':' || events, ',' ORDER BY category) || '}}' AS j FROM (
+    SELECT patient_no, category, '[' || string_agg(to_json({{'clinical_event_id': clinical_event_id, 'category': category,
+             'occurred_on': coalesce(occurred_kr, ''), 'department': department, 'title': title, 'summary': summary,
+             'status': status_kr, 'institution_name': institution_name}})::VARCHAR, ',' ORDER BY rank) || ']' AS events
+    FROM ({_NEWEST} SELECT *, {s_fmt_d('occurred_on')} AS occurred_kr, {s_status('status')} AS status_kr FROM newest)
+    GROUP BY patient_no, category) GROUP BY patient_no) m ON m.patient_no = r.patient_no
+WHERE r.patient_no IS NOT NULL
+""")
+
+_reg("ledger_finish", duck_with("batch_job_log") + f"""
+, e AS (SELECT *, status = 'RUNNING' AS hit, batch_log_id % 2 = 1 AS bad FROM batch_job_log)
+SELECT batch_log_id, CASE WHEN NOT hit THEN status WHEN bad THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+       CASE WHEN hit THEN {_ts(W)} ELSE finished_at END AS finished_at,
+       CASE WHEN NOT hit THEN next_retry_at WHEN bad AND attempt_no < greatest(1, max_attempts)
+            THEN {_ts(W)} + INTERVAL 5 MINUTE END AS next_retry_at,
+       CASE WHEN hit AND NOT bad THEN '{{"job":"' || job_name || '","note":"완료","suffix":null}}' ELSE result_payload END
+         AS result_payload,
+       CASE WHEN NOT hit THEN error_message WHEN bad THEN '실패 ' || job_name END AS error_message,
+       CASE WHEN hit THEN {_ts(W)} ELSE last_modified_date END AS last_modified_date FROM e
+""")

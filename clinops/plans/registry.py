@@ -432,6 +432,19 @@ def q_sync_stats(spark, sf_dir):
                            q_upsert_profiles(spark, sf_dir), vr["rejected"])
 
 
+@register("sync_stats_checked")
+def q_sync_stats_checked(spark, sf_dir):
+    """Counters of the vitals run when it refuses bad readings: rejected ones are errors and stay unmarked."""
+    v = _v(spark, sf_dir, "user_vital_measurement")
+    run = sync.sync_vitals(v, ops_vital_target(spark, sf_dir), WEAR_AS_OF_TS, rules=sync.vital_rules())
+    left = run["marked"].agg(F.count_if(F.col("synced_to_mysql_at").isNull()).alias("still_pending"))
+    seen = run["outcomes"].agg(F.count(F.lit(1)).alias("vitals_examined"),
+                               F.count_if(F.col("outcome") == "inserted").alias("vitals_copied"),
+                               F.count_if(F.col("outcome") == "duplicate").alias("vitals_duplicate"),
+                               F.count_if(F.col("outcome") == "rejected").alias("errors"))
+    return seen.withColumn("__k", F.lit(1)).join(left.withColumn("__k", F.lit(1)), "__k").drop("__k")
+
+
 @register("sync_quarantine")
 def q_sync_quarantine(spark, sf_dir):
     v = _v(spark, sf_dir, "user_vital_measurement")
@@ -459,6 +472,33 @@ def q_encounter_fanout(spark, sf_dir):
                                  key_base=t.agg(F.max("treatment_id")), department=d)
 
 
+def _completion(spark, sf_dir):
+    p, c, t, rx, d = _v(spark, sf_dir, "Patient", "check_in", "treatments", "Prescription", "department")
+    status = F.when(F.col("patient_no") % 10 < 7, "COMPLETED").otherwise("CANCELLED")
+    newest = sync.newest_encounters(p, 100, status)  # the newest 100 patients are what one run completes
+    return sync.completion_batch(newest, WEAR_AS_OF_TS, c, t, rx, d)
+
+
+@register("completion_check_ins")
+def q_completion_check_ins(spark, sf_dir):
+    return _completion(spark, sf_dir)["check_in"]
+
+
+@register("completion_treatments")
+def q_completion_treatments(spark, sf_dir):
+    return _completion(spark, sf_dir)["treatments"]
+
+
+@register("completion_out_treatments")
+def q_completion_out_treatments(spark, sf_dir):
+    return _completion(spark, sf_dir)["Out_Treatments"]
+
+
+@register("completion_prescriptions")
+def q_completion_prescriptions(spark, sf_dir):
+    return _completion(spark, sf_dir)["Prescription"]
+
+
 @register("encounter_counts")
 def q_encounter_counts(spark, sf_dir):
     return sync.encounter_counts(_encounters(spark, sf_dir))
@@ -536,6 +576,33 @@ def q_my_health_events(spark, sf_dir):
     return patient.my_health_events(lookup_requests(spark, sf_dir), p, pr, ev)
 
 
+@register("my_health_categories")
+def q_my_health_categories(spark, sf_dir):
+    p, pr, ev = _v(spark, sf_dir, "Patient", "user_app_profile", "patient_clinical_event")
+    out = patient.my_health_categories(lookup_requests(spark, sf_dir), p, pr, ev, k=5)
+    by = F.to_json("clinical_events_by_category", {"ignoreNullFields": "false"})
+    return out.withColumn("clinical_events_by_category", by)
+
+
+@register("newest_events")
+def q_newest_events(spark, sf_dir):
+    top = patient.newest_events(_v(spark, sf_dir, "patient_clinical_event"), 5)
+    return top.select("patient_no", "category", "rank", "clinical_event_id", "occurred_on", "title")
+
+
+@register("ledger_finish")
+def q_ledger_finish(spark, sf_dir):
+    log = _v(spark, sf_dir, "batch_job_log")
+    ended = log.where(F.col("status") == "RUNNING").select(
+        "batch_log_id",
+        F.when(F.col("batch_log_id") % 2 == 0, F.struct(F.col("job_name").alias("job"), F.lit("완료").alias("note"),
+                                                        F.lit(None).cast("string").alias("suffix"))).alias("result"),
+        F.when(F.col("batch_log_id") % 2 == 1, F.concat(F.lit("  실패 "), F.col("job_name"), F.lit("  "))).alias("error"))
+    out = ledger.finished_rows(log, ended, WEAR_AS_OF_TS)
+    return out.select("batch_log_id", "status", "finished_at", "next_retry_at", "result_payload", "error_message",
+                      "last_modified_date")
+
+
 @register("mask_institutions")
 def q_mask_institutions(spark, sf_dir):
     return sanitize(_v(spark, sf_dir, "health_checkup_institution"))
