@@ -194,16 +194,41 @@ def vectors(seed=2):
                    [1.0, 2.0], [2.0, 4.0]]
 
 
-@pytest.mark.parametrize("cell,block", [(4096, 1024), (7, 5)])
+@pytest.mark.parametrize("cell,block", [(1024, 1024), (7, 5)])
 def test_embedding_dedup(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(embedding_dedup, "CELL", cell)
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     rows = list(enumerate(vectors()))
-    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, cell string, home int")
+    out = embedding_dedup.near_duplicates(table, cell=cell, exact=True).collect()
     assert {r["id"]: (r["n_links"], r["component_id"]) for r in out} == brute.cosine(rows)
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in out)
 
 
+def test_embedding_dedup_over_many_cells(spark):
+    """Production parameters on enough vectors for eight cells: recall, no false link, exact mode whole."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(7500, 24))
+    near = np.repeat(base[:400], 3, 0) + 0.15 * rng.normal(size=(1200, 24))
+    x = np.concatenate((base, near))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert len(x) // embedding_dedup.CELL == 8 and want.sum() > 2000
+    found = {r["id"]: r["n_links"] for r in embedding_dedup.near_duplicates(table).collect()}
+    found = np.array([found[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    whole = {r["id"]: r["n_links"] for r in embedding_dedup.near_duplicates(table, exact=True).collect()}
+    assert [whole[i] for i in range(len(x))] == want.tolist()
+
+
+def test_embedding_dedup_visits_grow_with_the_vectors():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, visit = embedding_dedup.visits(x, embedding_dedup.spherical_kmeans(x, 40), 0.95, embedding_dedup.PROBES)
+    assert visit.sum(1).max() <= embedding_dedup.PROBES - 1
+
+
 def test_quality_cascade(spark, texts):
     out = {r["id"]: r for r in quality_cascade.judge(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
