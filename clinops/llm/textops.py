@@ -19,55 +19,85 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 
 _MUL = np.uint64(0x9E3779B97F4A7C15 | 1)
-_POWERS: list[np.ndarray] = []
+#: Runs are hashed as polynomials modulo two primes below 2**31, 62 bits together.  (Modulo 2**64 a polynomial hash
+#: has pairs of unequal runs that collide under every base.)
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1103515245, 1597334677)
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
+def _cumulative(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo the prime, by doubling."""
+    out = np.ones(n, dtype=np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+        done += more
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
-    if not _POWERS or len(_POWERS[0]) < n:
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime the powers of its base and of the base's inverse, at least ``n`` of each."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
         size = max(n, CHUNK + 1)
-        for base in (int(_MUL), _inverse(int(_MUL))):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p, dtype=np.uint64))
-        del _POWERS[:-2]
-    return _POWERS[0], _POWERS[1]
+        _POWERS[:] = [(_cumulative(b, p, size), _cumulative(pow(b, -1, p), p, size)) for b, p in zip(_BASES, _PRIMES)]
+    return _POWERS
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64), so that every output bit depends on every input bit."""
-    x = x ^ (x >> np.uint64(30))
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
-
-
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """``out[j] - out[i]`` identifies ``values[i:j]`` once scaled by the inverse power of ``i``."""
-    pw, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * pw[: len(values)], out=out[1:])
+    out = x >> np.uint64(30)  # the steps below work in place: fresh arrays cost more than the arithmetic
+    out ^= x
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    high = out >> np.uint64(27)
+    out ^= high
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= np.right_shift(out, np.uint64(31), out=high)
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, inv = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(np.uint64) * _MUL)
+def prefix_hash(values: np.ndarray) -> list[np.ndarray]:
+    """Running sums that ``span_hash`` and ``rolling_hash`` turn into hashes of runs of ``values``."""
+    n, out = len(values), []
+    for (pw, _), prime in zip(powers(n + 1), _PRIMES):
+        p = np.uint64(prime)
+        term = values.astype(np.uint64)
+        if values.dtype != np.uint8:
+            term %= p
+        term += np.uint64(1)
+        term *= pw[:n]
+        term %= p
+        total = np.zeros(n + 1, dtype=np.uint64)  # terms are below 2**31: no overflow before 2**33 of them
+        np.cumsum(term, out=total[1:])
+        out.append(total)
+    return out
+
+
+def _run_hash(sums: list[np.ndarray], inverse: list[np.ndarray]) -> np.ndarray:
+    """Both residues of runs as one number; ``sums`` are overwritten."""
+    for s, inv, prime in zip(sums, inverse, _PRIMES):
+        s %= np.uint64(prime)
+        s *= inv
+        s %= np.uint64(prime)
+    sums[0] <<= np.uint64(31)
+    sums[0] |= sums[1]
+    return sums[0]
+
+
+def span_hash(prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    inverse = [inv[start] for _, inv in powers(len(prefix[0]))]
+    h = _run_hash([x[end] - x[start] for x in prefix], inverse)
+    h += (end - start).astype(np.uint64) * _MUL
+    return mix(h)
 
 
-def rolling_hash(prefix: np.ndarray, width: int) -> np.ndarray:
+def rolling_hash(prefix: list[np.ndarray], width: int) -> np.ndarray:
     """Hash of every ``width``-long run; entry ``i`` starts at ``i``."""
-    n = len(prefix) - width
+    n = len(prefix[0]) - width
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    _, inv = powers(len(prefix))
-    return mix((prefix[width:] - prefix[:n]) * inv[:n])
+    return mix(_run_hash([x[width:] - x[:n] for x in prefix], [inv[:n] for _, inv in powers(len(prefix[0]))]))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
