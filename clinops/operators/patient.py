@@ -20,6 +20,16 @@ from clinops.operators.mask import sanitize
 LOOKUP_KINDS = ("patient_no", "app_user_id", "email", "tel")
 
 
+def lookup_keys(requests: DataFrame) -> DataFrame:
+    """Requests with the ``key`` that their kind is looked up by: the stripped value, never a blank one; a
+    patient_no must parse as an integer; an unknown kind has none."""
+    v = ustrip(F.col("value"))
+    key = (F.when(v.isNull() | (v == ""), F.lit(None).cast("string"))
+           .when(F.col("by") == "patient_no", F.expr("try_cast(value_s AS BIGINT)").cast("string"))
+           .when(F.col("by").isin(*LOOKUP_KINDS[1:]), v))
+    return requests.withColumn("value_s", v).withColumn("key", key)
+
+
 def resolve_patient(requests: DataFrame, patients: DataFrame, profiles: DataFrame) -> DataFrame:
     """requests(by, value) → (by, value, patient_no or NULL).
 
@@ -30,11 +40,7 @@ def resolve_patient(requests: DataFrame, patients: DataFrame, profiles: DataFram
     when they are many it is one sort-merge join per kind.  Ambiguous keys
     resolve to the smallest patient_no (quirk Q14).
     """
-    v = ustrip(F.col("value"))
-    key = (F.when(v.isNull() | (v == ""), F.lit(None).cast("string"))
-           .when(F.col("by") == "patient_no", F.expr("try_cast(value_s AS BIGINT)").cast("string"))
-           .when(F.col("by").isin(*LOOKUP_KINDS[1:]), v))
-    req = requests.withColumn("value_s", v).withColumn("key", key)
+    req = lookup_keys(requests)
     wanted = req.where(F.col("key").isNotNull()).select("by", "key").distinct()
     sources = {
         "patient_no": patients.select(F.col("patient_no").cast("string").alias("key"), "patient_no"),

@@ -1013,3 +1013,5 @@ SELECT batch_log_id, CASE WHEN NOT hit THEN status WHEN bad THEN 'FAILED' ELSE '
        CASE WHEN NOT hit THEN error_message WHEN bad THEN '실패 ' || job_name END AS error_message,
        CASE WHEN hit THEN {_ts(W)} ELSE last_modified_date END AS last_modified_date FROM e
 """)
+
+_reg("resolve_patient_indexed", ORACLE["resolve_patient"])

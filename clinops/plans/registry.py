@@ -6,15 +6,17 @@ one library operator over the whole tables, and returns the (lazy) result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinops.functions import display, labels
-from clinops.operators import ledger, metrics, patient, profile, sync, upsert, vitals
+from clinops.operators import identifiers, ledger, metrics, patient, profile, sync, upsert, vitals
 from clinops.operators.mask import sanitize
 from clinops.plans import profiles, snapshot
+from clinops.session import ensure_checkpoint_dir
 from clinops.sources.tables import (
     OPS_AS_OF, OPS_TABLES, PG_TABLES, VIEWS, WEAR_AS_OF_TS, daily_wellness_view, load_view, raw, view_as_of,
 )
@@ -280,6 +282,15 @@ def lookup_requests(spark, sf_dir):
         "ELSE concat('x', CAST(c_custkey AS STRING)) END AS value")
 
 
+@register("resolve_patient_indexed")
+def q_resolve_patient_indexed(spark, sf_dir):
+    """The same requests answered from an identifier index written for them."""
+    p, pr = _v(spark, sf_dir, "Patient", "user_app_profile")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/identifiers-{uuid.uuid4().hex}"
+    identifiers.build_index(p, pr, path)
+    return identifiers.resolve_indexed(lookup_requests(spark, sf_dir), path)
+
+
 @register("resolve_patient")
 def q_resolve_patient(spark, sf_dir):
     p, pr = _v(spark, sf_dir, "Patient", "user_app_profile")
