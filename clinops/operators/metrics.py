@@ -107,6 +107,27 @@ def treatment_mix(treatments: DataFrame) -> DataFrame:
     return mix_from(agg)
 
 
+FOLDED = "UNICODE_CI_AI"  # letters equal whatever their case and accents
+
+
+def treatment_mix_folded(treatments: DataFrame, collation: str = FOLDED) -> DataFrame:
+    """Count per treatment type under a string collation, as a server whose columns carry one groups them (quirk
+    Q3): spellings that differ in case or accents are one type.  ``name`` is the smallest spelling in byte order,
+    ``spellings`` their number; order is by the collation."""
+    bucket = treatment_type_bucket(F.col("treatment_type"))
+    per = treatments.groupBy(bucket.alias("spelling")).agg(F.count(F.lit(1)).alias("n"))  # few rows reach the collation
+    return per.groupBy(F.collate("spelling", collation).alias("folded")).agg(
+        F.min("spelling").alias("name"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("value")).orderBy(
+        "folded").select("name", "spellings", "value")
+
+
+def departments_named(names: DataFrame, department: DataFrame, collation: str = FOLDED) -> DataFrame:
+    """(name, department_id) of asked names (column ``name``), joined under a collation."""
+    asked = names.select("name", F.collate("name", collation).alias("__n"))
+    known = department.select(F.col("id").alias("department_id"), F.collate("department_name", collation).alias("__n"))
+    return asked.join(known, "__n").select("name", "department_id")
+
+
 def mix_from(agg: DataFrame) -> DataFrame:
     """Labelled slices from (bucket, c)."""
     return agg.select(treatment_type_label(F.col("bucket")).alias("name"),

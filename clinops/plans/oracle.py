@@ -1015,3 +1015,11 @@ SELECT batch_log_id, CASE WHEN NOT hit THEN status WHEN bad THEN 'FAILED' ELSE '
 """)
 
 _reg("resolve_patient_indexed", ORACLE["resolve_patient"])
+
+_reg("treatment_mix_folded", duck_with("treatments") + """
+, t AS (SELECT CASE treatment_id % 4 WHEN 0 THEN lower(treatment_type) WHEN 1 THEN replace(treatment_type, 'E', 'É')
+               WHEN 2 THEN upper(treatment_type[1]) || lower(treatment_type[2:]) ELSE treatment_type END AS treatment_type
+        FROM treatments)
+, p AS (SELECT coalesce(nullif(trim(treatment_type), ''), '미분류') AS spelling, count(*) AS n FROM t GROUP BY 1)
+SELECT min(spelling) AS name, count(*) AS spellings, sum(n)::BIGINT AS value FROM p GROUP BY lower(strip_accents(spelling))
+""")

@@ -58,6 +58,14 @@ def q_treatment_mix_share(spark, sf_dir):
     return metrics.treatment_mix_share(_v(spark, sf_dir, "treatments"))
 
 
+@register("treatment_mix_folded")
+def q_treatment_mix_folded(spark, sf_dir):
+    t = _v(spark, sf_dir, "treatments").withColumn("treatment_type", F.expr(
+        "CASE treatment_id % 4 WHEN 0 THEN lower(treatment_type) WHEN 1 THEN replace(treatment_type, 'E', 'É') "
+        "WHEN 2 THEN initcap(treatment_type) ELSE treatment_type END"))
+    return metrics.treatment_mix_folded(t)
+
+
 @register("production_top")
 def q_production_top(spark, sf_dir):
     dept, tr = _v(spark, sf_dir, "department", "treatments")
@@ -287,8 +295,8 @@ def q_resolve_patient_indexed(spark, sf_dir):
     """The same requests answered from an identifier index written for them."""
     p, pr = _v(spark, sf_dir, "Patient", "user_app_profile")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/identifiers-{uuid.uuid4().hex}"
-    identifiers.build_index(p, pr, path)
-    return identifiers.resolve_indexed(lookup_requests(spark, sf_dir), path)
+    identifiers.build_index(p, pr, path, 32)
+    return identifiers.resolve_indexed(lookup_requests(spark, sf_dir), path, 32)
 
 
 @register("resolve_patient")
