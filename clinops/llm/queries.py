@@ -59,7 +59,8 @@ def op8_toxicity_crf(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     field = toxicity_crf.train_on(docs, read(spark, sf_dir, "labels"))
     out = toxicity_crf.score(docs, field)
-    return out.select(F.col("id").alias("doc_id"), toxicity_crf.held_out("id").alias("held_out"), "score", "predicted")
+    return out.select(F.col("id").alias("doc_id"), toxicity_crf.held_out("id").alias("held_out"), "score", "predicted",
+                      "spans")
 
 
 def op9_fair_mix(spark, sf_dir):
