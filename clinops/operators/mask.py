@@ -34,9 +34,10 @@ WEARABLE_ID_COLUMNS = ("vital_id", "clinical_event_id", "source_mysql_treatment_
 WEARABLE_TEXT_COLUMNS = ("title", "department")
 
 
-# Policy.  A column holds one class of personal data.  Its whole name decides
-# when it is a known one; otherwise the fragments in the name do, the more
-# identifying class before the less identifying.
+# A column holds one class of personal data.  Its whole name decides when it is
+# a known one; otherwise the fragments in the name do.  Where several match, the
+# class is the one whose mask has to win for equal results, in the fixed order of
+# ``IDENTIFYING`` (it is an order of precedence, not of how identifying they are).
 KNOWN_NAMES = {
     **dict.fromkeys(ID_COLUMNS, "id"),
     **dict.fromkeys(RRN_COLUMNS, "rrn"),
@@ -45,7 +46,7 @@ KNOWN_NAMES = {
     CERTIFICATE_COLUMN: "text",
 }
 FRAGMENTS = {c: c for c in ("name", "email", "phone", "passport", "birth")} | dict.fromkeys(TEXT_HINTS, "text")
-IDENTIFYING = ("name", "email", "phone", "passport", "birth", "text")  # most first
+IDENTIFYING = ("name", "email", "phone", "passport", "birth", "text")  # first wins
 STRICT_NAMES = {"app_user_id": "id", "guardian": "name"}  # quirk Q8
 UNHASHED = {"birth"}  # too few values for a hash to hide them
 

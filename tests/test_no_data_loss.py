@@ -99,7 +99,7 @@ def test_null_key_readings_are_all_copied_and_marked(spark, tmp_path):
     assert (first["inserted"], again["inserted"], again["marked"]) == (4, 0, 5)
     assert sorted(r.vital_id for r in spark.read.parquet(dst).collect()) == [1, 3, 4, 5]
     assert spark.read.parquet(src).where("synced_to_mysql_at is null").count() == 0
-    assert batch_jobs.run_vitals_sync(spark, src, dst, AT) == {"examined": 0, "inserted": 0, "marked": 0}
+    assert batch_jobs.run_vitals_sync(spark, src, dst, AT) == {"examined": 0, "errors": 0, "inserted": 0, "marked": 0}
 
 
 def test_rejected_readings_stay_pending(spark):
