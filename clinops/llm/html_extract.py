@@ -1,22 +1,26 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements (unclosed and misnested tags are repaired, scripts and comments skipped).
-Subtrees that are menus, headers, footers, sidebars, notices, adverts, forms, media or reader comments by
-tag, role or visibility are left out.  A word of a class or id is weaker evidence (``settle``): the subtree stays
-if it holds most of the page's paragraph points, or a real part of them with the page's h1, main or article, and
-common words such as "discussion" count for short or link-dense subtrees only.  Every paragraph then passes points to
-its ancestors: one, plus its commas, plus its length in hundreds up to three; all to the parent, half to the
-grandparent, a ninth to the one above.  An ancestor's points are discounted by the share of its text inside
-links.  The best container is kept together with its siblings that score a fifth as much, share its class,
-or are headings or real paragraphs; an enclosing ``article`` element, or one worth half the best, takes its
+Subtrees that are menus, headers, footers, sidebars, notices, adverts, media or reader comments by tag, role
+or visibility are left out.  Forms, and names in class or id, are weaker evidence (``settle``): a subtree stays if it
+holds most of the page's paragraph points, or a real part of them with the page's h1, main or article (a form also
+needs more of them than it has controls).  A name counts in full only if all its words speak of page furniture
+("ad-slot"); one that merely holds such a word ("ad-hoc-networks") leaves out what lies outside the best
+container, and inside it only link-dense subtrees; common words ("share") count for short or link-dense ones.
+Every paragraph then passes points to its ancestors: one, plus its commas, plus its length in hundreds up to three;
+all to the parent, half to the grandparent, a ninth to the one above.  An ancestor's points are discounted by the share
+of its text inside links.  The best container is kept together with its siblings that score a fifth as much, share
+its class, or are headings or real paragraphs; an enclosing ``article`` element, or one worth half the best, takes its
 place, and of headings and paragraphs beside it only those directly before an article or other kept sibling
 stay.  Lists of links only are left out of siblings and of a whole page, not of the container or an article.  Blocks are
 written in page order.
 
-One page is handled at a time; time and memory are linear in its size and nesting is not recursive.
+One page is handled at a time; time and memory are linear in its size (open elements are held by name, so no end
+tag walks up the tree, and attempts to read tags that never end are bounded) and nesting is not recursive.
 
 Defined cases: a null or empty page has empty text; a page without any scored container gives all its text
-outside the left-out subtrees; repeated rows give the same text; other columns are not read.
+outside the left-out subtrees; text behind the page's last ``>`` is text, a ``<`` in it too; repeated rows give the
+same text; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,21 +34,22 @@ from pyspark.sql import functions as F
 
 from clinops.llm.common import prepare
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>", re.S)
+TAG = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)")
+#: The rest of a tag; quotes count behind "=" only, and nothing is read twice.
+REST = re.compile(r"(?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in RAW}
+RAW_END = {t: re.compile(rf"</{t}\b[^>]*+(?:>|\Z)|\Z", re.I) for t in RAW}
 LEFT_OUT = frozenset(("script style textarea title noscript iframe xmp noembed noframes head template object svg math canvas "
-                      "form select button fieldset nav footer aside dialog menu audio video map applet").split())
+                      "select button label legend nav footer aside dialog menu audio video map applet").split())
 BLOCK = frozenset(("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer "
                    "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot "
                    "th thead tr ul caption").split())
+FORMS = frozenset(("form", "fieldset"))
+CONTROLS = frozenset(("input", "select", "textarea", "button"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PARAGRAPHS = frozenset(("p", "pre", "blockquote", "td", "li", "dd"))
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
@@ -57,9 +62,18 @@ LEFT_OUT_WORDS = frozenset((
     "disqus reply replies respond cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
     "login signin skip hidden copyright").split())
 COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
-#: Words that name real sections as well.
+#: Words that say nothing of their own beside one of LEFT_OUT_WORDS.
+PLACE_WORDS = frozenset((
+    "area article bar block blog body bottom box btn button buttons center col column container content desktop entry end "
+    "fixed form g global google holder icon icons inline inner item items js large left link links main mini mobile module "
+    "outer page panel post primary region right row secondary site slot small sticky strip text title top unit web widget "
+    "wrap wrapper zone").split())
+COMMENT_PLACES = frozenset("list section thread threads".split())
+#: Words that name real sections as well; the second set on a section of an article mostly does.
 COMMON_WORDS = frozenset("discussion share sharing social related recommended recommendations notice notices alert".split())
-COMMON, LEFT, COMMENTS = 1, 2, 3  # what the class and id words say of an element
+SECTION_WORDS = frozenset("discussion related recommended recommendations".split())
+#: What tag, class and id say of an element, by growing weight.
+COMMON, PARTLY, LEFT, COMMENTS, FORM = 1, 2, 3, 4, 5
 SHORT = 200  # characters
 ABOUT_LAYOUT = frozenset(("has", "no", "with", "without"))
 SAFE = frozenset(("html", "body", "article", "main"))
@@ -71,47 +85,51 @@ def folded(text: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "out", "name", "kind", "points", "own", "chars", "linked")
+    __slots__ = ("tag", "up", "kids", "out", "name", "kind", "points", "own", "chars", "linked", "depth")
 
     def __init__(self, tag: str, up: Node | None, out: bool, name: str = "", kind: int = 0):
         self.tag, self.up, self.out, self.name, self.kind = tag, up, out, name, kind
         self.kids: list = []
+        self.depth = up.depth + 1 if up is not None else 0
         self.points = 0.0
         self.own = self.chars = self.linked = 0
 
 
-def left_out(tag: str, attrs: dict[str, str], up: Node) -> bool:
-    if tag in LEFT_OUT or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+def left_out(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    if tag in LEFT_OUT or "hidden" in attrs or attrs.get("aria-hidden") == "true" or tag == "header" and not in_article:
         return True
-    if tag == "header":
-        while up is not None and up.tag != "article":
-            up = up.up
-        if up is None:
-            return True
     if tag in SAFE:
         return False
-    if attrs.get("role", "").lower() in LEFT_OUT_ROLES:
+    role = attrs.get("role", "").lower()
+    if role in LEFT_OUT_ROLES and not (tag in FORMS and role == "form"):
         return True
     style = attrs.get("style", "").replace(" ", "").lower()
     return "display:none" in style or "visibility:hidden" in style
 
 
-def named(tag: str, attrs: dict[str, str]) -> int:
-    """COMMON, LEFT or COMMENTS by the words of class and id, else 0."""
+def named(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """What the words of class and id, or a form's tag, say of an element; 0 for nothing."""
     if tag in SAFE or tag in HEADINGS or tag == "header":
         return 0
-    kind = 0
+    kind = FORM if tag in FORMS else 0
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
-        words = [w.lower() for w in NAME_WORD.findall(name)]
+        words = {w.lower(): None for w in NAME_WORD.findall(name)}
         # "has-sidebar" names a layout, not a sidebar
-        if not words or words[0] in ABOUT_LAYOUT:
+        if not words or next(iter(words)) in ABOUT_LAYOUT:
             continue
-        if not COMMENT_WORDS.isdisjoint(words):
-            kind = COMMENTS
-        elif not LEFT_OUT_WORDS.isdisjoint(words):
+        words = set(words)
+        if in_article:  # a header inside an article is the article's own
+            words.discard("header")
+        comment, left = words & COMMENT_WORDS, words & LEFT_OUT_WORDS
+        rest = words - LEFT_OUT_WORDS - PLACE_WORDS - COMMON_WORDS
+        if comment and rest <= COMMENT_PLACES:
+            kind = max(kind, COMMENTS)
+        elif left and not rest:
             kind = max(kind, LEFT)
-        elif not COMMON_WORDS.isdisjoint(words):
-            kind = max(kind, COMMON)
+        elif left:
+            kind = max(kind, PARTLY)
+        elif words & COMMON_WORDS:
+            kind = max(kind, PARTLY if tag == "section" and in_article and words <= SECTION_WORDS else COMMON)
     return kind
 
 
@@ -119,6 +137,9 @@ def parse(page: str) -> list[Node]:
     """Elements in page order; the first is the root.  Children are elements and pieces of text."""
     root = Node("html", None, False)
     nodes, top, at, n = [root], root, 0, len(page)
+    open_: dict[str, list[Node]] = {}  # open elements by tag, innermost last
+    open_blocks: list[Node] = []
+    last_end, lost = page.rfind(">"), 0
 
     def add_text(text: str) -> None:
         if text and not top.out:
@@ -126,56 +147,87 @@ def parse(page: str) -> list[Node]:
             top.kids.append(text)
             top.own += len(folded(text))
 
-    def close(until: Node) -> Node:
-        return until.up or until
-
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            add_text(page[at:])
+    def shut(node: Node) -> None:
+        nonlocal top
+        while True:
+            x = top
+            open_[x.tag].pop()
+            if x.tag in BLOCK:
+                open_blocks.pop()
+            top = x.up
+            if x is node:
+                return
+
+    def innermost(tags) -> Node | None:
+        return max((open_[t][-1] for t in tags if open_.get(t)), key=lambda x: x.depth, default=None)
+
+    def skip_to(mark: str, start: int) -> int:
+        end = page.find(mark, start)
+        return n if end < 0 else end + len(mark)
+
+    text_from = 0
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            add_text(page[text_from:])
             break
-        add_text(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            add_text(entities.escape(m["cdata"]))
+        here = at
+        if page.startswith("<!--", at):
+            add_text(page[text_from:here])
+            text_from = at = skip_to("-->", at + 4)
             continue
-        tag = m["tag"] or m["tag2"]
-        if not tag:
+        if page.startswith("<![CDATA[", at):
+            add_text(page[text_from:here])
+            at = skip_to("]]>", at + 9)
+            add_text(entities.escape(page[here + 9 : at - 3 if page.endswith("]]>", here + 9, at) else at]))
+            text_from = at
             continue
-        tag, attr_text = tag.lower(), m["attrs"] or m["attrs2"] or ""
-        if m["close"] or m["close2"]:
+        if page.startswith(("<!", "<?"), at):
+            add_text(page[text_from:here])
+            text_from = at = skip_to(">", at)
+            continue
+        m = TAG.match(page, at) if at < last_end else None
+        if m is None:
+            at += 1
+            continue
+        # scans that find no end are paid for: once they cost a page's length, quotes no longer count
+        rest = REST.match(page, m.end()) if lost <= n else None
+        if rest is None:
+            lost += n - m.end()
+        end = rest.end() if rest else skip_to(">", m.end())
+        add_text(page[text_from:here])
+        text_from = at = end
+        tag, attr_text = m["tag"].lower(), page[m.end() : end - 1]
+        if m["close"]:
             if tag == "br":
                 add_text(" ")
-                continue
-            open_ = top
-            while open_ is not None and open_.tag != tag:
-                open_ = open_.up
-            if open_ is not None and open_ is not root:
-                top = close(open_)
+            elif open_.get(tag):
+                shut(open_[tag][-1])
             continue
         if tag in ("html", "body") and any(x.tag == tag for x in nodes[1:3]):
             continue
         if tag in BLOCK and tag not in ("html", "body"):  # a block ends an open paragraph
-            open_ = top
-            while open_ is not None and open_.tag not in ("p", *HEADINGS) and open_.tag not in BLOCK:
-                open_ = open_.up
-            if open_ is not None and open_.tag == "p":
-                top = close(open_)
+            if open_blocks and open_blocks[-1].tag == "p":
+                shut(open_blocks[-1])
         if tag in SAME_CLOSES:
-            open_ = top
-            while open_ is not None and open_.tag != tag and open_.tag not in SAME_CLOSES[tag]:
-                open_ = open_.up
-            if open_ is not None and open_.tag == tag:
-                top = close(open_)
+            inner = innermost((tag, *SAME_CLOSES[tag]))
+            if inner is not None and inner.tag == tag:
+                shut(inner)
         attrs = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attr_text)} if attr_text.strip() else {}
-        node = Node(tag, top, top.out or left_out(tag, attrs, top), attrs.get("class", ""),
-                    named(tag, attrs) if attrs else 0)
+        in_article = bool(open_.get("article"))
+        node = Node(tag, top, top.out or left_out(tag, attrs, in_article), attrs.get("class", ""),
+                    named(tag, attrs, in_article) if attrs or tag in FORMS else 0)
+        if tag == "input" and attrs.get("type", "").lower() == "hidden":
+            node.tag = "param"  # no control that a reader sees
         top.kids.append(node)
         nodes.append(node)
         if tag in RAW:
-            at = RAW_END[tag].search(page, at).end()
+            text_from = at = RAW_END[tag].search(page, at).end()
         elif tag not in VOID and not attr_text.endswith("/"):
             top = node
+            open_.setdefault(tag, []).append(node)
+            if tag in BLOCK:
+                open_blocks.append(node)
     return nodes
 
 
@@ -211,43 +263,71 @@ def paragraph_points(node: Node) -> float:
 
 
 def settle(nodes: list[Node]) -> None:
-    """Leave out subtrees by their class and id words unless they hold the page's text."""
+    """Leave out forms, and subtrees by their class and id words, unless they hold the page's text."""
     if not any(x.kind and not x.out for x in nodes):
         return
-    measure(nodes)
     place = {id(x): i for i, x in enumerate(nodes)}
     up = [-1] + [place[id(x.up)] for x in nodes[1:]]
-    held = [paragraph_points(x) for x in nodes]
-    if not any(held):
-        held = [0.0 if x.out else float(x.own) for x in nodes]
-    body = [not x.out and x.kind != COMMENTS and x.own + x.chars > 0 and (
-        x.tag in ("h1", "main") or x.tag == "article" and COMMENT_WORDS.isdisjoint(
-            w.lower() for w in NAME_WORD.findall(x.name))) for x in nodes]
+    last = list(range(len(nodes)))  # the last node of each subtree
+    controls = [int(x.tag in CONTROLS and not (x.up is not None and x.up.out)) for x in nodes]
     for i in range(len(nodes) - 1, 0, -1):
-        held[up[i]] += held[i]
-        body[up[i]] |= body[i]
-
-    def drop(i: int) -> None:
-        nodes[i].out, gone, j = True, held[i], i
-        while j >= 0:
-            held[j] -= gone
-            j = up[j]
-
-    for comments in (True, False):  # reader comments first: they are no part of what the others are a share of
-        for i, node in enumerate(nodes[1:], 1):
-            if node.out or node.up.out:
-                node.out = True
-            elif node.kind and (node.kind == COMMENTS) == comments:
-                whole = held[0]
-                if whole > 0 and (held[i] >= 0.8 * whole and not (comments and held[i] < whole and not body[i])
-                                  or body[i] and held[i] >= whole / 4):
-                    continue
-                if node.kind != COMMON or node.chars < SHORT or 2 * node.linked > node.chars:
-                    drop(i)
+        last[up[i]] = max(last[up[i]], last[i])
+        controls[up[i]] += controls[i]
+
+    def held_by() -> tuple[list[float], list[bool]]:
+        """Paragraph points of every subtree, and whether it holds the page's h1, main or article."""
+        measure(nodes)
+        held = [paragraph_points(x) for x in nodes]
+        if not any(held):
+            held = [0.0 if x.out else float(x.own) for x in nodes]
+        body = [not x.out and x.kind != COMMENTS and x.own + x.chars > 0 and (
+            x.tag in ("h1", "main") or x.tag == "article" and COMMENT_WORDS.isdisjoint(
+                w.lower() for w in NAME_WORD.findall(x.name))) for x in nodes]
+        for i in range(len(nodes) - 1, 0, -1):
+            held[up[i]] += held[i]
+            body[up[i]] |= body[i]
+        return held, body
+
+    # reader comments first: they are no part of what the others are a share of.  Names that only hold a word of
+    # page furniture come last, when the best container is known
+    for kinds in ((COMMENTS,), (FORM, LEFT, COMMON), (PARTLY,)):
+        if not any(x.kind in kinds and not x.out for x in nodes):
+            continue
+        held, body = held_by()
+        inside = range(0)
+        if kinds == (PARTLY,):
+            score(nodes)
+            best, _ = chosen(nodes)
+            if best is not None and best.up is not None:
+                i = place[id(best)]
+                inside = range(i + 1, last[i] + 1)
+        whole = held[0]  # points of subtrees dropped in this round leave the whole
+        i = 1
+        while i < len(nodes):
+            node = nodes[i]
+            if node.kind in kinds and not node.out:
+                dense = 2 * node.linked > node.chars
+                if node.kind == FORM and held[i] < (1 if body[i] else 2) * controls[i]:
+                    stays = False
+                elif whole > 0 and (held[i] >= 0.8 * whole and not (node.kind == COMMENTS and held[i] < whole and not body[i])
+                                    or body[i] and held[i] >= whole / 4):
+                    stays = True
+                elif node.kind == PARTLY:
+                    stays = i in inside and not dense
+                else:
+                    stays = node.kind == COMMON and node.chars >= SHORT and not dense
+                if not stays:
+                    whole -= held[i]
+                    for x in nodes[i : last[i] + 1]:
+                        x.out = True
+                    i = last[i]
+            i += 1
 
 
 def score(nodes: list[Node]) -> None:
     measure(nodes)
+    for node in nodes:
+        node.points = 0.0
     for node in nodes:
         points = paragraph_points(node)
         if not points:

@@ -2,6 +2,7 @@
 repeated rows, empty tables, clashing extra columns."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -425,6 +426,50 @@ def test_html_article_keeps_its_siblings_and_link_lists():
         "Head", LONG + "lead", LONG + "one", LONG + "two", "Source, a book", LONG + "three", LONG + "four"]
 
 
+@pytest.mark.parametrize("inner", [
+    "<div class='menu-section'><p>%s</p></div>", "<div class='chapter-header'><p>%s</p></div>",
+    "<div class='ad-hoc-networks'><p>%s</p></div>", "<p class='reply-to-critics'>%s</p>", "<p id='skip-lists'>%s</p>",
+    "<pre class='hidden-markov'>%s</pre>", "<section id='discussion'><p>%s</p></section>"])
+def test_html_names_that_hold_a_word_of_furniture_lose_nothing_inside(inner):
+    holders = ["<article>%s</article>", "<div class='sidebar'><a href='x'>Menu</a></div><div>%s</div>"]
+    for holder in holders[:1] if "discussion" in inner else holders:  # outside an article that name speaks of comments
+        for said in ("A short end.", (LONG + "inside").strip()):
+            page = holder % (f"<h1>Head</h1><p>{LONG}one</p><p>{LONG}two</p>" + inner % said + f"<p>{LONG}three</p>")
+            assert html_extract.main_text(f"<body>{page}</body>").split("\n\n") == [
+                "Head", LONG + "one", LONG + "two", said, LONG + "three"]
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "sidebar-widget", "newsletter-signup", "comment-list", "site-footer", "cookie-bar"])
+def test_html_names_of_furniture_go_inside_an_article(name):
+    page = (f"<article><div class='header'><h1>Head</h1></div><p>{LONG}one</p><div class='{name}'><p>{LONG}not</p></div>"
+            f"<p>{LONG}two</p><div class='nav-of-parts'><a href='x'>Part two</a></div></article>")
+    assert html_extract.main_text(page).split("\n\n") == ["Head", LONG + "one", LONG + "two"]
+
+
+@pytest.mark.parametrize("tag", ["form", "fieldset", "form role='form' class='page-form'"])
+def test_html_forms_around_the_page_are_wrappers(tag):
+    end = tag.split()[0]
+    controls = "<input type='hidden' name='s'>" * 20 + "<input type='text'><button>Search the site</button>"
+    login = "<form><p>Your name, please <input></p><label>Password</label><input type='password'></form>"
+    text = f"<h1>Head</h1><p>{LONG}one</p>{login if end != 'form' else ''}<p>{LONG}two</p>"
+    for inner in (f"<div id='content'>{text}</div>", f"<article>{text}</article>", text):
+        page = f"<html><body><{tag}>{controls}<nav><a href='/'>Home</a></nav>{inner}</{end}></body></html>"
+        assert html_extract.main_text(page).split("\n\n") == ["Head", LONG + "one", LONG + "two"]
+    assert html_extract.main_text(f"<body>{login}</body>") == ""
+
+
+def test_html_time_is_linear():
+    n = 1 << 20
+    hard = ["<a " * (n // 3), "<a " * (n // 6) + ">" + "x" * (n // 2), "<a ='" * (n // 5) + ">", "<a =\">\" " * (n // 8) + "'",
+            "<a =\">\" <b='>' " * (n // 16), "<!-" * (n // 3), "<b>" * (n // 12) + "</i>" * (n // 12) + "<div>" * 1000,
+            "<li><ul>" + "<div>" * (n // 16) + "<li></li>" * (n // 16), "<script>" + "</script " * (n // 9),
+            "<div class='x-ad'>" * (n // 40) + "<p class='ad'>a</p>" * (n // 40), "&" * n, "<![CDATA[" * (n // 9)]
+    for page in hard:
+        began = time.perf_counter()
+        html_extract.main_text(page)
+        assert time.perf_counter() - began < 10, page[:30]
+
+
 def test_html_extraction_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, "v", "")], "page_id long, url string, html string")
     out = html_extract.extract(df).collect()
