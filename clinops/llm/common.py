@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -77,6 +78,14 @@ def packed(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", z binary")
 
 
+def unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether the id is an integer, unique and never null (one job over the id column)."""
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        return False
+    n, ids, distinct = df.agg(F.count("*"), F.count(id_col), F.count_distinct(id_col)).first()
+    return n == ids == distinct
+
+
 def keyed(df: DataFrame, id_col: str, key: str = "__row") -> DataFrame:
     """``df`` with a unique, non-null long ``key`` per row (names that begin with two underscores are ours).
 
@@ -85,10 +94,8 @@ def keyed(df: DataFrame, id_col: str, key: str = "__row") -> DataFrame:
     """
     if key in df.columns:
         return df
-    if isinstance(df.schema[id_col].dataType, IntegralType):
-        n, ids, distinct = df.agg(F.count("*"), F.count(id_col), F.count_distinct(id_col)).first()
-        if n == ids == distinct:
-            return df.withColumn(key, F.col(id_col).cast("long"))
+    if unique_ids(df, id_col):
+        return df.withColumn(key, F.col(id_col).cast("long"))
     return checkpoint(df.withColumn(key, F.monotonically_increasing_id()))
 
 
@@ -127,12 +134,42 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def shuffle_key(id_col: str, salt: str):
-    """Uniform 60-bit number from an id: the same order in every run and in any SQL engine with md5."""
-    name = F.concat(F.lit(salt), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def shuffle_key(id_col: str, salt: str, *more: str):
+    """Uniform 60-bit number from an id, and from more columns if the id does not tell rows apart: the same order in
+    every run and in any SQL engine with md5."""
+    name = [F.lit(salt), F.coalesce(F.col(id_col).cast("string"), F.lit(""))]
+    for c in more:
+        name += [F.lit(":"), F.coalesce(F.md5(F.col(c)), F.lit("-"))]
+    return sixty_bits(F.concat(*name))
+
+
+def sixty_bits(name):
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
+def shuffled(docs: DataFrame, id_col: str, salt: str, telling: list[str], columns: list, measure=lambda rows: rows):
+    """Checkpointed rows (__row, id, columns, h): ``h`` puts them in a fixed shuffled order in even bins.
+
+    Where the ids are integers, unique and never null, ``h`` is the shuffle key of the id.  Otherwise it is that of the id
+    with the ``telling`` columns, and rows equal in all of them are numbered 0, 1, ... by partition, so that neither
+    null ids nor one repeated row holding a third of the table fill a bin.  ``measure`` may replace columns before the
+    rows are stored.  A ``__row`` of ``docs`` is kept."""
+    single = unique_ids(docs, id_col)
+    row = (F.col("__row") if "__row" in docs.columns
+           else F.col(id_col).cast("long") if single else F.monotonically_increasing_id())
+    h = shuffle_key(id_col, salt) if single else shuffle_key(id_col, salt, *telling)
+    rows = checkpoint(measure(docs.select(row.alias("__row"), F.col(id_col).alias("id"), *columns, h.alias("h"))))
+    if single:
+        return rows
+    parts = rows.withColumn("part", F.spark_partition_id())
+    ahead = W.partitionBy("h").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    before = parts.groupBy("h", "part").count().select("h", "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("n"))
+    place = F.row_number().over(W.partitionBy("h", "part").orderBy("__row")) - 1
+    parts = parts.withColumn("copy", place).join(before, ["h", "part"]).withColumn("copy", F.col("copy") + F.col("n"))
+    h = sixty_bits(F.concat(F.lit(salt), F.col("h").cast("string"), F.lit(":"), F.col("copy").cast("string")))
+    return checkpoint(parts.withColumn("h", F.when(F.col("copy") > 0, h).otherwise(F.col("h"))).select(*rows.columns))
+
+
 def even_bin(h, bins):
     """Bin 0..bins-1 of a 60-bit shuffle key, ascending with the key."""
     return F.floor(h.cast("double") / F.lit(float(1 << 60)) * bins).cast("long")

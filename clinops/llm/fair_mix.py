@@ -11,7 +11,9 @@ same way, by bins of the finish time and one exact pass over the bin that the bu
 that holds a third of all rows is thus spread over many bins.
 
 Defined cases: a null or word-less text has size 0 and is never taken; a null source is one source, last
-in order; repeated ids are queued one after the other by size; an empty table gives an empty result.
+in order; rows whose id is null or repeated are queued by id, source and text, equal rows as separate rows, none
+beside the other; ids of any type will do; an empty table gives an empty result; other columns are not read by
+``fair_mix`` and pass through ``mixed_rows`` (names that begin with two underscores are ours).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clinops.llm.common import checkpoint, even_bin, keyed, shuffle_key, word_count
+from clinops.llm.common import checkpoint, even_bin, keyed, shuffled, word_count
 
 WEIGHTS = (5, 2, 1)
 SALT = "mix:"
@@ -57,10 +59,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int =
 def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights=WEIGHTS, share: float = 1.5, epochs: int = 2, rows_per_bin: int = 4096) -> DataFrame:
     """Per row of ``docs``: __row, id, source, size, source_size, target, copies (0..epochs) and taken."""
-    rows = docs.select(*(["__row"] if "__row" in docs.columns else []), F.col(id_col).alias("id"),
-                       F.col(source_col).alias("source"), word_count(text_col).alias("size"),
-                       shuffle_key(id_col, SALT).alias("h"))
-    rows = checkpoint(keyed(rows, "id").select("__row", "id", "source", "size", "h"))
+    rows = shuffled(docs, id_col, SALT, [source_col, text_col],
+                    [F.col(source_col).alias("source"), word_count(text_col).alias("size")])
     per = checkpoint(targets(rows, weights, share, epochs))
     rows = rows.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
     per = per.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))

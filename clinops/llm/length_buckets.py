@@ -3,29 +3,35 @@
 The global histogram of document lengths (one pre-aggregated count per distinct length) is the input of a
 dynamic programme that chooses at most ``n_buckets`` upper bounds with the least total padding.  Documents
 of a bucket are then dealt, in a shuffled order, into batches of as many rows as fit the token budget at the
-bucket's length.
+bucket's length.  Lengths are ids of a tokenizer file, end id included, or words if no file is named.
 
 The histogram is the only thing that reaches the driver.  Its size is the number of distinct lengths L, and
-since these lengths add up to at least L**2 / 2 words, L is at most sqrt(2 * corpus words): 6 million for a
-corpus of 2 * 10**13 words.  The programme needs O(n_buckets * L) steps (convex hull trick).
+since these lengths add up to at least L**2 / 2 tokens, L is at most sqrt(2 * corpus tokens): 6 million for a
+corpus of 2 * 10**13 tokens.  It comes as Arrow columns and the programme keeps flat arrays, about 4 * n_buckets + 80
+bytes a length (under 1 GB there); it needs O(n_buckets * L) steps (convex hull trick).
 
 Row numbers inside a bucket come from even bins of the shuffle key (about ``rows_per_bin`` rows each) and
-the sums of the bins before, so a bucket with a third of all rows is spread over many tasks.
+the sums of the bins before, so a bucket with a third of all rows is spread over many tasks, and so are
+rows with a null or one repeated id (``common.shuffled``).
 
 Defined cases: a null or word-less text has no tokens, takes no room and belongs to no batch (bucket, batch
 and slot are null); a document longer than the budget is a batch of its own, uncut; repeated rows are packed
-as separate rows; an empty table gives an empty result.
+as separate rows; ids may be null and of any type; an empty table gives an empty result; other columns, whatever
+their names, are not read (but for ``__row``, a key of the caller's).
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clinops.llm.common import checkpoint, even_bin, keyed, shuffle_key, word_count
+from clinops.llm import token_orc
+from clinops.llm.common import even_bin, shuffled, word_count
 
 SALT = "pack:"
 
@@ -40,19 +46,19 @@ def best_bounds(lengths: list[int], counts: list[int], n_buckets: int) -> list[i
     n = len(lengths)
     if not n:
         return []
-    rows, words = [0], [0]
+    rows, words = array("q", [0]), array("q", [0])
     for length, count in zip(lengths, counts):
         rows.append(rows[-1] + count)
         words.append(words[-1] + length * count)
-    best = [0] + [None] * n  # padding of the first j lengths with the buckets so far
-    starts: list[list[int]] = []
+    best = array("q", [0] + [-1]) + array("q", [-1]) * (n - 1)  # padding of the first j lengths so far; -1: none yet
+    starts: list[array] = []
     for _ in range(min(n_buckets, n)):
         hull: deque[tuple[int, int, int]] = deque()  # (slope, intercept, start)
-        nxt: list[int | None] = [0] + [None] * n
-        start = [0] * (n + 1)
+        nxt = array("q", [-1]) * (n + 1)
+        start = array("i", [0]) * (n + 1)
         for j in range(1, n + 1):
             i = j - 1
-            if best[i] is not None:
+            if best[i] >= 0:
                 m, c = -rows[i], best[i] + words[i]
                 while len(hull) > 1:
                     (m1, c1, _), (m2, c2, _) = hull[-2], hull[-1]
@@ -68,7 +74,7 @@ def best_bounds(lengths: list[int], counts: list[int], n_buckets: int) -> list[i
                 m, c, start[j] = hull[0]
                 nxt[j] = m * x + c + x * rows[j] - words[j]
         starts.append(start)
-        best = [None, *nxt[1:]]
+        best = nxt
         if best[n] == 0:
             break
     bounds, j = [], n
@@ -81,17 +87,24 @@ def best_bounds(lengths: list[int], counts: list[int], n_buckets: int) -> list[i
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 16,
-         token_budget: int = 65536, rows_per_bin: int = 4096) -> DataFrame:
+         token_budget: int = 65536, rows_per_bin: int = 4096, tokenizer: str | None = None) -> DataFrame:
     """Per row: __row, id, n_tokens, bucket, bucket_len, batch_id, slot, padding."""
-    rows = docs.select(*(["__row"] if "__row" in docs.columns else []), F.col(id_col).alias("id"),
-                       word_count(text_col).alias("n_tokens"), shuffle_key(id_col, SALT).alias("h"))
-    rows = checkpoint(keyed(rows, "id").select("__row", "id", "n_tokens", "h"))
-    hist = sorted((r[0], r[1]) for r in rows.where("n_tokens > 0").groupBy("n_tokens").count().collect())
-    bounds = best_bounds([x for x, _ in hist], [c for _, c in hist], n_buckets)
+    if tokenizer is None:
+        rows = shuffled(docs, id_col, SALT, [text_col], [word_count(text_col).alias("n_tokens")])
+    else:
+        rows = shuffled(docs, id_col, SALT, [text_col], [F.col(text_col).alias("text")],
+                        lambda rows: token_orc.counted(rows, tokenizer))
+    hist = rows.where("n_tokens > 0").groupBy("n_tokens").count().toArrow()
+    lengths, counts = (hist.column(c).to_numpy().astype(np.int64) for c in ("n_tokens", "count"))
+    order = np.argsort(lengths)
+    lengths, counts = array("q", lengths[order].tobytes()), array("q", counts[order].tobytes())
+    bounds = best_bounds(lengths, counts, n_buckets)
     if not bounds:
         return rows.select("__row", "id", "n_tokens", *[F.lit(None).cast(t).alias(c) for c, t in (
             ("bucket", "int"), ("bucket_len", "long"), ("batch_id", "long"), ("slot", "long"), ("padding", "long"))])
-    sizes = [sum(c for x, c in hist if low < x <= high) for low, high in zip([0, *bounds], bounds)]
+    upto = np.concatenate(([0], np.cumsum(np.frombuffer(counts, np.int64))))
+    cuts = np.searchsorted(np.frombuffer(lengths, np.int64), bounds, "right")
+    sizes = np.diff(upto[cuts], prepend=0).tolist()
     per_batch = [max(1, token_budget // b) for b in bounds]
     first_batch = [0]
     for size, per in zip(sizes, per_batch):

@@ -46,8 +46,10 @@ def op5_embedding_dedup(spark, sf_dir):
 
 
 def op6_length_buckets(spark, sf_dir):
-    out = length_buckets.pack(read(spark, sf_dir, "documents")).drop("__row")
-    return out.withColumnRenamed("id", "doc_id")
+    import public_tokenizers
+
+    out = length_buckets.pack(read(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return out.drop("__row").withColumnRenamed("id", "doc_id")
 
 
 def op7_suffix_dedup(spark, sf_dir):

@@ -9,14 +9,20 @@ Reading back, the start of each document is its running token count: sums per ra
 range), then running counts inside each range, never one global window over documents.
 
 Encoding splits a text at ASCII white space, which this kind of vocabulary drops and never merges across, and
-keeps the ids of recent words in a bounded table, looked up by 64-bit word hashes for whole pieces at once.
+keeps the ids of recent words in a bounded table, looked up by 64-bit word hashes for whole pieces at once.  A
+tokenizer file that normalises or splits in another way encodes whole texts by the library instead.
+
+``lookup`` reads documents by id: the ids are pushed to the ORC reader, which skips files, stripes and row groups by
+their ranges and Bloom filters.
 
 Defined cases: null and empty texts hold the end id only; repeated rows are all written; rows with a null id
-come first; an empty table gives an empty result (ORC files without rows).
+come first; an empty table gives an empty result (ORC files without rows); other columns, whatever their names, are not
+read; a lookup of ids that are null or not stored finds no row for them.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -40,6 +46,13 @@ STRIPE_BYTES = 32 << 20
 SIGNS = ".,;:!?%*$&#|"
 #: Letters that lower-casing and normalisation treat one by one; other words go through the whole tokenizer.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The normaliser and split that the short way holds for (fixed values of that kind of vocabulary).
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 _LOADED: dict[tuple[str, int], WordIds] = {}
 
@@ -57,6 +70,10 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.end_id = end_id
+        made = json.loads(self.tokenizer.to_str())
+        self.by_words = (made["normalizer"], made["pre_tokenizer"], made["post_processor"], made["truncation"],
+                         made["model"]["type"]) == (NORMALIZER, SPLIT, None, None, "BPE") and not any(
+            t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] for t in made["added_tokens"])
         self.empty()
 
     def empty(self) -> None:
@@ -87,6 +104,8 @@ class WordIds:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, offsets of each row in them), with the end id after each row."""
+        if not self.by_words:
+            return self.encode_whole(buf, offs)
         if self.used > MOST_IDS:
             self.empty()
         starts, ends, first = T.word_bounds(buf, offs)
@@ -116,6 +135,14 @@ class WordIds:
         return self.store[T.ranges(at, count)], np.concatenate(([0], np.cumsum(count)))[cut]
 
 
+    def encode_whole(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, cut = buf.tobytes(), offs.tolist()
+        found = [np.array([*self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids,
+                           self.end_id], dtype=np.uint32) for a, b in zip(cut[:-1], cut[1:])]
+        return (np.concatenate(found) if found else np.zeros(0, np.uint32),
+                np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64))))
+
+
 def encoder(path: str, end_id: int) -> WordIds:
     """One per Python worker, tokenizer file and end id."""
     if (path, end_id) not in _LOADED:
@@ -136,6 +163,24 @@ def encode(rows: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
 
 
+def counted(rows: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """``rows`` with ``n_tokens`` long (with the end id; 0 for a text without any token) in place of ``text``."""
+    prepare(rows.sparkSession)
+    kinds = {c: ("long" if c == "text" else t) for c, t in rows.dtypes}
+    names = ["n_tokens" if c == "text" else c for c in kinds]
+
+    def run(batches):
+        words = encoder(tokenizer, end_id)
+        for batch in batches:
+            for a, b, buf, offs in T.text_chunks(batch.column("text")):
+                n = np.diff(words.encode(buf, offs)[1])
+                n = pa.array(np.where(n > 1, n, 0).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [n if c == "text" else batch.column(c).slice(a, b - a) for c in kinds], names)
+
+    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in zip(names, kinds.values())))
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, files: int | None = None, id_col: str = "doc_id",
           text_col: str = "text", end_id: int = END_ID) -> None:
     """Write the ORC files in ascending doc_id order."""
@@ -150,6 +195,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, files: int | None = None,
      .option("compression", "zstd").orc(path))
 
 
+def lookup(spark: SparkSession, path: str, ids: list) -> DataFrame:
+    """(doc_id, ids) of the documents with the given ids (a request's list, not a table's)."""
+    found = spark.read.orc(path).select("doc_id", "ids")
+    return found.where(F.col("doc_id").isin([i for i in ids if i is not None]))
+
+
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the files, whole stripes in parallel."""
     stored = spark.read.orc(path).select("doc_id", "ids")

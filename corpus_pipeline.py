@@ -47,7 +47,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of every row."""
-    return length_buckets.pack(docs).drop("__row").withColumnRenamed("id", "doc_id")
+    import public_tokenizers
+
+    return length_buckets.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json")).drop("__row").withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("toxicity", toxicity), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeated_passages),

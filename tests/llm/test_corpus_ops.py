@@ -22,6 +22,7 @@ from clinops.llm import (
     token_orc,
     toxicity_crf,
 )
+from clinops.llm.common import even_bin, shuffled
 from tests.llm import brute
 
 DOC = "doc_id long, text string, lang string, source string, n_chars int"
@@ -338,6 +339,43 @@ def test_length_buckets_batches(spark, texts):
         assert len(rows) == 1 or len(rows) * rows[0]["bucket_len"] <= 500
 
 
+def test_length_buckets_of_tokens(spark, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    out = length_buckets.pack(frame(spark, texts), n_buckets=4, token_budget=500, tokenizer=tokenizer_path()).collect()
+    for r in out:
+        n = len(t.encode(texts[r["id"]] or "", add_special_tokens=False).ids)
+        assert r["n_tokens"] == (n + 1 if n else 0) and (r["batch_id"] is None) == (n == 0)
+    batches = {}
+    for r in out:
+        if r["batch_id"] is not None:
+            batches.setdefault(r["batch_id"], []).append(r)
+    assert all(len(rows) == 1 or len(rows) * rows[0]["bucket_len"] <= 500 for rows in batches.values())
+
+
+@pytest.mark.parametrize("ids, kind", [
+    (lambda i: None if i % 3 else i, "long"), (lambda i: 7 if i % 3 else i, "long"), (lambda i: f"d{i % 40}", "string"),
+    (lambda i: i / 7, "double"), (lambda i: None, "string")])
+def test_order_of_null_and_repeated_ids_is_spread_and_agrees(spark, ids, kind):
+    """A third of all rows has one id, and half of those one text: bins stay even, and reruns agree."""
+    rows = [(ids(i), "w " * (1 + i % 5) + ("same" if i % 2 else f"t{i}"), "s%d" % (i % 2), "x") for i in range(600)]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string, source string, size string")
+    again = spark.createDataFrame(rows[::-1], df.schema).repartition(7)
+    order = [shuffled(x, "doc_id", "s:", ["source", "text"], [F.col("text").alias("t"), F.col("source").alias("s")])
+             for x in (df, again)]
+    h = [sorted((r["t"], r["s"], r["h"]) for r in x.collect()) for x in order]
+    assert h[0] == h[1] and len({x[2] for x in h[0]}) == 600
+    bins = order[0].groupBy(even_bin(F.col("h"), F.lit(10))).count().collect()
+    assert len(bins) == 10 and max(r["count"] for r in bins) < 120
+    taken = [sorted((str(r["id"]), r["source"], r["size"], r["taken"]) for r in fair_mix.fair_mix(x, rows_per_bin=50).collect())
+             for x in (df, again)]
+    assert taken[0] == taken[1] and sum(x[3] for x in taken[0]) > 0
+    packed = length_buckets.pack(df, n_buckets=3, token_budget=60, rows_per_bin=20).collect()
+    assert len(packed) == 600 and len({(r["batch_id"], r["slot"]) for r in packed}) == 600
+    assert fair_mix.mixed_rows(df).columns == df.columns
+
+
 def tokenizer_path():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
@@ -363,6 +401,40 @@ def test_token_orc_round_trip(spark, texts, tmp_path):
         start += len(stored[i])
 
 
+def test_token_orc_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    full = ["Two  spaces and\ttabs\n\nlines", "  lead", None, "", "CaseD Words don't <|endoftext|> x"]
+    token_orc.write(frame(spark, full), str(tmp_path / "t"), path, end_id=50256)
+    t = Tokenizer.from_file(path)
+    stored = {r["doc_id"]: r["ids"] for r in spark.read.orc(str(tmp_path / "t")).collect()}
+    assert stored == {i: t.encode(x or "", add_special_tokens=False).ids + [50256] for i, x in enumerate(full)}
+    assert token_orc.encoder(tokenizer_path(), 1).by_words and not token_orc.encoder(path, 50256).by_words
+
+
+def test_token_orc_lookup_reads_few_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_orc, "INDEX_ROWS", 1000)
+    rows = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"))
+    token_orc.write(rows, str(tmp_path / "t"), tokenizer_path(), files=4)
+
+    def read(ids):
+        found = token_orc.lookup(spark, str(tmp_path / "t"), ids)
+        got = {r["doc_id"]: r["ids"] for r in found.collect()}
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return got, scan.metrics().apply("numOutputRows").value()
+
+    got, n = read([12_346, None])
+    assert list(got) == [12_346] and got[12_346][-1] == 1 and 0 < n <= 2000
+    got, n = read([12_346, 39_998])
+    assert sorted(got) == [12_346, 39_998] and n <= 4000
+    # inside the ranges of the files, but in no Bloom filter (or in few by chance)
+    got, n = read([12_345])
+    assert got == {} and n <= 1000
+    assert read([])[0] == {}
+
+
 def test_token_orc_files_have_indexes_and_order(spark, texts, tmp_path):
     from pyarrow import orc
 
