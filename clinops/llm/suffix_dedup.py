@@ -16,13 +16,14 @@ bucket at a time, and only those that can have a partner:
    A comparison is O(1) however long the tie, and memory is that of one block: the block's bytes, its
    sample ranks and its sorted positions.  Buckets of one run, or of equal runs only, are told apart by counts
    and never sorted.  A bucket over ``BLOCK_BYTES`` (a passage that many texts hold between different
-   neighbours) is not brought together: the 64-bit hashes of its strings are counted and meet their counts in
-   a plain join, so that it is spread over many tasks.
+   neighbours) is not brought together: one run of each content is cut a third time by a gram of 192 bytes, and
+   its smaller buckets are sorted in the same way.  What is still over ``BLOCK_BYTES`` has 192 bytes in common and
+   runs of 9 strings at most; the bytes of these strings are grouped by Spark, spread over many tasks.
 4. Equal neighbours in suffix order are repeats; their strings become byte spans of their texts.
 
 Lossless: the buckets are a function of the string alone, so two equal strings always meet.  Bytes are
-compared as bytes inside buckets; whole runs (steps 2 and 3) and the strings of buckets over ``BLOCK_BYTES`` by
-64-bit hashes inside their bucket.
+compared as bytes inside buckets, large ones included; whole runs (steps 2 and 3) by 62-bit hashes inside their
+bucket.
 
 Defined cases: null and short texts (under ``width`` bytes) lose nothing; repeated rows are repeats of each
 other; a string that overlaps its own copy counts; one text must fit in a task's memory.
@@ -43,7 +44,7 @@ from clinops.llm.common import keyed, packed, prepare, written
 
 WIDTH = 200
 GRAM = 32  # shorter grams give longer runs, so fewer rows
-FINE_GRAM = 160  # second cut: only strings with 160 bytes in common share a bucket
+FINE_GRAMS = (160, 192)  # second cut: only strings with 160 bytes in common share a bucket; third cut of large buckets
 PERIOD = 32
 COVER = (0, 1, 2, 3, 4, 8, 12, 16, 20, 24, 28)  # all differences modulo 32: see cover_shift()
 BLOCK_BYTES = 4 << 20  # bytes sorted at once
@@ -196,28 +197,45 @@ def repeated_strings(buf: np.ndarray, first: np.ndarray, count: np.ndarray, widt
     return np.bincount(kind, minlength=len(at))[kind] > 1
 
 
+RUNS = "key long, content long, __row long, start int, n int, body binary"
+
+
+def cut_again(pieces: pa.Array, keys: np.ndarray, owner: np.ndarray, begins: np.ndarray, width: int, gram: int):
+    """Batches of RUNS: byte pieces (of bucket ``keys``, text ``owner``, from byte ``begins``) cut by a longer gram, with
+    the hash of each run's bytes and the bytes."""
+    for a, _, buf, offs in T.text_chunks(pieces):
+        low, content, row, begin, n = runs(buf, offs, width, min(gram, width), salt=0x5851F42D4C957F2D)
+        size = n + width - 1
+        body = pa.Array.from_buffers(
+            pa.binary(), len(row), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)),
+                                    pa.py_buffer(np.ascontiguousarray(buf[T.ranges(offs[row] + begin, size)]))])
+        key = T.mix(low + keys[a + row].view(np.uint64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(owner[a + row]),
+             pa.array((begins[a + row] + begin).astype(np.int32)), pa.array(n.astype(np.int32)), body],
+            ["key", "content", "__row", "start", "n", "body"])
+
+
 def fine_runs(fetched: DataFrame, width: int) -> DataFrame:
-    """From (__row, z, need): the needed runs of each text, cut again by a longer gram, with the hash of their
-    bytes and the bytes."""
+    """From (__row, z, need): the needed runs of each text, cut again by a longer gram."""
     def run(batches):
         for batch in batches:
             pieces, asked = T.needed_pieces(batch.column("z"), batch.column("need"), "start", "n", width - 1)
             owner = np.repeat(batch.column("__row").to_numpy(), pc.list_value_length(batch.column("need")).to_numpy())
-            begins, buckets = asked.field("start").to_numpy(), asked.field("bucket").to_numpy()
-            for a, _, buf, offs in T.text_chunks(pieces):
-                fine, content, row, begin, n = runs(buf, offs, width, min(FINE_GRAM, width), salt=0x5851F42D4C957F2D)
-                size = n + width - 1
-                body = pa.Array.from_buffers(
-                    pa.binary(), len(row),
-                    [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)),
-                     pa.py_buffer(np.ascontiguousarray(buf[T.ranges(offs[row] + begin, size)]))])
-                key = T.mix(fine + buckets[a + row].view(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(owner[a + row]),
-                     pa.array((begins[a + row] + begin).astype(np.int32)), pa.array(n.astype(np.int32)), body],
-                    ["key", "content", "__row", "start", "n", "body"])
+            yield from cut_again(pieces, asked.field("bucket").to_numpy(), owner, asked.field("start").to_numpy(), width,
+                                 FINE_GRAMS[0])
+
+    return fetched.mapInArrow(run, RUNS)
+
 
-    return fetched.mapInArrow(run, "key long, content long, __row long, start int, n int, body binary")
+def finer_runs(fine: DataFrame, width: int, gram: int) -> DataFrame:
+    """RUNS of large buckets, cut again by a still longer gram."""
+    def run(batches):
+        for batch in batches:
+            key, owner, start = (batch.column(c).to_numpy() for c in ("key", "__row", "start"))
+            yield from cut_again(batch.column("body"), key, owner, start, width, gram)
+
+    return fine.mapInArrow(run, RUNS)
 
 
 def sorted_spans(fine: DataFrame, width: int) -> DataFrame:
@@ -270,47 +288,59 @@ def sorted_spans(fine: DataFrame, width: int) -> DataFrame:
     return fine.mapInArrow(run, "__row long, start int, end int")
 
 
-def string_hashes(fine: DataFrame, width: int) -> DataFrame:
-    """(key, string, __row, start): the hash of every string of the fetched runs."""
+def strings(fine: DataFrame, width: int) -> DataFrame:
+    """(string, __row, start): the bytes of every string of the runs."""
     def run(batches):
         for batch in batches:
-            key, owner = batch.column("key").to_numpy(), batch.column("__row").to_numpy()
-            begins = batch.column("start").to_numpy()
+            owner, begins = batch.column("__row").to_numpy(), batch.column("start").to_numpy()
             for a, _, buf, offs in T.text_chunks(batch.column("body")):
                 at, row = T.window_rows(offs, width)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[a + row]), pa.array(T.rolling_hash(T.prefix_hash(buf), width)[at].view(np.int64)),
-                     pa.array(owner[a + row]), pa.array((begins[a + row] + at - offs[row]).astype(np.int32))],
-                    ["key", "string", "__row", "start"])
+                step = max(T.CHUNK // width, 1)
+                for i in range(0, len(at), step):
+                    here, of = at[i : i + step], row[i : i + step]
+                    yield pa.RecordBatch.from_arrays(
+                        [T.binary_column(buf[here[:, None] + np.arange(width)]), pa.array(owner[a + of]),
+                         pa.array((begins[a + of] + here - offs[of]).astype(np.int32))], ["string", "__row", "start"])
 
-    return fine.select("key", "__row", "start", "body").mapInArrow(run, "key long, string long, __row long, start int")
+    return fine.select("__row", "start", "body").mapInArrow(run, "string binary, __row long, start int")
 
 
-def counted_spans(fine: DataFrame, width: int) -> DataFrame:
-    """Byte spans of repeated strings of buckets of any size, by counts of string hashes."""
-    strings = written(string_hashes(fine, width), "suffix-strings")
-    again = strings.groupBy("key", "string").agg(F.count("*").alias("c")).where("c > 1").select("key", "string")
+def equal_strings(fine: DataFrame, width: int) -> DataFrame:
+    """Byte spans of repeated strings, whose bytes are grouped by Spark: partial counts, spilling sorts, no bucket whole."""
+    rows = written(strings(fine, width), "suffix-strings")
+    again = rows.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string")
     # as above: a string that many texts hold meets its count in a join that can be split
-    found = strings.join(written(again, "suffix-repeated"), ["key", "string"])
+    found = rows.join(written(again, "suffix-repeated"), "string")
     return found.select("__row", "start", (F.col("start") + F.lit(width)).alias("end"))
 
 
-def fine_spans(fine: DataFrame, width: int) -> DataFrame:
-    """Byte spans of repeated strings of the fetched runs."""
+def fine_spans(fine: DataFrame, width: int, longer: tuple[int, ...] = FINE_GRAMS[1:]) -> DataFrame:
+    """Byte spans of repeated strings of RUNS; buckets over BLOCK_BYTES are cut again by each gram of ``longer``."""
     fine = written(fine, "suffix-fine")
+    end = (F.col("start") + F.col("n") + F.lit(width - 1)).alias("end")
     per = fine.groupBy("key").agg(
         F.count("*").alias("c"), F.min("content").alias("c0"), F.max("content").alias("c1"),
         F.sum(F.col("n").cast("long") + F.lit(width)).alias("size")).where("c > 1")
     per = written(per.select("key", (F.col("c0") == F.col("c1")).alias("one"),
                              (F.col("size") > F.lit(BLOCK_BYTES)).alias("large")), "suffix-keys")
-    end = (F.col("start") + F.col("n") + F.lit(width - 1)).alias("end")
     same = fine.select("key", "__row", "start", "n").join(per.where("one").select("key"), "key")
     found = same.select("__row", "start", end).unionByName(
         sorted_spans(fine.join(per.where("not one and not large").select("key"), "key"), width))
     large = per.where("not one and large").select("key")
     if large.isEmpty():
         return found
-    return found.unionByName(counted_spans(fine.join(large, "key"), width))
+
+    # what many texts hold alike is one representative and repeated as a whole; only different contents are cut again
+    rows = written(fine.join(large, "key"), "suffix-large")
+    kinds = rows.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("__row", "start")).alias("r"))
+    kinds = written(kinds.select("key", "content", "copies", "r.*"), "suffix-large-kinds")
+    copied = rows.select("key", "content", "__row", "start", "n").join(
+        kinds.where("copies > 1").select("key", "content"), ["key", "content"])
+    found = found.unionByName(copied.select("__row", "start", end))
+    rest = rows.join(kinds.drop("copies"), ["key", "content", "__row", "start"])
+    if not longer:
+        return found.unionByName(equal_strings(rest, width))
+    return found.unionByName(fine_spans(finer_runs(rest, width, longer[0]), width, longer[1:]))
 
 
 def repeated_spans(texts: DataFrame, width: int) -> DataFrame:

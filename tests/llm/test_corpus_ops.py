@@ -83,8 +83,10 @@ def test_suffix_dedup(spark, texts):
     assert any(v[1] for v in want.values())
 
 
-def test_suffix_dedup_never_sorts_a_large_bucket(spark, monkeypatch):
-    """A passage that many texts hold between different neighbours: its edges share a bucket in every text."""
+@pytest.mark.parametrize("block, grouped", [(9500, 0), (4000, 1)])
+def test_suffix_dedup_never_sorts_a_large_bucket(spark, monkeypatch, block, grouped):
+    """A passage that many texts hold between different neighbours: its edges share a bucket in every text.  The third
+    cut makes them small enough to sort, or their strings are grouped by their bytes."""
     rng = random.Random(5)
     make = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
     passage = make(400)
@@ -95,13 +97,18 @@ def test_suffix_dedup_never_sorts_a_large_bucket(spark, monkeypatch):
         sizes.append(fine.groupBy("key").agg(F.sum(F.col("n") + width).alias("b")).agg(F.max("b")).first()[0] or 0)
         return sort(fine, width)
 
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
+    cuts, cut = [], suffix_dedup.finer_runs
+    equal, group = [], suffix_dedup.equal_strings
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     monkeypatch.setattr(suffix_dedup, "sorted_spans", watched)
+    monkeypatch.setattr(suffix_dedup, "finer_runs", lambda *a: cuts.append(a[2]) or cut(*a))
+    monkeypatch.setattr(suffix_dedup, "equal_strings", lambda *a: equal.append(1) or group(*a))
     out = suffix_dedup.drop_repeats(frame(spark, texts)).collect()
     want = brute.suffix(list(enumerate(texts)), suffix_dedup.WIDTH)
     assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == want
     assert all(want[i][1] >= 400 for i in range(40))
-    assert sizes and max(sizes) <= 4000
+    assert len(sizes) == 2 and max(sizes) <= block
+    assert cuts == [192] and len(equal) == grouped
 
 
 def test_suffix_sort_orders_like_bytes():
