@@ -47,10 +47,18 @@ def pending_sync(vitals: DataFrame) -> DataFrame:
             .select("vital_id", "patient_no", "measured_at", "created_date", "intt_cd"))
 
 
-def recent_vitals(vitals: DataFrame, n: int = 12, with_keys: bool = False) -> DataFrame:
+def _ordinal(order: tuple, wanted: bool) -> list:
+    """Place of each row in a newest-n list (the window spans the n listed rows only)."""
+    return [F.row_number().over(Window.partitionBy().orderBy(*order)).alias("ordinal")] if wanted else []
+
+
+def recent_vitals(vitals: DataFrame, n: int = 12, with_keys: bool = False,
+                  with_order: bool = False) -> DataFrame:
     """Newest ``n`` readings, captioned time, sync flag, wearable mask."""
-    top = vitals.orderBy(F.col("measured_at").desc(), F.col("vital_id").desc()).limit(n)
+    order = (F.col("measured_at").desc(), F.col("vital_id").desc())
+    top = vitals.orderBy(*order).limit(n)
     shaped = top.select(
+        *_ordinal(order, with_order),
         "vital_id", "patient_no",
         format_timestamp_ntz(F.col("measured_at")).alias("measured_at"),
         "heart_rate_bpm", "blood_pressure_systolic", "blood_pressure_diastolic",
@@ -61,11 +69,14 @@ def recent_vitals(vitals: DataFrame, n: int = 12, with_keys: bool = False) -> Da
     return sanitize(shaped, profile="wearable", key_sidecars=("patient_no",) if with_keys else ())
 
 
-def recent_events(events: DataFrame, n: int = 15, with_keys: bool = False) -> DataFrame:
+def recent_events(events: DataFrame, n: int = 15, with_keys: bool = False,
+                  with_order: bool = False) -> DataFrame:
     """Newest ``n`` clinical events with labels, wearable mask and the
     'any row carries a source treatment id' flag over that short list."""
-    top = events.orderBy(F.col("occurred_on").desc(), F.col("clinical_event_id").desc()).limit(n)
+    order = (F.col("occurred_on").desc(), F.col("clinical_event_id").desc())
+    top = events.orderBy(*order).limit(n)
     shaped = top.select(
+        *_ordinal(order, with_order),
         "clinical_event_id", "patient_no", "category",
         format_date(F.col("occurred_on")).alias("occurred_on"),
         "department", "title", "status", "source_mysql_treatment_id",
@@ -77,10 +88,13 @@ def recent_events(events: DataFrame, n: int = 15, with_keys: bool = False) -> Da
     return sanitize(shaped, profile="wearable", key_sidecars=("patient_no",) if with_keys else ())
 
 
-def recent_wellness(daily: DataFrame, n: int = 10, with_keys: bool = False) -> DataFrame:
+def recent_wellness(daily: DataFrame, n: int = 10, with_keys: bool = False,
+                    with_order: bool = False) -> DataFrame:
     """Newest ``n`` daily rows (date desc, patient asc), masked."""
-    top = daily.orderBy(F.col("summary_date").desc(), F.col("patient_no").asc()).limit(n)
+    order = (F.col("summary_date").desc(), F.col("patient_no").asc())
+    top = daily.orderBy(*order).limit(n)
     shaped = top.select(
+        *_ordinal(order, with_order),
         "patient_no", format_date(F.col("summary_date")).alias("summary_date"),
         "step_count", "step_goal",
         F.col("sleep_hours").cast("double").alias("sleep_hours"),

@@ -1023,3 +1023,63 @@ _reg("treatment_mix_folded", duck_with("treatments") + """
 , p AS (SELECT coalesce(nullif(trim(treatment_type), ''), '미분류') AS spelling, count(*) AS n FROM t GROUP BY 1)
 SELECT min(spelling) AS name, count(*) AS spellings, sum(n)::BIGINT AS value FROM p GROUP BY lower(strip_accents(spelling))
 """)
+
+
+# ---- snapshots as cells: every block of the two dashboards, stated from the blocks' own statements ----
+
+def _cells_sql(block, sql, position, texts=(), numbers=(), item="0"):
+    """Cells of the rows of ``sql``: (SQL expression, field) pairs of text and of number fields."""
+    head = f"SELECT '{block}' AS block, CAST({position} AS INTEGER) AS position"
+    out = [f"{head}, '{f}' AS field, CAST({item} AS INTEGER) AS item, CAST({x} AS VARCHAR) AS text, "
+           f"CAST(NULL AS DOUBLE) AS number FROM ({sql})" for x, f in texts]
+    out += [f"{head}, '{f}' AS field, CAST({item} AS INTEGER) AS item, CAST(NULL AS VARCHAR) AS text, "
+            f"CAST({x} AS DOUBLE) AS number FROM ({sql})" for x, f in numbers]
+    return out
+
+
+def _pairs(*names):
+    return [(n, n) for n in names]
+
+
+def _placed(key, order):
+    """The statement of a newest-n list with each row's place."""
+    head, tail = ORACLE[key].rsplit("\nSELECT ", 1)
+    return f"{head}\nSELECT row_number() OVER (ORDER BY {order}) - 1 AS place, {tail}"
+
+
+_reg("snapshot_cells", "\nUNION ALL\n".join(
+    _cells_sql("gauge", ORACLE["gauge"], 0, _pairs("title"), _pairs("current", "max_value"))
+    + _cells_sql("timeline", ORACLE["timeline"], 0, [("label", "labels")], [("value", "values")], item="month_idx")
+    + _cells_sql("pie_sales", f"SELECT *, row_number() OVER (ORDER BY value DESC, name DESC) - 1 AS place "
+                 f"FROM ({ORACLE['treatment_mix']})", "place", _pairs("name"), _pairs("value"))
+    + _cells_sql("league_table", f"SELECT DISTINCT rank, name, actual, target FROM ({ORACLE['league_table']})", "rank - 1",
+                 _pairs("name"), _pairs("actual", "target"))
+    + _cells_sql("league_table", ORACLE["league_table"], "rank - 1", (), [("spark_value", "spark")], item="month_idx")
+    + _cells_sql("production", ORACLE["production_top"], 0, [("category", "categories")], [("value", "values")], item="rank - 1")
+    + _cells_sql("kpi", ORACLE["kpi_revenue"], 0, _pairs("label"), _pairs("actual", "target"))
+    + _cells_sql("kpi", ORACLE["kpi_growth"], 0, (), _pairs("growth_pct"))))
+
+_reg("wearable_snapshot_cells", "\nUNION ALL\n".join(
+    _cells_sql("connected", "SELECT 1", 0, [("TRUE", "connected")])
+    + _cells_sql("generated_at", "SELECT 1", 0, [(f"strftime({_ts(W)}, {FMT_TS})", "generated_at")])
+    + _cells_sql("table_counts", f"SELECT *, row_number() OVER (ORDER BY ordinal) - 1 AS place FROM ({ORACLE['table_counts']})",
+                 "place", _pairs("table_key", "label_kr", "sql_name"), _pairs("total_count"))
+    + _cells_sql("etl", f"SELECT s.* FROM (SELECT 1) LEFT JOIN (SELECT * FROM ({ORACLE['etl_state']}) "
+                 "WHERE job_code = 'wearable_round_robin') s ON TRUE", 0, [("updated_at", "wearable_updated_at")],
+                 [("cursor_value", "wearable_round_robin_cursor")])
+    + _cells_sql("clinical_by_category", f"SELECT *, row_number() OVER (ORDER BY count DESC, category DESC) - 1 AS place "
+                 f"FROM ({ORACLE['clinical_by_category']})", "place", _pairs("category", "label_kr"), _pairs("count"))
+    + _cells_sql("vitals_aggregate", ORACLE["vitals_aggregate"], 0, (), _pairs(
+        "total_vitals", "today_vitals", "pending_mysql_sync", "avg_heart_rate_24h", "pending_daily_mysql_sync"))
+    + _cells_sql("recent_vitals", _placed("recent_vitals", "top.measured_at DESC, top.vital_id DESC"), "place",
+                 _pairs("vital_id", "patient_no", "measured_at", "source_channel", "synced_mysql", "patient_no_sha256"),
+                 _pairs("heart_rate_bpm", "blood_pressure_systolic", "blood_pressure_diastolic", "body_temp_c", "stress_score"))
+    + _cells_sql("recent_clinical_events", _placed("recent_events", "top.occurred_on DESC, top.clinical_event_id DESC"), "place",
+                 _pairs("clinical_event_id", "patient_no", "category", "occurred_on", "department", "title", "status",
+                        "source_mysql_treatment_id", "category_kr", "status_kr", "patient_no_sha256"))
+    + _cells_sql("include_mysql_treatment_id_column",
+                 f"SELECT coalesce(bool_or(include_mysql_treatment_id_column), FALSE) AS f FROM ({ORACLE['recent_events']})", 0,
+                 [("f", "include_mysql_treatment_id_column")])
+    + _cells_sql("daily_wellness_sample_rows", _placed("recent_wellness", "top.summary_date DESC, top.patient_no ASC"), "place",
+                 _pairs("patient_no", "summary_date", "synced_mysql", "patient_no_sha256"),
+                 _pairs("step_count", "step_goal", "sleep_hours", "stress_level"))))

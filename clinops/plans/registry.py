@@ -557,17 +557,34 @@ def q_ledger_payload_json(spark, sf_dir):
 # ---- composite snapshots ---------------------------------------------------
 
 
+def _operations_snapshot(spark, sf_dir):
+    dept, tr, sched, exam = _v(spark, sf_dir, "department", "treatments", "examination_schedule", "examination")
+    return snapshot.operations_snapshot(dept, tr, sched, exam, OPS_AS_OF)
+
+
+def _wearable_snapshot(spark, sf_dir):
+    return snapshot.wearable_snapshot(spark, lambda n: load_view(spark, sf_dir, n), WEAR_AS_OF_TS,
+                                      table_counts=profiles.bound_table_counts(spark, sf_dir, list(PG_TABLES)))
+
+
 @register("snapshot_json")
 def q_snapshot_json(spark, sf_dir):
-    dept, tr, sched, exam = _v(spark, sf_dir, "department", "treatments", "examination_schedule", "examination")
-    return snapshot.to_json_row(snapshot.operations_snapshot(dept, tr, sched, exam, OPS_AS_OF))
+    return snapshot.to_json_row(_operations_snapshot(spark, sf_dir))
+
+
+@register("snapshot_cells")
+def q_snapshot_cells(spark, sf_dir):
+    return snapshot.snapshot_cells(_operations_snapshot(spark, sf_dir))
 
 
 @register("wearable_snapshot")
 def q_wearable_snapshot(spark, sf_dir):
-    snap = snapshot.wearable_snapshot(spark, lambda n: load_view(spark, sf_dir, n), WEAR_AS_OF_TS,
-                                      table_counts=profiles.bound_table_counts(spark, sf_dir, list(PG_TABLES)))
-    return snapshot.to_json_row(snap)
+    return snapshot.to_json_row(_wearable_snapshot(spark, sf_dir))
+
+
+@register("wearable_snapshot_cells")
+def q_wearable_snapshot_cells(spark, sf_dir):
+    return snapshot.snapshot_cells(_wearable_snapshot(spark, sf_dir))
 
 
 @register("wearable_kpi_cards")

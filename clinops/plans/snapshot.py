@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, NumericType, StructType
 
 from clinops.functions.common import as_date, as_datetime, bounded_broadcast, month_key, ts_lit
 from clinops.functions.display import format_timestamp_ntz
@@ -33,6 +34,11 @@ def _ordered_array(df: DataFrame, order_col: str, fields: list[str], name: str,
     return df.agg(F.transform(arr, lambda x: x.dropFields("__o")).alias(name))
 
 
+def _listed(df: DataFrame, name: str) -> DataFrame:
+    """A newest-n list as one array in its own order."""
+    return _ordered_array(df, "ordinal", [c for c in df.columns if c != "ordinal"], name)
+
+
 def treatment_summary(treatments: DataFrame, as_of, kpi_days: tuple[int, int] = (30, 60)) -> DataFrame:
     """ONE pass over the treatments fact: counts per (month, type bucket,
     department, KPI window).  Its size is months × types × departments × 3,
@@ -113,21 +119,58 @@ def wearable_snapshot(spark, loader, as_of_ts, table_counts: DataFrame | None =
                           "clinical_by_category", desc=True)
     agg = vitals.vitals_aggregate(v, d, as_of_ts)
     agg = agg.select(F.struct(*agg.columns).alias("vitals_aggregate"))
-    rv = vitals.recent_vitals(v, 12)
-    rv = rv.agg(F.collect_list(F.struct(*rv.columns)).alias("recent_vitals"))
-    re_ = vitals.recent_events(e, 15).drop("include_mysql_treatment_id_column")
+    rv = _listed(vitals.recent_vitals(v, 12, with_order=True), "recent_vitals")
+    re_ = vitals.recent_events(e, 15, with_order=True).drop("include_mysql_treatment_id_column")
     # the flag is read off the listed rows (a masked id is NULL exactly when the raw one is)
-    re_ = re_.agg(F.collect_list(F.struct(*re_.columns)).alias("recent_clinical_events")).select(
+    re_ = _listed(re_, "recent_clinical_events").select(
         "recent_clinical_events",
         F.exists("recent_clinical_events", lambda x: x["source_mysql_treatment_id"].isNotNull())
         .alias("include_mysql_treatment_id_column"))
-    rw = vitals.recent_wellness(d, 10)
-    rw = rw.agg(F.collect_list(F.struct(*rw.columns)).alias("daily_wellness_sample_rows"))
+    rw = _listed(vitals.recent_wellness(d, 10, with_order=True), "daily_wellness_sample_rows")
     gen = spark.range(1).select(F.lit(True).alias("connected"),
                                 format_timestamp_ntz(ts_lit(as_datetime(as_of_ts))).alias("generated_at"))
     return _one_row([gen, counts, etl, cats, agg, rv, re_, rw])
 
 
+def _cells(block: str, position, field: str, value, kind: DataType):
+    """Cells of one field: one, or one per item of a list."""
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x, i: _cell(block, position, field, i, x, kind.elementType))
+    return F.array(_cell(block, position, field, F.lit(0), value, kind))
+
+
+def _cell(block: str, position, field: str, item, value, kind: DataType):
+    number = isinstance(kind, NumericType)
+    return F.struct(F.lit(block).alias("block"), position.cast("int").alias("position"), F.lit(field).alias("field"),
+                    item.cast("int").alias("item"),
+                    (F.lit(None) if number else value).cast("string").alias("text"),
+                    (value if number else F.lit(None)).cast("double").alias("number"))
+
+
+def _row_cells(block: str, rows, kind: StructType):
+    """Cells of a list of rows."""
+    return F.flatten(F.transform(rows, lambda x, i: F.concat(
+        *(_cells(block, i, g.name, x[g.name], g.dataType) for g in kind.fields))))
+
+
+def snapshot_cells(df: DataFrame) -> DataFrame:
+    """A one-row snapshot as a table: block, position in a list block, field, item of a list field, text or number.
+
+    The relational sink beside ``to_json_row``: snapshots of many days can be appended to one table and compared
+    by value.  Missing values give a cell without text and number; an empty list gives no cells."""
+    parts = []
+    for f in df.schema.fields:
+        col, kind = F.col(f.name), f.dataType
+        if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+            parts.append(_row_cells(f.name, col, kind.elementType))
+        elif isinstance(kind, StructType):
+            parts += [_cells(f.name, F.lit(0), g.name, col[g.name], g.dataType) for g in kind.fields]
+        else:
+            parts.append(_cells(f.name, F.lit(0), f.name, col, kind))
+    cells = F.concat(*(F.coalesce(p, F.array()) for p in parts))
+    return df.select(F.explode(cells).alias("c")).select("c.*")
+
+
 def to_json_row(df: DataFrame, name: str = "snapshot") -> DataFrame:
     """The whole one-row snapshot as JSON text (the API sink); missing values
     are written as null, so every row of a list has the same keys."""
